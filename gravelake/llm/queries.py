@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gravelake.llm import fingerprints, quality, sharding
+from gravelake.llm import fingerprints, packing, quality, sharding, spm
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op6_quality": quality.op6_quality,
     "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op9_sentencepiece": spm.op9_sentencepiece,
+    "op10_packing": packing.op10_packing,
 }
 
 
