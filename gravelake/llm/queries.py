@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from gravelake.llm import fingerprints, packing, quality, sharding, spm
+from gravelake.llm import fingerprints, packing, quality, sharding, spm, toxicity, url_filters
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op5_url_filters": url_filters.op5_url_filters,
     "op6_quality": quality.op6_quality,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_sentencepiece": spm.op9_sentencepiece,
@@ -14,4 +16,4 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle(), "op8_fingerprints": fingerprints.oracle()}
+    return {"op1_sharding": sharding.oracle(), "op5_url_filters": url_filters.oracle(), "op8_fingerprints": fingerprints.oracle()}
