@@ -69,7 +69,7 @@ class Chain:
         return sorted(found)
 
 
-def _fit(at: np.ndarray, of: np.ndarray, n: int, earlier: np.ndarray, y: np.ndarray, prior: float, steps: int = 300, l2: float = 0.02) -> np.ndarray:
+def _fit(at: np.ndarray, of: np.ndarray, n: int, earlier: np.ndarray, y: np.ndarray, prior: float, steps: int = 500, l2: float = 0.002) -> np.ndarray:
     """Logistic regression by Adam over all rows, each class with weight one half; the bias is then moved to the true share."""
     w = np.zeros(n + earlier.shape[1] + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
@@ -79,7 +79,7 @@ def _fit(at: np.ndarray, of: np.ndarray, n: int, earlier: np.ndarray, y: np.ndar
         d = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * share
         g = np.concatenate([np.bincount(of, d[at], minlength=n), earlier.T @ d, [d.sum()]]) + l2 * np.append(w[:-1], 0) / 100
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        w -= 0.1 * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        w -= 0.2 * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     w[-1] += math.log(prior / (1 - prior))
     return w
 
