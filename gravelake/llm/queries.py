@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gravelake.llm import fingerprints, langid, packing, quality, sharding, spm, toxicity, url_filters
+from gravelake.llm import fingerprints, langid, ngram_join, packing, quality, sharding, spm, toxicity, url_filters
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_language": langid.op4_language,
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_quality": quality.op6_quality,
