@@ -413,6 +413,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component; of repeated ids the first text."""
+    """The document of the smallest id of each component, once; rows without an id stay."""
     groups = similar_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(groups, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(groups, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id IS NULL"))

@@ -208,3 +208,8 @@ def pack(df: DataFrame, path: str | None = None, capacity: int = CAPACITY, key:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places."""
+    return pack(docs)
