@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gravelake.llm import fingerprints, langid, ngram_join, packing, quality, sharding, spm, toxicity, url_filters
+from gravelake.llm import fingerprints, langid, lm, ngram_join, packing, quality, sharding, spm, toxicity, url_filters
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language": langid.op4_language,
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_quality": quality.op6_quality,
+    "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_sentencepiece": spm.op9_sentencepiece,
     "op10_packing": packing.op10_packing,
