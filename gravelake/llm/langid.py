@@ -222,7 +222,7 @@ def predict(df: DataFrame, model: Field, keep: Sequence[str] = ("doc_id",), text
             coded: list[np.ndarray] = []
             for t in b.column(at):
                 ws = words(t.as_py())
-                missing = list(set(ws) - number.keys())
+                missing = [w for w in set(ws) if w not in number]
                 if missing:
                     number.update(zip(missing, range(len(number), len(number) + len(missing)), strict=True))
                 coded.append(np.fromiter(map(number.__getitem__, ws), np.int32, len(ws)))
