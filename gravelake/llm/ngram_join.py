@@ -11,13 +11,14 @@ largest difference that the set's size allows) have one in common: only those ar
 a piece are candidates. A set of a size near the lower end of its band is emitted for the band below as well,
 so that all partners meet in the band of the smaller.
 
-Order. Pieces whose shingles are all frequent in the corpus come last, and empty pieces after them. Frequent
-shingles are counted over all documents (each task reports those that it meets often, and the most frequent,
+Order. Pieces of more shingles come first: texts that share but a passage seldom share such a piece. Pieces whose
+shingles are all frequent in the corpus come after all others, and empty pieces last. Frequent shingles are counted over all documents (each task reports those that it meets often, and the most frequent,
 a fixed number, are broadcast); the order only decides which pieces are emitted and never loses a link.
 
 Work. Equal sets are joined by their digest and enter once. A piece that exactly two sets share gives a pair.
-One that more share gives a star around its smallest id, and its members are kept. Once the pairs are verified
-and connected, only pieces whose members still lie in different components are looked at again, and only pairs
+One that more share gives a star around its smallest id, and its members are kept. The Hamming distance of
+whole sketches, of one to two bits a shingle, rules most false candidates out. Once the others are verified and
+connected, only pieces whose members still lie in different components are looked at again, and only pairs
 across components are tested. So large groups of copies cost a number of tests in proportion to their size.
 Pieces travel as packed blocks; verification reads the shingles of candidates only.
 
@@ -38,9 +39,9 @@ from pyspark.sql import functions as F
 from gravelake.llm.common import staged, table
 
 SHINGLE = 5
-_FREQUENT = 1 << 16
-_OFTEN = 8
-_BAND = 4
+_FREQUENT = 1 << 18
+_OFTEN = 3
+_BAND = 2
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _STEP_WORDS = 500_000
@@ -114,6 +115,30 @@ def _digests(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return out
 
 
+def sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Parity sketches of one to two bits a shingle; a longer one folds to a shorter by XOR of its halves."""
+    band = np.maximum(band_of(sizes), 2) + 1
+    words = (np.int64(1) << band) // 8
+    first = np.cumsum(words) - words
+    who = np.repeat(np.arange(len(sizes)), sizes)
+    bit = ((hashes >> np.uint64(20)) & ((np.uint64(1) << band.astype(np.uint64)) - np.uint64(1))[who]).astype(np.int64)
+    odd = (np.bincount(first[who] * 8 + bit, minlength=int(words.sum()) * 8) & 1).astype(np.uint8)
+    flat = np.packbits(odd, bitorder="little").tobytes()
+    return [flat[a : a + n] for a, n in zip(first, words, strict=True)]
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two sketches at the shorter one's length: at most the size of the symmetric difference."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    bits = 8 * len(a)
+    while bits > 8 * len(b):
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ y).bit_count()
+
+
 def _steps(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of batches with a bounded number of characters, or one row."""
     for b in batches:
@@ -130,41 +155,42 @@ def _steps(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and digest of every document, and the shingles that a task met often as rows without id."""
+    """doc_id, n_shingles, digest and sketch of every document, and the shingles that a task met often as rows without id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "digest", "often", "times"]
+        names = ["doc_id", "n_shingles", "digest", "sketch", "often", "times"]
         held: list[np.ndarray] = []
 
         def reported() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True)
             h, c = h[c >= _OFTEN], c[c >= _OFTEN]
             none = pa.nulls(len(h))
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
         for b, texts in _steps(batches, 1):
             hashes, sizes = shingles(texts)
             held.append(hashes)
             none = pa.nulls(len(sizes)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(_digests(hashes, sizes), pa.binary()), none, none], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(_digests(hashes, sizes), pa.binary()), pa.array(sketches(hashes, sizes), pa.binary()), none, none], names)
             if sum(map(len, held)) > 8_000_000:
                 yield reported()
                 held = []
         if held:
             yield reported()
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, often bigint, times bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sketch binary, often bigint, times bigint")
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
-    """Band b holds the sizes from 4**b to 4**(b+1) - 1."""
-    return (np.floor(np.log2(np.maximum(n, 1)) + 1e-9) // 2).astype(np.int64)
+    """Band b holds the sizes from 2**b to 2**(b+1) - 1."""
+    return np.floor(np.log2(np.maximum(n, 1)) + 1e-9).astype(np.int64)
 
 
 def pieces_of(band: np.ndarray) -> np.ndarray:
-    """More pieces than the largest set of a band has room for differences, and far more for small sets."""
+    """Enough that the largest set of a band fills more pieces than it has room for differences; far more for small
+    sets. With no more than that, a piece holds two or three shingles, and sets that share but a passage share few."""
     top = _BAND ** (band + 1)
-    return np.where(top <= 64, 8 * top, np.where(top <= 256, 2 * top, top // 2))
+    return np.where(top <= 32, 4 * top, np.where(top <= 64, top, np.where(top <= 128, top // 2, (top / 2.3).astype(np.int64))))
 
 
 def _difference(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -198,13 +224,14 @@ def sketch_keys(hashes: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) ->
     head[1:] = (piece[1:] != piece[:-1]) | (who[1:] != who[:-1])
     heads = np.flatnonzero(head)
     parity = np.bitwise_xor.reduceat(bit, heads)
-    frequent_only = np.logical_and.reduceat(common, heads)
+    last = np.logical_and.reduceat(common, heads).astype(np.uint64) * np.uint64(4)
     piece, who = piece[heads], who[heads]
     filled = parity != 0  # a piece that cancels out is like an empty one
-    piece, who, parity, frequent_only = piece[filled], who[filled], parity[filled], frequent_only[filled]
+    piece, who, parity, last = piece[filled], who[filled], parity[filled], last[filled]
+    last += np.uint64(3) - np.minimum(np.bitwise_count(parity), 3)  # pieces of fewer shingles come later
     b = bands[who].astype(np.uint64)
-    key = _mixed(_mixed(parity + b * _ODD[3]) + piece * _ODD[0] + frequent_only.astype(np.uint64) * _ODD[4])
-    order = np.lexsort((key, frequent_only, who))
+    key = _mixed(_mixed(parity + b * _ODD[3]) + piece * _ODD[0] + last * _ODD[4])
+    order = np.lexsort((key, last, who))
     key, who = key[order], who[order]
     have = np.bincount(who, minlength=len(entry))
     rank = np.arange(len(key)) - np.repeat(np.cumsum(have) - have, have)
@@ -344,6 +371,20 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.withColumn("s", shared_n).filter(100 * F.col("s") >= 75 * (F.size("ha") + F.size("hb") - F.col("s"))).select("a", "b")
 
 
+def close_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches (rep, n_shingles, sketch) do not rule a link out."""
+    own = lambda x: sets.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = ((b.column(2).to_numpy() + b.column(3).to_numpy()) // 7).tolist()
+            near = [distance(x, y) <= d for x, y, d in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and component (its smallest id) of every id in the edges (a, b): alternating large and small stars."""
     e = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -380,11 +421,13 @@ def similar_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
     found = staged(set_table(docs))
     frequent = found.filter("often IS NOT NULL").groupBy("often").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "often").limit(_FREQUENT).select("often").collect()
     frequent = np.sort(np.array([r.often for r in frequent], np.int64).view(np.uint64))
-    sets = found.filter("doc_id IS NOT NULL").select("doc_id", "n_shingles", "digest")
+    sets = found.filter("doc_id IS NOT NULL").select("doc_id", "n_shingles", "digest", "sketch")
     total = sets.agg(F.sum("n_shingles").alias("n")).first().n or 0
     parts = parts or max(8, -(-total // 2_000_000))
     reps = sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    firsts = staged(sets.filter("n_shingles > 0").join(reps, "digest").select("doc_id", "rep", "copies"))
+    firsts = staged(sets.filter("n_shingles > 0").join(reps, "digest").select("doc_id", "rep", "copies", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")))
+    sketched = firsts.filter("sketch IS NOT NULL").select("rep", "n_shingles", "sketch").dropDuplicates(["rep"])
+    firsts = firsts.select("doc_id", "rep", "copies")
     got = staged(grouped(key_blocks(docs, frequent, parts), parts))
     to_rep = firsts.filter("doc_id <> rep").select(F.col("doc_id").alias("id"), "rep")
 
@@ -393,10 +436,11 @@ def similar_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     pairs = got.filter("key IS NULL").select(F.col("id").alias("a"), F.col("partner").alias("b"))
     pairs = renamed(renamed(pairs, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = staged(verified(docs, staged(pairs)))
+    pairs = staged(pairs)
+    links = staged(verified(docs, staged(close_enough(pairs, sketched))))
     comp = components(links)
     members = renamed(got.filter("key IS NOT NULL").select("key", "id", "n"), "id").distinct()
-    rest = staged(_across(staged(members), comp))
+    rest = staged(close_enough(_across(staged(members), comp).join(pairs, ["a", "b"], "left_anti"), sketched))
     if not rest.isEmpty():
         links = staged(links.unionByName(verified(docs, rest)).distinct())
         comp = components(links)
