@@ -24,8 +24,8 @@ def index_new_files(spark: SparkSession, root: str, out: str, checkpoint: str, s
         chunks = chunk_parents(script_parents(batch.select(path.alias("path"), rel.alias("rel_path"), "content")), strategy, size)
         stored = spark.read.parquet(f"{out}/chunks") if exists(spark, f"{out}/chunks") else None
         new = embedded(pending(chunks, stored), "text", embedder).persist()
-        new.drop("embedding").write.mode("append").parquet(f"{out}/chunks")
         new.select("child_id", "embedding").write.mode("append").parquet(f"{out}/embeddings")
+        new.drop("embedding").write.mode("append").parquet(f"{out}/chunks")  # last: the anti-join reads it
         new.unpersist()
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
