@@ -3,17 +3,18 @@
 Two texts link when the Jaccard similarity of their sets of five-word shingles reaches 0.75. The join is
 exact up to 64-bit shingle hashes.
 
-Sketches. For a size band, every shingle of a set falls into one of the band's pieces and flips one of the
-piece's 64 bits (an XOR), so the Hamming distance of two sketches is at most the size of the sets' symmetric
-difference, which for linked sets of sizes n and m is at most (n + m) / 7. A sketch has more pieces than that,
-so linked sets agree on many pieces. Sorted by one order for all sets, the first d + 1 pieces of both (d: the
-largest difference that the set's size allows) have one in common: only those are emitted, and sets that share
-a piece are candidates. A set of a size near the lower end of its band is emitted for the band below as well,
-so that all partners meet in the band of the smaller.
+Sketches. Every shingle of a set flips one bit of its sketch (an XOR), so the Hamming distance of two sketches is
+at most the size of the sets' symmetric difference, which for linked sets of sizes n and m is at most (n + m) / 7.
+For the join, a size band cuts the shingles' range into pieces, and a piece is told by the XOR of 64 bits for each
+of its shingles. A band has more pieces than differences, so linked sets agree on many pieces. Sorted by one order
+for all sets, the first d + 1 pieces of both (d: the largest difference that the set's size allows) have one in
+common: only those are emitted, and sets that share a piece are candidates. A set of a size near the lower end of
+its band is emitted for the band below as well, so that all partners meet in the band of the smaller.
 
 Order. Pieces of more shingles come first: texts that share but a passage seldom share such a piece. Pieces whose
-shingles are all frequent in the corpus come after all others, and empty pieces last. Frequent shingles are counted over all documents (each task reports those that it meets often, and the most frequent,
-a fixed number, are broadcast); the order only decides which pieces are emitted and never loses a link.
+shingles are all frequent in the corpus come after all others, and empty pieces last. Frequent shingles are counted
+over all documents (each task reports those that it meets often, and the most frequent, a fixed number, are
+broadcast); the order only decides which pieces are emitted and never loses a link.
 
 Work. Equal sets are joined by their digest and enter once. A piece that exactly two sets share gives a pair.
 One that more share gives a star around its smallest id, and its members are kept. The Hamming distance of
@@ -219,16 +220,15 @@ def sketch_keys(hashes: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) ->
     p = pieces_of(bands).astype(np.uint64)
     piece = (h >> np.uint64(8)) % p[who]
     order = np.lexsort((piece, who))
-    piece, who, common, bit = piece[order], who[order], common[order], np.uint64(1) << (h[order] & np.uint64(63))
+    piece, who, common, flips = piece[order], who[order], common[order], _mixed(h[order])
     head = np.ones(len(piece), bool)
     head[1:] = (piece[1:] != piece[:-1]) | (who[1:] != who[:-1])
     heads = np.flatnonzero(head)
-    parity = np.bitwise_xor.reduceat(bit, heads)
+    parity = np.bitwise_xor.reduceat(flips, heads)
+    held = np.diff(np.append(heads, len(piece)))
     last = np.logical_and.reduceat(common, heads).astype(np.uint64) * np.uint64(4)
     piece, who = piece[heads], who[heads]
-    filled = parity != 0  # a piece that cancels out is like an empty one
-    piece, who, parity, last = piece[filled], who[filled], parity[filled], last[filled]
-    last += np.uint64(3) - np.minimum(np.bitwise_count(parity), 3)  # pieces of fewer shingles come later
+    last += np.uint64(3) - np.minimum(held, 3).astype(np.uint64)  # pieces of fewer shingles come later
     b = bands[who].astype(np.uint64)
     key = _mixed(_mixed(parity + b * _ODD[3]) + piece * _ODD[0] + last * _ODD[4])
     order = np.lexsort((key, last, who))
