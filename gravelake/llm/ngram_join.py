@@ -19,8 +19,9 @@ broadcast); the order only decides which pieces are emitted and never loses a li
 Work. Equal sets are joined by their digest and enter once. A piece that exactly two sets share gives a pair.
 One that more share gives a star around its smallest id, and its members are kept. The Hamming distance of
 whole sketches, of one to two bits a shingle, rules most false candidates out. Once the others are verified and
-connected, only pieces whose members still lie in different components are looked at again, and only pairs
-across components are tested. So large groups of copies cost a number of tests in proportion to their size.
+connected, only pieces whose members still lie in different components are looked at again: small ones pair by
+pair across components, large ones in blocks, where an index of shingles compares a set with all others at once and
+only links that join components leave the task. So large groups of copies emit as many rows as they have members.
 Pieces travel as packed blocks; verification reads the shingles of candidates only.
 
 Results at the edges: a text with fewer than five words is one shingle, its whole sequence; null and empty
@@ -43,6 +44,9 @@ SHINGLE = 5
 _FREQUENT = 1 << 18
 _OFTEN = 3
 _BAND = 2
+#: Members of a piece up to which all its pairs across components are tested; larger ones meet in blocks of so many sets.
+_SMALL = 32
+_BLOCK_SETS = 4_096
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _STEP_WORDS = 500_000
@@ -252,6 +256,7 @@ def key_blocks(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
         seen: set[bytes] = set()
         ids: list[int] = []
         sizes: list[int] = []
+        same: list[int] = []
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         held = 0
@@ -263,12 +268,12 @@ def key_blocks(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
             k, o, part = k[order], o[order], part[order].astype(np.int64)
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             rows = []
-            all_ids, all_sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
+            told = np.array([ids, sizes, same], np.int64)
             for a, z in zip(cuts, [*cuts[1:], len(k)], strict=True):
                 own, back = np.unique(o[a:z], return_inverse=True)
                 block = np.empty(z - a, _BLOCK)
                 block["key"], block["set"] = k[a:z], back
-                rows.append((int(part[a]), np.stack([all_ids[own], all_sizes[own]]).tobytes(), block.tobytes()))
+                rows.append((int(part[a]), told[:, own].tobytes(), block.tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["part", "sets", "keys"])
 
         for b, texts in _steps(batches, 1):
@@ -278,6 +283,7 @@ def key_blocks(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
                 if n[i] and d not in seen:
                     seen.add(d)
                     new[i] = True
+                    same.append(int.from_bytes(d[:8], "little", signed=True))
             hashes = hashes[np.repeat(new, n)]
             doc = np.array(b.column(0).to_pylist(), np.int64)[new]
             k, o = sketch_keys(hashes, n[new], shared.value)
@@ -288,7 +294,7 @@ def key_blocks(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
             held += len(k)
             if held > 40 * _BLOCK_ROWS:
                 yield blocks()
-                ids, sizes, keys, owners, held = [], [], [], [], 0
+                ids, sizes, same, keys, owners, held = [], [], [], [], [], 0
         if held:
             yield blocks()
 
@@ -299,16 +305,22 @@ def grouped(blocks: DataFrame, parts: int) -> DataFrame:
     """Candidate pairs (key null) and members of pieces that more than two sets share (partner null)."""
 
     def run(key: tuple, groups: pa.Table) -> pa.Table:
-        ids, sizes, keys = [], [], []
-        for s, k in zip(groups["sets"], groups["keys"], strict=True):
-            block = np.frombuffer(k.as_buffer(), _BLOCK)
-            own = np.frombuffer(s.as_buffer(), np.int64).reshape(2, -1)
-            keys.append(block["key"])
-            ids.append(own[0][block["set"]])
-            sizes.append(own[1][block["set"]].astype(np.int64))
-        k, i, n = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes)
+        sets = [np.frombuffer(s.as_buffer(), np.int64).reshape(3, -1) for s in groups["sets"]]
+        blocks_ = [np.frombuffer(k.as_buffer(), _BLOCK) for k in groups["keys"]]
+        first_of = np.cumsum([0, *(s.shape[1] for s in sets)])
+        ids, sizes, same = np.concatenate(sets, 1)
+        _, back = np.unique(same, return_inverse=True)  # equal sets take their smallest id
+        least = np.full(back.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, back, ids)
+        ids = least[back]
+        k = np.concatenate([b["key"] for b in blocks_])
+        at = np.concatenate([b["set"].astype(np.int64) + a for b, a in zip(blocks_, first_of, strict=False)])
+        i, n = ids[at], sizes[at]
         order = np.lexsort((i, k))
         k, i, n = k[order], i[order], n[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
+        k, i, n = k[new], i[new], n[new]
         first = np.ones(len(k), bool)
         first[1:] = k[1:] != k[:-1]
         heads = np.flatnonzero(first)
@@ -342,11 +354,9 @@ def _bitmap(ids: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their shingles. Only documents in pairs are read as shingles."""
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    n = ids.count()
-    bits = 1 << min(27, max(15, (16 * n).bit_length()))
+def shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and h (shingles) of the documents with the ids (a stored table); of no others are shingles made."""
+    bits = 1 << min(27, max(15, (16 * ids.count()).bit_length()))
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(ids, "id", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +374,12 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], ["id", "h"])
 
     sets = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("p"), "text").mapInArrow(run, "id bigint, h array<bigint>")
-    sets = staged(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    return staged(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by their shingles."""
+    sets = shingle_table(docs, staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     right = pairs.join(sets.withColumnsRenamed({"id": "b", "h": "hb"}), "b")
     both = right.join(sets.withColumnsRenamed({"id": "a", "h": "ha"}), "a")
     shared_n = F.size(F.array_intersect("ha", "hb"))
@@ -403,19 +418,88 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _across(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of members of a piece in different components that involve a component other than the piece's largest."""
+def _unresolved(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """key, id, n, c (component), top (the largest of the key) and size, of pieces whose members are in several components."""
     m = members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).select("key", "id", "n", "c")
-    per = m.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
-    top = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "c")).alias("t")).filter("parts > 1").select("key", F.col("t.c").alias("top"))
-    m = m.join(top, "key")
+    per = m.groupBy("key", "c").agg(F.count(F.lit(1)).alias("own"))
+    top = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("own").alias("size"), F.max(F.struct("own", "c")).alias("t")).filter("parts > 1")
+    return m.join(top.select("key", "size", F.col("t.c").alias("top")), "key")
+
+
+def _across(m: DataFrame) -> DataFrame:
+    """Pairs of members of a small piece in different components."""
     odd = m.filter("c <> top").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     d = odd.join(m, "key").filter("ca <> c AND 4 * least(na, n) >= 3 * greatest(na, n)")
     return d.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
+def joining_links(ids: np.ndarray, comp: np.ndarray, top: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the components of these sets, as far as any do, and no others.
+
+    The sets outside the largest component are compared with all others at once through an index of shingles; a
+    few of the largest component come first, so that most of the rest have joined it before their turn.
+    """
+    n = np.array([len(h) for h in sets], np.int64)
+    flat = np.concatenate(sets)
+    values, code = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(code, kind="stable")
+    by = owner[order]
+    starts = np.searchsorted(code[order], np.arange(len(values) + 1))
+    at = np.cumsum(n) - n
+    label = np.unique(comp, return_inverse=True)[1]
+    main = comp == top
+    out: list[tuple[int, int]] = []
+
+    def expand(u: int) -> None:
+        own = code[at[u] : at[u] + n[u]]
+        lo, size = starts[own], starts[own + 1] - starts[own]
+        take = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        s = np.bincount(by[take], minlength=len(sets))
+        near = np.flatnonzero((100 * s >= 75 * (n[u] + n - s)) & (label != label[u]))
+        for v in near:
+            if label[v] != label[u]:
+                out.append((int(min(ids[u], ids[v])), int(max(ids[u], ids[v]))))
+                old, new = (label[u], label[v]) if main[v] else (label[v], label[u])
+                if main[u] or main[v]:
+                    main[label == old] = True
+                label[label == old] = new
+
+    for u in np.flatnonzero(main)[:: max(1, main.sum() // 16)]:
+        expand(u)
+    for u in range(len(sets)):
+        if not main[u]:
+            expand(u)
+    return out
+
+
+def linked_in_blocks(docs: DataFrame, m: DataFrame) -> DataFrame:
+    """The links (a, b) that join the components of large pieces' members.
+
+    Pieces with common members make a cluster. A cluster's sets are dealt to blocks of a bounded size, and every
+    two blocks of it, or one that is alone, meet in a task of their own.
+    """
+    star = m.groupBy("key").agg(F.min("id").alias("v")).join(m.select("key", "id"), "key").select(F.col("id").alias("a"), F.col("v").alias("b")).distinct()
+    cluster = components(star).withColumnsRenamed({"component": "cluster"})
+    cluster = staged(cluster.unionByName(cluster.select(F.col("cluster").alias("id"), "cluster")).distinct())
+    sized = cluster.join(m.select("id", "c").distinct(), "id")
+    sized = sized.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(_BLOCK_SETS)).cast("int").alias("blocks")).join(sized, "cluster")
+    tops = sized.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("own")).groupBy("cluster").agg(F.max(F.struct("own", "c")).alias("t")).select("cluster", F.col("t.c").alias("top"))
+    sets = shingle_table(docs, staged(cluster.select("id")))
+    d = sized.join(tops, "cluster").join(sets, "id").withColumn("k", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    d = d.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), "id", "c", "top", "h")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        h = t["h"].combine_chunks()
+        flat, ends = h.flatten().to_numpy(), np.cumsum(h.value_lengths().to_numpy())
+        out = joining_links(*(t[c].to_numpy() for c in ("id", "c", "top")), np.split(flat, ends[:-1]))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return d.groupBy("cluster", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def similar_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (verified links of the document's set, copies included) of every document."""
+    """doc_id, n_shingles, component_id, n_links (links of the document's set that were looked at, copies included) of every document."""
     spark = docs.sparkSession
     docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = staged(set_table(docs))
@@ -434,15 +518,21 @@ def similar_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
     def renamed(d: DataFrame, column: str) -> DataFrame:
         return d.join(to_rep.withColumnsRenamed({"id": column, "rep": "__r"}), column, "left").withColumn(column, F.coalesce("__r", column)).drop("__r")
 
-    pairs = got.filter("key IS NULL").select(F.col("id").alias("a"), F.col("partner").alias("b"))
+    pairs = got.filter("key IS NULL").select(F.col("id").alias("a"), F.col("partner").alias("b")).distinct()
     pairs = renamed(renamed(pairs, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = staged(pairs)
     links = staged(verified(docs, staged(close_enough(pairs, sketched))))
     comp = components(links)
     members = renamed(got.filter("key IS NOT NULL").select("key", "id", "n"), "id").distinct()
-    rest = staged(close_enough(_across(staged(members), comp).join(pairs, ["a", "b"], "left_anti"), sketched))
-    if not rest.isEmpty():
-        links = staged(links.unionByName(verified(docs, rest)).distinct())
+    open_ = staged(_unresolved(members, comp))
+    small, large = open_.filter(F.col("size") <= _SMALL), open_.filter(F.col("size") > _SMALL)
+    rest = staged(close_enough(_across(small).join(pairs, ["a", "b"], "left_anti"), sketched))
+    more = [verified(docs, rest)] if not rest.isEmpty() else []
+    more += [linked_in_blocks(docs, large)] if not large.isEmpty() else []
+    if more:
+        for d in more:
+            links = links.unionByName(d)
+        links = staged(links.distinct())
         comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     own = firsts.join(comp.withColumnsRenamed({"id": "rep"}), "rep", "left").join(degree, "rep", "left")
