@@ -17,7 +17,17 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 SHARED_DIR = "spark.checkpoint.dir"
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Batches of texts for Python workers stay small, unless the session says otherwise."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
+    bounded_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

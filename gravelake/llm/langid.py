@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gravelake.llm.common import table
+from gravelake.llm.common import bounded_batches, table
 
 UNKNOWN = "und"
 DOCS = 250
@@ -214,13 +214,14 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 def predict(df: DataFrame, model: Field, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns, `lang_pred` and `score`."""
     at = len(keep)
+    read = list(keep).index(text) if text in keep else at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[str, int] = {}
         scores = np.zeros((0, len(model.languages)), np.float32)
         for b in batches:
             coded: list[np.ndarray] = []
-            for t in b.column(at):
+            for t in b.column(read):
                 ws = words(t.as_py())
                 missing = [w for w in set(ws) if w not in number]
                 if missing:
@@ -247,8 +248,9 @@ def predict(df: DataFrame, model: Field, keep: Sequence[str] = ("doc_id",), text
             if len(number) > _CACHED:
                 number, scores = {}, scores[:0]
 
+    bounded_batches(df.sparkSession)
     schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], "lang_pred string, score double"])
-    return df.select(*keep, F.col(text).alias("__t")).mapInArrow(run, schema)
+    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id"):

@@ -6,7 +6,7 @@ that a later model sees them as wrong as they are on new texts; for new texts th
 on all folds, the chain running front to back.
 
 Features are the words of a text, and their beginnings of four and five letters, lower-cased and counted once
-a text. A feature is used if its log odds between a category and the rest stand out from chance. They are
+a text. A feature is used if its shares of a category and of the rest differ by far more than by chance. They are
 counted, and the models fitted, on a bounded sample of the labelled rows (`ROWS` of each side, by hash);
 predictions read the whole text of every row.
 
@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravelake.llm.common import staged, table
+from gravelake.llm.common import bounded_batches, staged, table
 
 ROWS = 5_000
 FOLDS = 4
 FEATURES = 600
-STAND_OUT = 3.5
+STAND_OUT = 5.0
+SEEN = 4
 THRESHOLD = 0.5
 _WORD = re.compile(r"\w+")
 
@@ -151,13 +152,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key
         return Chain(names, {}, [None] * n)
     stands = []
     for i in range(n):
-        yes, no = (size[f"p{i}"] or 0) + 1.0, size.n - (size[f"p{i}"] or 0) + 1.0
-        odds = F.log((F.col(f"n{i}") + 0.5) / yes) - F.log((F.col("n") - F.col(f"n{i}") + 0.5) / no)
-        stands.append(odds / F.sqrt(1 / (F.col(f"n{i}") + 0.5) + 1 / (F.col("n") - F.col(f"n{i}") + 0.5)))
+        yes, share = float(size[f"p{i}"] or 0), F.col("n") / float(size.n)
+        spread = F.sqrt(share * (1 - share) * (1 / max(yes, 0.5) + 1 / max(size.n - yes, 0.5)))
+        apart = F.col(f"n{i}") / max(yes, 0.5) - (F.col("n") - F.col(f"n{i}")) / max(size.n - yes, 0.5)
+        stands.append(F.coalesce(F.try_divide(apart, spread), F.lit(0.0)))
     chosen: set[str] = set()
     scored = counts.select("f", "n", *[F.abs(x).alias(f"s{i}") for i, x in enumerate(stands)])
     for i in range(n):
-        best = scored.filter((F.col(f"s{i}") >= STAND_OUT) & (F.col("n") >= 4)).orderBy(F.desc(f"s{i}"), "f").limit(FEATURES)
+        best = scored.filter((F.col(f"s{i}") >= STAND_OUT) & (F.col("n") >= SEEN)).orderBy(F.desc(f"s{i}"), "f").limit(FEATURES)
         chosen |= {r.f for r in best.collect()}
     chain = Chain(names, {f: i for i, f in enumerate(sorted(chosen))})
 
@@ -174,14 +176,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key
 def predict(df: DataFrame, chain: Chain, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns and `p_<category>` for each category."""
     at, names = len(keep), [f"p_{c}" for c in chain.categories]
+    read = list(keep).index(text) if text in keep else at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = chain.probabilities([chain.hits(t.as_py()) for t in b.column(at)])
+            p = chain.probabilities([chain.hits(t.as_py()) for t in b.column(read)])
             yield pa.RecordBatch.from_arrays([*b.columns[:at], *[pa.array(p[:, i]) for i in range(len(names))]], [*keep, *names])
 
     schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], *[f"`{c}` double" for c in names]])
-    return df.select(*keep, F.col(text).alias("__t")).mapInArrow(run, schema)
+    bounded_batches(df.sparkSession)
+    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 
 
 def chain_of(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Chain:
