@@ -105,6 +105,17 @@ class Engine:
             raise FileNotFoundError(f"no index of {cfg.name} in {self.path}")
         return out
 
+    def latency(self, collection: str, queries: DataFrame, **how) -> DataFrame:
+        """id and latency_ms of each query searched by itself; queries (id, query) are a list to be timed one by one."""
+        import time
+
+        rows = []
+        for q in queries.select("id", "query").collect():
+            began = time.perf_counter()
+            self.search(collection, [(q.id, q.query)], **how).collect()
+            rows.append((q.id, round((time.perf_counter() - began) * 1000, 1)))
+        return self.spark.createDataFrame(rows, "id string, latency_ms double")
+
     def evaluate(self, cfg: ExperimentConfig, queries: DataFrame, top_k: int = 5, rerank: bool = False, scorer: PairScorer | None = None, fetch: int | None = None) -> tuple[DataFrame, DataFrame]:
         rows = E.hit_rows(self._hits(queries, cfg, top_k, rerank, scorer, fetch), queries)
         return E.hit_summary(rows, cfg.name), rows

@@ -179,6 +179,7 @@ def test_build_resume_and_serve(spark, tree, tmp_path):
     q = spark.createDataFrame([("1", "fox", "game", None, ["hunt"]), ("2", "title", "wiki", None, ["body"])], schemas.EVAL_QUERY)
     summary, rows = e.evaluate(cfg, q)
     assert summary.first().total_queries == 2 and rows.filter("hit5").count() == 2
+    assert e.latency("game", q.limit(1), top_k=1).first().latency_ms > 0
     store.write_results(summary, rows, tmp_path / "r")
     a, b = store.read_results(spark, tmp_path / "r")
     assert b.count() == 2 and evaluate.metric_deltas(a, a).filter("delta <> 0").count() == 0
