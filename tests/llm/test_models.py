@@ -30,7 +30,7 @@ def test_chain_uses_earlier_categories(spark):
     assert all((got[i].p_insult > 0.5) == bool(y) for i, y, _ in labels) and all(r.p_never == 0 for r in got.values())
     threat = [(got[i].p_threat > 0.5) == bool(z) for i, _, z in labels if i % 16]
     assert np.mean(threat) > 0.99
-    edge = toxicity.predict(frame(spark, [(1, None, None, None, None), (2, "", None, None, None), (3, "fool " * 20000, None, None, None)]), chain).orderBy("doc_id").collect()
+    edge = toxicity.predict(frame(spark, [(1, None, None, None, None), (2, "", None, None, None), (3, "idiotic fool " * 20000, None, None, None)]), chain).orderBy("doc_id").collect()
     assert edge[0].p_insult == edge[1].p_insult < 0.5 < edge[2].p_insult
     none = toxicity.train(d, lab.limit(0), {"insult": F.col("insult") == 1})
     assert toxicity.predict(d, none).filter("p_insult > 0").count() == 0 and toxicity.predict(frame(spark, []), chain).count() == 0
