@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from gravelake.llm.common import staged, table
 
@@ -62,29 +63,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        import hashlib
-
-        if len(self) > 500_000:
-            self.clear()
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_hashes = WordHashes()
-
-
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, laid end to end in ascending order, and how many each has."""
     coded = []
     for t in texts:
         ws = t.encode().lower().split() if t else []  # bytes: ASCII letters and ASCII white space only
-        coded.append(np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws)))
+        coded.append(np.fromiter(map(xxh3_64_intdigest, ws), np.uint64, len(ws)))
     n = np.array([len(c) for c in coded], np.int64)
     flat = np.concatenate([*coded, np.zeros(SHINGLE, np.uint64)]) if len(coded) else np.zeros(SHINGLE, np.uint64)
     total = len(flat) - SHINGLE
@@ -95,19 +79,27 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(n)
     owner = np.repeat(np.arange(len(n)), n)
     there = np.arange(total) <= (ends - SHINGLE)[owner] if total else np.zeros(0, bool)
-    hashes, owner = mixed[there], owner[there]
-    for k in np.flatnonzero((n > 0) & (n < SHINGLE)):  # the whole sequence is one shingle
-        h = n[k : k + 1].astype(np.uint64)
-        for i in range(n[k]):
-            h = _mixed(h * _ODD[2] + coded[k][i : i + 1])
-        hashes, owner = np.append(hashes, h), np.append(owner, k)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
+    hashes, size = mixed[there], np.maximum(n - SHINGLE + 1, 0)
+    short = np.flatnonzero((n > 0) & (n < SHINGLE))
+    if len(short):  # the whole sequence is one shingle
+        own = np.zeros(len(short), np.uint64)
+        for j, k in enumerate(short):
+            h = n[k : k + 1].astype(np.uint64)
+            for i in range(n[k]):
+                h = _mixed(h * _ODD[2] + coded[k][i : i + 1])
+            own[j] = h[0]
+        hashes = np.insert(hashes, (np.cumsum(size) - size)[short], own)
+        size[short] = 1
+    at = 0
+    for k in size.tolist():
+        hashes[at : at + k].sort()
+        at += k
     if len(hashes):
+        owner = np.repeat(np.arange(len(n)), size)
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-        hashes, owner = hashes[new], owner[new]
-    return hashes, np.bincount(owner, minlength=len(n)).astype(np.int64)
+        hashes, size = hashes[new], np.bincount(owner[new], minlength=len(n))
+    return hashes, size.astype(np.int64)
 
 
 def _digests(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -221,23 +213,24 @@ def sketch_keys(hashes: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) ->
     who = np.repeat(np.arange(len(entry)), n)
     h = hashes[at]
     common = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h if len(frequent) else np.zeros(len(h), bool)
-    p = pieces_of(bands).astype(np.uint64)
-    piece = (h >> np.uint64(8)) % p[who]
-    order = np.lexsort((piece, who))
-    piece, who, common, flips = piece[order], who[order], common[order], _mixed(h[order])
-    head = np.ones(len(piece), bool)
-    head[1:] = (piece[1:] != piece[:-1]) | (who[1:] != who[:-1])
-    heads = np.flatnonzero(head)
-    parity = np.bitwise_xor.reduceat(flips, heads)
-    held = np.diff(np.append(heads, len(piece)))
-    last = np.logical_and.reduceat(common, heads).astype(np.uint64) * np.uint64(4)
-    piece, who = piece[heads], who[heads]
-    last += np.uint64(3) - np.minimum(held, 3).astype(np.uint64)  # pieces of fewer shingles come later
-    b = bands[who].astype(np.uint64)
-    key = _mixed(_mixed(parity + b * _ODD[3]) + piece * _ODD[0] + last * _ODD[4])
-    order = np.lexsort((key, last, who))
-    key, who = key[order], who[order]
+    p = pieces_of(bands)
+    base = np.cumsum(p) - p
+    slot = base[who] + ((h >> np.uint64(8)) % p.astype(np.uint64)[who]).astype(np.int64)
+    parity = np.zeros(int(p.sum()), np.uint64)
+    np.bitwise_xor.at(parity, slot, _mixed(h))
+    held = np.bincount(slot, minlength=len(parity))
+    frequent_only = np.bincount(slot[common], minlength=len(parity)) == held
+    filled = np.flatnonzero(held)
+    who = np.repeat(np.arange(len(entry)), p)[filled]
+    parity, held, frequent_only, piece = parity[filled], held[filled], frequent_only[filled], filled - base[who]
+    last = np.uint64(4) * frequent_only.astype(np.uint64) + np.uint64(3) - np.minimum(held, 3).astype(np.uint64)  # pieces of fewer shingles come later
+    key = _mixed(_mixed(parity + bands[who].astype(np.uint64) * _ODD[3]) + piece.astype(np.uint64) * _ODD[0])
+    key = (last << np.uint64(61)) | (key >> np.uint64(3))  # in this order
     have = np.bincount(who, minlength=len(entry))
+    at = 0
+    for k in have.tolist():
+        key[at : at + k].sort()
+        at += k
     rank = np.arange(len(key)) - np.repeat(np.cumsum(have) - have, have)
     keep = rank <= reach[who]
     short = np.flatnonzero(have <= reach)  # some of the first pieces are empty: such sets share a key
@@ -263,7 +256,7 @@ def key_blocks(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
 
         def blocks() -> pa.RecordBatch:
             k, o = np.concatenate(keys), np.concatenate(owners)
-            part = (k >> np.uint64(40)) % np.uint64(parts)
+            part = (k & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             k, o, part = k[order], o[order], part[order].astype(np.int64)
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
