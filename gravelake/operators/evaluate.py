@@ -72,7 +72,11 @@ def actionable() -> Column:
     return F.when(wiki, X.text_or_empty("section_title") != "").when(path == "", F.lit(False)).otherwise(script)
 
 
-def feedback_rows(hits: DataFrame, queries: DataFrame, gold: DataFrame, guarded: str = "validate_mod") -> DataFrame:
+#: Fixed value: the symbol that a false-positive guard looks for.
+GUARDED = "validate_mod"
+
+
+def feedback_rows(hits: DataFrame, queries: DataFrame, gold: DataFrame, guarded: str = GUARDED) -> DataFrame:
     """Verdicts of every query; one without a rule is scorable by an empty rule. An absent list differs from an empty one
     only for top1_path_substrings, which then falls back to the acceptable paths."""
     d = queries.select("id", "query").join(gold.drop("note"), "id", "left").join(hits.withColumnRenamed("query_id", "id").drop("query"), "id", "left")
