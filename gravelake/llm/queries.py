@@ -19,4 +19,4 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle(), "op5_url_filters": url_filters.oracle(), "op8_fingerprints": fingerprints.oracle()}
+    return {"op1_sharding": sharding.oracle(), "op3_ngram_join": ngram_join.oracle(), "op5_url_filters": url_filters.oracle(), "op8_fingerprints": fingerprints.oracle()}

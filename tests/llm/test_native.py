@@ -169,7 +169,7 @@ def test_fingerprint_edges(spark):
     assert c == 0.5
 
 
-@pytest.mark.parametrize("name", ["op1_sharding", "op5_url_filters", "op8_fingerprints"])
+@pytest.mark.parametrize("name", ["op1_sharding", "op3_ngram_join", "op5_url_filters", "op8_fingerprints"])
 def test_sql(spark, sf, name):
     import glob
     import os
