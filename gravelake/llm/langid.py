@@ -37,7 +37,7 @@ BUCKETS = 1 << 16
 _WIDTH = 24
 _WORD = re.compile(r"[^\W\d_]+")
 _STEP_WORDS = 200_000
-_CACHED = 300_000
+_CACHED = 150_000
 
 
 def words(text: str | None) -> list[str]:

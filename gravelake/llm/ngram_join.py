@@ -51,7 +51,9 @@ _BLOCK_SETS = 4_096
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _STEP_WORDS = 500_000
-_BLOCK_ROWS = 200_000
+#: Shingles among which a task looks for frequent ones, and keys that it holds before it packs them.
+_WINDOW = 4_000_000
+_BLOCK_ROWS = 2_000_000
 _VIRTUAL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -169,7 +171,7 @@ def set_table(docs: DataFrame) -> DataFrame:
             held.append(hashes)
             none = pa.nulls(len(sizes)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(_digests(hashes, sizes), pa.binary()), pa.array(sketches(hashes, sizes), pa.binary()), none, none], names)
-            if sum(map(len, held)) > 8_000_000:
+            if sum(map(len, held)) > _WINDOW:
                 yield reported()
                 held = []
         if held:
@@ -285,7 +287,7 @@ def key_blocks(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
             ids += doc.tolist()
             sizes += n[new].tolist()
             held += len(k)
-            if held > 40 * _BLOCK_ROWS:
+            if held > _BLOCK_ROWS:
                 yield blocks()
                 ids, sizes, same, keys, owners, held = [], [], [], [], [], 0
         if held:

@@ -35,7 +35,7 @@ from gravelake.llm.common import staged, table
 
 CAPACITY = 2048
 _SALTED = 50_000
-_CACHED = 400_000
+_CACHED = 200_000
 _LONGEST_CACHED = 64
 #: White space besides space, tab, carriage return and line feed, or taken for it by some library.
 _RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
@@ -73,6 +73,11 @@ class Ids(dict):
             self[segment] = ids
         return ids
 
+    def forget(self) -> None:
+        """Workers outlive their tasks; what they remember should not."""
+        self.clear()
+        self.old = {}
+
     def of(self, text: str) -> bytes:
         """A pre-token never goes on from other characters into white space, so texts are cut there."""
         if _RARE_SPACE.search(text):
@@ -132,6 +137,7 @@ def tokenised(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0,
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), *columns], [key, "piece", "start", "length", "ids_crc32"])
+        ids_of.forget()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
 

@@ -27,7 +27,7 @@ from gravelake.llm.common import table
 
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-_CACHED = 400_000
+_CACHED = 300_000
 _LONGEST_CACHED = 64
 
 
@@ -48,6 +48,11 @@ class Recent(dict):
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        """Workers outlive their tasks; what they remember should not."""
+        self.clear()
+        self.old = {}
+
 
 class PrefixTableEncoder:
     def __init__(self, model: str):
@@ -213,6 +218,7 @@ def digests(df: DataFrame, model: str, key: str = "doc_id", text: str = "text")
                 coded.append(hashlib.sha256(ids.encode()).hexdigest())
                 back.append(hashlib.sha256(enc.decode(list(map(int, ids.split(",")))).encode() if ids else b"").hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(back)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.word.forget()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
