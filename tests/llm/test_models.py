@@ -118,7 +118,6 @@ def test_spelling_is_a_distribution():
     m = lm.spelling(k, n, 1)
     # of any context, the chances of all bytes sum to one
     for ctx in (b"", b"a", b"ab", b"zz"):
-        total = sum(10 ** (m.log10([ctx + bytes([x])]) - m.log10([ctx + bytes([x])]))[0, 0] * 0 for x in range(1))
         logs = []
         for x in range(256):
             ks, st = lm.grams_of([ctx + bytes([x])])
@@ -137,7 +136,7 @@ def test_spelling_is_a_distribution():
             else:
                 one /= 256
             logs.append(one)
-        assert np.allclose(np.sum(logs, 0), 1) and total == 0
+        assert np.allclose(np.sum(logs, 0), 1)
 
 
 def test_seating():

@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gravelake.llm import packing, spm
@@ -154,7 +155,7 @@ def test_pipeline_stages(spark, sf):
 def test_clashing_columns(spark, extra):
     from gravelake.llm import langid, ngram_join
 
-    d = frame(spark, corpus(20)).withColumn(extra, __import__("pyspark.sql.functions", fromlist=["lit"]).lit("own"))
+    d = frame(spark, corpus(20)).withColumn(extra, F.lit("own"))
     assert ngram_join.stage(spark, d, "").columns == d.columns
     assert packing.pack(d).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert langid.stage(spark, d, "").columns == d.columns
