@@ -35,20 +35,14 @@ from gravelake.llm.common import staged, table
 
 CAPACITY = 2048
 _SALTED = 50_000
-_CACHED = 200_000
-_LONGEST_CACHED = 64
-#: White space besides space, tab, carriage return and line feed, or taken for it by some library.
-_RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
-_UNEVEN = re.compile("[ \t\r\n][ \t\r\n]|[\t\r]")
-#: A segment for which the tables of all regex libraries agree.
-_PLAIN = re.compile("[ \n]?[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 _PRETOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SEGMENT = re.compile("[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+#: Anything but characters for which the tables of all regex libraries agree.
+_ODD = re.compile("[^ \t\r\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]")
 
 
-class Ids(dict):
-    """Little-endian ids of segments that the tokenizer never joins with their neighbours."""
+class Ids:
+    """A text's ids as little-endian bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,38 +51,15 @@ class Ids(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.quick = _same_ranks(path, self.tokenizer)
-        self.old: dict[str, bytes] = {}
-
-    def fresh(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, segment: str) -> bytes:
-        ids = self.old.get(segment)
-        if ids is None:
-            ids = array("I", self.quick(segment)).tobytes() if self.quick and _PLAIN.fullmatch(segment) else self.fresh(segment)
-        if len(segment) <= _LONGEST_CACHED:
-            if len(self) >= _CACHED // 2:
-                self.old = dict(self)
-                self.clear()
-            self[segment] = ids
-        return ids
-
-    def forget(self) -> None:
-        """Workers outlive their tasks; what they remember should not."""
-        self.clear()
-        self.old = {}
 
     def of(self, text: str) -> bytes:
-        """A pre-token never goes on from other characters into white space, so texts are cut there."""
-        if _RARE_SPACE.search(text):
-            return self.fresh(text)
-        if _UNEVEN.search(text):
-            return b"".join(map(self.__getitem__, _SEGMENT.findall(text)))
-        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"))) if "\0" not in text else self.fresh(text)
+        """Plain texts go through the faster encoder of the same vocabulary, all others through the tokenizer itself."""
+        plain = self.quick and not _ODD.search(text)
+        return array("I", self.quick(text) if plain else self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def _same_ranks(path: str, tokenizer):
-    """A faster encoder of plain segments, built from the tokenizer's own vocabulary; None if it has another kind of vocabulary."""
+    """A faster encoder of plain texts, built from the tokenizer's own vocabulary; None if it has another kind of vocabulary."""
     import json
 
     import tiktoken
@@ -137,7 +108,6 @@ def tokenised(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0,
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), *columns], [key, "piece", "start", "length", "ids_crc32"])
-        ids_of.forget()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
