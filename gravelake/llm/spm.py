@@ -27,7 +27,7 @@ from gravelake.llm.common import table
 
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-_CACHED = 300_000
+_CACHED = 500_000
 _LONGEST_CACHED = 64
 
 
@@ -77,7 +77,8 @@ class PrefixTableEncoder:
         self.full_runs = self.merged(MARK * (3 * self.longest_run)) == [MARK * self.longest_run] * 3
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.word = Recent(lambda w: "," + ",".join(map(str, self.segment(MARK + w))))
+        self.inside = frozenset(p[k : k + 2] for p in self.ids for k in range(len(p) - 1))
+        self.word = Recent(self.fresh_word)
 
     def merged(self, text: str) -> list[str]:
         """Plain merging, best score first, then leftmost; for the short strings of a compatibility test."""
@@ -101,7 +102,7 @@ class PrefixTableEncoder:
     def compatible(self, left: str, right: str) -> bool:
         got = self.pairs.get((left, right))
         if got is None:
-            if len(self.pairs) >= 4 * _CACHED:
+            if len(self.pairs) >= _CACHED:
                 self.pairs.clear()
             got = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return got
@@ -154,6 +155,13 @@ class PrefixTableEncoder:
         full, rest = divmod(run, self.longest_run) if self.full_runs else (0, run)
         return [self.ids[MARK * self.longest_run]] * full + [self.ids[p] for p in self.merged(MARK * rest)] + out
 
+    def fresh_word(self, word: str) -> str:
+        """The ids of a mark and a word, each after a comma. No token spans two characters that no piece holds next to each other."""
+        last = self.ids.get(word[-1:])
+        if last is not None and len(word) > 1 and word[-2:] not in self.inside:
+            return f"{self.word[word[:-1]]},{last}"
+        return "," + ",".join(map(str, self.segment(MARK + word)))
+
     def joined(self, text: str) -> str:
         """The text's decimal ids joined by commas."""
         if not text:
