@@ -175,9 +175,9 @@ SELECT child_id, chunk::INT AS chunk_ord, count(*) AS n_lines, sum(n[i])::BIGINT
     "severity_lines": f"""WITH {_EVENTS} SELECT severity_idx::BIGINT AS severity_idx, severity, 'f' || user_id AS file, '  [' || event_type || '] f' || user_id || CASE WHEN event_id % 4 <> 0 THEN ':' || (event_id % 4) ELSE '' END || ': ' ||
   CASE WHEN event_id % 3 <> 0 THEN 'm' || event_id WHEN event_id % 2 = 0 THEN 'second' ELSE 'r' || event_id END AS report FROM rep WHERE severity_idx >= 3""",
     "json_props": "SELECT event_id, key, json_extract_string(props, '$.\"' || key || '\"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)",
-    "render_answers": f"""WITH {_hits()} SELECT query_id, md5(regexp_replace(rtrim(string_agg('[' || rank || '] score=' || printf('%.2f', score) || '  Game · ' || source || ' · ' || block_name || '  (' || file_path || ')' || chr(10) || 'parent_id: ' || source || chr(10) || text || chr(10), chr(10) ORDER BY rank)), '\\n+$', '')) AS digest FROM hits GROUP BY query_id""",
-    "render_cli": f"WITH {_hits()} SELECT query_id, rank, '  [' || rank || '] score=' || printf('%.4f', score) || '  ' || source || '/' || block_name || '  (' || file_path || ')' AS line FROM hits",
-    "review_blocks": f"""WITH {_hits()} SELECT query_id, rank, md5('### Rank ' || rank || chr(10) || chr(10) || '- score: `' || printf('%.4f', score) || '`' || chr(10) || '- file: `' || file_path || '`' || chr(10) || '- title: `' || block_name || '`' || chr(10) || '- parent_id: `' || source || '`' || chr(10) || chr(10) || '```text' || chr(10) || {_SNIPPET} || chr(10) || '```' || chr(10)) AS digest FROM hits""",
+    "render_answers": f"""WITH {_hits()} SELECT query_id, md5(regexp_replace(rtrim(string_agg('[' || rank || '] score=' || printf('%.2f', round(score::DECIMAL(18, 6), 2)::DOUBLE) || '  Game · ' || source || ' · ' || block_name || '  (' || file_path || ')' || chr(10) || 'parent_id: ' || source || chr(10) || text || chr(10), chr(10) ORDER BY rank)), '\\n+$', '')) AS digest FROM hits GROUP BY query_id""",
+    "render_cli": f"WITH {_hits()} SELECT query_id, rank, '  [' || rank || '] score=' || printf('%.4f', round(score::DECIMAL(18, 6), 4)::DOUBLE) || '  ' || source || '/' || block_name || '  (' || file_path || ')' AS line FROM hits",
+    "review_blocks": f"""WITH {_hits()} SELECT query_id, rank, md5('### Rank ' || rank || chr(10) || chr(10) || '- score: `' || printf('%.4f', round(score::DECIMAL(18, 6), 4)::DOUBLE) || '`' || chr(10) || '- file: `' || file_path || '`' || chr(10) || '- title: `' || block_name || '`' || chr(10) || '- parent_id: `' || source || '`' || chr(10) || chr(10) || '```text' || chr(10) || {_SNIPPET} || chr(10) || '```' || chr(10)) AS digest FROM hits""",
     "snippets": f"WITH {BASE} SELECT child_id, {_SNIPPET} AS snippet FROM d",
     "feedback_matrix": f"WITH {_FEEDBACK}, pc AS (SELECT *, printf('%.0f%%', round_even(top1 * 100, 0)) AS p1, printf('%.0f%%', round_even(top3 * 100, 0)) AS p3, coalesce(printf('%.0f%%', round_even(noise_top5_mean * 100, 0)), '-') AS pn, printf('%.0f%%', round_even(actionability * 100, 0)) AS pa FROM fs) SELECT 'profile_' || c AS config, 'mode_' || m AS mode, '| profile_' || c || ' | mode_' || m || ' | ' || p1 || ' | ' || p3 || ' | ' || pn || ' | ' || pa || ' |' AS line FROM pc, range(8) a(c), range(3) b(m)",
     "actionable_hits": f"WITH {_hits()} SELECT query_id, rank, coalesce(block_name, '') <> '' OR (contains(text, '=') AND contains(text, '{{')) AS actionable FROM hits",
