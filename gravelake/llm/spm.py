@@ -157,9 +157,13 @@ class PrefixTableEncoder:
 
     def fresh_word(self, word: str) -> str:
         """The ids of a mark and a word, each after a comma. No token spans two characters that no piece holds next to each other."""
-        last = self.ids.get(word[-1:])
-        if last is not None and len(word) > 1 and word[-2:] not in self.inside:
-            return f"{self.word[word[:-1]]},{last}"
+        ids, inside, n = self.ids, self.inside, len(word)
+        tail: list[int] = []
+        while n > 1 and word[n - 2 : n] not in inside and (last := ids.get(word[n - 1])) is not None:
+            tail.append(last)
+            n -= 1
+        if tail:
+            return self.word[word[:n]] + "".join([f",{i}" for i in reversed(tail)])
         return "," + ",".join(map(str, self.segment(MARK + word)))
 
     def joined(self, text: str) -> str:

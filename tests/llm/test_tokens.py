@@ -30,6 +30,13 @@ def test_prefix_table_equals_the_library(spark):
         assert enc.decode(ids) == lib.decode(ids)
 
 
+@pytest.mark.parametrize("run", ["0123456789" * 1000, "日" * 10_000, "7" * 10_000 + "日" * 10_000 + "the", "☃" * 10_000])
+def test_long_runs(run):
+    enc = spm.encoder(MODEL)
+    for t in (run, f"a {run} b"):
+        assert enc.encode(t) == enc.sp.encode(t)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("abcdeinrst THE.,\n▁é日☃\t0'"), max_size=60))
 def test_any_text(text):
