@@ -2,7 +2,7 @@
 
 A list's history is a table of dated entries, each adding or removing a host or a URL prefix. Entries become
 validity intervals (an addition holds until the next entry for the same list and value), and an as-of join
-matches each capture's host suffixes and path prefixes with the intervals that hold its time of fetching.
+matches each capture's host suffixes and path prefixes, as deep as the deepest entry, with the intervals that hold its time of fetching.
 Captures are salted, so that a host with most of the captures is spread over many tasks; the far smaller
 intervals are repeated for each salt.
 
@@ -32,12 +32,12 @@ def with_intervals(entries: DataFrame) -> DataFrame:
     return last.withColumn("until", until).filter("action = 'add'").select("list", "value", F.col("since").alias("from"), "until")
 
 
-def match_keys(url: str) -> str:
-    """SQL for the list values that can match a URL: its host, the host's parents of two labels and more, and prefixes of up to three path segments."""
+def match_keys(url: str, deepest: str) -> str:
+    """SQL for the list values that can match a URL: its host, the host's parents of two labels and more, and prefixes of up to `deepest` path segments."""
     host = _HOST.format(u=url)
     path = _PATH.format(u=url)
     suffixes = "transform(sequence(1, greatest(size(l) - 1, 1)), i -> array_join(slice(l, i, size(l)), '.'))"
-    prefixes = "transform(sequence(1, 3), i -> if(size(p) >= i, concat(h, '/', array_join(slice(p, 1, i), '/')), null))"
+    prefixes = f"transform(sequence(1, greatest(least(size(p), {deepest}), 1)), i -> if(size(p) >= i, concat(h, '/', array_join(slice(p, 1, i), '/')), null))"
     segments = f"filter(split({path}, '/'), s -> s <> '')"
     inner = f"transform(array(split(h, '[.]')), l -> transform(array({segments}), p -> array_compact(array_distinct(concat({suffixes}, {prefixes}))))[0])[0]"
     return f"if(coalesce({host}, '') = '', cast(array() AS array<string>), transform(array({host}), h -> {inner})[0])"
@@ -46,7 +46,9 @@ def match_keys(url: str) -> str:
 def url_filter(captures: DataFrame, entries: DataFrame, key: str, url: str, fetched: str, salts: int = SALTS) -> DataFrame:
     """key, host, fetched, blocked, n_entries and the most specific matching entry (longest value, then list) of each capture."""
     c = captures.select(F.col(key), F.expr(_HOST.format(u=f"`{url}`")).alias("host"), F.col(fetched).alias("fetched"), F.col(url).alias("__u"))
-    c = c.withColumn("__row", F.monotonically_increasing_id()).withColumn("__keys", F.expr(match_keys("__u"))).drop("__u")
+    deepest = entries.agg(F.coalesce(F.max(F.size(F.split("value", "/")) - 1), F.lit(0)).alias("__deepest"))  # no prefix of more segments is listed
+    c = c.withColumn("__row", F.monotonically_increasing_id()).crossJoin(F.broadcast(deepest))
+    c = c.withColumn("__keys", F.expr(match_keys("__u", "__deepest"))).drop("__u", "__deepest")
     c = c.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(salts)))
     spans = with_intervals(entries).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     wide = c.withColumn("__key", F.explode_outer("__keys")).drop("__keys")

@@ -80,6 +80,16 @@ def test_url_filter(spark):
     assert url_filters.url_filter(caps, entries.limit(0), "page_id", "u", "t").filter("blocked").count() == 0
 
 
+def test_deep_url_prefixes(spark):
+    from datetime import date
+
+    day, deep = date(2024, 1, 1), "/".join(f"s{k}" for k in range(40))
+    entries = spark.createDataFrame([("l", "ok.org/a/b/c/d", "add", day), ("m", f"ok.org/{deep}", "add", day)], "list string, value string, action string, since date")
+    rows = [(1, "http://ok.org/a/b/c/d/e?x", "ok.org/a/b/c/d"), (2, "http://ok.org/a/b//c/d", "ok.org/a/b/c/d"), (3, "http://ok.org/a/b/c/dd", None), (4, "http://ok.org/a/b/c", None), (5, f"http://ok.org/{deep}/x", f"ok.org/{deep}"), (6, "http://ok.org", None)]
+    caps = spark.createDataFrame([(i, u, day) for i, u, _ in rows], "page_id long, u string, t date")
+    assert {r.page_id: r.entry for r in url_filters.url_filter(caps, entries, "page_id", "u", "t").collect()} == {i: e for i, _, e in rows}
+
+
 # 6: quality
 
 
