@@ -8,8 +8,9 @@ gives each word's label probabilities, whichever language its neighbours speak;
 are their means over its words, and its language is the most probable one.
 
 The model is fitted on a bounded sample: `DOCS` documents of each language, by hash, a window of `WINDOW`
-characters at a hashed place from each. Predictions read every word of every text. Words longer than 24
-letters are described by their first 16 and last 8.
+characters at a hashed place from each; of these windows the field sees `SEQUENCES` sequences. Predictions read
+every letter of every text. A run of more than 24 letters is cut into slices of 12 to 24, each labelled as a word is:
+neighbours overlap so that every bigram and trigram of the run counts once, and only the run's own ends have affixes.
 
 Results at the edges: a null text or one without letters is `und` with score 0; with no labelled document
 everything is `und`; ties go to the first language in order; repeated rows get equal results; an empty table
@@ -33,8 +34,10 @@ from gravelake.llm.common import bounded_batches, table
 UNKNOWN = "und"
 DOCS = 250
 WINDOW = 3_000
+SEQUENCES = 3_000
 BUCKETS = 1 << 16
 _WIDTH = 24
+_SLICE, _START, _STOP = "\0\1\2"
 _WORD = re.compile(r"[^\W\d_]+")
 _STEP_WORDS = 200_000
 _CACHED = 150_000
@@ -42,18 +45,27 @@ _CACHED = 150_000
 
 def words(text: str | None) -> list[str]:
     found = _WORD.findall((text or "").lower())
-    return found if any(any(map(str.isalpha, w)) for w in found) else []
+    if not any(any(map(str.isalpha, w)) for w in found):
+        return []
+    return [s for w in found for s in slices(w)] if any(len(w) > _WIDTH for w in found) else found
+
+
+def slices(word: str) -> list[str]:
+    """A word of up to 24 letters as it is; a longer run in near equal slices, each a mark and the letters with one neighbour or boundary on either side."""
+    if len(word) <= _WIDTH or word[0] == _SLICE:
+        return [word]
+    padded, k = f"{_START}{word}{_STOP}", -(-len(word) // _WIDTH)
+    cuts = [len(word) * j // k for j in range(k + 1)]
+    return [_SLICE + padded[a : z + 2] for a, z in zip(cuts, cuts[1:], strict=False)]
 
 
 def word_features(batch: Sequence[str]) -> np.ndarray:
-    """Bucket numbers of each word's features, one row a word; bucket 0 stands for none."""
-    short = [w if len(w) <= _WIDTH else w[:16] + w[-8:] for w in batch]
-    n = np.array([len(w) for w in short], np.int64)
-    chars = np.zeros((len(short), _WIDTH + 2), np.uint64)
-    chars[:, 1:-1] = np.array(short, f"<U{_WIDTH}").view(np.uint32).reshape(len(short), _WIDTH)
+    """Bucket numbers of the features of each word or slice, one row each; bucket 0 stands for none."""
+    short = [w[1:] if w[:1] == _SLICE else f"{_START}{w}{_STOP}" for x in batch for w in slices(x)]
+    n = np.array([len(w) - 2 for w in short], np.int64)
+    chars = np.array(short, f"<U{_WIDTH + 2}").view(np.uint32).reshape(len(short), _WIDTH + 2).astype(np.uint64)
     rows = np.arange(len(short))
-    chars[:, 0] = 1
-    chars[rows, n + 1] = 2
+    opens, closes = chars[:, 0] == ord(_START), chars[rows, n + 1] == ord(_STOP)
     columns: list[np.ndarray] = []
 
     def put(h: np.ndarray, kind: int, there: np.ndarray) -> None:
@@ -65,20 +77,20 @@ def word_features(batch: Sequence[str]) -> np.ndarray:
     a, b, p = np.uint64(1_000_003), np.uint64(998_244_353), np.uint64(0x100000001B3)
     for i in range(_WIDTH + 1):
         two = chars[:, i] * a + chars[:, i + 1]
-        put(two, 1, n >= i)
+        put(two, 1, (n >= i) if i else opens)  # a slice within a run leaves its first bigram to the one before
         if i < _WIDTH:
             put(two * b + chars[:, i + 2], 2, n > i)
     whole = np.zeros(len(short), np.uint64)
     for i in range(1, _WIDTH + 1):
         whole = np.where(n >= i, whole * p + chars[:, i], whole)
         if i in (2, 3, 4):
-            put(whole, 10 + i, n >= i)  # beginnings
+            put(whole, 10 + i, opens & (n >= i))  # beginnings
     put(whole, 3, n > 0)  # the word itself
     end = np.zeros(len(short), np.uint64)
     for i in range(1, 5):
         end = end * p + chars[rows, np.maximum(n + 1 - i, 0)]
         if i > 1:
-            put(end, 20 + i, n >= i)  # endings
+            put(end, 20 + i, closes & (n >= i))  # endings
     return np.stack(columns, 1)
 
 
@@ -156,7 +168,7 @@ def _sequences(docs: list[tuple[int, list[str]]], rng: np.random.Generator, n: i
     return out
 
 
-def fit(docs: list[tuple[str, str]], sequences: int = 3_000, batch: int = 100, epochs: int = 4, seed: int = 7) -> Field:
+def fit(docs: list[tuple[str, str]], sequences: int = SEQUENCES, batch: int = 100, epochs: int = 4, seed: int = 7) -> Field:
     """docs: language and text."""
     languages = sorted({lang for lang, _ in docs})
     k = len(languages)

@@ -87,6 +87,24 @@ def test_code_switching():
     assert [m.languages[i] for i in p.argmax(1)] == ["xx"] * 3 + ["yy"] * 3 + ["xx"]
 
 
+def test_long_runs_are_read_whole():
+    docs = [("xx", "zorg blag krunt " * 30), ("yy", "aiou ouei iaea " * 30), ("xx", "zorgblagkrunt" * 20), ("yy", "aioououeiiaea" * 20)] * 5
+    m = langid.fit(docs, sequences=200, epochs=3)
+    assert langid.words("ab" * 12) == ["ab" * 12] and len(langid.words("ab" * 13)) == 2
+    ws = langid.words("zorgblagkrunt" * 20 + "aioououeiiaea" * 20 + "zorgblagkrunt" * 20)
+    p, _ = langid.forward_backward(m.emissions(ws), np.array([len(ws)]), m.move)
+    said = "".join(m.languages[i][0] for i in p.argmax(1))
+    assert len(said) == 33 and said.replace("xx", "x").strip("x").strip("y") == "" and said[0] == said[-1] == "x" and 9 <= said.count("y") <= 13
+    run = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(100))
+    parts = langid.words(run)
+    assert "".join(s[2:-1] for s in parts) == run and max(map(len, parts)) <= 27
+    for k in (1, 30, 50, 98):  # every letter counts
+        other = run[:k] + "ß" + run[k + 1 :]
+        assert (langid.word_features(parts) != langid.word_features(langid.words(other))).any()
+    whole = [x for x in langid.word_features(parts).ravel() if x]
+    assert len(whole) == 101 + 100 + len(parts) + 6  # bigrams, trigrams, slices, affixes of the run's own ends
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = langid.op4_language(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").collect()
