@@ -13,8 +13,8 @@ going from longer contexts to shorter ones and back; the first sweeps are droppe
 probabilities of the others are averaged. A dish's first 32 customers are seated one by one, later ones
 together: their number of new tables is a Poisson draw with the summed chances.
 
-Every training token is counted. The spelling model keeps the most frequent byte n-grams, a fixed number, and
-so has a bounded size; the vocabulary is never held in one place. Texts are scored in one pass: the most
+Every training token and every byte n-gram of the vocabulary is counted. Neither the n-grams nor the vocabulary
+are ever held in one place. Texts are scored in one pass: the most
 frequent words (a fixed number) are broadcast, all others travel, packed by part of the vocabulary, to the
 task that holds that part, and only sums come back.
 
@@ -37,17 +37,19 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from gravelake.llm.common import staged, table
 
 CONTEXT = 4
-GRAMS = 1 << 19
 FREQUENT = 1 << 16
 SAMPLES = 3
 BURN_IN = 2
 STRENGTH = 1.0
 _ONE_BY_ONE = 32
+_PART_GRAMS = 400_000
+_LOW = 2
 _PART_WORDS = 300_000
 _PART_TOKENS = 8_000_000
 _STEP_WORDS = 400_000
@@ -123,62 +125,164 @@ class Spelling:
         return np.add.reduceat(np.log10(out), starts)
 
 
+class Seating:
+    """Customers and tables of the restaurants of contexts of `low` to `top` bytes; keys sorted, with the customers of the longest contexts."""
+
+    def __init__(self, keys: np.ndarray, customers: np.ndarray, low: int = 0, top: int = CONTEXT):
+        self.levels = range(top, low - 1, -1)
+        none = np.zeros(0)
+        self.keys, self.up, self.ctx_of, self.ctxs = ([none] * (CONTEXT + 1) for _ in range(4))
+        self.seats, self.tables, self.chance, self.rest = ([none] * (CONTEXT + 1) for _ in range(4))
+        self.low, self.top, self.keys[top], self.seats[top] = low, top, keys, customers.astype(float)
+        for k in self.levels:
+            self.ctxs[k], self.ctx_of[k] = np.unique(self.keys[k] >> 8, return_inverse=True)
+            self.tables[k] = np.minimum(self.seats[k], 1)
+            parents, self.up[k] = np.unique(self.keys[k] & ((1 << (8 * k)) - 1), return_inverse=True)
+            if k > low:
+                self.keys[k - 1], self.seats[k - 1] = parents, np.bincount(self.up[k], self.tables[k], minlength=len(parents))
+            else:
+                self.parents = parents
+
+    def sent(self) -> np.ndarray:
+        """Customers that the shortest contexts send to each of their parents' dishes."""
+        return np.bincount(self.up[self.low], self.tables[self.low], minlength=len(self.parents))
+
+    def few(self, k: int) -> tuple[float, float]:
+        """Dishes with one customer and with two."""
+        return float((self.seats[k] == 1).sum()), float((self.seats[k] == 2).sum())
+
+    def predict(self, parent: np.ndarray | float, drops: list[float]) -> None:
+        """parent: chances of the parents' dishes, or that of every one."""
+        for k in reversed(self.levels):
+            above = self.chance[k - 1][self.up[k]] if k > self.low else parent[self.up[k]] if isinstance(parent, np.ndarray) else np.full(len(self.keys[k]), parent)
+            all_seats = np.bincount(self.ctx_of[k], self.seats[k], minlength=len(self.ctxs[k]))
+            all_tables = np.bincount(self.ctx_of[k], self.tables[k], minlength=len(self.ctxs[k]))
+            self.rest[k] = (STRENGTH + drops[k] * all_tables) / (STRENGTH + all_seats)
+            self.chance[k] = (self.seats[k] - drops[k] * self.tables[k]) / (STRENGTH + all_seats)[self.ctx_of[k]] + self.rest[k][self.ctx_of[k]] * above
+
+    def sweep(self, parent: np.ndarray | float, drops: list[float], rng: np.random.Generator) -> None:
+        """Reseats every dish, given the chances of the last prediction."""
+        for k in self.levels:
+            if k < self.top:
+                self.seats[k] = np.bincount(self.up[k + 1], self.tables[k + 1], minlength=len(self.keys[k]))
+            above = self.chance[k - 1][self.up[k]] if k > self.low else parent[self.up[k]] if isinstance(parent, np.ndarray) else np.full(len(self.keys[k]), parent)
+            all_tables = np.bincount(self.ctx_of[k], self.tables[k], minlength=len(self.ctxs[k]))[self.ctx_of[k]]
+            self.tables[k] = seated(self.seats[k], (STRENGTH + drops[k] * (all_tables - self.tables[k])) * above, drops[k], rng)
+
+
 def spelling(keys: np.ndarray, customers: np.ndarray, seed: int, samples: int = SAMPLES, burn_in: int = BURN_IN) -> Spelling:
-    """Gibbs sampling of the context restaurants; keys sorted, with the customers of the longest contexts."""
+    """Gibbs sampling of the context restaurants in one place; keys sorted, with the customers of the longest contexts."""
     model, rng = Spelling(), np.random.default_rng(seed)
     if not len(keys):
         return model
-    level_keys, up, ctx_of, ctxs = [None] * (CONTEXT + 1), [None] * (CONTEXT + 1), [None] * (CONTEXT + 1), [None] * (CONTEXT + 1)
-    level_keys[CONTEXT] = keys
-    for k in range(CONTEXT, -1, -1):
-        ctxs[k], ctx_of[k] = np.unique(level_keys[k] >> 8, return_inverse=True)
-        if k:
-            level_keys[k - 1], up[k] = np.unique(level_keys[k] & ((1 << (8 * k)) - 1), return_inverse=True)
-    seats: list[np.ndarray] = [np.zeros(0)] * (CONTEXT + 1)  # customers
-    tables: list[np.ndarray] = [np.zeros(0)] * (CONTEXT + 1)
-    seats[CONTEXT] = customers.astype(float)
-    for k in range(CONTEXT, -1, -1):
-        tables[k] = np.minimum(seats[k], 1)
-        if k:
-            seats[k - 1] = np.bincount(up[k], tables[k], minlength=len(level_keys[k - 1]))
-    drops = [discount_of((seats[k] == 1).sum(), (seats[k] == 2).sum()) for k in range(CONTEXT + 1)]
-    chance: list[np.ndarray] = [np.zeros(0)] * (CONTEXT + 1)
-    rest: list[np.ndarray] = [np.zeros(0)] * (CONTEXT + 1)
-
-    def predict() -> None:
-        parent = np.full(len(level_keys[0]), 1 / 256)
-        for k in range(CONTEXT + 1):
-            if k:
-                parent = chance[k - 1][up[k]]
-            all_seats = np.bincount(ctx_of[k], seats[k], minlength=len(ctxs[k]))
-            all_tables = np.bincount(ctx_of[k], tables[k], minlength=len(ctxs[k]))
-            rest[k] = (STRENGTH + drops[k] * all_tables) / (STRENGTH + all_seats)
-            chance[k] = (seats[k] - drops[k] * tables[k]) / (STRENGTH + all_seats)[ctx_of[k]] + rest[k][ctx_of[k]] * parent
-
-    predict()
+    s = Seating(keys, customers)
+    drops = [discount_of(*s.few(k)) for k in range(CONTEXT + 1)]
+    s.predict(1 / 256, drops)
     kept_chance, kept_rest = [[] for _ in range(CONTEXT + 1)], [[] for _ in range(CONTEXT + 1)]
     for sweep in range(burn_in + samples):
-        for k in range(CONTEXT, -1, -1):
-            if k < CONTEXT:
-                seats[k] = np.bincount(up[k + 1], tables[k + 1], minlength=len(level_keys[k]))
-            parent = chance[k - 1][up[k]] if k else np.full(len(level_keys[0]), 1 / 256)
-            all_tables = np.bincount(ctx_of[k], tables[k], minlength=len(ctxs[k]))[ctx_of[k]]
-            tables[k] = seated(seats[k], (STRENGTH + drops[k] * (all_tables - tables[k])) * parent, drops[k], rng)
-        predict()
+        s.sweep(1 / 256, drops, rng)
+        s.predict(1 / 256, drops)
         if sweep >= burn_in:
             for k in range(CONTEXT + 1):
-                kept_chance[k].append(chance[k])
-                kept_rest[k].append(rest[k])
-    model.keys, model.contexts = level_keys, ctxs
+                kept_chance[k].append(s.chance[k])
+                kept_rest[k].append(s.rest[k])
+    model.keys, model.contexts = s.keys, s.ctxs
     model.chance, model.rest = [np.stack(c, 1) for c in kept_chance], [np.stack(r, 1) for r in kept_rest]
     return model
 
 
+_STATE = "part bigint, keys binary, customers binary, tables binary, kept binary, up_k array<bigint>, up_n array<double>, few array<double>"
+
+
+def _state(part: int, s: Seating, kept: bytes) -> list:
+    tables = np.concatenate([s.tables[k] for k in s.levels])
+    return [part, s.keys[CONTEXT].tobytes(), s.seats[CONTEXT].tobytes(), tables.tobytes(), kept, s.parents.tolist(), s.sent().tolist(), [x for k in s.levels for x in s.few(k)]]
+
+
+def _resumed(row: dict) -> Seating:
+    s = Seating(np.frombuffer(row["keys"], np.int64), np.frombuffer(row["customers"]), _LOW)
+    tables, at = np.frombuffer(row["tables"]), 0
+    for k in s.levels:
+        s.tables[k] = tables[at : at + len(s.keys[k])]
+        at += len(s.keys[k])
+        if k > _LOW:
+            s.seats[k - 1] = np.bincount(s.up[k], s.tables[k], minlength=len(s.keys[k - 1]))
+    return s
+
+
+def spelled(grams: DataFrame, seed: int) -> DataFrame:
+    """k and b (log10 of its chance, by sample) of every n-gram of a stored table (k, n): the same Gibbs sampling in parts.
+
+    A part holds whole subtrees of contexts, told by their last two bytes. The restaurants of one byte and of none
+    have at most 2^16 and 2^8 dishes, are seated on the driver, and meet the parts once a sweep.
+    """
+    spark = grams.sparkSession
+    parts = max(8, -(-grams.count() // _PART_GRAMS))
+    schema = to_arrow_schema(_parse_datatype_string(_STATE))
+    dealt = grams.withColumn("part", F.expr(f"pmod(xxhash64(shiftright(k, 8) & {(1 << 8 * _LOW) - 1}), {parts})"))
+
+    def begun(key: tuple, t: pa.Table) -> pa.Table:
+        k, n = t["k"].to_numpy(), t["n"].to_numpy()
+        order = np.argsort(k)
+        row = _state(key[0].as_py(), Seating(k[order], n[order], _LOW), b"")
+        return pa.table([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema)
+
+    state = staged(dealt.groupBy("part").applyInArrow(begun, _STATE))
+
+    def sent() -> tuple[np.ndarray, np.ndarray]:
+        got = state.select(F.explode(F.arrays_zip("up_k", "up_n")).alias("x")).groupBy("x.up_k").agg(F.sum("x.up_n").alias("n")).toArrow()  # at most 2^16 rows
+        k, n = got["up_k"].to_numpy(), got["n"].to_numpy()
+        order = np.argsort(k)
+        return k[order], n[order]
+
+    few = state.agg(*[F.coalesce(F.sum(F.col("few")[i]), F.lit(0.0)) for i in range(2 * (CONTEXT - _LOW + 1))]).first()
+    upper, rng = Seating(*sent(), 0, _LOW - 1), np.random.default_rng(seed)
+    drops = [discount_of(*upper.few(k)) for k in range(_LOW)] + [discount_of(*few[2 * (CONTEXT - k) : 2 * (CONTEXT - k) + 2]) for k in range(_LOW, CONTEXT + 1)]
+    upper.predict(1 / 256, drops)
+
+    def predicted(row: dict, above: tuple[np.ndarray, np.ndarray]) -> tuple[Seating, np.ndarray]:
+        s = _resumed(row)
+        parent = above[1][np.searchsorted(above[0], s.parents)]
+        s.predict(parent, drops)
+        return s, parent
+
+    for sweep in range(BURN_IN + SAMPLES):
+        shared = spark.sparkContext.broadcast((upper.keys[_LOW - 1], upper.chance[_LOW - 1]))
+
+        def moved(batches: Iterator[pa.RecordBatch], shared=shared, sweep=sweep) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    row = b.slice(i, 1).to_pylist()[0]
+                    s, parent = predicted(row, shared.value)
+                    kept = row["kept"] + (s.chance[CONTEXT].tobytes() if sweep > BURN_IN else b"")
+                    s.sweep(parent, drops, np.random.default_rng([seed, sweep, row["part"]]))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(_state(row["part"], s, kept), schema, strict=True)], schema=schema)
+
+        state = staged(state.mapInArrow(moved, _STATE))
+        upper.seats[_LOW - 1] = sent()[1]
+        upper.sweep(1 / 256, drops, rng)
+        upper.predict(1 / 256, drops)
+    last = spark.sparkContext.broadcast((upper.keys[_LOW - 1], upper.chance[_LOW - 1]))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                s, _ = predicted(row, last.value)
+                logs = np.log10(np.stack([*np.frombuffer(row["kept"]).reshape(SAMPLES - 1, -1), s.chance[CONTEXT]], 1))
+                yield pa.RecordBatch.from_arrays([pa.array(s.keys[CONTEXT]), _lists(logs)], ["k", "b"])
+
+    return staged(state.mapInArrow(told, "k bigint, b array<double>"))
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
+
+
 @dataclass
 class WordModel:
     """What a task needs besides its part of the vocabulary."""
 
-    spelling: Spelling
     tokens: int
     words: int
     discount: float
@@ -220,8 +324,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def gram_counts(vocabulary: DataFrame, tables: str) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams and their customers, a word counting as often as it has tables."""
+def gram_counts(vocabulary: DataFrame, tables: str) -> DataFrame:
+    """k and n of every n-gram: a word counts as often as it has tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,27 +335,49 @@ def gram_counts(vocabulary: DataFrame, tables: str) -> tuple[np.ndarray, np.ndar
             unique, back = np.unique(keys, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(np.bincount(back, weight).astype(np.int64))], ["k", "n"])
 
-    grams = vocabulary.select("word", F.expr(tables).cast("double").alias("t")).mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-    got = grams.orderBy(F.desc("n"), "k").limit(GRAMS).toArrow()  # a fixed number of rows
-    keys, n = got["k"].to_numpy(), got["n"].to_numpy()
+    return staged(vocabulary.select("word", F.expr(tables).cast("double").alias("t")).mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")))
+
+
+def bases(vocabulary: DataFrame, grams: DataFrame, chances: DataFrame) -> DataFrame:
+    """word, c and base (log probability of the spelling, by sample): the most frequent n-grams are broadcast, the others are looked up by a join."""
+    top = grams.orderBy(F.desc("n"), "k").limit(FREQUENT).select("k").join(chances, "k").toArrow()  # a fixed number of rows
+    keys = top["k"].to_numpy()
     order = np.argsort(keys)
-    return keys[order], n[order]
+    logs = top["b"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)[order] if len(keys) else np.zeros((0, SAMPLES))
+    shared = vocabulary.sparkSession.sparkContext.broadcast((np.append(keys[order], 1 << 62), np.append(logs, np.zeros((1, SAMPLES)), 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, chance = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            batch = b.column(0).to_pylist()
+            keys, starts = grams_of(batch)
+            at = np.searchsorted(frequent, keys)
+            hit = frequent[at] == keys
+            odd = np.flatnonzero(~hit)
+            base = np.add.reduceat(np.where(hit[:, None], chance[at], 0), starts)
+            who = np.concatenate([np.arange(len(batch)), np.repeat(np.arange(len(batch)), np.diff(np.append(starts, len(keys))))[odd]])
+            none = np.fromiter((-1 - crc32(w) for w in batch), np.int64, len(batch))  # no n-gram's key
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who)), pa.array(np.concatenate([none, keys[odd]])), _lists(np.concatenate([base, np.zeros((len(odd), SAMPLES))]))], ["word", "c", "k", "own"])
+
+    rows = vocabulary.select("word", "c").mapInArrow(run, "word binary, c bigint, k bigint, own array<double>").join(chances, "k", "left")
+    sums = rows.groupBy("word", "c").agg(*[F.sum(F.col("own")[s] + F.coalesce(F.col("b")[s], F.lit(0.0))).alias(f"b{s}") for s in range(SAMPLES)])
+    return sums.select("word", "c", F.array(*[f"b{s}" for s in range(SAMPLES)]).alias("base"))
 
 
-def seat_words(vocabulary: DataFrame, model: Spelling, discount: float, tables: list[float], mass: list[float], seed: int) -> DataFrame:
+def seat_words(based: DataFrame, discount: float, tables: list[float], mass: list[float], seed: int) -> DataFrame:
     """word, c, base (log probability of the spelling) and t (tables), both by sample."""
-    spell = vocabulary.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            batch, c = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
-            base = spell.value.log10(batch)
-            rng = np.random.default_rng([seed, crc32(batch[0]) if batch else 0])
+            first, c = b.column(0)[0].as_py() if b.num_rows else b"", b.column(1).to_numpy(zero_copy_only=False)
+            base = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, SAMPLES)
+            rng = np.random.default_rng([seed, crc32(first)])
             t = np.stack([seated(c, (STRENGTH + discount * (tables[s] - 1)) * 10.0 ** np.maximum(base[:, s], -300) / mass[s], discount, rng) for s in range(SAMPLES)], 1)
-            offsets = pa.array(np.arange(0, SAMPLES * len(batch) + 1, SAMPLES, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(base.ravel())), pa.ListArray.from_arrays(offsets, pa.array(t.ravel()))], ["word", "c", "base", "t"])
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(t)], ["word", "c", "base", "t"])
 
-    return vocabulary.select("word", "c").mapInArrow(run, "word binary, c bigint, base array<double>, t array<double>")
+    return based.select("word", "c", "base").mapInArrow(run, "word binary, c bigint, base array<double>, t array<double>")
 
 
 def train(texts: DataFrame, seed: int = 11) -> tuple[WordModel, DataFrame]:
@@ -259,15 +385,17 @@ def train(texts: DataFrame, seed: int = 11) -> tuple[WordModel, DataFrame]:
     vocabulary = staged(word_counts(texts))
     got = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     discount = discount_of(got.once, got.twice)
-    spell = spelling(*gram_counts(vocabulary, "1"), seed)
+    grams = gram_counts(vocabulary, "1")
+    chances = spelled(grams, seed)
     tables, mass = [float(max(got.v, 1))] * SAMPLES, [1.0] * SAMPLES
     for sweep in range(2):
-        words = staged(seat_words(vocabulary, spell, discount, tables, mass, seed + sweep))
+        words = staged(seat_words(bases(vocabulary, grams, chances), discount, tables, mass, seed + sweep))
         sums = words.agg(*[F.sum(F.col("t")[s]) for s in range(SAMPLES)], *[F.sum(F.pow(F.lit(10.0), F.col("base")[s])) for s in range(SAMPLES)]).first()
         tables, mass = [float(x or 0) for x in sums[:SAMPLES]], [float(x or 1) for x in sums[SAMPLES:]]
         if not sweep:
-            spell = spelling(*gram_counts(words, f"t[{SAMPLES - 1}]"), seed + 1)
-    return WordModel(spell, got.n, got.v, discount, np.array(tables), np.array(mass)), words
+            grams = gram_counts(words, f"t[{SAMPLES - 1}]")
+            chances = spelled(grams, seed + 1)
+    return WordModel(got.n, got.v, discount, np.array(tables), np.array(mass)), words
 
 
 def _numbers(words: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -157,6 +157,33 @@ def test_spelling_is_a_distribution():
         assert np.allclose(np.sum(logs, 0), 1)
 
 
+def test_every_gram_counts(spark):
+    rng = np.random.default_rng(0)
+    letters = rng.integers(97, 123, (150_000, 6)).astype(np.uint8)
+    words = sorted({bytes(x) for x in letters})
+    d = spark.createDataFrame([(" ".join(w.decode() for w in words[i::50]),) for i in range(50)], "text string").repartition(4)
+    got = lm.gram_counts(lm.word_counts(d), "1")
+    keys, _ = lm.grams_of([*words, b""])
+    k, n = np.unique(keys, return_counts=True)
+    assert len(k) > 1 << 19
+    got = got.orderBy("k").toArrow()
+    assert (got["k"].to_numpy() == k).all() and (got["n"].to_numpy() == n).all()
+
+
+def test_parts_of_the_spelling(spark, monkeypatch):
+    monkeypatch.setattr(lm, "_PART_GRAMS", 100)
+    monkeypatch.setattr(lm, "FREQUENT", 50)
+    vocabulary = lm.word_counts(frame(spark, corpus(60)).select("text"))
+    rows = sorted((bytes(r.word), r.c) for r in vocabulary.collect())
+    words = [w for w, _ in rows]
+    grams = lm.gram_counts(vocabulary, "1")
+    k, n = np.unique(lm.grams_of(words)[0], return_counts=True)
+    got = {bytes(r.word): (r.c, r.base) for r in lm.bases(vocabulary, grams, lm.spelled(grams, 3)).collect()}
+    assert [(w, got[w][0]) for w in words] == rows and len(got) == len(rows)
+    parts, plain = np.array([got[w][1] for w in words]).mean(1), lm.spelling(k, n, 3).log10(words).mean(1)
+    assert abs(parts - plain).mean() < 0.1 and np.corrcoef(parts, plain)[0, 1] > 0.99
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 50, 5000] * 200, float)
