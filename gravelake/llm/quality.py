@@ -1,10 +1,11 @@
 """Quality rules: base counts of a text, then a hashed n-gram log-likelihood ratio.
 
 Word unigrams and bigrams of a text fall into a fixed number of hash buckets. Two multinomials over the
-buckets are counted, one over every document of the corpus and one over trusted documents (a bounded sample
-of those labelled good). A text's score is its mean log ratio of the two; it is kept if no base rule fails
+buckets are counted, one over every document of the corpus and one over all trusted documents (those labelled
+good). A text's score is its mean log ratio of the two; it is kept if no base rule fails
 and its score reaches a low quantile of the trusted documents' own scores, so equal texts always get equal
-verdicts. Everything runs as JVM expressions; the only thing that leaves the executors is one number a
+verdicts. Trusted ids meet the documents in a shuffled join; scores are stored once, and the threshold and the
+verdicts are read from them. Everything runs as JVM expressions; the only thing that leaves the executors is one number a
 bucket, and one threshold.
 
 Results at the edges: a null or empty text has no words and fails the base rules; with no trusted document
@@ -19,11 +20,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravelake.llm.common import let, literal_array, table, words_of
+from gravelake.llm.common import let, literal_array, staged, table, words_of
 
 BUCKETS = 10_000
 SMOOTHING = 1.0
-TRUSTED_ROWS = 20_000
 QUANTILE = 0.005
 MIN_WORDS = 10
 
@@ -62,17 +62,15 @@ def base_counts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return d.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words"))
 
 
-def trusted_ids(labels: DataFrame, key: str = "doc_id", rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most `rows` ids labelled good, picked by hash."""
-    good = labels.filter("quality = 1").select(F.col(key).alias("__good")).filter("__good IS NOT NULL").distinct()
-    return good.orderBy(F.xxhash64("__good"), "__good").limit(rows)
+def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """All ids labelled good."""
+    return labels.filter("quality = 1").select(F.col(key).alias("__good")).filter("__good IS NOT NULL").distinct()
 
 
 def bucket_ratios(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> list[float]:
     """Log of trusted over raw probability for each bucket, counted over all rows."""
-    grams = df.select(F.col(key).alias("__k"), F.expr(let(words_of(text), "w", _BUCKETS_OF.format(b=buckets))).alias("__b"))
-    grams = grams.join(F.broadcast(trusted), F.col("__k") == F.col("__good"), "left")
-    grams = grams.select((F.col("__good").isNotNull()).cast("long").alias("good"), F.explode("__b").alias("bucket")).filter("bucket >= 0")
+    told = df.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(trusted.hint("shuffle_hash"), F.col("__k") == F.col("__good"), "left")
+    grams = told.select((F.col("__good").isNotNull()).cast("long").alias("good"), F.explode(F.expr(let(words_of("__t"), "w", _BUCKETS_OF.format(b=buckets)))).alias("bucket")).filter("bucket >= 0")
     raw, good = [0] * buckets, [0] * buckets
     for r in grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("g")).collect():  # one row a bucket
         raw[r.bucket], good[r.bucket] = r.n, r.g
@@ -94,11 +92,12 @@ def quality_filter(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """Id, base counts, `base_failed`, `score` and `kept` for every row."""
     trusted = trusted_ids(labels, key)
     ratios = bucket_ratios(df, trusted, key, text, buckets)
-    own = df.join(F.broadcast(trusted), df[key] == F.col("__good"), "left_semi").select(key, F.expr(words_of(text)).alias("__w"))
-    low = with_score(own.filter("size(__w) > 0"), ratios).agg(F.percentile_approx("score", quantile, 100_000).alias("q")).first().q
+    scored = with_score(base_counts(df, key, text), ratios)
+    scored = staged(scored.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score"))
+    own = scored.filter("n_words > 0").select(key, "score").join(trusted.hint("shuffle_hash"), F.col(key) == F.col("__good"), "left_semi")
+    low = own.agg(F.percentile_approx("score", quantile, 100_000).alias("q")).first().q
     low = -math.inf if low is None else low
-    out = with_score(base_counts(df, key, text), ratios).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(low)))
-    return out.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(low)))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

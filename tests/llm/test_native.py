@@ -134,6 +134,16 @@ def test_log_ratio(spark):
     assert s[0].score == pytest.approx((r[of("a")] + r[of("b")] + r[of("a", "b")]) / 3)
 
 
+def test_every_trusted_document_counts(spark):
+    n = 20_500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")).unionByName(spark.createDataFrame([(n, "b")], "doc_id long, text string"))
+    trusted = quality.trusted_ids(docs.select("doc_id", F.lit(1).alias("quality")).filter(f"doc_id < {n}"))
+    assert trusted.count() == n
+    r = quality.bucket_ratios(docs, trusted, buckets=8)
+    of = {w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(8))).first()[0] for w in "ab"}
+    assert of["a"] != of["b"] and r[of["a"]] == pytest.approx(math.log((n + 1) / (n + 8)) - math.log((n + 1) / (n + 9)))
+
+
 # 8: fingerprints
 
 
