@@ -16,17 +16,18 @@ shingles are all frequent in the corpus come after all others, and empty pieces
 over all documents (each task reports those that it meets often, and the most frequent, a fixed number, are
 broadcast); the order only decides which pieces are emitted and never loses a link.
 
-Work. Equal sets are joined by their digest and enter once. A piece that exactly two sets share gives a pair.
-One that more share gives a star around its smallest id, and its members are kept. The Hamming distance of
-whole sketches, of one to two bits a shingle, rules most false candidates out. Once the others are verified and
-connected, only pieces whose members still lie in different components are looked at again: small ones pair by
-pair across components, large ones in blocks, where an index of shingles compares a set with all others at once and
-only links that join components leave the task. So large groups of copies emit as many rows as they have members.
-Pieces travel as packed blocks; verification reads the shingles of candidates only.
-
-Results at the edges: a text with fewer than five words is one shingle, its whole sequence; null and empty
-texts have no shingles and link with nothing; repeated ids are taken as one document with the union of links;
-rows with a null id are left out; an empty table gives an empty result; other columns are ignored.
+Work. Equal sets, told by a 64-bit number, are collapsed and enter once. A piece that up to 16 sets share gives
+all their pairs; the Hamming distance of whole sketches, of one to two bits a shingle, rules most false candidates
+out, and the shingles of the rest are read. The sets of larger pieces are connected to clusters, and each cluster is compared
+within itself in blocks, where an index of shingles compares a set with all others at once: only the number of
+links of each set leaves the task, and links that join components. So every link is counted, and large groups
+of copies emit as many rows as they have members. Pieces travel as packed blocks.
+
+Results at the edges: every row is a document, and gets a row: repeated rows are copies that link with each other,
+rows of one id with different texts are different documents, and rows without an id count like others but
+give their id to a component only if it has no other (null). A text with fewer than five words is one shingle, its whole
+sequence; null and empty texts have no shingles and link with nothing; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,15 +46,18 @@ SHINGLE = 5
 _FREQUENT = 1 << 18
 _OFTEN = 3
 _BAND = 2
-#: Members of a piece up to which all its pairs across components are tested; larger ones meet in blocks of so many sets.
-_SMALL = 32
-_BLOCK_SETS = 4_096
+#: Sets of a piece up to which all its pairs are candidates; those of larger ones meet in blocks of so many sets or shingles.
+_SMALL = 16
+_BLOCK_SETS = 2_048
+_BLOCK_SHINGLES = 500_000
+_SALTS = 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_STEP_WORDS = 500_000
-#: Shingles among which a task looks for frequent ones, and keys that it holds before it packs them.
-_WINDOW = 4_000_000
-_BLOCK_ROWS = 2_000_000
+_STEP_WORDS = 250_000
+#: Shingles of a window, keys that a task holds before it packs them, and shingles for a part of the keys.
+_WINDOW = 2_000_000
+_BLOCK_ROWS = 1_000_000
+_PART_SHINGLES = 1_200_000
 _VIRTUAL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -104,14 +108,13 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, size.astype(np.int64)
 
 
-def _digests(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    import hashlib
-
+def _digests(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each set, the same for equal sets; 0 for an empty one."""
     out, at = [], 0
-    for n in sizes:
-        out.append(hashlib.blake2b(hashes[at : at + n].tobytes(), digest_size=16).digest() if n else b"")
+    for n in sizes.tolist():
+        out.append(xxh3_64_intdigest(hashes[at : at + n].tobytes(), 11) if n else 0)
         at += n
-    return out
+    return np.array(out, np.uint64).view(np.int64)
 
 
 def sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -154,30 +157,39 @@ def _steps(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest and sketch of every document, and the shingles that a task met often as rows without id."""
+    """docs (doc_id, text, th: a hash of the text) -> did (the set's number), n_shingles, sketch and rows of the sets that
+    a task met, equal ones collapsed in each window of it; empty sets have no did. Shingles that a window met often come as rows without `rows`."""
+    names = ["did", "n_shingles", "sketch", "rows", "often", "times"]
+    row = pa.struct([("no", pa.bool_()), ("id", pa.int64()), ("th", pa.int64())])
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(row), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "digest", "sketch", "often", "times"]
-        held: list[np.ndarray] = []
-
-        def reported() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
+        held: list[tuple] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            did, n = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+            sketch = [x for h in held for x in h[3]]
+            ids, th = (pa.concat_arrays([h[i] for h in held]) for i in (4, 5))
+            unique, first, back, size = np.unique(did, return_index=True, return_inverse=True, return_counts=True)
+            order = pa.array(np.argsort(back, kind="stable"))
+            own = pa.StructArray.from_arrays([ids.is_null().take(order), ids.take(order), th.take(order)], fields=list(row))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), own)
+            none = pa.nulls(len(unique), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(unique, mask=n[first] == 0), pa.array(n[first]), pa.array([sketch[i] for i in first], pa.binary()), lists.cast(kinds[3]), none, none], names)
+            h, c = np.unique(np.concatenate([x[0] for x in held]), return_counts=True)
             h, c = h[c >= _OFTEN], c[c >= _OFTEN]
-            none = pa.nulls(len(h))
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(h), k) for k in kinds[:4]], pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
         for b, texts in _steps(batches, 1):
             hashes, sizes = shingles(texts)
-            held.append(hashes)
-            none = pa.nulls(len(sizes)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(_digests(hashes, sizes), pa.binary()), pa.array(sketches(hashes, sizes), pa.binary()), none, none], names)
-            if sum(map(len, held)) > _WINDOW:
-                yield reported()
+            held.append((hashes, _digests(hashes, sizes), sizes, sketches(hashes, sizes), b.column(0), b.column(2)))
+            if sum(len(h[0]) + len(h[1]) for h in held) > _WINDOW:
+                yield from told()
                 held = []
         if held:
-            yield reported()
+            yield from told()
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sketch binary, often bigint, times bigint")
+    return docs.select("doc_id", "text", "th").mapInArrow(run, "did bigint, n_shingles bigint, sketch binary, rows array<struct<no:boolean,id:bigint,th:bigint>>, often bigint, times bigint")
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
@@ -240,102 +252,135 @@ def sketch_keys(hashes: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) ->
     return keys, np.concatenate([entry[who[keep]], entry[short]])
 
 
-_BLOCK = np.dtype([("key", "<u8"), ("set", "<u4")])
+_ENTRY = np.dtype([("key", "<u8"), ("set", "<u4")])
+_SET = np.dtype([("did", "<i8"), ("n", "<i4"), ("x", "<i4")])
+_PAIR = np.dtype([("a", "<u4"), ("b", "<u4")])
+
+
+def _packed(rows: np.ndarray, dids: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The sets that these numbers name, and the numbers' places among them."""
+    own, back = np.unique(rows, return_inverse=True)
+    sets = np.empty(len(own), _SET)
+    sets["did"], sets["n"], sets["x"] = dids[own], sizes[own], 0
+    return sets.tobytes(), back
 
 
-def key_blocks(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
-    """Packed (key, set) rows by part of the key space, with the ids and sizes of the sets; equal sets enter once a task."""
+def key_blocks(docs: DataFrame, ids: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
+    """Packed (key, set) rows by part of the key space, with the sets' numbers and sizes.
+
+    ids: of documents that hold every set once (a stored table with column id). A key that many sets of a window
+    share leaves the task as edges between them and one of them, which goes on alone and marked: so a key that
+    a great part of all sets has is small where it is grouped.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    wanted, position = _wanted(docs, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        ids: list[int] = []
-        sizes: list[int] = []
-        same: list[int] = []
-        keys: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        held = 0
+        seen: set[int] = set()
+        held: list[tuple] = []
+        n_sets = n_keys = 0
 
         def blocks() -> pa.RecordBatch:
-            k, o = np.concatenate(keys), np.concatenate(owners)
+            k, o = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            dids, sizes = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
             part = (k & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
+            order = np.lexsort((dids[o], k, part))
             k, o, part = k[order], o[order], part[order].astype(np.int64)
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            heads = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            count = np.diff(np.append(heads, len(k)))
+            many = np.repeat(count > _SMALL, count)
+            lead = np.repeat(heads, count)
+            gone = many & (lead != np.arange(len(k)))
+            edge_part, edge = part[gone], np.stack([o[gone], o[lead[gone]]], 1)
+            stay = np.flatnonzero(~gone)
+            marked = many[stay]
+            k, o, part = k[stay], o[stay], part[stay]
             rows = []
-            told = np.array([ids, sizes, same], np.int64)
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
             for a, z in zip(cuts, [*cuts[1:], len(k)], strict=True):
-                own, back = np.unique(o[a:z], return_inverse=True)
-                block = np.empty(z - a, _BLOCK)
-                block["key"], block["set"] = k[a:z], back
-                rows.append((int(part[a]), told[:, own].tobytes(), block.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["part", "sets", "keys"])
-
-        for b, texts in _steps(batches, 1):
+                own = edge[slice(*np.searchsorted(edge_part, [part[a], part[a] + 1]))]
+                sets, back = _packed(np.concatenate([o[a:z], own.ravel()]), dids, sizes)
+                entry = np.empty(z - a, _ENTRY)
+                entry["key"], entry["set"] = k[a:z], back[: z - a]
+                pair = np.empty(len(own), _PAIR)
+                pair["a"], pair["b"] = back[z - a :: 2], back[z - a + 1 :: 2]
+                rows.append((int(part[a]), sets, entry.tobytes(), np.packbits(marked[a:z]).tobytes(), pair.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), *[pa.binary()] * 4))], ["part", "sets", "keys", "marks", "edges"])
+
+        for b, texts in _steps(_kept(batches, wanted.value), 2):
             hashes, n = shingles(texts)
+            did = _digests(hashes, n)
             new = np.zeros(len(n), bool)
-            for i, d in enumerate(_digests(hashes, n)):
+            for i, d in enumerate(did.tolist()):
                 if n[i] and d not in seen:
                     seen.add(d)
                     new[i] = True
-                    same.append(int.from_bytes(d[:8], "little", signed=True))
             hashes = hashes[np.repeat(new, n)]
-            doc = np.array(b.column(0).to_pylist(), np.int64)[new]
             k, o = sketch_keys(hashes, n[new], shared.value)
-            keys.append(k)
-            owners.append(o + len(ids))
-            ids += doc.tolist()
-            sizes += n[new].tolist()
-            held += len(k)
-            if held > _BLOCK_ROWS:
+            held.append((k, o + n_sets, did[new], n[new]))
+            n_sets, n_keys = n_sets + int(new.sum()), n_keys + len(k)
+            if n_keys > _BLOCK_ROWS:
                 yield blocks()
-                ids, sizes, same, keys, owners, held = [], [], [], [], [], 0
-        if held:
+                held, n_sets, n_keys = [], 0, 0
+                seen.clear()
+        if n_keys:
             yield blocks()
 
-    return docs.mapInArrow(run, "part bigint, sets binary, keys binary")
+    return docs.select("doc_id", position, "text").mapInArrow(run, "part bigint, sets binary, keys binary, marks binary, edges binary")
+
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
 
-def grouped(blocks: DataFrame, parts: int) -> DataFrame:
-    """Candidate pairs (key null) and members of pieces that more than two sets share (partner null)."""
+
+def grouped(blocks: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of the sets of small pieces; the sets of a large one as edges (star) with one of them."""
 
     def run(key: tuple, groups: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(s.as_buffer(), np.int64).reshape(3, -1) for s in groups["sets"]]
-        blocks_ = [np.frombuffer(k.as_buffer(), _BLOCK) for k in groups["keys"]]
-        first_of = np.cumsum([0, *(s.shape[1] for s in sets)])
-        ids, sizes, same = np.concatenate(sets, 1)
-        _, back = np.unique(same, return_inverse=True)  # equal sets take their smallest id
-        least = np.full(back.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, back, ids)
-        ids = least[back]
-        k = np.concatenate([b["key"] for b in blocks_])
-        at = np.concatenate([b["set"].astype(np.int64) + a for b, a in zip(blocks_, first_of, strict=False)])
-        i, n = ids[at], sizes[at]
-        order = np.lexsort((i, k))
-        k, i, n = k[order], i[order], n[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
-        k, i, n = k[new], i[new], n[new]
-        first = np.ones(len(k), bool)
-        first[1:] = k[1:] != k[:-1]
-        heads = np.flatnonzero(first)
-        count = np.diff(np.append(heads, len(k)))
-        shared = np.repeat(count > 1, count)
-        rep, rep_n = np.repeat(i[heads], count), np.repeat(n[heads], count)
-        pair = shared & (i != rep) & (4 * np.minimum(n, rep_n) >= 3 * np.maximum(n, rep_n))
-        a, z = rep[pair], i[pair]
-        if len(a):
-            a, z = np.unique(np.stack([a, z]), axis=1)
-        more = np.repeat(count > 2, count)
-        none = np.full(more.sum(), 0)
+        dids, sizes, keys, marks, edges = [], [], [], [], []
+        for s, k, m, e in zip(*(groups[c] for c in ("sets", "keys", "marks", "edges")), strict=True):
+            own, entry, pair = np.frombuffer(s.as_buffer(), _SET), np.frombuffer(k.as_buffer(), _ENTRY), np.frombuffer(e.as_buffer(), _PAIR)
+            keys.append(entry["key"])
+            dids.append(own["did"][entry["set"]])
+            sizes.append(own["n"][entry["set"]])
+            marks.append(np.unpackbits(np.frombuffer(m.as_buffer(), np.uint8), count=len(entry)))
+            edges.append((own["did"][pair["a"]], own["did"][pair["b"]]))
+        star_a, star_b = (np.concatenate([e[i] for e in edges]) for i in (0, 1))
+        k, d, n, m = np.concatenate(keys), np.concatenate(dids), np.concatenate(sizes), np.concatenate(marks)
+        del keys, dids, sizes, marks, edges
+        order = np.lexsort((d, k))
+        k, d, n, m = k[order], d[order], n[order], m[order]
+        heads = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        marked = np.maximum.reduceat(m, heads).astype(bool)
+        new = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
+        count = np.add.reduceat(new.astype(np.int64), heads)
+        large = np.repeat(marked | (count > _SMALL), count)
+        k, d, n = k[new], d[new], n[new]
+        heads = np.cumsum(count) - count
+        star_a, star_b = np.concatenate([star_a, d[large]]), np.concatenate([star_b, np.repeat(d[heads], count)[large]])
+        star_a, star_b = _distinct(*(x[star_a != star_b] for x in (star_a, star_b)))
+        some = ~large & np.repeat(count > 1, count)
+        k, d, n = k[some], d[some], n[some]
+        found = []
+        for ahead in range(1, _SMALL):
+            at = np.flatnonzero(k[ahead:] == k[:-ahead]) if len(k) > ahead else []
+            if not len(at):
+                break
+            at = at[4 * np.minimum(n[at], n[at + ahead]).astype(np.int64) >= 3 * np.maximum(n[at], n[at + ahead])]
+            found.append(_distinct(d[at], d[at + ahead]))
+        a, b = _distinct(*(np.concatenate([f[i] for f in found]) for i in (0, 1))) if found else (star_a[:0], star_b[:0])
         return pa.table({
-            "id": pa.array(np.concatenate([a, i[more]])),
-            "partner": pa.array(np.concatenate([z, none]), mask=np.concatenate([np.zeros(len(a), bool), np.ones(len(none), bool)])),
-            "key": pa.array(np.concatenate([np.zeros(len(a), np.int64), k[more].view(np.int64)]), mask=np.concatenate([np.ones(len(a), bool), np.zeros(len(none), bool)])),
-            "n": pa.array(np.concatenate([np.zeros(len(a), np.int64), n[more]])),
+            "a": pa.array(np.concatenate([a, star_a])),
+            "b": pa.array(np.concatenate([b, star_b])),
+            "star": pa.array(np.arange(len(a) + len(star_a)) >= len(a)),
         })
 
-    return blocks.groupBy("part").applyInArrow(run, "id bigint, partner bigint, key bigint, n bigint")
+    return blocks.groupBy("part").applyInArrow(run, "a bigint, b bigint, star boolean")
 
 
 def _bitmap(ids: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -349,42 +394,48 @@ def _bitmap(ids: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
-def shingle_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and h (shingles) of the documents with the ids (a stored table); of no others are shingles made."""
+def _wanted(docs: DataFrame, ids: DataFrame):
+    """A broadcast bitmap of a fixed greatest size that holds these ids (column id), and the column with a document's place in it."""
     bits = 1 << min(27, max(15, (16 * ids.count()).bit_length()))
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(ids, "id", bits))
+    return shared, F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("p")
+
+
+def _kept(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows whose place (the second column) is set: all the wanted ones, and a few more."""
+    for b in batches:
+        h = b.column(1).to_numpy().astype(np.int64)
+        got = b.filter(pa.array((bitmap[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
+        if got.num_rows:
+            yield got
+
+
+def shingle_table(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """did and h (shingles) of the sets (a stored table: did, and id of a document that holds it)."""
+    wanted, position = _wanted(docs, sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def wanted() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                h = b.column(1).to_numpy().astype(np.int64)
-                there = shared.value[(h >> 3)] >> (h & 7).astype(np.uint8) & 1
-                got = b.filter(pa.array(there.astype(bool)))
-                if got.num_rows:
-                    yield got
-
-        for b, texts in _steps(wanted(), 2):
+        for _, texts in _steps(_kept(batches, wanted.value), 2):
             hashes, sizes = shingles(texts)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], ["id", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(_digests(hashes, sizes)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], ["did", "h"])
 
-    sets = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("p"), "text").mapInArrow(run, "id bigint, h array<bigint>")
-    return staged(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    found = docs.select("doc_id", position, "text").mapInArrow(run, "did bigint, h array<bigint>")
+    return staged(found.join(sets, "did", "left_semi").dropDuplicates(["did"]))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their shingles."""
-    sets = shingle_table(docs, staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-    right = pairs.join(sets.withColumnsRenamed({"id": "b", "h": "hb"}), "b")
-    both = right.join(sets.withColumnsRenamed({"id": "a", "h": "ha"}), "a")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by their shingles (did, h)."""
+    right = pairs.join(sets.withColumnsRenamed({"did": "b", "h": "hb"}), "b")
+    both = right.join(sets.withColumnsRenamed({"did": "a", "h": "ha"}), "a")
     shared_n = F.size(F.array_intersect("ha", "hb"))
     return both.withColumn("s", shared_n).filter(100 * F.col("s") >= 75 * (F.size("ha") + F.size("hb") - F.col("s"))).select("a", "b")
 
 
 def close_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches (rep, n_shingles, sketch) do not rule a link out."""
-    own = lambda x: sets.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(own("a"), "a").join(own("b"), "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    """The pairs (a, b) whose sketches (did, n_shingles, sketch) do not rule a link out."""
+    own = lambda x: sets.select(F.col("did").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -413,132 +464,144 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _unresolved(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """key, id, n, c (component), top (the largest of the key) and size, of pieces whose members are in several components."""
-    m = members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).select("key", "id", "n", "c")
-    per = m.groupBy("key", "c").agg(F.count(F.lit(1)).alias("own"))
-    top = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("own").alias("size"), F.max(F.struct("own", "c")).alias("t")).filter("parts > 1")
-    return m.join(top.select("key", "size", F.col("t.c").alias("top")), "key")
-
-
-def _across(m: DataFrame) -> DataFrame:
-    """Pairs of members of a small piece in different components."""
-    odd = m.filter("c <> top").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    d = odd.join(m, "key").filter("ca <> c AND 4 * least(na, n) >= 3 * greatest(na, n)")
-    return d.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-
+def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, weights: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Sets of ascending shingles, numbered left before right: the summed weights of the sets that each links with (left
+    with right, or all with each other where right is None), and a forest of links that joins what they join.
 
-def joining_links(ids: np.ndarray, comp: np.ndarray, top: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join the components of these sets, as far as any do, and no others.
-
-    The sets outside the largest component are compared with all others at once through an index of shingles; a
-    few of the largest component come first, so that most of the rest have joined it before their turn.
+    An index of shingles compares a set with all others at once. A shingle that most sets hold is indexed by the
+    sets that lack it, so that near copies cost as much as they differ.
     """
+    sets = left if right is None else left + right
+    base = 0 if right is None else len(left)
     n = np.array([len(h) for h in sets], np.int64)
-    flat = np.concatenate(sets)
-    values, code = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), n)
-    order = np.argsort(code, kind="stable")
-    by = owner[order]
-    starts = np.searchsorted(code[order], np.arange(len(values) + 1))
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.cumsum(n) - n
-    label = np.unique(comp, return_inverse=True)[1]
-    main = comp == top
-    out: list[tuple[int, int]] = []
-
-    def expand(u: int) -> None:
+    m = len(sets) - base
+    right_code = code[at[base] :]
+    owner = np.repeat(np.arange(m), n[base:])
+    held = np.bincount(right_code, minlength=len(values))
+    dense = held > m // 2
+    number = np.cumsum(dense) - 1
+    present = np.zeros((int(dense.sum()), m), bool)
+    in_dense = dense[right_code]
+    present[number[right_code[in_dense]], owner[in_dense]] = True
+    dense_of = present.sum(0)
+    lack_row, lacking = np.nonzero(~present)
+    lack_at = np.searchsorted(lack_row, np.arange(len(present) + 1))
+    del present, lack_row
+    rest = np.flatnonzero(~in_dense)
+    rest = rest[np.argsort(right_code[rest], kind="stable")]
+    holders = owner[rest]
+    hold_at = np.searchsorted(right_code[rest], np.arange(len(values) + 1))
+    all_dense = np.ones(len(lack_at) - 1, bool)
+    degree, parent, out = np.zeros(len(sets), np.int64), np.arange(len(sets)), []
+
+    def taken(items: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        lo, size = starts[rows], starts[rows + 1] - starts[rows]
+        return items[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+    for u in range(len(left)):
         own = code[at[u] : at[u] + n[u]]
-        lo, size = starts[own], starts[own + 1] - starts[own]
-        take = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        s = np.bincount(by[take], minlength=len(sets))
-        near = np.flatnonzero((100 * s >= 75 * (n[u] + n - s)) & (label != label[u]))
-        for v in near:
-            if label[v] != label[u]:
-                out.append((int(min(ids[u], ids[v])), int(max(ids[u], ids[v]))))
-                old, new = (label[u], label[v]) if main[v] else (label[v], label[u])
-                if main[u] or main[v]:
-                    main[label == old] = True
-                label[label == old] = new
-
-    for u in np.flatnonzero(main)[:: max(1, main.sum() // 16)]:
-        expand(u)
-    for u in range(len(sets)):
-        if not main[u]:
-            expand(u)
-    return out
-
-
-def linked_in_blocks(docs: DataFrame, m: DataFrame) -> DataFrame:
-    """The links (a, b) that join the components of large pieces' members.
-
-    Pieces with common members make a cluster. A cluster's sets are dealt to blocks of a bounded size, and every
-    two blocks of it, or one that is alone, meet in a task of their own.
+        mine = dense[own]
+        missing = all_dense.copy()
+        missing[number[own[mine]]] = False
+        missing = np.flatnonzero(missing)
+        s = np.bincount(taken(holders, hold_at, own[~mine]), minlength=m) + dense_of - len(missing) + np.bincount(taken(lacking, lack_at, missing), minlength=m)
+        near = np.flatnonzero(100 * s >= 75 * (n[u] + n[base:] - s)) + base
+        if right is None:
+            near = near[near > u]
+        degree[u] += weights[near].sum()
+        degree[near] += weights[u]
+        odd = near[parent[near] != parent[u]]
+        while len(odd):
+            v = int(odd[0])
+            out.append((u, v))
+            parent[parent == parent[v]] = parent[u]
+            odd = odd[parent[odd] != parent[u]]
+    return degree, out
+
+
+def linked_in_blocks(cluster: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among all sets of each cluster (did, cluster): a, b of links that join them, and a, n: how many
+    documents the links of a set lead to.
+
+    A cluster's sets are dealt to blocks of a bounded number of sets and shingles, and every two blocks, or one that
+    is alone, meet in a task of their own.
     """
-    star = m.groupBy("key").agg(F.min("id").alias("v")).join(m.select("key", "id"), "key").select(F.col("id").alias("a"), F.col("v").alias("b")).distinct()
-    cluster = components(star).withColumnsRenamed({"component": "cluster"})
-    cluster = staged(cluster.unionByName(cluster.select(F.col("cluster").alias("id"), "cluster")).distinct())
-    sized = cluster.join(m.select("id", "c").distinct(), "id")
-    sized = sized.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(_BLOCK_SETS)).cast("int").alias("blocks")).join(sized, "cluster")
-    tops = sized.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("own")).groupBy("cluster").agg(F.max(F.struct("own", "c")).alias("t")).select("cluster", F.col("t.c").alias("top"))
-    sets = shingle_table(docs, staged(cluster.select("id")))
-    d = sized.join(tops, "cluster").join(sets, "id").withColumn("k", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    d = d.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), "id", "c", "top", "h")
+    sized = cluster.join(reps.select("did", "copies", "n"), "did")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(_BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(_BLOCK_SHINGLES))).cast("int")
+    several = sized.groupBy("cluster").agg(blocks.alias("blocks")).filter("blocks > 1")  # of at least so many sets or shingles each
+    d = sized.join(F.broadcast(several), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(sets, "did")
+    d = d.withColumn("k", F.pmod(F.xxhash64("did"), "blocks").cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("cluster", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), "k", "did", "copies", "h")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        h = t["h"].combine_chunks()
-        flat, ends = h.flatten().to_numpy(), np.cumsum(h.value_lengths().to_numpy())
-        out = joining_links(*(t[c].to_numpy() for c in ("id", "c", "top")), np.split(flat, ends[:-1]))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+        i, j = key[1].as_py(), key[2].as_py()
+        t = t.combine_chunks()
+        order = np.argsort(t["k"].to_numpy(), kind="stable")
+        k, did, copies = (t[c].to_numpy()[order] for c in ("k", "did", "copies"))
+        h = [t["h"][x].values.to_numpy() for x in order.tolist()]
+        cut = int((k == i).sum())
+        if i != j and not 0 < cut < len(h):
+            return pa.table({"a": pa.nulls(0, pa.int64()), "b": pa.nulls(0, pa.int64()), "n": pa.nulls(0, pa.int64())})
+        degree, links = block_links(h, None, copies) if i == j else block_links(h[:cut], h[cut:], copies)
+        some = np.flatnonzero(degree)
+        a, b = (did[np.array([x[c] for x in links], np.int64)] for c in (0, 1))
+        return pa.table({
+            "a": pa.array(np.concatenate([did[some], a])),
+            "b": pa.array(np.concatenate([did[some], b]), mask=np.arange(len(some) + len(a)) < len(some)),
+            "n": pa.array(np.concatenate([degree[some], np.zeros(len(a), np.int64)])),
+        })
 
-    return d.groupBy("cluster", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+    return d.groupBy("cluster", "i", "j").applyInArrow(run, "a bigint, b bigint, n bigint")
 
 
-def similar_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (links of the document's set that were looked at, copies included) of every document."""
-    spark = docs.sparkSession
-    docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def similar_sets(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sets (did, n_shingles, rows of documents, each set once a window), and of every set that is not empty: did, head (the
+    first row of its component: an id before none, then the smallest) and n_links."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     found = staged(set_table(docs))
     frequent = found.filter("often IS NOT NULL").groupBy("often").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "often").limit(_FREQUENT).select("often").collect()
     frequent = np.sort(np.array([r.often for r in frequent], np.int64).view(np.uint64))
-    sets = found.filter("doc_id IS NOT NULL").select("doc_id", "n_shingles", "digest", "sketch")
-    total = sets.agg(F.sum("n_shingles").alias("n")).first().n or 0
-    parts = parts or max(8, -(-total // 2_000_000))
-    reps = sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    firsts = staged(sets.filter("n_shingles > 0").join(reps, "digest").select("doc_id", "rep", "copies", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")))
-    sketched = firsts.filter("sketch IS NOT NULL").select("rep", "n_shingles", "sketch").dropDuplicates(["rep"])
-    firsts = firsts.select("doc_id", "rep", "copies")
-    got = staged(grouped(key_blocks(docs, frequent, parts), parts))
-    to_rep = firsts.filter("doc_id <> rep").select(F.col("doc_id").alias("id"), "rep")
-
-    def renamed(d: DataFrame, column: str) -> DataFrame:
-        return d.join(to_rep.withColumnsRenamed({"id": column, "rep": "__r"}), column, "left").withColumn(column, F.coalesce("__r", column)).drop("__r")
-
-    pairs = got.filter("key IS NULL").select(F.col("id").alias("a"), F.col("partner").alias("b")).distinct()
-    pairs = renamed(renamed(pairs, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = staged(pairs)
-    links = staged(verified(docs, staged(close_enough(pairs, sketched))))
-    comp = components(links)
-    members = renamed(got.filter("key IS NOT NULL").select("key", "id", "n"), "id").distinct()
-    open_ = staged(_unresolved(members, comp))
-    small, large = open_.filter(F.col("size") <= _SMALL), open_.filter(F.col("size") > _SMALL)
-    rest = staged(close_enough(_across(small).join(pairs, ["a", "b"], "left_anti"), sketched))
-    more = [verified(docs, rest)] if not rest.isEmpty() else []
-    more += [linked_in_blocks(docs, large)] if not large.isEmpty() else []
-    if more:
-        for d in more:
-            links = links.unionByName(d)
-        links = staged(links.distinct())
-        comp = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    own = firsts.join(comp.withColumnsRenamed({"id": "rep"}), "rep", "left").join(degree, "rep", "left")
-    own = own.select("doc_id", F.coalesce("component", "rep").alias("c"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("l"))
-    own = own.groupBy("doc_id").agg(F.min("c").alias("c"), F.max("l").alias("l"))
-    out = sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(own, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), F.coalesce("l", F.lit(0)).cast("long").alias("n_links"))
+    sets = found.filter("rows IS NOT NULL").select("did", "n_shingles", "rows")
+    reps = sets.filter("did IS NOT NULL").groupBy("did").agg(F.min(F.array_min("rows")).alias("rep"), F.sum(F.size("rows")).alias("copies"), F.max("n_shingles").alias("n"))
+    reps = staged(reps.withColumn("id", F.col("rep.id")))
+    total = reps.agg(F.sum("n").alias("n")).first().n or 0
+    parts = parts or max(8, -(-total // _PART_SHINGLES))
+    got = staged(grouped(key_blocks(docs, reps, frequent, parts)))
+    pairs = staged(got.filter("NOT star").select("a", "b").distinct())
+    star = got.filter("star").select("a", "b").distinct()
+    cluster = components(star).withColumnsRenamed({"id": "did", "component": "cluster"})
+    cluster = staged(cluster.unionByName(cluster.select(F.col("cluster").alias("did"), "cluster").distinct()))
+    at = lambda x: cluster.select(F.col("did").alias(x), F.col("cluster").alias(f"c{x}"))
+    apart = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter("NOT coalesce(ca = cb, false)").select("a", "b")
+    close = staged(close_enough(apart, found.filter("did IS NOT NULL").select("did", "n_shingles", "sketch").dropDuplicates(["did"])))
+    asked = close.select(F.explode(F.array("a", "b")).alias("did")).unionByName(cluster.select("did")).distinct()
+    shingled = shingle_table(docs, staged(asked.join(reps.select("did", "id"), "did")))
+    links = staged(verified(close, shingled))
+    inside = staged(linked_in_blocks(cluster, reps, shingled))
+    comp = components(links.unionByName(inside.filter("b IS NOT NULL").select("a", "b")))
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(reps.select(F.col("did").alias("b"), F.col("copies").alias("n")), "b")
+    degree = ends.select("a", "n").unionByName(inside.filter("b IS NULL").select("a", "n")).groupBy(F.col("a").alias("did")).agg(F.sum("n").alias("links"))
+    own = reps.join(comp.withColumnsRenamed({"id": "did"}), "did", "left").join(degree, "did", "left")
+    own = own.select("did", F.coalesce("component", "did").alias("c"), "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    own = staged(own.withColumn("salt", F.pmod(F.xxhash64("did"), F.lit(_SALTS)).cast("int")))
+    heads = own.groupBy("c").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    heads = heads.select("c", "head", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    own = own.join(heads, ["c", "salt"], "left").select("did", F.coalesce("head", "rep").alias("head"), "n_links")
+    return sets, own
+
+
+def similar_components(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (the rows that the row links with) of every row."""
+    sets, own = similar_sets(docs, parts)
+    filled = sets.join(own, "did").select(F.explode("rows.id").alias("doc_id"), "n_shingles", F.col("head.id").alias("component_id"), "n_links")
+    empty = sets.filter("did IS NULL").select(F.explode("rows.id").alias("doc_id"), "n_shingles")
+    return filled.unionByName(empty.withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long")))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(table(spark, sf_dir, "documents")).drop("n_links")
+    return similar_components(table(spark, sf_dir, "documents"))
 
 
 def oracle() -> str:
@@ -555,7 +618,9 @@ SELECT n.doc_id, n_shingles, component_id FROM n JOIN (SELECT d, min(root) AS co
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component, once; rows without an id stay."""
-    groups = similar_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__id"))
-    kept = docs.join(groups, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    """The first row of each component, once; every text without a word stays."""
+    heads = similar_sets(docs)[1].select(F.col("head.id").alias("__id"), F.col("head.th").alias("__th")).distinct()
+    wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    named = docs.filter(~wordless).withColumn("__of", F.xxhash64("text"))
+    kept = named.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__th")), "left_semi").dropDuplicates(["doc_id", "__of"])
+    return kept.select(*docs.columns).unionByName(docs.filter(wordless))
