@@ -42,8 +42,17 @@ def test_long_runs(run):
 def test_any_text(text):
     enc = spm.encoder(MODEL)
     assert enc.encode(text) == enc.sp.encode(text)
+
+
+UNTOUCHED = Tokenizer.from_file(BYTES)
+PARTS = ["<|endoftext|>", "<|endoftext", "|>", "a", "the ", " The", "N't", "'ll", "'", " ", "  ", "\n", "\r\n", "\t", "12", " 345", "!?", "...", "é", "ÀÖ", "ſ", "ß", "×", "日", "☃", "\u00a0", "\u2028", "\x1c", "²", "_", "x" * 30]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(PARTS), st.text(max_size=4), st.text(st.sampled_from("abcdeinrst THE.,\n▁é日☃\t0'"), max_size=20)), max_size=30).map("".join))
+def test_byte_ids_of_any_text(text):
     t = packing.tokenizer_ids(BYTES)
-    assert np.frombuffer(t.of(text), "<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(t.of(text), "<u4").tolist() == UNTOUCHED.encode(text, add_special_tokens=False).ids
 
 
 def test_encoding_query(spark, tmp_path):
@@ -68,7 +77,6 @@ def test_recent_forgets():
 def test_byte_ids_equal_the_library():
     t = packing.tokenizer_ids(BYTES)
     lib = Tokenizer.from_file(BYTES)
-    lib.encode_special_tokens = True
     for x in [*ODD, *[r[1] or "" for r in corpus(60)]]:
         assert np.frombuffer(t.of(x), "<u4").tolist() == lib.encode(x, add_special_tokens=False).ids, x[:50]
     assert t.quick is not None
@@ -78,30 +86,56 @@ def test_cut():
     assert packing.cut(5, 2) == [(0, 1), (1, 2), (3, 2)] and packing.cut(4, 2) == [(0, 2), (2, 2)] and packing.cut(1, 2) == [(0, 1)]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 64), max_size=200))
-def test_best_fit(lengths):
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    plan = packing.best_fit(counts, 64)
+def bins_of(plan):
     bins = defaultdict(list)
     for n, rank, k, first, each, at in plan:
         for j in range(k):
             bins[first + j // each].append((at + j % each * n, n))
-    assert sorted(n for b in bins.values() for _, n in b) == sorted(lengths)
+    return bins
+
+
+def gapless(bins, capacity):
     for b in bins.values():
         end = 0
         for at, n in sorted(b):
             assert at == end
             end += n
-        assert end <= 64
-    plain: list[int] = []  # best fit, longest first, one by one
+        assert end <= capacity
+
+
+def plain_best_fit(lengths, capacity):
+    plain: list[int] = []  # longest first, one by one
     for n in sorted(lengths, reverse=True):
         fit = [i for i, free in enumerate(plain) if free >= n]
         if fit:
             plain[min(fit, key=lambda i: plain[i])] -= n
         else:
-            plain.append(64 - n)
-    assert len(bins) == len(plain)
+            plain.append(capacity - n)
+    return len(plain)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=40), st.lists(st.integers(1, 30), max_size=40))
+def test_sweep(pieces, gaps):
+    rows = [(packing.PIECE, n, 10 * i, 1 + i % 3, 0, 0, 0) for i, n in enumerate(pieces)] + [(packing.GAP, n, 10 * i, 1 + i % 4, 5, 0, 0) for i, n in enumerate(gaps)]
+    out = packing.sweep(rows)
+    n_of = lambda rs, kind: sum(r[3] for r in rs if r[0] == kind)
+    assert n_of(out, packing.PIECE) + n_of(out, packing.PAIR) == n_of(rows, packing.PIECE)
+    left = [r[1] for r in out if r[0] == packing.PIECE]
+    assert all(not left or r[1] < min(left) for r in out if r[0] == packing.GAP)  # no gap is left that a piece fits
+    room = {g: 10 * i for i, g in enumerate(gaps)}
+    assert all(r[1] * r[5] <= max(gaps) and r[3] % r[5] == 0 for r in out if r[0] == packing.PAIR) and (room or not n_of(out, packing.PAIR))
+
+
+@pytest.mark.parametrize("case", range(6))
+def test_best_fit(spark, case):
+    rng = random.Random(case)
+    lengths = [[], [64] * 9, [1] * 300, [rng.randint(1, 64) for _ in range(300)], [rng.choice([30, 33, 21, 5, 2]) for _ in range(400)], [rng.randint(1, 9) for _ in range(200)]][case]
+    plan = [tuple(r) for r in packing.best_fit(spark, {n: lengths.count(n) for n in set(lengths)}, 64).collect()]
+    bins = bins_of(plan)
+    assert sorted(n for b in bins.values() for _, n in b) == sorted(lengths)
+    gapless(bins, 64)
+    assert len(bins) <= 1.01 * plain_best_fit(lengths, 64) + 1
 
 
 def test_packing_query(spark, tmp_path):
@@ -109,7 +143,6 @@ def test_packing_query(spark, tmp_path):
     frame(spark, [*rows, rows[0]]).write.parquet(f"{tmp_path}/documents.parquet")
     got = packing.op10_packing(spark, str(tmp_path)).collect()
     lib = Tokenizer.from_file(BYTES)
-    lib.encode_special_tokens = True
     pieces = defaultdict(list)
     for r in got:
         pieces[r.doc_id].append(r)
@@ -132,8 +165,10 @@ def test_packing_query(spark, tmp_path):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
-def test_ranks_across_salts(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [0, 1000])
+def test_ranks_across_salts(spark, monkeypatch, rows):
     monkeypatch.setattr(packing, "_SALTED", 7)
+    monkeypatch.setattr(packing, "_PLAN_ROWS", rows)
     rng = random.Random(3)
     p = spark.createDataFrame([(i, 0, 0, rng.choice([5, 5, 5, 3, 2]), 1) for i in range(300)], "doc_id long, piece int, start long, length long, ids_crc32 long")
     got = packing.packed(p, 10).collect()
