@@ -1,92 +1,158 @@
-"""Language-model scores by a hierarchical Pitman-Yor process.
-
-Tokens are words and one end for each text. The word restaurant seats every token of the training texts; its
-base measure is a spelling model, itself a hierarchy of restaurants, one for each context of up to four
-preceding bytes of the word, where the restaurants of longer contexts share those of shorter ones as parents
-and the root falls back to all bytes alike. A table of the word restaurant sends one customer, the word's
-spelling, down to the contexts; a table of a context sends one to its parent. Events are the words of the
-vocabulary and one more that stands for any other word: the base measure gives that one the share of one word
-in V + 1, and the rest to the vocabulary in proportion to the words' spelling probabilities.
-
-Seating follows the Chinese restaurant process. Gibbs sweeps reseat each dish given the tables of the rest,
-going from longer contexts to shorter ones and back; the first sweeps are dropped, and the predictive
-probabilities of the others are averaged. A dish's first 32 customers are seated one by one, later ones
-together: their number of new tables is a Poisson draw with the summed chances.
-
-Every training token and every byte n-gram of the vocabulary is counted. Neither the n-grams nor the vocabulary
-are ever held in one place. Texts are scored in one pass: the most
-frequent words (a fixed number) are broadcast, all others travel, packed by part of the vocabulary, to the
-task that holds that part, and only sums come back.
+"""Language-model scores by a hierarchical Pitman-Yor process over words in the context of the word before.
+
+Tokens are words and one end for each text; the first word's context is the end. Words are told by 64-bit hashes.
+The `FREQUENT` most frequent words have a symbol each, and all others share one, so that every token is a
+symbol behind a symbol. Each symbol has a context restaurant, in which the tokens behind it are seated; all context
+restaurants share one parent, which seats a customer for each of their tables and falls back to all symbols alike. A
+rare word is its symbol and then a customer of the restaurant of rare words, which falls back to all rare words and the
+unknown word alike. So the probabilities of all words of the vocabulary and of the unknown word sum to one in any context.
+
+Seating follows the Chinese restaurant process. Gibbs sweeps reseat every dish given the tables of the others as
+of the sweep before, in the contexts and then in their parent; the first sweeps are dropped, and over the others the
+tables of a dish and the parent's probabilities are averaged. The draws of a dish come from hashes of its name and
+the number of the sweep, so they depend on nothing else. A dish's first 32 customers are seated one by one; later
+ones by the exact distance to the next that opens a table.
+
+Every token, every pair of symbols and every word is counted. Pairs are dealt to parts by their first symbol and a block of the
+second, rare words by hash, and neither is ever held in one place; a pair that is very frequent is summed before it is
+sent. What is held at once has a fixed size: a number a symbol, and the most frequent pairs. Texts are scored in
+windows: pairs and words that are not at hand travel, packed by part, to the task that holds the part, and their
+logs back to the window.
 
 Results at the edges: a null text counts as empty and has just its end; rows with a null id train the model;
-with no training token the spelling model is uniform and nothing is known; repeated rows are scored each on
-their own; an empty table gives an empty result; other columns are ignored.
+with no training token nothing is known and all words are alike; repeated rows are scored each on their own; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.pandas.types import to_arrow_type
+from xxhash import xxh3_64_intdigest
 
 from gravelake.llm.common import staged, table
 
-CONTEXT = 4
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
+PAIRS = 1 << 19
 SAMPLES = 3
 BURN_IN = 2
 STRENGTH = 1.0
 _ONE_BY_ONE = 32
-_PART_GRAMS = 400_000
-_LOW = 2
+_PART_TOKENS = 2_000_000
 _PART_WORDS = 300_000
-_PART_TOKENS = 8_000_000
-_STEP_WORDS = 400_000
-_END = 0x20  # no word holds a space
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []  # bytes: ASCII letters and ASCII white space only
-
-
-def grams_of(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte of each word, its end included, behind its four predecessors, as one number; and where each word starts."""
-    size = np.fromiter(map(len, batch), np.int64, len(batch)) + 1
-    text = np.frombuffer((b" ".join(batch) + b" ") if batch else b"", np.uint8).astype(np.int64)
-    starts = np.cumsum(size) - size
-    place = np.arange(len(text)) - np.repeat(starts, size)
-    keys = text.copy()
-    for k in range(1, CONTEXT + 1):
-        before = np.zeros_like(text)
-        before[k:] = text[:-k] if len(text) > k else text[:0]
-        keys += np.where(place >= k, before, 0) << (8 * k)
-    return keys, starts
-
-
-def seated(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+_COUNT_WINDOW = 3_000_000
+_SCORE_WINDOW = 1_000_000
+_STEP_WORDS = 250_000
+_SLICES = 16
+_BITS = 20
+_BLOCK = 11
+_LOW = np.uint64((1 << _BITS) - 1)
+_END = np.uint64(xxh3_64_intdigest(b""))
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _B
+    x = (x ^ (x >> np.uint64(29))) * _A
+    return x ^ (x >> np.uint64(32))
+
+
+def token_hashes(text: str | None) -> np.ndarray:
+    """Hashes of a text's words, ASCII letters lowered, and of its end."""
+    ws = text.encode().lower().split() if text else []  # bytes: ASCII letters and ASCII white space only
+    return np.append(np.fromiter(map(xxh3_64_intdigest, ws), np.uint64, len(ws)), _END)
+
+
+def planes(a: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second bytes, and so on: sorted or small numbers compress well like this."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def unplaned(b, kind: str) -> np.ndarray:
+    raw = np.frombuffer(b, np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
+
+
+class Lookup:
+    """Places of 64-bit numbers among distinct ones, -1 for others: an open-addressed table, probed for all at once."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots, self.place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        todo = np.arange(len(keys))
+        at = self._start(keys)
+        while len(todo):
+            free = self.place[at] < 0
+            first = np.zeros(len(todo), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            put = free & first
+            self.slots[at[put]], self.place[at[put]] = keys[todo[put]], todo[put]
+            todo, at = todo[~put], (at[~put] + 1) & self.mask
+
+    def _start(self, x: np.ndarray) -> np.ndarray:
+        return ((x * _A) >> self.shift).astype(np.int64)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), -1, np.int32)
+        who, at = np.arange(len(x)), self._start(x)
+        while len(who):
+            place = self.place[at]
+            hit = (self.slots[at] == x[who]) & (place >= 0)
+            out[who[hit]] = place[hit]
+            go = ~hit & (place >= 0)
+            who, at = who[go], (at[go] + 1) & self.mask
+        return out
+
+
+def _log_gamma_ratio(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """log of gamma(x) / gamma(x + w), for positive x."""
+
+    def log_gamma(y: np.ndarray) -> np.ndarray:
+        up = np.zeros_like(y)
+        for i in range(8):
+            up += np.log(y + i)
+        y = y + 8
+        return (y - 0.5) * np.log(y) - y + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - up
+
+    return log_gamma(x) - log_gamma(x + w)
+
+
+def seated(names: np.ndarray, customers: np.ndarray, new: np.ndarray, discount: float, sweep: int) -> np.ndarray:
     """Number of tables of dishes with so many customers; new: the weight of a new table."""
     tables = (customers > 0).astype(float)
+    drawn = lambda rows, i: mixed(names[rows] + np.uint64((int(_A) * (sweep * 1_000_003 + i)) & 0xFFFFFFFFFFFFFFFF)).astype(float) / 2.0**64
+    more = np.flatnonzero(customers > 1)
     for i in range(1, _ONE_BY_ONE):
-        more = np.flatnonzero(customers > i)
         if not len(more):
             return tables
         w = new[more]
-        tables[more] += rng.random(len(more)) * (w + i - discount * tables[more]) < w
-    more = np.flatnonzero(customers > _ONE_BY_ONE)
-    w, t, c = new[more], tables[more], customers[more]
-    chance = w * np.log((w + c - discount * t) / (w + _ONE_BY_ONE - discount * t))
-    tables[more] = np.minimum(t + rng.poisson(np.maximum(chance, 0)), c)
+        tables[more] += drawn(more, i) * (w + i - discount * tables[more]) < w
+        more = more[customers[more] > i + 1]
+    at, turn = np.full(len(more), float(_ONE_BY_ONE)), _ONE_BY_ONE
+    while len(more):
+        w, drop = new[more], discount * tables[more]
+        goal = _log_gamma_ratio(at - drop, w) + np.log(np.maximum(drawn(more, turn), 1e-300))
+        none = _log_gamma_ratio(customers[more] - drop, w) > goal  # no later customer opens a table
+        more, at, w, drop, goal = (x[~none] for x in (more, at, w, drop, goal))
+        lo, hi = at + 1 - drop, customers[more] - drop
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            high = _log_gamma_ratio(mid, w) > goal
+            lo, hi = np.where(high, mid, lo), np.where(high, hi, mid)
+        tables[more] += 1
+        at, turn = np.maximum(np.ceil(hi + drop - 1e-6), at + 1), turn + 1
+        still = at < customers[more]
+        more, at = more[still], at[still]
     return tables
 
 
@@ -95,400 +161,390 @@ def discount_of(once: float, twice: float) -> float:
 
 
 @dataclass
-class Spelling:
-    """Averaged samples of the context restaurants, by length of context."""
-
-    keys: list[np.ndarray] = field(default_factory=list)  # context and byte
-    chance: list[np.ndarray] = field(default_factory=list)  # of each key, a column a sample
-    contexts: list[np.ndarray] = field(default_factory=list)
-    rest: list[np.ndarray] = field(default_factory=list)  # left for the parent, of each context, a column a sample
-
-    def log10(self, batch: list[bytes]) -> np.ndarray:
-        """Log probabilities of words, a column a sample."""
-        if not batch:
-            return np.zeros((0, SAMPLES))
-        keys, starts = grams_of(batch)
-        out = np.ones((len(keys), SAMPLES))
-        left = np.arange(len(keys))
-        for k in range(CONTEXT, -1, -1):
-            if not self.keys or not len(left):
-                break
-            key = keys[left] & ((1 << (8 * (k + 1))) - 1)
-            at = np.minimum(np.searchsorted(self.keys[k], key), len(self.keys[k]) - 1)
-            hit = self.keys[k][at] == key
-            out[left[hit]] *= self.chance[k][at[hit]]
-            left, key = left[~hit], key[~hit] >> 8
-            at = np.minimum(np.searchsorted(self.contexts[k], key), len(self.contexts[k]) - 1)
-            there = self.contexts[k][at] == key
-            out[left[there]] *= self.rest[k][at[there]]
-        out[left] /= 256
-        return np.add.reduceat(np.log10(out), starts)
-
-
-class Seating:
-    """Customers and tables of the restaurants of contexts of `low` to `top` bytes; keys sorted, with the customers of the longest contexts."""
-
-    def __init__(self, keys: np.ndarray, customers: np.ndarray, low: int = 0, top: int = CONTEXT):
-        self.levels = range(top, low - 1, -1)
-        none = np.zeros(0)
-        self.keys, self.up, self.ctx_of, self.ctxs = ([none] * (CONTEXT + 1) for _ in range(4))
-        self.seats, self.tables, self.chance, self.rest = ([none] * (CONTEXT + 1) for _ in range(4))
-        self.low, self.top, self.keys[top], self.seats[top] = low, top, keys, customers.astype(float)
-        for k in self.levels:
-            self.ctxs[k], self.ctx_of[k] = np.unique(self.keys[k] >> 8, return_inverse=True)
-            self.tables[k] = np.minimum(self.seats[k], 1)
-            parents, self.up[k] = np.unique(self.keys[k] & ((1 << (8 * k)) - 1), return_inverse=True)
-            if k > low:
-                self.keys[k - 1], self.seats[k - 1] = parents, np.bincount(self.up[k], self.tables[k], minlength=len(parents))
-            else:
-                self.parents = parents
-
-    def sent(self) -> np.ndarray:
-        """Customers that the shortest contexts send to each of their parents' dishes."""
-        return np.bincount(self.up[self.low], self.tables[self.low], minlength=len(self.parents))
-
-    def few(self, k: int) -> tuple[float, float]:
-        """Dishes with one customer and with two."""
-        return float((self.seats[k] == 1).sum()), float((self.seats[k] == 2).sum())
-
-    def predict(self, parent: np.ndarray | float, drops: list[float]) -> None:
-        """parent: chances of the parents' dishes, or that of every one."""
-        for k in reversed(self.levels):
-            above = self.chance[k - 1][self.up[k]] if k > self.low else parent[self.up[k]] if isinstance(parent, np.ndarray) else np.full(len(self.keys[k]), parent)
-            all_seats = np.bincount(self.ctx_of[k], self.seats[k], minlength=len(self.ctxs[k]))
-            all_tables = np.bincount(self.ctx_of[k], self.tables[k], minlength=len(self.ctxs[k]))
-            self.rest[k] = (STRENGTH + drops[k] * all_tables) / (STRENGTH + all_seats)
-            self.chance[k] = (self.seats[k] - drops[k] * self.tables[k]) / (STRENGTH + all_seats)[self.ctx_of[k]] + self.rest[k][self.ctx_of[k]] * above
-
-    def sweep(self, parent: np.ndarray | float, drops: list[float], rng: np.random.Generator) -> None:
-        """Reseats every dish, given the chances of the last prediction."""
-        for k in self.levels:
-            if k < self.top:
-                self.seats[k] = np.bincount(self.up[k + 1], self.tables[k + 1], minlength=len(self.keys[k]))
-            above = self.chance[k - 1][self.up[k]] if k > self.low else parent[self.up[k]] if isinstance(parent, np.ndarray) else np.full(len(self.keys[k]), parent)
-            all_tables = np.bincount(self.ctx_of[k], self.tables[k], minlength=len(self.ctxs[k]))[self.ctx_of[k]]
-            self.tables[k] = seated(self.seats[k], (STRENGTH + drops[k] * (all_tables - self.tables[k])) * above, drops[k], rng)
-
-
-def spelling(keys: np.ndarray, customers: np.ndarray, seed: int, samples: int = SAMPLES, burn_in: int = BURN_IN) -> Spelling:
-    """Gibbs sampling of the context restaurants in one place; keys sorted, with the customers of the longest contexts."""
-    model, rng = Spelling(), np.random.default_rng(seed)
-    if not len(keys):
-        return model
-    s = Seating(keys, customers)
-    drops = [discount_of(*s.few(k)) for k in range(CONTEXT + 1)]
-    s.predict(1 / 256, drops)
-    kept_chance, kept_rest = [[] for _ in range(CONTEXT + 1)], [[] for _ in range(CONTEXT + 1)]
-    for sweep in range(burn_in + samples):
-        s.sweep(1 / 256, drops, rng)
-        s.predict(1 / 256, drops)
-        if sweep >= burn_in:
-            for k in range(CONTEXT + 1):
-                kept_chance[k].append(s.chance[k])
-                kept_rest[k].append(s.rest[k])
-    model.keys, model.contexts = s.keys, s.ctxs
-    model.chance, model.rest = [np.stack(c, 1) for c in kept_chance], [np.stack(r, 1) for r in kept_rest]
-    return model
-
-
-_STATE = "part bigint, keys binary, customers binary, tables binary, kept binary, up_k array<bigint>, up_n array<double>, few array<double>"
-
-
-def _state(part: int, s: Seating, kept: bytes) -> list:
-    tables = np.concatenate([s.tables[k] for k in s.levels])
-    return [part, s.keys[CONTEXT].tobytes(), s.seats[CONTEXT].tobytes(), tables.tobytes(), kept, s.parents.tolist(), s.sent().tolist(), [x for k in s.levels for x in s.few(k)]]
-
-
-def _resumed(row: dict) -> Seating:
-    s = Seating(np.frombuffer(row["keys"], np.int64), np.frombuffer(row["customers"]), _LOW)
-    tables, at = np.frombuffer(row["tables"]), 0
-    for k in s.levels:
-        s.tables[k] = tables[at : at + len(s.keys[k])]
-        at += len(s.keys[k])
-        if k > _LOW:
-            s.seats[k - 1] = np.bincount(s.up[k], s.tables[k], minlength=len(s.keys[k - 1]))
-    return s
-
-
-def spelled(grams: DataFrame, seed: int) -> DataFrame:
-    """k and b (log10 of its chance, by sample) of every n-gram of a stored table (k, n): the same Gibbs sampling in parts.
-
-    A part holds whole subtrees of contexts, told by their last two bytes. The restaurants of one byte and of none
-    have at most 2^16 and 2^8 dishes, are seated on the driver, and meet the parts once a sweep.
-    """
-    spark = grams.sparkSession
-    parts = max(8, -(-grams.count() // _PART_GRAMS))
-    schema = to_arrow_schema(_parse_datatype_string(_STATE))
-    dealt = grams.withColumn("part", F.expr(f"pmod(xxhash64(shiftright(k, 8) & {(1 << 8 * _LOW) - 1}), {parts})"))
-
-    def begun(key: tuple, t: pa.Table) -> pa.Table:
-        k, n = t["k"].to_numpy(), t["n"].to_numpy()
-        order = np.argsort(k)
-        row = _state(key[0].as_py(), Seating(k[order], n[order], _LOW), b"")
-        return pa.table([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema)
-
-    state = staged(dealt.groupBy("part").applyInArrow(begun, _STATE))
-
-    def sent() -> tuple[np.ndarray, np.ndarray]:
-        got = state.select(F.explode(F.arrays_zip("up_k", "up_n")).alias("x")).groupBy("x.up_k").agg(F.sum("x.up_n").alias("n")).toArrow()  # at most 2^16 rows
-        k, n = got["up_k"].to_numpy(), got["n"].to_numpy()
-        order = np.argsort(k)
-        return k[order], n[order]
-
-    few = state.agg(*[F.coalesce(F.sum(F.col("few")[i]), F.lit(0.0)) for i in range(2 * (CONTEXT - _LOW + 1))]).first()
-    upper, rng = Seating(*sent(), 0, _LOW - 1), np.random.default_rng(seed)
-    drops = [discount_of(*upper.few(k)) for k in range(_LOW)] + [discount_of(*few[2 * (CONTEXT - k) : 2 * (CONTEXT - k) + 2]) for k in range(_LOW, CONTEXT + 1)]
-    upper.predict(1 / 256, drops)
-
-    def predicted(row: dict, above: tuple[np.ndarray, np.ndarray]) -> tuple[Seating, np.ndarray]:
-        s = _resumed(row)
-        parent = above[1][np.searchsorted(above[0], s.parents)]
-        s.predict(parent, drops)
-        return s, parent
+class Sweep:
+    """What the next sweep of the contexts needs of this one."""
 
-    for sweep in range(BURN_IN + SAMPLES):
-        shared = spark.sparkContext.broadcast((upper.keys[_LOW - 1], upper.chance[_LOW - 1]))
+    tables: np.ndarray  # of each symbol's context restaurant
+    parent: np.ndarray  # probability of each symbol
 
-        def moved(batches: Iterator[pa.RecordBatch], shared=shared, sweep=sweep) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    row = b.slice(i, 1).to_pylist()[0]
-                    s, parent = predicted(row, shared.value)
-                    kept = row["kept"] + (s.chance[CONTEXT].tobytes() if sweep > BURN_IN else b"")
-                    s.sweep(parent, drops, np.random.default_rng([seed, sweep, row["part"]]))
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(_state(row["part"], s, kept), schema, strict=True)], schema=schema)
-
-        state = staged(state.mapInArrow(moved, _STATE))
-        upper.seats[_LOW - 1] = sent()[1]
-        upper.sweep(1 / 256, drops, rng)
-        upper.predict(1 / 256, drops)
-    last = spark.sparkContext.broadcast((upper.keys[_LOW - 1], upper.chance[_LOW - 1]))
-
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                s, _ = predicted(row, last.value)
-                logs = np.log10(np.stack([*np.frombuffer(row["kept"]).reshape(SAMPLES - 1, -1), s.chance[CONTEXT]], 1))
-                yield pa.RecordBatch.from_arrays([pa.array(s.keys[CONTEXT]), _lists(logs)], ["k", "b"])
 
-    return staged(state.mapInArrow(told, "k bigint, b array<double>"))
+@dataclass
+class Model:
+    """What a task needs besides its parts: a number a symbol, and the most frequent pairs."""
 
+    tokens: int
+    words: int
+    symbols: np.ndarray  # hashes of the frequent words; one more symbol stands for the rare ones
+    counts: np.ndarray  # tokens of each symbol
+    rare_words: int = 0
+    discount: float = 0.5
+    rare_discount: float = 0.5
+    sweeps: list[Sweep] = field(default_factory=list)  # those before each that is averaged
+    rare_tables: list[float] = field(default_factory=list)  # likewise, and then the mean of the sampled ones
+    tables: np.ndarray | None = None
+    parent: np.ndarray | None = None
+    pair_keys: np.ndarray | None = None
+    pair_logs: np.ndarray | None = None
+
+    def mean_tables(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        u, w = (keys >> np.uint64(_BITS)).astype(np.int64), (keys & _LOW).astype(np.int64)
+        return np.mean([pair_tables(keys, u, w, counts, s, self.discount, BURN_IN + i) for i, s in enumerate(self.sweeps)], 0)
+
+    def logs(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """By how much a pair that was seen is more probable (log10) than its symbols apart."""
+        u, w = (keys >> np.uint64(_BITS)).astype(np.int64), (keys & _LOW).astype(np.int64)
+        own = np.maximum(counts - self.discount * self.mean_tables(keys, counts), 0)
+        return np.log10(1 + own / ((STRENGTH + self.discount * self.tables[u]) * self.parent[w]))
+
+    def apart(self) -> np.ndarray:
+        """Log10 of each symbol's probability in the parent, and of what its own context leaves to the parent."""
+        return np.log10(self.parent) + np.log10((STRENGTH + self.discount * self.tables) / (STRENGTH + self.counts))
+
+    def rare_logs(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log10 of the probabilities of rare words among the rare words; of an unknown one where the count is 0."""
+        customers = self.counts[-1]
+        mean = np.mean([rare_tables(hashes, counts, t, self, BURN_IN + i) for i, t in enumerate(self.rare_tables[:-1])], 0)
+        own = np.maximum(counts - self.rare_discount * mean, 0)
+        return np.log10((own + (STRENGTH + self.rare_discount * self.rare_tables[-1]) / (self.rare_words + 1)) / (STRENGTH + customers))
 
-def _lists(rows: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
+    def add_one(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 1) / (self.tokens + self.words + 1))
 
 
-@dataclass
-class WordModel:
-    """What a task needs besides its part of the vocabulary."""
+def pair_tables(keys: np.ndarray, u: np.ndarray, w: np.ndarray, counts: np.ndarray, before: Sweep, discount: float, sweep: int) -> np.ndarray:
+    return seated(keys, counts, (STRENGTH + discount * (before.tables[u] - 1)) * before.parent[w], discount, sweep)
 
-    tokens: int
-    words: int
-    discount: float
-    tables: np.ndarray  # of all words, by sample
-    mass: np.ndarray  # summed spelling probabilities of the vocabulary, by sample
 
-    def log10(self, counts: np.ndarray, tables: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Averaged predictive probabilities of words: customers, tables by sample, log probability of the spelling by sample."""
-        own = np.maximum(counts[:, None] - self.discount * tables, 0)
-        share = 10.0 ** np.maximum(base, -300) / self.mass * self.words / (self.words + 1)
-        p = (own + (STRENGTH + self.discount * self.tables) * share) / (STRENGTH + self.tokens)
-        return np.log10(np.maximum(p.mean(1), 1e-300))
+def rare_tables(hashes: np.ndarray, counts: np.ndarray, before: float, model: Model, sweep: int) -> np.ndarray:
+    weight = (STRENGTH + model.rare_discount * max(before - 1, 0)) / (model.rare_words + 1)
+    return seated(hashes, counts, np.full(len(counts), weight), model.rare_discount, sweep)
 
-    def unknown(self) -> float:
-        return math.log10((STRENGTH + self.discount * self.tables).mean() / (STRENGTH + self.tokens) / (self.words + 1))
 
-    def add_one(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1) / (self.tokens + self.words + 1))
+def _steps(column) -> Iterator[list[np.ndarray]]:
+    """Hashes of the texts of a batch, a bounded number of words (or one text) at a time."""
+    held, n = [], 0
+    for t in column:
+        h = token_hashes(t.as_py())
+        if held and n + len(h) > _STEP_WORDS:
+            yield held
+            held, n = [], 0
+        held.append(h)
+        n += len(h)
+    if held:
+        yield held
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word and c of every token of a table with one text column; the end is the empty word."""
+    """h and c of every word of a table with one text column, the end included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[np.ndarray] = []
+        size = 0
 
         def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
         for b in batches:
-            for t in b.column(0):
-                seen.update(words_of(t.as_py()))
-                seen[b""] += 1
-                if len(seen) > 400_000:
+            for step in _steps(b.column(0)):
+                held += step
+                size += sum(map(len, step))
+                if size > _COUNT_WINDOW:
                     yield told()
-                    seen.clear()
-        yield told()
+                    held, size = [], 0
+        if held:
+            yield told()
 
-    return texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
+    return texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("c"))
 
 
-def gram_counts(vocabulary: DataFrame, tables: str) -> DataFrame:
-    """k and n of every n-gram: a word counts as often as it has tables."""
+def paired(hashes: list[np.ndarray], lookup: Lookup, rare: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of texts' tokens, laid end to end, and the keys of their pairs with the symbols before."""
+    flat = np.concatenate(hashes)
+    symbol = lookup(flat)
+    symbol[symbol < 0] = rare
+    before = np.empty_like(symbol)
+    before[1:] = symbol[:-1]
+    ends = np.cumsum([len(h) for h in hashes])
+    before[ends - [len(h) for h in hashes]] = symbol[ends - 1]  # a text's last token is its end
+    return symbol, (before.astype(np.uint64) << np.uint64(_BITS)) | symbol.astype(np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            batch = b.column(0).to_pylist()
-            keys, starts = grams_of(batch)
-            weight = np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(float), np.diff(np.append(starts, len(keys))))
-            unique, back = np.unique(keys, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(np.bincount(back, weight).astype(np.int64))], ["k", "n"])
 
-    return staged(vocabulary.select("word", F.expr(tables).cast("double").alias("t")).mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")))
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed(keys >> np.uint64(_BLOCK)) % np.uint64(parts)).astype(np.int64)
 
 
-def bases(vocabulary: DataFrame, grams: DataFrame, chances: DataFrame) -> DataFrame:
-    """word, c and base (log probability of the spelling, by sample): the most frequent n-grams are broadcast, the others are looked up by a join."""
-    top = grams.orderBy(F.desc("n"), "k").limit(FREQUENT).select("k").join(chances, "k").toArrow()  # a fixed number of rows
-    keys = top["k"].to_numpy()
-    order = np.argsort(keys)
-    logs = top["b"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)[order] if len(keys) else np.zeros((0, SAMPLES))
-    shared = vocabulary.sparkSession.sparkContext.broadcast((np.append(keys[order], 1 << 62), np.append(logs, np.zeros((1, SAMPLES)), 0)))
+def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part and the rows that belong to it."""
+    if not len(part):
+        return
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        yield int(part[order[a]]), order[a:z]
+
+
+def pair_counts(texts: DataFrame, symbols: np.ndarray, parts: int) -> DataFrame:
+    """A stored table with a row for each part: keys (sorted) and counts of its pairs, packed."""
+    shared = texts.sparkSession.sparkContext.broadcast(symbols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, chance = shared.value
+        lookup, rare = Lookup(shared.value), len(shared.value)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def told() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            rows = [(p, planes(keys[at]), planes(n[at].astype(np.uint32))) for p, at in _dealt(_part_of(keys, parts))]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["part", "keys", "counts"])
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            batch = b.column(0).to_pylist()
-            keys, starts = grams_of(batch)
-            at = np.searchsorted(frequent, keys)
-            hit = frequent[at] == keys
-            odd = np.flatnonzero(~hit)
-            base = np.add.reduceat(np.where(hit[:, None], chance[at], 0), starts)
-            who = np.concatenate([np.arange(len(batch)), np.repeat(np.arange(len(batch)), np.diff(np.append(starts, len(keys))))[odd]])
-            none = np.fromiter((-1 - crc32(w) for w in batch), np.int64, len(batch))  # no n-gram's key
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who)), pa.array(np.concatenate([none, keys[odd]])), _lists(np.concatenate([base, np.zeros((len(odd), SAMPLES))]))], ["word", "c", "k", "own"])
+            for step in _steps(b.column(0)):
+                held.append(paired(step, lookup, rare)[1])
+                size += len(held[-1])
+                if size > _COUNT_WINDOW:
+                    yield told()
+                    held, size = [], 0
+        if held:
+            yield told()
+
+    def summed(key: tuple, t: pa.Table) -> pa.Table:
+        keys = np.concatenate([unplaned(k.as_buffer(), "<u8") for k in t["keys"]])
+        n = np.concatenate([unplaned(c.as_buffer(), "<u4") for c in t["counts"]]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return pa.table({"part": pa.array([key[0].as_py()]), "keys": pa.array([planes(keys[heads])]), "counts": pa.array([planes(np.add.reduceat(n, heads))])})
+
+    schema = "part bigint, keys binary, counts binary"
+    return staged(texts.mapInArrow(run, schema).groupBy("part").applyInArrow(summed, schema))
+
 
-    rows = vocabulary.select("word", "c").mapInArrow(run, "word binary, c bigint, k bigint, own array<double>").join(chances, "k", "left")
-    sums = rows.groupBy("word", "c").agg(*[F.sum(F.col("own")[s] + F.coalesce(F.col("b")[s], F.lit(0.0))).alias(f"b{s}") for s in range(SAMPLES)])
-    return sums.select("word", "c", F.array(*[f"b{s}" for s in range(SAMPLES)]).alias("base"))
+def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in batches:
+        for k, c in zip(b.column("keys"), b.column("counts"), strict=True):
+            yield unplaned(k.as_buffer(), "<u8"), unplaned(c.as_buffer(), "<i8")
 
 
-def seat_words(based: DataFrame, discount: float, tables: list[float], mass: list[float], seed: int) -> DataFrame:
-    """word, c, base (log probability of the spelling) and t (tables), both by sample."""
+def vectors(df: DataFrame, rows: int, width: int, add: Callable[[Iterator[pa.RecordBatch], np.ndarray], None]) -> np.ndarray:
+    """The sum over all tasks of the fixed number of numbers that each adds up."""
+    cut = -(-width // _SLICES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            first, c = b.column(0)[0].as_py() if b.num_rows else b"", b.column(1).to_numpy(zero_copy_only=False)
-            base = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, SAMPLES)
-            rng = np.random.default_rng([seed, crc32(first)])
-            t = np.stack([seated(c, (STRENGTH + discount * (tables[s] - 1)) * 10.0 ** np.maximum(base[:, s], -300) / mass[s], discount, rng) for s in range(SAMPLES)], 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, _lists(t)], ["word", "c", "base", "t"])
-
-    return based.select("word", "c", "base").mapInArrow(run, "word binary, c bigint, base array<double>, t array<double>")
-
-
-def train(texts: DataFrame, seed: int = 11) -> tuple[WordModel, DataFrame]:
-    """The model, and the table of the vocabulary: word, c, base, t."""
-    vocabulary = staged(word_counts(texts))
-    got = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
-    discount = discount_of(got.once, got.twice)
-    grams = gram_counts(vocabulary, "1")
-    chances = spelled(grams, seed)
-    tables, mass = [float(max(got.v, 1))] * SAMPLES, [1.0] * SAMPLES
-    for sweep in range(2):
-        words = staged(seat_words(bases(vocabulary, grams, chances), discount, tables, mass, seed + sweep))
-        sums = words.agg(*[F.sum(F.col("t")[s]) for s in range(SAMPLES)], *[F.sum(F.pow(F.lit(10.0), F.col("base")[s])) for s in range(SAMPLES)]).first()
-        tables, mass = [float(x or 0) for x in sums[:SAMPLES]], [float(x or 1) for x in sums[SAMPLES:]]
-        if not sweep:
-            grams = gram_counts(words, f"t[{SAMPLES - 1}]")
-            chances = spelled(grams, seed + 1)
-    return WordModel(got.n, got.v, discount, np.array(tables), np.array(mass)), words
-
-
-def _numbers(words: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    c = words["c"].to_numpy()
-    flat = lambda name: words[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SAMPLES) if len(c) else np.zeros((0, SAMPLES))
-    return c, flat("t"), flat("base")
-
-
-def score(docs: DataFrame, model: WordModel, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        total = np.zeros((rows, cut * _SLICES))
+        add(batches, total[:, :width])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES)), pa.array([planes(total[:, i * cut : (i + 1) * cut].ravel()) for i in range(_SLICES)])], ["slice", "v"])
+
+    def summed(key: tuple, t: pa.Table) -> pa.Table:
+        out = np.zeros(rows * cut)
+        for v in t["v"]:
+            out += unplaned(v.as_buffer(), "<f8")
+        return pa.table({"slice": pa.array([key[0].as_py()]), "v": pa.array([out.tobytes()])})
+
+    out = np.zeros((rows, cut * _SLICES))
+    for r in df.mapInArrow(run, "slice bigint, v binary").groupBy("slice").applyInArrow(summed, "slice bigint, v binary").collect():  # a fixed size
+        out[:, r.slice * cut : (r.slice + 1) * cut] = np.frombuffer(r.v).reshape(rows, cut)
+    return out[:, :width]
+
+
+def parent_of(customers: np.ndarray, tables: float, sweep: int) -> tuple[np.ndarray, float]:
+    """Probabilities of the symbols in the parent restaurant, and its tables, given how many it had."""
+    k, discount = len(customers), discount_of((customers == 1).sum(), (customers == 2).sum())
+    t = seated(np.arange(k).astype(np.uint64), customers, np.full(k, (STRENGTH + discount * max(tables - 1, 0)) / k), discount, sweep)
+    own = (customers - discount * t + (STRENGTH + discount * t.sum()) / k) / (STRENGTH + customers.sum())
+    return own, t.sum()
+
+
+def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the stored table of pairs (a row a part), and that of the words (h, c)."""
+    sc = texts.sparkSession.sparkContext
+    words = staged(word_counts(texts))
+    top = words.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()  # a fixed number of rows
+    symbols, counts = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    got = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    model = Model(got.n, got.v, symbols, np.append(counts, got.n - counts.sum()).astype(float), got.v - len(symbols))
+    model.rare_discount = discount_of(got.once - (counts == 1).sum(), got.twice - (counts == 2).sum())
+    k = len(symbols) + 1
+    pairs = pair_counts(texts, symbols, max(8, -(-got.n // _PART_TOKENS)))
+    many = 1 << 16
+
+    def types(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
+        for keys, n in _parts_of(batches):
+            total[0, :k] += np.bincount((keys >> np.uint64(_BITS)).astype(np.int64), minlength=k)
+            total[1, :k] += np.bincount((keys & _LOW).astype(np.int64), minlength=k)
+            total[2, :many] += np.bincount(np.minimum(n, many - 1), minlength=many)
+
+    tables, customers, frequency = vectors(pairs, 3, max(k, many), types)
+    tables, customers = tables[:k], customers[:k]
+    model.discount = discount_of(frequency[1], frequency[2])
+    fewest = int(np.argmax(np.cumsum(frequency[::-1])[::-1] <= PAIRS)) if frequency.sum() > PAIRS else 1
+    own, above = parent_of(customers, float(k), 0)
+    state = Sweep(tables, own)
+    rare = float(model.rare_words)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    rare_words = words.filter(F.col("c") <= (int(counts[-1]) if model.rare_words else 0))
+    frequent = sc.broadcast(symbols)
+    for sweep in range(BURN_IN + SAMPLES):
+        if sweep >= BURN_IN:
+            model.sweeps.append(state)
+            model.rare_tables.append(rare)
+        shared = sc.broadcast((state, model.discount))
+
+        def reseat(batches: Iterator[pa.RecordBatch], total: np.ndarray, shared=shared, sweep=sweep) -> None:
+            before, discount = shared.value
+            for keys, n in _parts_of(batches):
+                u, w = (keys >> np.uint64(_BITS)).astype(np.int64), (keys & _LOW).astype(np.int64)
+                t = pair_tables(keys, u, w, n, before, discount, sweep)
+                total[0] += np.bincount(u, t, minlength=k)
+                total[1] += np.bincount(w, t, minlength=k)
+
+        def reseat_rare(batches: Iterator[pa.RecordBatch], total: np.ndarray, rare=rare, sweep=sweep, bare=Model(0, 0, symbols[:0], symbols[:0], model.rare_words, rare_discount=model.rare_discount)) -> None:
+            lookup = Lookup(frequent.value)
+            for b in batches:
+                h = b.column(0).to_numpy().view(np.uint64)
+                own = lookup(h) < 0
+                total[0, 0] += rare_tables(h[own], b.column(1).to_numpy()[own], rare, bare, sweep).sum()
+
+        tables, customers = vectors(pairs, 2, k, reseat)
+        rare = float(vectors(rare_words.select("h", "c"), 1, 1, reseat_rare)[0, 0]) if model.rare_words else 0.0
+        own, above = parent_of(customers, above, sweep + 1)
+        state = Sweep(tables, own)
+        if sweep >= BURN_IN:
+            kept.append((tables, own))
+    model.tables, model.parent = np.mean([x[0] for x in kept], 0), np.mean([x[1] for x in kept], 0)
+    model.rare_tables.append(float(np.mean([*model.rare_tables[1:], rare])))
+    shared_model = sc.broadcast(model)
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _parts_of(batches):
+            keys, n = keys[n >= fewest], n[n >= fewest]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(shared_model.value.logs(keys, n))], ["k", "b"])
+
+    best = pairs.mapInArrow(often, "k bigint, b double").toArrow()  # at most PAIRS rows, or what shares the highest counts
+    model.pair_keys, model.pair_logs = best["k"].to_numpy().view(np.uint64), best["b"].to_numpy()
+    return model, pairs, words
+
+
+def score(docs: DataFrame, model: Model, pairs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs (key, held_out, text) -> key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sc = docs.sparkSession.sparkContext
-    parts = max(8, -(-model.words // _PART_WORDS), -(-model.tokens // _PART_TOKENS))  # a part fits a task, whichever grows faster
-    top = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()  # a fixed number of rows
-    c, t, base = _numbers(top)
-    frequent = sc.broadcast(({w: i for i, w in enumerate(top["word"].to_pylist())}, c, np.append(model.log10(c, t, base) if len(c) else [], 0.0)))
     shared = sc.broadcast(model)
-    key_type = to_arrow_type(docs.schema[key].dataType)
+    parts, word_parts = max(8, -(-model.tokens // _PART_TOKENS)), max(8, -(-model.rare_words // _PART_WORDS))  # the first as in training
+    kind = docs.schema[key].dataType
+    told_kind = pa.struct([("key", to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    told_sql = f"array<struct<key:{kind.simpleString()},held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double>>"
+    names = ["part", "win", "own", "asked", "docs"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(told_kind)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, count, logs = frequent.value
         m = shared.value
-        count = np.append(count, -1)
-        ones = np.append(m.add_one(count[:-1]), 0.0)
-        names = ["part", "row", "key", "held_out", "n_tokens", "n_known", "base", "score", "rows", "sizes", "words"]
-
-        def told(rows: list, rare: list[bytes], owners: list[int]) -> Iterator[pa.RecordBatch]:
-            n = len(rows)
-            first = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], key_type)]
-            others = [pa.array([r[i] for r in rows], kind) for i, kind in ((2, pa.bool_()), (3, pa.int64()), (4, pa.int64()), (5, pa.float64()), (6, pa.float64()))]
-            none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] % parts for r in rows], pa.int64()), first[0], first[1], *others, none, none, none], names)
-            if rare:
-                part = np.fromiter(map(crc32, rare), np.int64, len(rare)) % parts
-                order = np.argsort(part, kind="stable")
-                part, owner = part[order], np.array(owners, np.int64)[order]
-                cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                blocks = []
-                for a, z in zip(cuts, [*cuts[1:], len(part)], strict=True):
-                    rows_, sizes = np.unique(owner[a:z], return_counts=True)
-                    blocks.append((int(part[a]), rows_.tobytes(), sizes.astype(np.int64).tobytes(), b" ".join([rare[i] for i in order[a:z]])))
-                k = len(blocks)
-                empty = [pa.nulls(k, a.type) for a in (first[0], first[1], *others)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blocks], pa.int64()), *empty, *[pa.array([x[i] for x in blocks], pa.binary()) for i in (1, 2, 3)]], names)
+        lookup, often, rare = Lookup(m.symbols), Lookup(m.pair_keys), len(m.symbols)
+        apart, ones = m.apart(), np.append(m.add_one(m.counts[:-1]), 0.0)
+        logs = np.append(m.pair_logs, 0.0)
+        window = TaskContext.get().partitionId() << 32
+        rows: list[tuple] = []
+        asked: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def told() -> pa.RecordBatch:
+            keys, own, hashes, hash_own = (np.concatenate([a[i] for a in asked]) for i in range(4))
+            out = []
+            order = np.argsort(keys)
+            keys, own = keys[order], own[order]
+            for p, at in _dealt(_part_of(keys, parts)):
+                out.append((p, window, planes(own[at]), planes(keys[at]), None))
+            for p, at in _dealt((mixed(hashes) % np.uint64(word_parts)).astype(np.int64)):
+                out.append((parts + p, window, planes(hash_own[at]), planes(hashes[at]), None))
+            out.append((window % parts, window, None, None, [dict(zip(("key", "held_out", "n_tokens", "n_known", "base", "score"), r, strict=True)) for r in rows]))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
         for b in batches:
-            rows, rare, owners = [], [], []
-            ids, keys, held = (b.column(i).to_pylist() for i in range(3))
-            for i, x in enumerate(b.column(3)):
-                ws = [*words_of(x.as_py()), b""]
-                at = np.fromiter(map(number.get, ws, repeat(-1)), np.int64, len(ws))
-                rows.append((ids[i], keys[i], held[i], len(ws), int((at >= 0).sum()), float(ones[at].sum()), float(logs[at].sum())))
-                odd = np.flatnonzero(at < 0).tolist()
-                rare += [ws[j] for j in odd]
-                owners += [ids[i]] * len(odd)
-                if len(rare) > _STEP_WORDS:
-                    yield from told(rows, rare, owners)
-                    rows, rare, owners = [], [], []
-            if rows:
-                yield from told(rows, rare, owners)
-
-    def looked_up(part: tuple, own: pa.Table, sent: pa.Table) -> pa.Table:
+            ids, held, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
+            for step in _steps(b.column(2)):
+                symbol, keys = paired(step, lookup, rare)
+                n = np.array([len(h) for h in step])
+                owner = np.repeat(np.arange(len(rows), len(rows) + len(step)), n).astype(np.uint32)
+                starts = np.cumsum(n) - n
+                there = often(keys)
+                known = symbol < rare
+                sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), ones[symbol], apart[symbol] + logs[there])]
+                rows += zip(ids[at : at + len(step)], held[at : at + len(step)], n.tolist(), *(s.tolist() for s in sums), strict=True)
+                odd, strange = there < 0, ~known
+                asked.append((keys[odd], owner[odd], np.concatenate(step)[strange], owner[strange]))
+                size, at = size + int(n.sum()), at + len(step)
+                if size > _SCORE_WINDOW:
+                    yield told()
+                    rows, asked, size, window = [], [], 0, window + 1
+        if rows:
+            yield told()
+
+    def answered(part: tuple, have: pa.Table, sent: pa.Table) -> pa.Table:
         m = shared.value
-        whole = sent.filter(pyarrow.compute.is_valid(sent["row"]))
-        out = [whole.select(["row", "key", "held_out", "n_tokens", "n_known", "base", "score"])]
-        number = {w: i for i, w in enumerate(own["word"].to_pylist())}
-        c, t, base = _numbers(own)
-        logs = m.log10(c, t, base) if len(c) else np.zeros(0)
-        ones = m.add_one(c)
-        blocks = sent.filter(pyarrow.compute.is_valid(sent["words"]))
-        for rows, sizes, text_ in zip(blocks["rows"], blocks["sizes"], blocks["words"], strict=True):
-            rows, sizes = np.frombuffer(rows.as_buffer(), np.int64), np.frombuffer(sizes.as_buffer(), np.int64)
-            ws = text_.as_py().split(b" ")
-            at = np.fromiter(map(number.get, ws, repeat(-1)), np.int64, len(ws))
-            known = at >= 0
-            score_, base_ = np.full(len(ws), m.unknown()), np.full(len(ws), m.add_one(np.zeros(1))[0])
-            score_[known], base_[known] = logs[at[known]], ones[at[known]]
-            starts = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base_, score_)]
-            n = len(rows)
-            out.append(pa.table({"row": pa.array(rows), "key": pa.nulls(n, whole["key"].type), "held_out": pa.nulls(n, pa.bool_()), "n_tokens": pa.nulls(n, pa.int64()), "n_known": pa.array(sums[0]), "base": pa.array(sums[1]), "score": pa.array(sums[2])}))
-        return pa.concat_tables(out)
-
-    kind = docs.schema[key].dataType.simpleString()
-    sent = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), "held_out", text)
-    sent = sent.mapInArrow(spread, f"part bigint, row bigint, key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rows binary, sizes binary, words binary")
-    own = words.withColumn("part", F.crc32("word") % F.lit(parts))
-    sums = own.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(looked_up, f"row bigint, key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
-    out = sums.groupBy("row").agg(F.max("key").alias(key), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return out.select(key, "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        if part[0].as_py() < parts:
+            keys = np.concatenate([unplaned(k.as_buffer(), "<u8") for k in have["keys"]]) if len(have) else np.zeros(0, np.uint64)
+            n = np.concatenate([unplaned(c.as_buffer(), "<i8") for c in have["counts"]]) if len(have) else np.zeros(0, np.int64)
+            logs = np.append(m.logs(keys, n) if len(keys) else [], 0.0)
+        else:
+            keys, n = have["h"].to_numpy().view(np.uint64), have["c"].to_numpy()
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            logs = np.append(m.rare_logs(keys, n), m.rare_logs(np.zeros(1, np.uint64), np.zeros(1)))
+            ones = m.add_one(np.append(n, 0))
+        out: dict[str, list] = {"own": [], "known": [], "base": [], "score": []}
+        for own, ask in zip(sent["own"], sent["asked"], strict=True):
+            if not own.is_valid:
+                for c in ("own", "known", "base", "score"):
+                    out[c].append(None)
+                continue
+            own, ask = unplaned(own.as_buffer(), "<u4"), unplaned(ask.as_buffer(), "<u8")
+            at = np.searchsorted(keys, ask)
+            if len(keys):
+                at[(keys[np.minimum(at, len(keys) - 1)] != ask)] = len(keys)
+            value = logs[at]
+            if part[0].as_py() < parts:
+                own, value = own[at < len(keys)], value[at < len(keys)]
+            who, back = np.unique(own, return_inverse=True)
+            out["own"].append(planes(who))
+            out["score"].append(planes(np.bincount(back, value, minlength=len(who)).astype(np.float32)))
+            rare = part[0].as_py() >= parts
+            out["known"].append(planes(np.bincount(back, at < len(keys), minlength=len(who)).astype(np.uint32)) if rare else None)
+            out["base"].append(planes(np.bincount(back, ones[at], minlength=len(who))) if rare else None)
+        return pa.table({"win": sent["win"], **{c: pa.array(out[c], pa.binary()) for c in out}, "docs": sent["docs"]})
+
+    def summed(key: tuple, t: pa.Table) -> pa.Table:
+        rows = pa.concat_arrays([d.values for d in t["docs"] if d.is_valid])
+        known, base, score_ = (rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_known", "base", "score"))
+        for own, k, b, s in zip(*(t[c] for c in ("own", "known", "base", "score")), strict=True):
+            if own.is_valid:
+                own = unplaned(own.as_buffer(), "<u4")
+                score_[own] += unplaned(s.as_buffer(), "<f4")
+                if k.is_valid:
+                    known[own] += unplaned(k.as_buffer(), "<u4")
+                    base[own] += unplaned(b.as_buffer(), "<f8")
+        return pa.table([rows.field("key"), rows.field("held_out"), rows.field("n_tokens"), pa.array(known.astype(np.int64)), pa.array(np.full(len(rows), model_tokens)), pa.array(base), pa.array(score_)], [key_name, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    model_tokens, key_name = int(model.tokens), key
+    sent = docs.select(F.col(key).alias("key"), "held_out", text).mapInArrow(spread, f"part bigint, win bigint, own binary, asked binary, docs {told_sql}")
+    symbols = sc.broadcast(np.sort(model.symbols))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(0).to_numpy().view(np.uint64)
+            s = symbols.value
+            own = pa.array((s[np.minimum(np.searchsorted(s, h), len(s) - 1)] != h) if len(s) else np.ones(len(h), bool))
+            got = b.filter(own)
+            h = got.column(0).to_numpy().view(np.uint64)
+            none = pa.nulls(len(h), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(parts + (mixed(h) % np.uint64(word_parts)).astype(np.int64)), none, none, got.column(0), got.column(1)], ["part", "keys", "counts", "h", "c"])
+
+    own = words.select("h", "c").mapInArrow(dealt, "part bigint, keys binary, counts binary, h bigint, c bigint")
+    own = own.unionByName(pairs.select("part", "keys", "counts", F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("c")))
+    answers = own.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(answered, f"win bigint, own binary, known binary, base binary, score binary, docs {told_sql}")
+    return answers.groupBy("win").applyInArrow(summed, f"`{key}` {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text")
-    model, words = train(docs.filter(~F.col("held_out")).select("text"))
-    return score(docs, model, words)
+    return score(docs, *train(docs.filter(~F.col("held_out")).select("text")))

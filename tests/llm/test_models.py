@@ -128,69 +128,126 @@ def test_language_edges(spark):
 # 7: language model
 
 
-def test_spelling_is_a_distribution():
-    words = [b"aba", b"abb", b"b", b"", b"cab"]
-    keys, starts = lm.grams_of(words)
-    assert list(np.diff(np.append(starts, len(keys)))) == [4, 4, 2, 1, 4]
-    k, n = np.unique(keys, return_counts=True)
-    m = lm.spelling(k, n, 1)
-    # of any context, the chances of all bytes sum to one
-    for ctx in (b"", b"a", b"ab", b"zz"):
-        logs = []
-        for x in range(256):
-            ks, st = lm.grams_of([ctx + bytes([x])])
-            at = st[0] + len(ctx)
-            one = np.ones((1, lm.SAMPLES))
-            left = ks[at : at + 1]
-            for level in range(lm.CONTEXT, -1, -1):
-                key = left & ((1 << (8 * (level + 1))) - 1)
-                i = min(np.searchsorted(m.keys[level], key)[0], len(m.keys[level]) - 1)
-                if m.keys[level][i] == key[0]:
-                    one *= m.chance[level][i]
-                    break
-                c = min(np.searchsorted(m.contexts[level], key >> 8)[0], len(m.contexts[level]) - 1)
-                if m.contexts[level][c] == key[0] >> 8:
-                    one *= m.rest[level][c]
-            else:
-                one /= 256
-            logs.append(one)
-        assert np.allclose(np.sum(logs, 0), 1)
-
-
-def test_every_gram_counts(spark):
+def test_lookup():
     rng = np.random.default_rng(0)
-    letters = rng.integers(97, 123, (150_000, 6)).astype(np.uint8)
-    words = sorted({bytes(x) for x in letters})
-    d = spark.createDataFrame([(" ".join(w.decode() for w in words[i::50]),) for i in range(50)], "text string").repartition(4)
-    got = lm.gram_counts(lm.word_counts(d), "1")
-    keys, _ = lm.grams_of([*words, b""])
-    k, n = np.unique(keys, return_counts=True)
-    assert len(k) > 1 << 19
-    got = got.orderBy("k").toArrow()
-    assert (got["k"].to_numpy() == k).all() and (got["n"].to_numpy() == n).all()
-
-
-def test_parts_of_the_spelling(spark, monkeypatch):
-    monkeypatch.setattr(lm, "_PART_GRAMS", 100)
-    monkeypatch.setattr(lm, "FREQUENT", 50)
-    vocabulary = lm.word_counts(frame(spark, corpus(60)).select("text"))
-    rows = sorted((bytes(r.word), r.c) for r in vocabulary.collect())
-    words = [w for w, _ in rows]
-    grams = lm.gram_counts(vocabulary, "1")
-    k, n = np.unique(lm.grams_of(words)[0], return_counts=True)
-    got = {bytes(r.word): (r.c, r.base) for r in lm.bases(vocabulary, grams, lm.spelled(grams, 3)).collect()}
-    assert [(w, got[w][0]) for w in words] == rows and len(got) == len(rows)
-    parts, plain = np.array([got[w][1] for w in words]).mean(1), lm.spelling(k, n, 3).log10(words).mean(1)
-    assert abs(parts - plain).mean() < 0.1 and np.corrcoef(parts, plain)[0, 1] > 0.99
-
-
-def test_seating():
-    rng = np.random.default_rng(0)
-    c = np.array([0, 1, 2, 50, 5000] * 200, float)
-    t = lm.seated(c, np.full(len(c), 2.0), 0.0, rng)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) if n != 7 else np.arange(7, dtype=np.uint64)
+        look = lm.Lookup(keys)
+        assert (look(keys) == np.arange(len(keys))).all() and (look(rng.integers(1 << 20, 1 << 63, 1000).astype(np.uint64)) == -1).all()
+
+
+def test_planes():
+    for a in (np.arange(1000, dtype="<u8") ** 3, np.array([], "<u4"), np.array([1.5, -2.25])):
+        assert (lm.unplaned(lm.planes(a), a.dtype.str) == a).all()
+
+
+def test_log_gamma_ratio():
+    for x, w in ((1.6, 0.01), (3.0, 40.0), (31.5, 0.2), (2000.0, 900.0)):
+        assert lm._log_gamma_ratio(np.array([x]), np.array([w]))[0] == pytest.approx(math.lgamma(x) - math.lgamma(x + w), abs=1e-7)
+
+
+@pytest.mark.parametrize(("weight", "discount"), [(2.0, 0.0), (0.3, 0.6), (30.0, 0.5)])
+def test_seating(weight, discount):
+    c = np.array([0, 1, 2, 50, 5000] * 400, float)
+    t = lm.seated(np.arange(len(c)).astype(np.uint64), c, np.full(len(c), weight), discount, 1)
     assert (t[c == 0] == 0).all() and (t[c == 1] == 1).all() and (t <= c).all()
-    want = 1 + sum(2 / (2 + i) for i in range(1, 50))
-    assert abs(t[c == 50].mean() - want) < 1 and t[c == 5000].mean() > t[c == 50].mean() + 5
+    rng = np.random.default_rng(0)
+    for n in (2, 50, 5000):  # customers one by one
+        plain = np.ones(400)
+        for i in range(1, n):
+            plain += rng.random(400) < weight / (weight + i - discount * plain)
+        got = t[c == n]
+        assert abs(got.mean() - plain.mean()) < 5 * math.sqrt((got.var() + plain.var()) / 400 + 1e-9)
+        assert abs(got.std() - plain.std()) < 0.25 * plain.std() + 0.05
+    again = lm.seated(np.arange(len(c)).astype(np.uint64)[::-1], c[::-1], np.full(len(c), weight), discount, 1)[::-1]
+    assert (again == t).all()
+
+
+def tokens(text):
+    return [*(text or "").encode().lower().split(), b""]
+
+
+def trained(spark, monkeypatch, texts, frequent=40):
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "PAIRS", 60)
+    monkeypatch.setattr(lm, "_PART_TOKENS", 500)
+    monkeypatch.setattr(lm, "_PART_WORDS", 30)
+    monkeypatch.setattr(lm, "_COUNT_WINDOW", 3000)
+    monkeypatch.setattr(lm, "_SCORE_WINDOW", 2000)
+    return lm.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+
+
+def plain_model(model, texts):
+    """The model's probability of a word behind a word, from plain counts of the texts."""
+    place = {int(h): i for i, h in enumerate(model.symbols)}
+    rare = len(place)
+    hashed = lambda w: int(lm.token_hashes(w.decode())[0]) if w else int(lm._END)
+    symbol = lambda w: place.get(hashed(w), rare)
+    pairs, counts = Counter(), Counter()
+    for t in texts:
+        ws = tokens(t)
+        counts.update(ws)
+        pairs.update((symbol(u), symbol(w)) for u, w in zip([b"", *ws], ws, strict=False))
+    keys = np.array([(u << lm._BITS) | w for u, w in pairs], np.uint64)
+    u, w, c = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), np.array(list(pairs.values()))
+    mean = np.mean([lm.seated(keys, c, (lm.STRENGTH + model.discount * (s.tables[u] - 1)) * s.parent[w], model.discount, lm.BURN_IN + i) for i, s in enumerate(model.sweeps)], 0)
+    seats = dict(zip(pairs, zip(c, mean, strict=True), strict=True))
+    of, served = np.bincount(u, mean, minlength=rare + 1), np.bincount(u, c, minlength=rare + 1)
+    odd = [x for x in counts if symbol(x) == rare]
+    own = np.array([counts[x] for x in odd])
+    t = [lm.seated(np.array([hashed(x) for x in odd], np.uint64), own, np.full(len(odd), (1 + model.rare_discount * max(b - 1, 0)) / (len(odd) + 1)), model.rare_discount, lm.BURN_IN + i) for i, b in enumerate(model.rare_tables[:-1])]
+    t = np.mean(t, 0)
+    left = (1 + model.rare_discount * t.sum()) / (len(odd) + 1)
+    among = {x: (own[i] - model.rare_discount * t[i] + left) / (1 + own.sum()) for i, x in enumerate(odd)}
+
+    def chance(u, w):
+        a, b = symbol(u), symbol(w)
+        n, m = seats.get((a, b), (0, 0))
+        p = (n - model.discount * m + (1 + model.discount * of[a]) * model.parent[b]) / (1 + served[a])
+        return p * (among.get(w, left / (1 + own.sum())) if b == rare else 1)
+
+    return chance, counts
+
+
+@pytest.mark.parametrize("frequent", [40, 1 << 18])
+def test_scores_against_a_plain_model(spark, monkeypatch, frequent):
+    rows = corpus(50)
+    model, pairs, words = trained(spark, monkeypatch, [r[1] for r in rows], frequent)
+    chance, counts = plain_model(model, [r[1] for r in rows])
+    assert model.parent.sum() == pytest.approx(1, abs=1e-9)
+    for u in [b"", *list(counts)[:30], b"never seen"]:
+        assert sum(chance(u, w) for w in counts) + chance(u, b"another") == pytest.approx(1, abs=1e-9)
+    new = [(900, "never seen the words of this text", None, None, None), (None, "an er", None, None, None)]
+    d = frame(spark, [*rows, *new]).select("doc_id", F.lit(True).alias("held_out"), "text")
+    got = {r.doc_id: r.score for r in lm.score(d, model, pairs, words).collect()}
+    for i, t, *_ in [*rows, *new]:
+        ws = tokens(t)
+        assert got[i] == pytest.approx(sum(math.log10(chance(u, w)) for u, w in zip([b"", *ws], ws, strict=False)), rel=1e-5)
+    empty = lm.train(d.select("text").limit(0))
+    none = lm.score(d, *empty).collect()
+    assert len(none) == len(rows) + 2 and all(r.n_known == 0 and r.score == r.base_score == 0 for r in none) and empty[0].tokens == 0
+
+
+def test_batches_do_not_matter(spark, monkeypatch):
+    d = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", F.lit(False).alias("held_out"), "text")
+    sums = []
+    for rows, parts in (("7", 5), ("1000", 2)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        got = lm.score(d.repartition(parts), *lm.train(d.repartition(parts).select("text"))).collect()
+        sums.append({r.doc_id: r.score for r in got})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sums[0].keys() == sums[1].keys() and all(abs(sums[0][i] - sums[1][i]) < 1e-3 for i in sums[0])
+
+
+def test_word_order_counts(spark):
+    sf = "/root/testdata/sf0.01"
+    d = table(spark, sf, "documents").filter("size(split(text, ' ')) > 30")
+    model = lm.train(d.filter("doc_id % 7 <> 2").select("text"))
+    held = d.filter("doc_id % 7 = 2").select("doc_id", F.lit(True).alias("held_out"), "text")
+    mixed = held.withColumn("text", F.array_join(F.transform(F.array_sort(F.transform(F.split("text", r"\s+"), lambda w, i: F.struct(F.xxhash64(w, i).alias("h"), w.alias("w")))), lambda x: x.w), " "))
+    plain = {r.doc_id: r.score for r in lm.score(held, *model).collect()}
+    other = {r.doc_id: r.score for r in lm.score(mixed, *model).collect()}
+    assert np.mean([plain[i] > other[i] for i in plain]) > 0.95
 
 
 def test_scores_against_plain_counts(spark, tmp_path):
@@ -198,7 +255,6 @@ def test_scores_against_plain_counts(spark, tmp_path):
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = lm.op7_lm_scoring(spark, str(tmp_path)).collect()
     assert len(got) == len(rows)
-    tokens = lambda t: [*(t or "").encode().lower().split(), b""]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter(w for i, t, *_ in rows if not held(i) for w in tokens(t))
     n, v = sum(c.values()), len(c)
@@ -207,16 +263,19 @@ def test_scores_against_plain_counts(spark, tmp_path):
     assert all(r.score < 0 for r in got)
 
 
-def test_word_model_sums_to_one(spark):
-    d = frame(spark, corpus(40))
-    model, words = lm.train(d.select("text"))
-    got = words.toArrow()
-    p = 10 ** model.log10(*lm._numbers(got))
-    assert p.sum() + 10 ** model.unknown() == pytest.approx(1, abs=0.02)
-    empty, none = lm.train(d.select("text").limit(0))
-    assert empty.tokens == 0 and lm.score(d.select("doc_id", F.lit(False).alias("held_out"), "text"), empty, none).filter("n_known > 0").count() == 0
-
-
 def test_better_than_add_one_on_held_out(spark):
     got = lm.op7_lm_scoring(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got.s > got.b
+
+
+def test_better_than_words_alone(spark):
+    """The contexts tell more about held-out texts than the parent alone."""
+    sf = "/root/testdata/sf0.01"
+    d = table(spark, sf, "documents").select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).alias("held_out"), "text")
+    model, pairs, words = lm.train(d.filter("NOT held_out").select("text"))
+    held = d.filter("held_out")
+    whole = lm.score(held, model, pairs, words).agg(F.sum("score")).first()[0]
+    model.pair_keys, model.pair_logs = model.pair_keys[:0], model.pair_logs[:0]
+    model.tables, model.parent = np.full(len(model.tables), 1e9), np.append(model.counts[:-1], max(model.counts[-1], 1)) / max(model.tokens, 1)
+    alone = lm.score(held, model, pairs.limit(0), words).agg(F.sum("score")).first()[0]
+    assert whole > alone
