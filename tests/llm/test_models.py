@@ -276,6 +276,6 @@ def test_better_than_words_alone(spark):
     held = d.filter("held_out")
     whole = lm.score(held, model, pairs, words).agg(F.sum("score")).first()[0]
     model.pair_keys, model.pair_logs = model.pair_keys[:0], model.pair_logs[:0]
-    model.tables, model.parent = np.full(len(model.tables), 1e9), np.append(model.counts[:-1], max(model.counts[-1], 1)) / max(model.tokens, 1)
+    model.tables, model.parent = model.counts / model.discount, np.append(model.counts[:-1], max(model.counts[-1], 1)) / max(model.tokens, 1)
     alone = lm.score(held, model, pairs.limit(0), words).agg(F.sum("score")).first()[0]
     assert whole > alone
