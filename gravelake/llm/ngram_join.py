@@ -614,7 +614,8 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.
 e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n_shingles + ny.n_shingles - c)),
 both_ AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r AS (SELECT doc_id AS d, doc_id AS root FROM n UNION SELECT both_.y, r.root FROM r JOIN both_ ON both_.x = r.d)
-SELECT n.doc_id, n_shingles, component_id FROM n JOIN (SELECT d, min(root) AS component_id FROM r GROUP BY d) c ON c.d = n.doc_id"""
+SELECT n.doc_id, n_shingles, component_id, coalesce(k.n_links, 0) AS n_links FROM n JOIN (SELECT d, min(root) AS component_id FROM r GROUP BY d) c ON c.d = n.doc_id
+LEFT JOIN (SELECT x, count(*) AS n_links FROM both_ GROUP BY x) k ON k.x = n.doc_id"""
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
