@@ -149,32 +149,52 @@ def test_every_trusted_document_counts(spark):
 
 def sketch(text):
     w = split(text)
-    if not w:
-        return []
-    h = [hashlib.md5(" ".join(w[i : i + 5]).encode()).hexdigest()[:12] for i in range(max(1, len(w) - 4))]
-    kept = sorted({x for x in h if x < fingerprints.LIMIT})
-    return kept or [min(h)]
+    h = [hashlib.md5(" ".join(w[i : i + 5]).encode()).hexdigest()[:12] for i in range(max(1, len(w) - 4))] if w else []
+    return sorted({x for x in h if x < fingerprints.LIMIT})
+
+
+def printed(text):
+    w = split(text)
+    return "".join(sketch(text)) or ("-" + hashlib.md5(" ".join(w).encode()).hexdigest()[:12] if w else "")
 
 
 def near(a, b):
-    return 1.0 if not a and not b else len(set(a) & set(b)) / len(set(a) | set(b))
+    x, y = set(sketch(a)), set(sketch(b))
+    return len(x & y) / len(x | y) if x | y else float(printed(a) == printed(b))
 
 
 def test_fingerprints(spark, tmp_path):
     rows = corpus(40)
     rows += [(i * 5000 + 7, t, "en", "s", 0) for i, (_, t, *_) in enumerate(rows[:30])]  # ids with gaps: many blocks
     rows = sorted({r[0]: r for r in rows}.values())
-    frame(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, rows).withColumn("fp", F.lit("own")).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in fingerprints.op8_fingerprints(spark, str(tmp_path)).collect()}
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and any(r.fingerprint[:1] == "-" for r in got.values())
     for i, (k, t, *_) in enumerate(rows):
         t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
         q = len(t) // 4
         edited = t[: len(t) - q] + nxt[:q]
-        f = sketch(t)
         r = got[k]
-        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(f), "".join(sketch(edited)))
-        assert r.near_edited == pytest.approx(near(f, sketch(edited))) and r.near_next == pytest.approx(near(f, sketch(nxt)))
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), printed(t), printed(edited))
+        assert r.near_edited == pytest.approx(near(t, edited)) and r.near_next == pytest.approx(near(t, nxt))
+
+
+def test_sketches_merge_by_union(spark):
+    texts = [r[1] or "" for r in corpus(40)]
+    d = frame(spark, [(i % 3, t, None, None, None) for i, t in enumerate(texts)]).select(F.col("doc_id").alias("g"), F.expr(fingerprints.sketch("text")).alias("h"))
+    got = {r.g: r.h for r in fingerprints.merged(d, "g", "h").collect()}
+    for g in range(3):
+        shingles = {hashlib.md5(" ".join(w[i : i + 5]).encode()).hexdigest()[:12] for w in map(split, texts[g::3]) if w for i in range(max(1, len(w) - 4))}
+        assert got[g] == sorted(x for x in shingles if x < fingerprints.LIMIT)
+
+
+def test_fingerprint_query_edges(spark, tmp_path):
+    rows = [(None, "no id", None, None, None), (None, None, None, None, None), (4, "one two three four five six " * 3000, None, None, None), (4, "repeated id", None, None, None), (4, "repeated id", None, None, None)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = sorted((str(r.doc_id), r.n_chars) for r in fingerprints.op8_fingerprints(spark, f"{tmp_path}/a").collect())
+    assert got == sorted((str(i), len(t or "")) for i, t, *_ in rows)
+    frame(spark, []).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert fingerprints.op8_fingerprints(spark, f"{tmp_path}/b").count() == 0
 
 
 def test_fingerprint_edges(spark):
