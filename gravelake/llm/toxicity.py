@@ -6,13 +6,17 @@ that a later model sees them as wrong as they are on new texts; for new texts th
 on all folds, the chain running front to back.
 
 Features are the words of a text, and their beginnings of four and five letters, lower-cased and counted once
-a text. A feature is used if its shares of a category and of the rest differ by far more than by chance. They are
-counted, and the models fitted, on a bounded sample of the labelled rows (`ROWS` of each side, by hash);
+a text. A feature is used if its shares of a category and of the rest differ by five standard deviations
+(`STAND_OUT`) and at least four texts hold it (`SEEN`); of these, the 600 that differ most, for each category (`FEATURES`). The
+model of a fold chooses its features without the fold's rows, as it learns without them. Features are counted,
+and the models fitted, on a bounded sample of the labelled rows (5,000 of each side, by hash: `ROWS`);
 predictions read the whole text of every row.
 
 Results at the edges: a null or empty text has no features and gets the base probabilities; a category
 without positive or negative labels is never predicted (probability 0); rows with a null label or id train
-nothing; repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
+nothing; of several labels of one id a category holds if any says so, and of several texts of one id the one of the smallest
+hash trains; repeated rows get equal results; an empty table gives an empty result; other columns are ignored, and
+kept by the stage whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gravelake.llm.common import bounded_batches, staged, table
@@ -62,6 +67,13 @@ class Chain:
                 out[:, c] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         return out
 
+    def restricted(self, to: set[str]) -> Chain:
+        """The same chain without the features that only the models of folds used."""
+        own = sorted(to)
+        at = np.array([*[self.vocabulary[f] for f in own], *range(len(self.vocabulary), len(self.vocabulary) + len(self.categories))], np.int64)
+        weights = [None if w is None else np.append(w[at[: len(own) + c]], w[-1]) for c, w in enumerate(self.weights)]
+        return Chain(self.categories, {f: i for i, f in enumerate(own)}, weights)
+
     def hits(self, text: str | None) -> list[int]:
         words = set(_WORD.findall((text or "").lower()))
         get = self.vocabulary.get
@@ -85,9 +97,10 @@ def _fit(at: np.ndarray, of: np.ndarray, n: int, earlier: np.ndarray, y: np.ndar
     return w
 
 
-def fit(rows: list[tuple[int, list[int], list[float]]], categories: Sequence[str], vocabulary: dict[str, int], priors: Sequence[float], folds: int = FOLDS) -> Chain:
-    """rows: fold, feature numbers, labels in order of the categories."""
-    chain, n = Chain(list(categories), vocabulary), len(vocabulary)
+def fit(rows: list[tuple[int, list[int], list[float]]], categories: Sequence[str], vocabulary: dict[str, int], priors: Sequence[float], chosen: Sequence[set[int]]) -> Chain:
+    """rows: fold, feature numbers, labels in order of the categories. chosen: features of the model without each fold, and of the whole one."""
+    chain, n, folds = Chain(list(categories), vocabulary), len(vocabulary), len(chosen) - 1
+    used = np.array([[f in c for f in range(n)] for c in chosen], bool).reshape(folds + 1, n)
     fold = np.array([r[0] for r in rows])
     at = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     of = np.fromiter((i for r in rows for i in r[1]), np.int64)
@@ -102,14 +115,15 @@ def fit(rows: list[tuple[int, list[int], list[float]]], categories: Sequence[str
         out = np.zeros(len(rows))
         for k in range(folds):
             own, rest = np.flatnonzero(fold == k), fold != k
-            keep = rest[at]
+            keep, seen = rest[at] & used[k][of], ~rest[at] & used[k][of]
             renumbered = np.cumsum(rest) - 1
             if not len(own) or not 0 < y[rest].sum() < rest.sum():
                 continue
             w = _fit(renumbered[at[keep]], of[keep], n, earlier[rest], y[rest], prior)
-            z = np.bincount(at[~keep], w[of[~keep]], minlength=len(rows))[own] + earlier[own] @ w[n:-1] + w[-1]
+            z = np.bincount(at[seen], w[of[seen]], minlength=len(rows))[own] + earlier[own] @ w[n:-1] + w[-1]
             out[own] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        chain.weights.append(_fit(at, of, n, earlier, y, prior))
+        keep = used[folds][of]
+        chain.weights.append(_fit(at[keep], of[keep], n, earlier, y, prior))
         earlier = np.column_stack([earlier, out])
     return chain
 
@@ -118,64 +132,83 @@ def _picked(ids: DataFrame, rows: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("__id"), "__id").limit(rows)
 
 
+def _standing_out(counts: DataFrame, sizes: DataFrame, n: int) -> list[set[str]]:
+    """Features of the model without each fold, and of the whole one. counts: f, k (fold), n0.., n; sizes: k, n0.., n."""
+    every = counts.groupBy("f").agg(*[F.sum(F.when(F.col("k") == k, F.col(c))).alias(f"{c}_{k}") for k in range(FOLDS) for c in (*[f"n{i}" for i in range(n)], "n")])
+    every = every.na.fill(0)
+    total = {r.k: r for r in sizes.collect()}  # a row a fold
+    found = []
+    for without in range(FOLDS + 1):
+        folds = [k for k in range(FOLDS) if k != without]
+        sums = lambda c: sum((F.col(f"{c}_{k}") for k in folds), F.lit(0))  # noqa: B023, E731
+        size = sum(total[k].n for k in folds if k in total)
+        for i in range(n):
+            yes, share = float(sum(total[k][f"n{i}"] for k in folds if k in total)), sums("n") / max(size, 1)
+            spread = F.sqrt(share * (1 - share) * (1 / max(yes, 0.5) + 1 / max(size - yes, 0.5)))
+            apart = sums(f"n{i}") / max(yes, 0.5) - (sums("n") - sums(f"n{i}")) / max(size - yes, 0.5)
+            found.append(F.struct(F.lit(without).alias("without"), F.lit(i).alias("i"), F.abs(F.coalesce(F.try_divide(apart, spread), F.lit(0.0))).alias("s"), sums("n").alias("seen")))
+    rows = every.select("f", F.explode(F.array(*found)).alias("x")).select("f", "x.*").filter((F.col("s") >= STAND_OUT) & (F.col("seen") >= SEEN))
+    best = rows.withColumn("r", F.row_number().over(W.partitionBy("without", "i").orderBy(F.desc("s"), "f"))).filter(F.col("r") <= FEATURES)
+    chosen: list[set[str]] = [set() for _ in range(FOLDS + 1)]
+    for r in best.select("without", "f").collect():  # at most FEATURES a category and model
+        chosen[r.without].add(r.f)
+    return chosen
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", rows: int = ROWS) -> Chain:
     """categories: name and the condition on a row of `labels` under which it holds, in order of the chain."""
     names = list(categories)
-    lab = labels.filter(labels[key].isNotNull()).select(labels[key].alias("__id"), *[c.cast("int").alias(f"__y{i}") for i, c in enumerate(categories.values())]).dropna().dropDuplicates(["__id"])
-    total = lab.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"__y{i}").alias(f"p{i}") for i in range(len(names))]).first()
+    n = len(names)
+    lab = labels.filter(labels[key].isNotNull()).select(labels[key].alias("__id"), *[c.cast("int").alias(f"__y{i}") for i, c in enumerate(categories.values())]).dropna()
+    lab = lab.groupBy("__id").agg(*[F.max(f"__y{i}").alias(f"__y{i}") for i in range(n)])
+    total = lab.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"__y{i}").alias(f"p{i}") for i in range(n)]).first()
     if not total.n:
-        return Chain(names, {}, [None] * len(names))
-    some = " + ".join(f"__y{i}" for i in range(len(names)))
+        return Chain(names, {}, [None] * n)
+    some = " + ".join(f"__y{i}" for i in range(n))
     sample = _picked(lab.filter(f"{some} = 0"), rows)
-    for i in range(len(names)):
+    for i in range(n):
         sample = sample.unionByName(_picked(lab.filter(f"__y{i} = 1"), rows))
     sample = sample.dropDuplicates(["__id"])  # at most `rows` times categories and one
-    d = staged(docs.select(F.col(key).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(sample), "__id"))
-    n = len(names)
+    d = docs.select(F.col(key).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(sample), "__id")
+    d = d.groupBy("__id", *[f"__y{i}" for i in range(n)]).agg(F.min_by("__t", F.xxhash64("__t")).alias("__t"))
+    d = staged(d.select("__id", "__t", *[f"__y{i}" for i in range(n)], (F.crc32(F.col("__id").cast("string").cast("binary")) % FOLDS).cast("int").alias("k")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [Counter() for _ in range(n + 1)]
+        seen = [[Counter() for _ in range(n + 1)] for _ in range(FOLDS)]
         for b in batches:
             ys = [b.column(2 + i).to_pylist() for i in range(n)]
-            for k, t in enumerate(b.column(1).to_pylist()):
+            for j, (t, k) in enumerate(zip(b.column(1).to_pylist(), b.column(2 + n).to_pylist(), strict=True)):
                 found = features(t)
-                seen[n].update(found)
+                seen[k][n].update(found)
                 for i in range(n):
-                    if ys[i][k]:
-                        seen[i].update(found)
-        keys = list(seen[n])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([s[x] for x in keys], pa.int64()) for s in seen]], ["f", *[f"n{i}" for i in range(n)], "n"])
-
-    counts = d.mapInArrow(count, "f string, " + "".join(f"n{i} bigint, " for i in range(n)) + "n bigint").groupBy("f").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(n)], F.sum("n").alias("n"))
-    size = d.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"__y{i}").alias(f"p{i}") for i in range(n)]).first()
-    if not size.n:
-        return Chain(names, {}, [None] * n)
-    stands = []
-    for i in range(n):
-        yes, share = float(size[f"p{i}"] or 0), F.col("n") / float(size.n)
-        spread = F.sqrt(share * (1 - share) * (1 / max(yes, 0.5) + 1 / max(size.n - yes, 0.5)))
-        apart = F.col(f"n{i}") / max(yes, 0.5) - (F.col("n") - F.col(f"n{i}")) / max(size.n - yes, 0.5)
-        stands.append(F.coalesce(F.try_divide(apart, spread), F.lit(0.0)))
-    chosen: set[str] = set()
-    scored = counts.select("f", "n", *[F.abs(x).alias(f"s{i}") for i, x in enumerate(stands)])
-    for i in range(n):
-        best = scored.filter((F.col(f"s{i}") >= STAND_OUT) & (F.col("n") >= SEEN)).orderBy(F.desc(f"s{i}"), "f").limit(FEATURES)
-        chosen |= {r.f for r in best.collect()}
-    chain = Chain(names, {f: i for i, f in enumerate(sorted(chosen))})
+                    if ys[i][j]:
+                        seen[k][i].update(found)
+        for k, s in enumerate(seen):
+            keys = list(s[n])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([k] * len(keys), pa.int32()), *[pa.array([c[x] for x in keys], pa.int64()) for c in s]], ["f", "k", *[f"n{i}" for i in range(n)], "n"])
+
+    counts = d.mapInArrow(count, "f string, k int, " + "".join(f"n{i} bigint, " for i in range(n)) + "n bigint")
+    sizes = d.groupBy("k").agg(*[F.sum(f"__y{i}").alias(f"n{i}") for i in range(n)], F.count(F.lit(1)).alias("n"))
+    chosen = _standing_out(counts, sizes, n)
+    vocabulary = {f: i for i, f in enumerate(sorted(set().union(*chosen)))}
+    every = Chain(names, vocabulary)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([chain.hits(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32())), *b.columns[2:]], ["__id", "h", *[f"y{i}" for i in range(n)]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([every.hits(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32())), *b.columns[2:]], ["__id", "h", *[f"y{i}" for i in range(n)], "k"])
 
     kind = d.schema["__id"].dataType.simpleString()
-    got = d.mapInArrow(found, f"__id {kind}, h array<int>, " + ", ".join(f"y{i} int" for i in range(n))).withColumn("k", F.crc32(F.col("__id").cast("string").cast("binary")) % FOLDS)
-    data = sorted((r["__id"], r.k, r.h, [r[f"y{i}"] for i in range(n)]) for r in got.collect())
-    return fit([x[1:] for x in data], names, chain.vocabulary, [(total[f"p{i}"] or 0) / total.n for i in range(n)])
+    got = d.mapInArrow(found, f"__id {kind}, h array<int>, " + ", ".join(f"y{i} int" for i in range(n)) + ", k int")
+    data = sorted((r["__id"], r.k, r.h, [r[f"y{i}"] for i in range(n)]) for r in got.collect())  # a row an id of the sample
+    if not data:
+        return Chain(names, {}, [None] * n)
+    chain = fit([x[1:] for x in data], names, vocabulary, [(total[f"p{i}"] or 0) / total.n for i in range(n)], [{vocabulary[f] for f in c} for c in chosen])
+    return chain.restricted(chosen[FOLDS])
 
 
-def predict(df: DataFrame, chain: Chain, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+def predict(df: DataFrame, chain: Chain, keep: Sequence[str] = ("doc_id",), text: str = "text", prefix: str = "p_") -> DataFrame:
     """The kept columns and `p_<category>` for each category."""
-    at, names = len(keep), [f"p_{c}" for c in chain.categories]
+    at, names = len(keep), [f"{prefix}{c}" for c in chain.categories]
     read = list(keep).index(text) if text in keep else at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,5 +234,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic."""
-    scored = predict(docs, chain_of(spark, sf_dir, docs), keep=[*docs.columns], text="text")
-    return scored.filter(F.col("p_toxic") < THRESHOLD).select(*docs.columns)
+    prefix = "__p_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    scored = predict(docs, chain_of(spark, sf_dir, docs), keep=[*docs.columns], prefix=prefix)
+    return scored.filter(F.col(f"{prefix}toxic") < THRESHOLD).select(*docs.columns)

@@ -50,6 +50,55 @@ def test_toxic_stage_keeps_columns(spark):
     assert kept.columns == d.columns and 0.8 * d.count() < kept.count() < d.count()
 
 
+def test_toxic_edges(spark):
+    sf = "/root/testdata/sf0.001"
+    odd = [(1, None, None, None, None), (1, "", None, None, None), (None, "no id", None, None, None), (2, "a repeated row", None, None, None), (2, "a repeated row", None, None, None)]
+    d = frame(spark, odd).withColumn("p_toxic", F.lit(0.9)).withColumn("__p_toxic", F.lit(1.0))
+    kept = toxicity.stage(spark, d, sf)
+    assert kept.columns == d.columns and kept.count() == 5 and kept.filter("p_toxic = 0.9").count() == 5
+    assert toxicity.stage(spark, d.limit(0), sf).count() == 0
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(0, 1), (2, None)], "doc_id long, bad int")
+    docs = frame(spark, [(i % 40, "vile " * (i % 2) + f"w{i % 5}", None, None, None) for i in range(4000)])  # ids come again and again
+    chain = toxicity.train(docs, labels, {"bad": F.col("bad") == 1})
+    got = {r.doc_id: r.p_bad for r in toxicity.predict(docs.limit(40), chain).collect()}
+    assert all((got[i] > 0.5) == (i % 2 == 1) for i in range(1, 40))
+
+
+def test_features_are_chosen_in_the_fold(spark):
+    """A word that tells the category in one fold only is no feature of the model that predicts this fold."""
+    of = lambda i: zlib.crc32(str(i).encode()) % toxicity.FOLDS
+    rows = [(i, "plain words " + ("foul " if i % 2 else "") + ("only " if i % 2 and of(i) == 1 else ""), None, None, None) for i in range(400)]
+    d = frame(spark, rows).withColumn("k", F.crc32(F.col("doc_id").cast("string").cast("binary")) % toxicity.FOLDS)
+    words_ = d.select("k", (F.col("doc_id") % 2).alias("y"), F.explode(F.array_distinct(F.split("text", " "))).alias("f")).groupBy("f", "k").agg(F.sum("y").alias("n0"), F.count(F.lit(1)).alias("n"))
+    sizes = d.groupBy("k").agg(F.sum(F.col("doc_id") % 2).alias("n0"), F.count(F.lit(1)).alias("n"))
+    chosen = toxicity._standing_out(words_, sizes, 1)
+    assert [("foul" in c, "only" in c) for c in chosen] == [(True, True), (True, False), (True, True), (True, True), (True, True)]
+
+
+def test_chain_against_plain_fits():
+    """Out-of-fold probabilities and the chain's weights equal those of plain fits, fold by fold."""
+    rng = np.random.default_rng(5)
+    rows = [(i % 4, sorted({int(x) for x in rng.integers(0, 6, 3)}), [float(i % 3 == 0), float(i % 2)]) for i in range(80)]
+    chosen = [{0, 1, 2, 3, 4}, {1, 2, 3, 4, 5}, {0, 2, 4}, {0, 1, 5}, {0, 1, 2, 3}]
+    got = toxicity.fit(rows, ["a", "b"], {f"f{i}": i for i in range(6)}, [0.4, 0.5], chosen)
+
+    def plain(own, use, earlier, c, prior):
+        at = np.array([j for j, i in enumerate(own) for f in rows[i][1] if f in use], np.int64)
+        of = np.array([f for i in own for f in rows[i][1] if f in use], np.int64)
+        return toxicity._fit(at, of, 6, earlier[own], np.array([rows[i][2][c] for i in own]), prior)
+
+    earlier = np.zeros((80, 0))
+    for c, prior in enumerate((0.4, 0.5)):
+        assert np.allclose(got.weights[c], plain(list(range(80)), chosen[4], earlier, c, prior))
+        out = np.zeros(80)
+        for k in range(4):
+            w = plain([i for i in range(80) if rows[i][0] != k], chosen[k], earlier, c, prior)
+            for i in range(80):
+                if rows[i][0] == k:
+                    out[i] = 1 / (1 + math.exp(-(sum(w[f] for f in rows[i][1] if f in chosen[k]) + earlier[i] @ w[6:-1] + w[-1])))
+        earlier = np.column_stack([earlier, out])
+
+
 # 4: language
 
 
@@ -141,13 +190,9 @@ def test_planes():
         assert (lm.unplaned(lm.planes(a), a.dtype.str) == a).all()
 
 
-def test_log_gamma_ratio():
-    for x, w in ((1.6, 0.01), (3.0, 40.0), (31.5, 0.2), (2000.0, 900.0)):
-        assert lm._log_gamma_ratio(np.array([x]), np.array([w]))[0] == pytest.approx(math.lgamma(x) - math.lgamma(x + w), abs=1e-7)
-
-
 @pytest.mark.parametrize(("weight", "discount"), [(2.0, 0.0), (0.3, 0.6), (30.0, 0.5)])
-def test_seating(weight, discount):
+def test_seating(monkeypatch, weight, discount):
+    monkeypatch.setattr(lm, "_AT_ONCE", 3000)
     c = np.array([0, 1, 2, 50, 5000] * 400, float)
     t = lm.seated(np.arange(len(c)).astype(np.uint64), c, np.full(len(c), weight), discount, 1)
     assert (t[c == 0] == 0).all() and (t[c == 1] == 1).all() and (t <= c).all()
@@ -177,7 +222,7 @@ def trained(spark, monkeypatch, texts, frequent=40):
     return lm.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
 
 
-def plain_model(model, texts):
+def plain_model(model, tables, texts):
     """The model's probability of a word behind a word, from plain counts of the texts."""
     place = {int(h): i for i, h in enumerate(model.symbols)}
     rare = len(place)
@@ -190,7 +235,8 @@ def plain_model(model, texts):
         pairs.update((symbol(u), symbol(w)) for u, w in zip([b"", *ws], ws, strict=False))
     keys = np.array([(u << lm._BITS) | w for u, w in pairs], np.uint64)
     u, w, c = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), np.array(list(pairs.values()))
-    mean = np.mean([lm.seated(keys, c, (lm.STRENGTH + model.discount * (s.tables[u] - 1)) * s.parent[w], model.discount, lm.BURN_IN + i) for i, s in enumerate(model.sweeps)], 0)
+    mean = np.array([tables[int(x)] for x in keys]) / lm.SAMPLES
+    assert (mean >= 1).all() and (mean <= c).all() and (mean[c == 1] == 1).all()
     seats = dict(zip(pairs, zip(c, mean, strict=True), strict=True))
     of, served = np.bincount(u, mean, minlength=rare + 1), np.bincount(u, c, minlength=rare + 1)
     odd = [x for x in counts if symbol(x) == rare]
@@ -213,7 +259,8 @@ def plain_model(model, texts):
 def test_scores_against_a_plain_model(spark, monkeypatch, frequent):
     rows = corpus(50)
     model, pairs, words = trained(spark, monkeypatch, [r[1] for r in rows], frequent)
-    chance, counts = plain_model(model, [r[1] for r in rows])
+    told = [[lm.unplaned(r[c], "<u8").tolist() for c in ("keys", "counts", "tables")] for r in pairs.collect()]
+    chance, counts = plain_model(model, {k: t for ks, _, ts in told for k, t in zip(ks, ts, strict=True)}, [r[1] for r in rows])
     assert model.parent.sum() == pytest.approx(1, abs=1e-9)
     for u in [b"", *list(counts)[:30], b"never seen"]:
         assert sum(chance(u, w) for w in counts) + chance(u, b"another") == pytest.approx(1, abs=1e-9)
