@@ -7,8 +7,8 @@ spliced from two or three languages, so that the model learns how rarely a text
 gives each word's label probabilities, whichever language its neighbours speak; a document's probabilities
 are their means over its words, and its language is the most probable one.
 
-The model is fitted on a bounded sample: `DOCS` documents of each language, by hash, a window of `WINDOW`
-characters at a hashed place from each; of these windows the field sees `SEQUENCES` sequences. Predictions read
+The model is fitted on a bounded sample: `DOCS` documents of each language, by hash, and `SPANS` spans of up to `SPAN` words
+at drawn places anywhere in the whole text of each; of these the field sees `SEQUENCES` sequences. Predictions read
 every letter of every text. A run of more than 24 letters is cut into slices of 12 to 24, each labelled as a word is:
 neighbours overlap so that every bigram and trigram of the run counts once, and only the run's own ends have affixes.
 
@@ -33,7 +33,8 @@ from gravelake.llm.common import bounded_batches, table
 
 UNKNOWN = "und"
 DOCS = 250
-WINDOW = 3_000
+SPANS = 24
+SPAN = 40
 SEQUENCES = 3_000
 BUCKETS = 1 << 16
 _WIDTH = 24
@@ -168,13 +169,27 @@ def _sequences(docs: list[tuple[int, list[str]]], rng: np.random.Generator, n: i
     return out
 
 
+def spans(text: str | None, seed: int) -> list[list[str]]:
+    """The words of drawn spans of a text: all of it, or `SPANS` spans of `SPAN` words that may start anywhere."""
+    ws = words(text)
+    if len(ws) <= SPAN:
+        return [ws] if ws else []
+    starts = np.random.default_rng(seed).integers(0, len(ws) - SPAN + 1, SPANS)
+    return [ws[a : a + SPAN] for a in starts.tolist()]
+
+
 def fit(docs: list[tuple[str, str]], sequences: int = SEQUENCES, batch: int = 100, epochs: int = 4, seed: int = 7) -> Field:
     """docs: language and text."""
+    return fit_spans([(lang, words(text)) for lang, text in docs], sequences, batch, epochs, seed)
+
+
+def fit_spans(docs: list[tuple[str, list[str]]], sequences: int = SEQUENCES, batch: int = 100, epochs: int = 4, seed: int = 7) -> Field:
+    """docs: language and words."""
     languages = sorted({lang for lang, _ in docs})
     k = len(languages)
     field = Field(languages, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k)))
     rng = np.random.default_rng(seed)
-    seqs = _sequences([(languages.index(lang), words(text)) for lang, text in docs], rng, sequences) if any(words(t) for _, t in docs) else []
+    seqs = _sequences([(languages.index(lang), ws) for lang, ws in docs], rng, sequences) if any(ws for _, ws in docs) else []
     if k < 2 or not seqs:
         return field
     vocabulary = sorted({w for ws, _ in seqs for w in ws})
@@ -213,14 +228,22 @@ def fit(docs: list[tuple[str, str]], sequences: int = SEQUENCES, batch: int = 10
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = DOCS) -> Field:
-    """A model from documents with a language: a hashed sample of each, a window of each document."""
+    """A model from documents with a language: a hashed sample of each, and spans of each document."""
     d = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("y"), F.col(text).alias("t"))
     d = d.withColumn("h", F.xxhash64("k"))
-    ids = d.select("k", "y", "h").withColumn("r", F.row_number().over(W.partitionBy("y").orderBy("h", "k"))).filter(F.col("r") <= per_language)
-    ids = ids.select("k", "y").distinct()
-    window = F.expr(f"substring(t, 1 + cast(pmod(h, greatest(length(t) - {WINDOW}, 0) + 1) AS int), {WINDOW})")
-    rows = d.join(F.broadcast(ids), ["k", "y"]).select("k", "y", window.alias("t")).collect()  # per_language rows of WINDOW characters a language
-    return fit([(r.y, r.t) for r in sorted(rows, key=lambda r: (str(r.k), r.t))])
+    ids = d.select("k", "y", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("y").orderBy("h", "k"))).filter(F.col("r") <= per_language)
+    rows = d.join(F.broadcast(ids.select("k", "y")), ["k", "y"]).groupBy("k", "y", "h").agg(F.min_by("t", F.xxhash64("t")).alias("t"))  # one text an id
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(y, h, spans(t, h & 0xFFFFFFFF)) for y, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            flat = [(y, h, i, ws) for y, h, s in found for i, ws in enumerate(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string())))], ["y", "h", "i", "w"])
+
+    drawn = rows.select("y", "h", "t").mapInArrow(run, "y string, h bigint, i int, w array<string>").collect()  # per_language times SPANS rows a language
+    known = {r.y for r in ids.select("y").distinct().collect()}
+    empty = [(y, []) for y in sorted(known - {r.y for r in drawn})]
+    return fit_spans(empty + [(r.y, r.w) for r in sorted(drawn, key=lambda r: (r.y, r.h, r.i))])
 
 
 def predict(df: DataFrame, model: Field, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:

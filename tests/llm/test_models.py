@@ -154,6 +154,25 @@ def test_long_runs_are_read_whole():
     assert len(whole) == 101 + 100 + len(parts) + 6  # bigrams, trigrams, slices, affixes of the run's own ends
 
 
+def test_spans_come_from_the_whole_text():
+    text = " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000]}" for i in range(9000))
+    ws = langid.words(text)
+    at = {w: i for i, w in enumerate(ws)}
+    got = [at[s[0]] for seed in range(40) for s in langid.spans(text, seed)]
+    assert len(got) == 40 * langid.SPANS and min(got) < 100 and max(got) > 8800
+    assert all(s == ws[at[s[0]] : at[s[0]] + langid.SPAN] for s in langid.spans(text, 1))
+    assert langid.spans("a b", 1) == [["a", "b"]] and langid.spans("12", 1) == langid.spans(None, 1) == []
+
+
+def test_late_words_train(spark):
+    """What only the ends of long texts hold is learned."""
+    junk = " ".join(f"q{'abcdefghij'[i % 10]}" for i in range(1500))
+    d = frame(spark, [(i, junk + (" zorg blag krunt" if i % 2 else " aiou ouei iaea") * 400, "xx" if i % 2 else "yy", None, None) for i in range(40)])
+    m = langid.train(d)
+    odd = frame(spark, [(1, "zorg krunt blag", None, None, None), (2, "iaea aiou", None, None, None)])
+    assert [r.lang_pred for r in langid.predict(odd, m).orderBy("doc_id").collect()] == ["xx", "yy"]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = langid.op4_language(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").collect()
