@@ -32,21 +32,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; a local one only where none is configured and all run in one process."""
     where = spark.conf.get(SHARED_DIR, None)
     if not where:
-        where = tempfile.mkdtemp(prefix="gravelake-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.conf.set(SHARED_DIR, where)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SHARED_DIR} must name a folder that the driver and all executors share")
+        where = _local.get(spark.sparkContext.applicationId)
+        if where is None:
+            where = _local[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="gravelake-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
     return where.rstrip("/")
 
 
+_local: dict[str, str] = {}
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
     bounded_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstaged(*dfs: DataFrame | None) -> None:
+    """Remove the tables of these staged frames, which nothing may read any more."""
+    for df in dfs:
+        path = getattr(df, "staged_at", None)
+        if path:
+            jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
 
 
 def literal_array(values: Sequence, kind: str) -> Column:

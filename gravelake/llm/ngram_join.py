@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from gravelake.llm.common import staged, table
+from gravelake.llm.common import staged, table, unstaged
 
 SHINGLE = 5
 _FREQUENT = 1 << 18
@@ -456,8 +456,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = staged(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
+        unstaged(e)
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = staged(small.filter("u <> v").distinct())
+        unstaged(large)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -574,12 +576,15 @@ def similar_sets(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame,
     cluster = components(star).withColumnsRenamed({"id": "did", "component": "cluster"})
     cluster = staged(cluster.unionByName(cluster.select(F.col("cluster").alias("did"), "cluster").distinct()))
     at = lambda x: cluster.select(F.col("did").alias(x), F.col("cluster").alias(f"c{x}"))
+    unstaged(got)
     apart = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter("NOT coalesce(ca = cb, false)").select("a", "b")
     close = staged(close_enough(apart, found.filter("did IS NOT NULL").select("did", "n_shingles", "sketch").dropDuplicates(["did"])))
     asked = close.select(F.explode(F.array("a", "b")).alias("did")).unionByName(cluster.select("did")).distinct()
     shingled = shingle_table(docs, staged(asked.join(reps.select("did", "id"), "did")))
+    unstaged(pairs)
     links = staged(verified(close, shingled))
     inside = staged(linked_in_blocks(cluster, reps, shingled))
+    unstaged(shingled, close)
     comp = components(links.unionByName(inside.filter("b IS NOT NULL").select("a", "b")))
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(reps.select(F.col("did").alias("b"), F.col("copies").alias("n")), "b")
     degree = ends.select("a", "n").unionByName(inside.filter("b IS NULL").select("a", "n")).groupBy(F.col("a").alias("did")).agg(F.sum("n").alias("links"))

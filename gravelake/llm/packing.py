@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gravelake.llm.common import staged, table
+from gravelake.llm.common import staged, table, unstaged
 
 CAPACITY = 2048
 _SALTED = 2_000
@@ -164,6 +164,7 @@ def best_fit(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACI
     """Pairs of runs, from the number of pieces of each length: length, rank (first), n (pieces), first (sequence), each (pieces a sequence), used (first offset)."""
     if counts and not 0 < min(counts) <= max(counts) <= capacity:
         raise ValueError("a piece is empty or longer than a sequence")
+    last = None
     state, opened, top, widest = spark.createDataFrame([], _STATE), 0, capacity, 0
     while top:
         low = top // 2 + 1
@@ -178,7 +179,9 @@ def best_fit(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACI
                 state, new = state.unionByName(spark.createDataFrame(new, _STATE)), []
             for _ in range(_SWEEPS):
                 state = swept(state, capacity)
-            state = staged(state)
+            before, last = last, staged(state)
+            state = last
+            unstaged(before)
             piece, gap = F.when(F.col("kind") == PIECE, F.col("size")), F.when(F.col("kind") == GAP, F.col("size"))
             left, least, widest = (x or 0 for x in state.agg(F.sum(piece * F.col("n")), F.min(piece), F.max(gap)).first())
     return state.filter(f"kind = {PAIR}").select(F.col("size").alias("length"), "rank", "n", "first", "each", "used")

@@ -201,3 +201,14 @@ def test_clashing_columns(spark, extra):
     assert ngram_join.stage(spark, d, "").columns == d.columns
     assert packing.pack(d).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert langid.stage(spark, d, "").columns == d.columns
+
+
+def test_staged_tables_go(spark, tmp_path):
+    import os
+
+    from gravelake.llm.common import shared_dir, staged, unstaged
+
+    d = staged(frame(spark, corpus(3)))
+    assert d.count() and os.path.isdir(d.staged_at) and d.staged_at.startswith(shared_dir(spark))
+    unstaged(d, None)
+    assert not os.path.exists(d.staged_at)
