@@ -10,8 +10,7 @@ unknown word alike. So the probabilities of all words of the vocabulary and of t
 Seating follows the Chinese restaurant process. Gibbs sweeps reseat every dish given the tables of the others as
 of the sweep before, in the contexts and then in their parent; the first sweeps are dropped, and over the others the
 tables of a dish and the parent's probabilities are averaged. The draws of a dish come from hashes of its name and
-the number of the sweep, so they depend on nothing else. A dish's first 32 customers are seated one by one; later
-ones by the exact distance to the next that opens a table.
+the number of the sweep, so they depend on nothing else, and every customer is seated, however many a dish has.
 
 Every token, every pair of symbols and every word is counted. Pairs are dealt to parts by their first symbol and a block of the
 second, rare words by hash, and neither is ever held in one place; a pair that is very frequent is summed before it is
@@ -38,19 +37,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh3_64_intdigest
 
-from gravelake.llm.common import staged, table
+from gravelake.llm.common import staged, table, unstaged
 
 FREQUENT = 1 << 18
 PAIRS = 1 << 19
 SAMPLES = 3
 BURN_IN = 2
 STRENGTH = 1.0
-_ONE_BY_ONE = 32
-_PART_TOKENS = 2_000_000
-_PART_WORDS = 300_000
-_COUNT_WINDOW = 3_000_000
-_SCORE_WINDOW = 1_000_000
-_STEP_WORDS = 250_000
+_AT_ONCE = 200_000
+_PART_TOKENS = 1_200_000
+_PART_WORDS = 150_000
+_COUNT_WINDOW = 1_500_000
+_SCORE_WINDOW = 600_000
+_STEP_WORDS = 100_000
 _SLICES = 16
 _BITS = 20
 _BLOCK = 11
@@ -114,45 +113,50 @@ class Lookup:
         return out
 
 
-def _log_gamma_ratio(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """log of gamma(x) / gamma(x + w), for positive x."""
-
-    def log_gamma(y: np.ndarray) -> np.ndarray:
-        up = np.zeros_like(y)
-        for i in range(8):
-            up += np.log(y + i)
-        y = y + 8
-        return (y - 0.5) * np.log(y) - y + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - up
-
-    return log_gamma(x) - log_gamma(x + w)
+def _opened(names: np.ndarray, first: np.ndarray, n: np.ndarray, tables: np.ndarray, new: np.ndarray, discount: float, sweep: int) -> np.ndarray:
+    """Tables that the next n customers of each dish open, the first of them coming to `first` seated ones at `tables`.
+
+    All customers are drawn at once: one opens a table if the dish has more tables by then than the draw allows. Starting from
+    the least number that there can be, the tables before each customer are counted until no count changes,
+    which is the result of seating them one by one.
+    """
+    out = np.zeros(len(n))
+    dish = np.arange(len(n))
+    owner = np.repeat(dish, n)
+    starts = np.cumsum(n) - n
+    seen = np.arange(len(owner)) - np.repeat(starts, n) + first[owner]
+    drawn = mixed(mixed(names + np.uint64((int(_A) * (sweep + 1)) & 0xFFFFFFFFFFFFFFFF))[owner] + seen.astype(np.uint64) * _B)
+    drawn = np.maximum(drawn.astype(float) / 2.0**64, 1e-18)
+    w = new[owner]
+    least = (drawn * (w + seen) - w) / (drawn * discount) if discount else np.where(drawn * (w + seen) < w, -1.0, np.inf)
+    before = tables[owner]
+    while len(dish):
+        opens = least < before
+        count = np.add.reduceat(opens, starts, dtype=np.int64)
+        above = np.cumsum(opens) - opens
+        now = above - np.repeat(above[starts], n[dish]) + tables[dish].repeat(n[dish])
+        change = np.logical_or.reduceat(now != before, starts)
+        out[dish[~change]] = count[~change]
+        keep = np.repeat(change, n[dish])
+        dish, least, before = dish[change], least[keep], now[keep]
+        starts = np.cumsum(n[dish]) - n[dish]
+    return out
 
 
 def seated(names: np.ndarray, customers: np.ndarray, new: np.ndarray, discount: float, sweep: int) -> np.ndarray:
     """Number of tables of dishes with so many customers; new: the weight of a new table."""
     tables = (customers > 0).astype(float)
-    drawn = lambda rows, i: mixed(names[rows] + np.uint64((int(_A) * (sweep * 1_000_003 + i)) & 0xFFFFFFFFFFFFFFFF)).astype(float) / 2.0**64
-    more = np.flatnonzero(customers > 1)
-    for i in range(1, _ONE_BY_ONE):
-        if not len(more):
-            return tables
-        w = new[more]
-        tables[more] += drawn(more, i) * (w + i - discount * tables[more]) < w
-        more = more[customers[more] > i + 1]
-    at, turn = np.full(len(more), float(_ONE_BY_ONE)), _ONE_BY_ONE
-    while len(more):
-        w, drop = new[more], discount * tables[more]
-        goal = _log_gamma_ratio(at - drop, w) + np.log(np.maximum(drawn(more, turn), 1e-300))
-        none = _log_gamma_ratio(customers[more] - drop, w) > goal  # no later customer opens a table
-        more, at, w, drop, goal = (x[~none] for x in (more, at, w, drop, goal))
-        lo, hi = at + 1 - drop, customers[more] - drop
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            high = _log_gamma_ratio(mid, w) > goal
-            lo, hi = np.where(high, mid, lo), np.where(high, hi, mid)
-        tables[more] += 1
-        at, turn = np.maximum(np.ceil(hi + drop - 1e-6), at + 1), turn + 1
-        still = at < customers[more]
-        more, at = more[still], at[still]
+    left = np.maximum(customers.astype(np.int64) - 1, 0)
+    more = np.flatnonzero(left)
+    while len(more):  # dishes with more customers than fit come again
+        some = np.minimum(left[more], _AT_ONCE)
+        group = np.cumsum(some) // _AT_ONCE
+        cuts = np.flatnonzero(np.diff(group, prepend=-1))
+        for a, z in zip(cuts, [*cuts[1:], len(more)], strict=True):
+            at, n = more[a:z], some[a:z]
+            tables[at] += _opened(names[at], customers[at].astype(np.int64) - left[at], n, tables[at], new[at], discount, sweep)
+        left[more] -= some
+        more = more[left[more] > 0]
     return tables
 
 
@@ -179,21 +183,16 @@ class Model:
     rare_words: int = 0
     discount: float = 0.5
     rare_discount: float = 0.5
-    sweeps: list[Sweep] = field(default_factory=list)  # those before each that is averaged
-    rare_tables: list[float] = field(default_factory=list)  # likewise, and then the mean of the sampled ones
+    rare_tables: list[float] = field(default_factory=list)  # of the restaurant of rare words before each sweep that is averaged, and then their mean after it
     tables: np.ndarray | None = None
     parent: np.ndarray | None = None
     pair_keys: np.ndarray | None = None
     pair_logs: np.ndarray | None = None
 
-    def mean_tables(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def logs(self, keys: np.ndarray, counts: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """By how much a pair that was seen is more probable (log10) than its symbols apart; tables: the mean ones."""
         u, w = (keys >> np.uint64(_BITS)).astype(np.int64), (keys & _LOW).astype(np.int64)
-        return np.mean([pair_tables(keys, u, w, counts, s, self.discount, BURN_IN + i) for i, s in enumerate(self.sweeps)], 0)
-
-    def logs(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """By how much a pair that was seen is more probable (log10) than its symbols apart."""
-        u, w = (keys >> np.uint64(_BITS)).astype(np.int64), (keys & _LOW).astype(np.int64)
-        own = np.maximum(counts - self.discount * self.mean_tables(keys, counts), 0)
+        own = np.maximum(counts - self.discount * tables, 0)
         return np.log10(1 + own / ((STRENGTH + self.discount * self.tables[u]) * self.parent[w]))
 
     def apart(self) -> np.ndarray:
@@ -211,8 +210,13 @@ class Model:
         return np.log10((counts + 1) / (self.tokens + self.words + 1))
 
 
-def pair_tables(keys: np.ndarray, u: np.ndarray, w: np.ndarray, counts: np.ndarray, before: Sweep, discount: float, sweep: int) -> np.ndarray:
-    return seated(keys, counts, (STRENGTH + discount * (before.tables[u] - 1)) * before.parent[w], discount, sweep)
+def pair_tables(keys: np.ndarray, counts: np.ndarray, before: Sweep, discount: float, sweep: int) -> np.ndarray:
+    out = np.empty(len(keys), np.int64)
+    for a in range(0, len(keys), _AT_ONCE):
+        k = keys[a : a + _AT_ONCE]
+        weight = (STRENGTH + discount * (before.tables[(k >> np.uint64(_BITS)).astype(np.int64)] - 1)) * before.parent[(k & _LOW).astype(np.int64)]
+        out[a : a + _AT_ONCE] = seated(k, counts[a : a + _AT_ONCE], weight, discount, sweep)
+    return out
 
 
 def rare_tables(hashes: np.ndarray, counts: np.ndarray, before: float, model: Model, sweep: int) -> np.ndarray:
@@ -383,21 +387,21 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     state = Sweep(tables, own)
     rare = float(model.rare_words)
     kept: list[tuple[np.ndarray, np.ndarray]] = []
+    sampled: list[Sweep] = []
     rare_words = words.filter(F.col("c") <= (int(counts[-1]) if model.rare_words else 0))
     frequent = sc.broadcast(symbols)
     for sweep in range(BURN_IN + SAMPLES):
         if sweep >= BURN_IN:
-            model.sweeps.append(state)
+            sampled.append(state)
             model.rare_tables.append(rare)
         shared = sc.broadcast((state, model.discount))
 
         def reseat(batches: Iterator[pa.RecordBatch], total: np.ndarray, shared=shared, sweep=sweep) -> None:
             before, discount = shared.value
             for keys, n in _parts_of(batches):
-                u, w = (keys >> np.uint64(_BITS)).astype(np.int64), (keys & _LOW).astype(np.int64)
-                t = pair_tables(keys, u, w, n, before, discount, sweep)
-                total[0] += np.bincount(u, t, minlength=k)
-                total[1] += np.bincount(w, t, minlength=k)
+                t = pair_tables(keys, n, before, discount, sweep)
+                total[0] += np.bincount((keys >> np.uint64(_BITS)).astype(np.int64), t, minlength=k)
+                total[1] += np.bincount((keys & _LOW).astype(np.int64), t, minlength=k)
 
         def reseat_rare(batches: Iterator[pa.RecordBatch], total: np.ndarray, rare=rare, sweep=sweep, bare=Model(0, 0, symbols[:0], symbols[:0], model.rare_words, rare_discount=model.rare_discount)) -> None:
             lookup = Lookup(frequent.value)
@@ -414,14 +418,27 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
             kept.append((tables, own))
     model.tables, model.parent = np.mean([x[0] for x in kept], 0), np.mean([x[1] for x in kept], 0)
     model.rare_tables.append(float(np.mean([*model.rare_tables[1:], rare])))
-    shared_model = sc.broadcast(model)
+    shared_sweeps, shared_model = sc.broadcast((sampled, model.discount)), sc.broadcast(model)
+
+    def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweeps, discount = shared_sweeps.value
+        for b in batches:
+            for part, keys, n in zip(*b.columns, strict=True):
+                k, c = unplaned(keys.as_buffer(), "<u8"), unplaned(n.as_buffer(), "<i8")
+                t = sum(pair_tables(k, c, s, discount, BURN_IN + i) for i, s in enumerate(sweeps))
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()]), pa.array([keys.as_py()]), pa.array([n.as_py()]), pa.array([planes(t)])], ["part", "keys", "counts", "tables"])
+
+    counted, pairs = pairs, staged(pairs.mapInArrow(averaged, "part bigint, keys binary, counts binary, tables binary"))
+    unstaged(counted)
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n in _parts_of(batches):
-            keys, n = keys[n >= fewest], n[n >= fewest]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(shared_model.value.logs(keys, n))], ["k", "b"])
+        for b in batches:
+            for part in zip(*b.columns, strict=True):
+                keys, n, t = (unplaned(x.as_buffer(), kind) for x, kind in zip(part[1:], ("<u8", "<i8", "<i8"), strict=True))
+                some = n >= fewest
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(shared_model.value.logs(keys[some], n[some], t[some] / SAMPLES))], ["k", "b"])
 
-    best = pairs.mapInArrow(often, "k bigint, b double").toArrow()  # at most PAIRS rows, or what shares the highest counts
+    best = pairs.mapInArrow(often, "k bigint, b double").toArrow()  # at most PAIRS rows
     model.pair_keys, model.pair_logs = best["k"].to_numpy().view(np.uint64), best["b"].to_numpy()
     return model, pairs, words
 
@@ -482,9 +499,8 @@ def score(docs: DataFrame, model: Model, pairs: DataFrame, words: DataFrame, key
     def answered(part: tuple, have: pa.Table, sent: pa.Table) -> pa.Table:
         m = shared.value
         if part[0].as_py() < parts:
-            keys = np.concatenate([unplaned(k.as_buffer(), "<u8") for k in have["keys"]]) if len(have) else np.zeros(0, np.uint64)
-            n = np.concatenate([unplaned(c.as_buffer(), "<i8") for c in have["counts"]]) if len(have) else np.zeros(0, np.int64)
-            logs = np.append(m.logs(keys, n) if len(keys) else [], 0.0)
+            keys, n, t = (np.concatenate([np.zeros(0, kind), *(unplaned(x.as_buffer(), kind) for x in have[c])]) for c, kind in (("keys", "<u8"), ("counts", "<i8"), ("tables", "<i8")))
+            logs = np.append(m.logs(keys, n, t / SAMPLES) if len(keys) else [], 0.0)
         else:
             keys, n = have["h"].to_numpy().view(np.uint64), have["c"].to_numpy()
             order = np.argsort(keys)
@@ -536,10 +552,10 @@ def score(docs: DataFrame, model: Model, pairs: DataFrame, words: DataFrame, key
             got = b.filter(own)
             h = got.column(0).to_numpy().view(np.uint64)
             none = pa.nulls(len(h), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(parts + (mixed(h) % np.uint64(word_parts)).astype(np.int64)), none, none, got.column(0), got.column(1)], ["part", "keys", "counts", "h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(parts + (mixed(h) % np.uint64(word_parts)).astype(np.int64)), none, none, none, got.column(0), got.column(1)], ["part", "keys", "counts", "tables", "h", "c"])
 
-    own = words.select("h", "c").mapInArrow(dealt, "part bigint, keys binary, counts binary, h bigint, c bigint")
-    own = own.unionByName(pairs.select("part", "keys", "counts", F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("c")))
+    own = words.select("h", "c").mapInArrow(dealt, "part bigint, keys binary, counts binary, tables binary, h bigint, c bigint")
+    own = own.unionByName(pairs.select("part", "keys", "counts", "tables", F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("c")))
     answers = own.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(answered, f"win bigint, own binary, known binary, base binary, score binary, docs {told_sql}")
     return answers.groupBy("win").applyInArrow(summed, f"`{key}` {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
