@@ -6,7 +6,7 @@
    sequences) by size. Pieces of a length are alike and so are gaps of a size, so the rows that are sorted are
    runs of them, and a row says how many. A successor sweep walks each range upwards: a gap takes the longest
    piece below it that no gap before has taken. What is left of a range, short gaps and long pieces, meets that
-   of its neighbours in ranges of four times the width, until all have met. Pieces that want the same gap are
+   of all other ranges. Pieces that want the same gap are
    told apart by rank, the k-th piece of a run getting the k-th place. Then gaps are updated, and the sweep is
    repeated until nothing fits; new sequences are opened for what is left, and again. Lengths go in bands, each half
    as long as the one before, so that short pieces are still there to fill the last gaps.
@@ -37,8 +37,8 @@ from gravelake.llm.common import staged, table, unstaged
 CAPACITY = 2048
 _SALTED = 2_000
 #: Ranges of a sweep's levels, sweeps of a job, and rows of a plan that is broadcast.
-_RANGES = (16, 4, 1)
-_SWEEPS = 3
+_RANGES = (8, 1)
+_SWEEPS = 2
 _PLAN_ROWS = 500_000
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 _PRETOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
