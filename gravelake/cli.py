@@ -1,4 +1,4 @@
-"""Command line: index, search, section, compare."""
+"""Command line: index, search, section; experiments: run, evaluate, gold, feedback, compare, review."""
 
 from __future__ import annotations
 

@@ -38,8 +38,8 @@ class Engine:
     def build_experiment(self, cfg: ExperimentConfig, game: str, mod: str, wiki: str) -> dict[str, dict[str, int]]:
         how = (cfg.chunking_strategy, cfg.chunk_size, cfg.chunk_overlap)
         return {
-            "game": self.build(cfg.game_collection, script_parents(scan_experiment(self.spark, cfg, game, mod)), *how),
-            "wiki": self.build(cfg.wiki_collection, wiki_parents(scan_wiki(self.spark, wiki, cfg.wiki_files)), *how),
+            "game": self.build(cfg.collection("game"), script_parents(scan_experiment(self.spark, cfg, game, mod)), *how),
+            "wiki": self.build(cfg.collection("wiki"), wiki_parents(scan_wiki(self.spark, wiki, cfg.wiki_files)), *how),
         }
 
     def index(self, collection: str) -> HybridIndex:
@@ -47,15 +47,15 @@ class Engine:
             self._open[collection] = store.open_store(self.spark, f"{self.path}/{collection}")
         return self._open[collection]
 
-    def queries(self, texts: list[tuple[str, str]] | DataFrame) -> DataFrame:
-        """(query_id, query) with embeddings; the instruction is only seen by the embedder."""
+    def queries(self, texts: list[tuple[str, str]] | DataFrame, collection: str = "game") -> DataFrame:
+        """(query_id, query) with embeddings; the instruction, one for each kind of collection, is only seen by the embedder."""
         q = texts if isinstance(texts, DataFrame) else self.spark.createDataFrame(texts, "query_id string, query string")
-        q = q.withColumn("__e", instructed(F.col("query"), self.settings.query_instruction, self.settings.query_instruction_enabled))
+        q = q.withColumn("__e", instructed(F.col("query"), self.settings.query_instruction_wiki if collection.endswith("wiki") else self.settings.query_instruction_game, self.settings.query_instruction_enabled))
         return embedded(q, "__e", self.embedder).drop("__e")
 
     def search(self, collection: str, texts, top_k: int = 5, category: str | None = None, path_prefix: str | None = None, exact: bool = False, alpha: float | None = None,
                rerank: bool = False, scorer: PairScorer | None = None, fetch: int | None = None) -> DataFrame:
-        q = self.queries(texts)
+        q = self.queries(texts, collection)
         a = EXACT_ALPHA if exact else DEFAULT_ALPHA if alpha is None else alpha
         if scorer is None:
             return self.index(collection).search(q, top_k, a, category, path_prefix, rerank, fetch)
@@ -93,7 +93,7 @@ class Engine:
         out = None
         groups = queries.select("collection", "category").distinct().collect()  # a few filters
         for g in groups:
-            name = cfg.game_collection if g.collection == "game" else cfg.wiki_collection
+            name = cfg.collection("game" if g.collection == "game" else "wiki")
             if not store.exists(self.spark, f"{self.path}/{name}/lexical"):
                 continue
             own = queries.filter((F.col("collection") == g.collection) & F.col("category").eqNullSafe(g.category)).select(F.col("id").alias("query_id"), "query")

@@ -7,6 +7,8 @@ an item's vector is the embedding of the same number, and its leading words are
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +47,19 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
 
 
-def index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+def fresh_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
     return build_index(chunks(spark, sf_dir))
 
 
+def index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The stored index of the tables, built by the first query of an application that asks for it."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{where.rstrip('/')}/{spark.sparkContext.applicationId}/lexical-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    if not store.exists(spark, f"{path}/stats/_SUCCESS"):  # the last table to be written
+        fresh_index(spark, sf_dir).save(path)
+    return LexicalIndex.load(spark, path)
+
+
 def hybrid(spark: SparkSession, sf_dir: str) -> search.HybridIndex:
     return search.HybridIndex(chunks(spark, sf_dir), index(spark, sf_dir), vectors(spark, sf_dir))
 
@@ -70,12 +81,12 @@ def eval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     needles = F.when(F.col("query_id") % 2 == 0, F.array(F.lit("/EN/"), F.lit("\\fr\\"))).otherwise(F.array().cast("array<string>"))
-    return asked(spark, sf_dir).filter("query_id % 11 <> 10").select(F.col("query_id").alias("id"), needles.alias("file_path_contains"), _words(2).alias("must_contain_all"))
+    return asked(spark, sf_dir).select(F.col("query_id").alias("id"), needles.alias("file_path_contains"), _words(2).alias("must_contain_all"))
 
 
 def feedback_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("query_id")
-    return asked(spark, sf_dir).filter("query_id % 13 <> 12").select(
+    return asked(spark, sf_dir).select(
         i.alias("id"), (i % 5 != 4).alias("scorable"), F.lit(None).cast("string").alias("note"),
         F.when(i % 3 == 0, F.array(F.lit("/en/"))).alias("acceptable_path_substrings"), F.when(i % 4 == 1, F.array(F.lit("/DE/"))).alias("top1_path_substrings"),
         F.when(i % 4 == 2, _words(1)).alias("top1_text_must_contain_all"), F.when(i % 4 == 3, _words(2)).alias("top1_text_must_contain_any"),
@@ -87,20 +98,20 @@ def feedback_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_stats(spark, d):
-    i = index(spark, d)
+    i = fresh_index(spark, d)
     return i.stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
 
 
 def term_df(spark, d):
-    return index(spark, d).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return fresh_index(spark, d).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def term_idf(spark, d):
-    return index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return fresh_index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_postings(spark, d):
-    return index(spark, d).postings
+    return fresh_index(spark, d).postings
 
 
 def bm25_all(spark, d):
@@ -314,8 +325,8 @@ def parent_last_wins(spark, d):
 
 
 def keyed_upsert(spark, d):
-    c = chunks(spark, d).select("child_id", "file_path")
-    return store.upsert(c.filter("child_id % 3 <> 0"), c.filter("child_id % 2 = 0").withColumn("file_path", F.lit("new")), "child_id")
+    new = read(spark, d, "embeddings").select(F.col("vec_id").alias("child_id"), F.lit("new").alias("file_path"))
+    return store.upsert(chunks(spark, d).select("child_id", "file_path"), new, "child_id")
 
 
 # Reports and rendering

@@ -67,7 +67,7 @@ def test_experiment_paths_and_yaml(tree):
     (tree / "list.txt").write_text("common/b.info # keep\n\n# no\nmissing.txt\n")
     (tree / "x.yaml").write_text("name: x\ndata:\n  game_files_txt: list.txt\n  roots: {vanilla: [events]}\nchunking: {strategy: ast, chunk_size: 99}\nretrieval: {alpha: 0.2}\n")
     cfg = config.ExperimentConfig.from_yaml(tree / "x.yaml")
-    assert cfg.game_files == ("common/b.info", "missing.txt") and cfg.chunk_size == 99 and cfg.chunk_overlap == 50 and cfg.alpha == 0.2 and cfg.game_collection == "exp_x_game"
+    assert cfg.game_files == ("common/b.info", "missing.txt") and cfg.chunk_size == 99 and cfg.chunk_overlap == 50 and cfg.alpha == 0.2 and cfg.collection("game") == "exp_x_game" and cfg.common_categories == config.DEFAULT_CATEGORIES
     ends = lambda c: [p.rsplit("/", 1)[1] for p in files.experiment_paths(c, tree / "game", tree / "mod")]
     assert ends(cfg) == ["b.info"]
     assert ends(config.ExperimentConfig("y", vanilla_roots=("events", "events/skip.yml", "gone"))) == ["e.txt", "skip.yml"]
@@ -88,6 +88,34 @@ def test_lists(tmp_path, spark):
     assert lists.yaml_queries(spark, tmp_path / "y.yaml", ["a"]).first().expected == ["p"]
 
 
+def test_instructions_by_collection(spark):
+    s = config.Settings.from_env({"EMBEDDING_QUERY_INSTRUCTION_WIKI": " Other. ", "EMBEDDING_QUERY_INSTRUCTION_ENABLED": "1"})
+    assert s.query_instruction_game == config.INSTRUCTIONS["game"] and s.query_instruction_wiki == "Other."
+    seen = lambda c: Engine(spark, "x", settings=s).queries([("1", "fox")], c).first().embedding
+    assert seen("game") != seen("wiki")
+
+
+class _Failing:
+    """Embeds until a text that it can't."""
+
+    def __call__(self, texts):
+        if any("poison" in t for t in texts):
+            raise ValueError("no embedding")
+        return embed.HashingEmbedder(4)(texts)
+
+
+def test_a_broken_build_goes_on(spark, tmp_path):
+    c = spark.createDataFrame([(f"c{i}", "poison" if i == 50 else f"text {i}") for i in range(100)], "child_id string, text string")
+    path = f"{tmp_path}/embeddings"
+    with pytest.raises(Exception):  # noqa: B017
+        store.embed_pending(c, path, _Failing())
+    done = spark.read.parquet(path)
+    assert 0 < done.count() < 100
+    rest = store.pending(c, done)
+    assert store.embed_pending(rest, path, embed.HashingEmbedder(4)) == 100 - done.count()
+    assert spark.read.parquet(path).select("child_id").distinct().count() == spark.read.parquet(path).count() == 100
+
+
 def test_environment():
     assert config.env_bool("A", env={"A": " Yes "}) and not config.env_bool("A", env={"A": "0"}) and config.env_int("A", 3, {"A": " "}) == 3
     assert config.Settings.from_env({"CHUNK_SIZE": "7"}).chunk_size == 7
