@@ -5,11 +5,34 @@ from __future__ import annotations
 import argparse
 import dataclasses
 
-from gravelake.config import DEFAULT_ALPHA
+from gravelake import schemas
+from gravelake.config import DEFAULT_ALPHA, ExperimentConfig
 from gravelake.engine import Engine
 from gravelake.operators import evaluate, render, store
 from gravelake.session import session
-from gravelake.sources.lists import query_lines
+from gravelake.sources.lists import query_lines, read_list, yaml_gold, yaml_queries
+
+
+#: Evaluations and whether they need a file of rules.
+_EVALUATIONS = {"evaluate": False, "gold": True, "feedback": True}
+
+
+def evaluated(engine: Engine, a: argparse.Namespace) -> None:
+    """One evaluation of one experiment, from YAML files to stored results."""
+    spark, cfg = engine.spark, ExperimentConfig.from_yaml(a.config)
+    ids = read_list(a.ids) if a.ids else None
+    how = {"top_k": a.top_k, "rerank": a.rerank, "fetch": a.fetch}
+    if a.command == "evaluate":
+        summary, rows = engine.evaluate(cfg, yaml_queries(spark, a.queries, ids), **how)
+    elif a.command == "gold":
+        summary, rows = engine.evaluate_gold(cfg, yaml_queries(spark, a.queries, ids), yaml_gold(spark, a.rules), **how)
+    else:
+        queries = yaml_queries(spark, a.queries, ids, schemas.FEEDBACK_QUERY)
+        summary, rows = engine.evaluate_feedback(cfg, queries, yaml_gold(spark, a.rules, schemas.FEEDBACK_GOLD), **how)
+    out = f"{a.results}/{a.command}/{cfg.name}"
+    store.write_results(summary, rows, out)
+    summary.show(vertical=True, truncate=False)
+    print(f"results in {out}")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -32,6 +55,23 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--content-limit", type=int, default=1200)
     p = sub.add_parser("section")
     p.add_argument("parent_id")
+    p = sub.add_parser("run", help="index what an experiment file names")
+    p.add_argument("config")
+    for folder in ("game", "mod", "wiki"):
+        p.add_argument(folder)
+    for name, gold in _EVALUATIONS.items():
+        p = sub.add_parser(name, help=f"evaluate an experiment: rows and summary go to <results>/{name}")
+        p.add_argument("config")
+        p.add_argument("queries")
+        if gold:
+            p.add_argument("rules")
+        p.add_argument("--ids", help="a list of query ids, one a line")
+        p.add_argument("--results", default="results")
+        p.add_argument("--top-k", type=int, default=5)
+        p.add_argument("--rerank", action="store_true")
+        p.add_argument("--fetch", type=int)
+    p = sub.add_parser("review", help="the rows of an evaluation, one after the other")
+    p.add_argument("results")
     p = sub.add_parser("compare")
     p.add_argument("a")
     p.add_argument("b")
@@ -42,6 +82,12 @@ def main(argv: list[str] | None = None) -> None:
         print(engine.build_all(a.game, a.wiki))
     elif a.command == "section":
         print(engine.get_section(a.parent_id))
+    elif a.command == "run":
+        print(engine.build_experiment(ExperimentConfig.from_yaml(a.config), a.game, a.mod, a.wiki))
+    elif a.command in _EVALUATIONS:
+        evaluated(engine, a)
+    elif a.command == "review":
+        store.read_results(spark, a.results)[1].orderBy("id").show(1000, vertical=True, truncate=False)
     elif a.command == "compare":
         (sa, qa), (sb, qb) = store.read_results(spark, a.a), store.read_results(spark, a.b)
         evaluate.metric_deltas(sa, sb).orderBy("metric").show(truncate=False)

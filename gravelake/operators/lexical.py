@@ -22,11 +22,15 @@ class LexicalIndex:
     stats: DataFrame  # n_docs, avgdl, avg_idf: one row
 
     def save(self, path: str, buckets: int | None = None) -> None:
-        """Postings are stored range-sorted by term, so that the row groups of other terms are skipped."""
+        """Postings are stored range-sorted by term, so that the row groups of other terms are skipped. The texts
+        are read for postings and lengths only; terms and statistics come from these as stored, statistics last."""
+        spark = self.postings.sparkSession
         postings = self.postings.repartitionByRange(buckets, "term") if buckets else self.postings.repartitionByRange("term")
         postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("lengths", "terms", "stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        terms, stats = statistics(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        terms.write.mode("overwrite").parquet(f"{path}/terms")
+        stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def load(cls, spark, path: str) -> LexicalIndex:
@@ -37,14 +41,18 @@ def build_index(chunks: DataFrame, key: str = "child_id", text: str = "text", or
     d = chunks.select(F.col(key).alias("child_id"), F.col(order).alias("corpus_ord"), X.tokens(text).alias("__t"))
     lengths = d.select("child_id", F.size("__t").cast("long").alias("dl"), "corpus_ord")
     postings = d.select("child_id", F.explode("__t").alias("term")).groupBy("term", "child_id").agg(F.count(F.lit(1)).alias("tf"))
+    return LexicalIndex(postings, lengths, *statistics(postings, lengths))
+
+
+def statistics(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms (term, df, idf) and the row of statistics."""
     size = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(F.broadcast(size.select("n_docs")))  # one row
     raw = raw.withColumn("idf0", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf0").alias("avg_idf"))
     idf = F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(EPSILON * F.col("avg_idf"))
-    terms = raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf"))  # one row
-    return LexicalIndex(postings, lengths, terms, size.join(F.broadcast(mean)))
+    return raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf")), size.join(F.broadcast(mean))  # one row each
 
 
 def query_table(queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
@@ -53,12 +61,16 @@ def query_table(queries: DataFrame, key: str = "query_id", text: str = "query")
     return d.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, child_id, score of every chunk that shares a word with the query."""
+def _scored(index: LexicalIndex, queries: DataFrame, k1: float, b: float) -> DataFrame:
     q = query_table(queries).join(index.terms.select("term", "idf"), "term")
-    hit = index.postings.join(q, "term").join(index.lengths.select("child_id", "dl"), "child_id").join(F.broadcast(index.stats.select("avgdl")))
+    hit = index.postings.join(q, "term").join(index.lengths, "child_id").join(F.broadcast(index.stats.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("query_id", "child_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return hit.groupBy("query_id", "child_id", "corpus_ord").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, child_id, score of every chunk that shares a word with the query."""
+    return _scored(index, queries, k1, b).select("query_id", "child_id", "score")
 
 
 def bm25_topk(index: LexicalIndex, queries: DataFrame, k: int, keep: DataFrame | None = None, fill: bool = True) -> DataFrame:
@@ -68,11 +80,10 @@ def bm25_topk(index: LexicalIndex, queries: DataFrame, k: int, keep: DataFrame |
     than k matches gets chunks of score 0, as if every chunk had been scored; they come from the first chunks in
     corpus order, so their number does not grow with the corpus.
     """
-    scores = bm25_scores(index, queries)
+    scores = _scored(index, queries, K1, B)
     pool = index.lengths.select("child_id", "corpus_ord")
     if keep is not None:
-        pool = pool.join(keep.select("child_id"), "child_id", "left_semi")
-    scores = scores.join(pool, "child_id")
+        pool, scores = (x.join(keep.select("child_id"), "child_id", "left_semi") for x in (pool, scores))
     if fill:
         first = pool.orderBy("corpus_ord").limit(2 * k)
         zero = queries.select(F.col("query_id")).distinct().join(F.broadcast(first))

@@ -102,6 +102,13 @@ def corpus_stats(spark, d):
     return i.stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
 
 
+def lexical_build(spark, d):
+    """What the stored index holds; the first query of an application that needs the index builds it."""
+    i = index(spark, d)
+    posts = i.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_words"))
+    return posts.join(i.terms.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("sum_df"))).join(i.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("sum_dl")))  # one row each
+
+
 def term_df(spark, d):
     return fresh_index(spark, d).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
@@ -389,7 +396,7 @@ def collection_of_id(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        corpus_stats, term_df, term_idf, bm25_postings, bm25_all, bm25_topk_category, bm25_topk_path, bm25_zero_fill, cosine_topk_category, cosine_topk_path_post, cosine_lsh, hybrid_topk, hybrid_exact,
+        lexical_build, corpus_stats, term_df, term_idf, bm25_postings, bm25_all, bm25_topk_category, bm25_topk_path, bm25_zero_fill, cosine_topk_category, cosine_topk_path_post, cosine_lsh, hybrid_topk, hybrid_exact,
         hybrid_filtered, hybrid_no_dedup, lexical_rerank, overfetch_rerank, gold_rerank, pair_rerank, query_terms, eval_hit_at_k, eval_summary, gold_strict_soft, gold_summary, feedback_metrics,
         feedback_summary, grade_compare, compare_lists, metric_deltas, query_id_union, section_split, dup_name_suffix, category_from_path, word_window_chunks, greedy_pack_lines, sentence_chunks,
         script_blocks, script_chunks, embed_hash, instruct_queries, pending_anti_join, parent_last_wins, keyed_upsert, severity_report, severity_lines, json_props, render_answers, render_cli,

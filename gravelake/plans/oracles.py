@@ -126,6 +126,7 @@ _MARKDOWN = r"""md AS (SELECT page_id, regexp_replace(regexp_replace(regexp_repl
 ORACLES = {
     "corpus_stats": f"WITH {INDEX} SELECT n_docs, round(avgdl, 6) AS avgdl, round(avg_idf, 6) AS avg_idf FROM size_, mean_",
     "term_df": f"WITH {INDEX} SELECT * FROM dfs",
+    "lexical_build": f"WITH {INDEX} SELECT (SELECT count(*) FROM post) AS n_postings, (SELECT sum(tf)::BIGINT FROM post) AS n_words, (SELECT count(*) FROM terms) AS n_terms, (SELECT sum(df)::BIGINT FROM terms) AS sum_df, (SELECT count(*) FROM len_) AS n_docs, (SELECT sum(dl)::BIGINT FROM len_) AS sum_dl",
     "term_idf": f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "bm25_postings": f"WITH {INDEX} SELECT * FROM post",
     "bm25_all": f"WITH {_scores()} SELECT * FROM sc",

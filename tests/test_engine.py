@@ -215,6 +215,28 @@ def test_build_resume_and_serve(spark, tree, tmp_path):
         store.read_results(spark, tmp_path / "none")
 
 
+def test_experiment_commands(spark, tree, tmp_path, capsys, monkeypatch):
+    from gravelake import cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    at = lambda n: str(tmp_path / n)
+    (tmp_path / "x.yaml").write_text("name: x\ndata: {common_categories: [traits]}\nchunking: {strategy: ast}\n")
+    (tmp_path / "q.yaml").write_text("queries:\n- {id: a, query: fox, collection: game, expected: [hunt]}\n- {id: b, query: title, collection: wiki, expected: [body]}\n")
+    (tmp_path / "g.yaml").write_text("gold:\n  a: {file_path_contains: [events], must_contain_all: [fox]}\n")
+    (tmp_path / "f.yaml").write_text("rules:\n- {id: a, scorable: true, acceptable_path_substrings: [events]}\n- {id: b, scorable: false}\n")
+    (tmp_path / "ids.txt").write_text("a\n")
+    run = lambda *a: cli.main(["--store", at("store"), *a])
+    run("run", at("x.yaml"), str(tree / "game"), str(tree / "mod"), str(tree / "wiki"))
+    run("evaluate", at("x.yaml"), at("q.yaml"), "--results", at("r"))
+    run("gold", at("x.yaml"), at("q.yaml"), at("g.yaml"), "--results", at("r"), "--ids", at("ids.txt"))
+    run("feedback", at("x.yaml"), at("q.yaml"), at("f.yaml"), "--results", at("r"))
+    run("compare", at("r/evaluate/x"), at("r/evaluate/x"))
+    run("review", at("r/gold/x"))
+    said = capsys.readouterr().out
+    assert "results in" in said and "delta" in said
+    assert store.read_results(spark, at("r/evaluate/x"))[1].count() == 2 and store.read_results(spark, at("r/gold/x"))[1].count() == 1
+
+
 def test_stream_takes_new_files_once(spark, tree, tmp_path):
     from gravelake.streaming.incremental import index_new_files
 
