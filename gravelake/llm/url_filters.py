@@ -6,7 +6,7 @@ matches each capture's host suffixes and path prefixes, as deep as the deepest e
 Captures are salted, so that a host with most of the captures is spread over many tasks; the far smaller
 intervals are repeated for each salt.
 
-Results at the edges: a null or malformed URL, or a null time, matches nothing and is not blocked; of two
+Results at the edges: dots at a host's end don't count; a bracketed address is a host of its own; a null or malformed URL, or a null time, matches nothing and is not blocked; of two
 entries of the same list, value and day a removal wins; repeated entries count once; each capture row gives
 one result row even if its id repeats; empty captures give an empty result, empty lists block nothing; other
 columns are ignored.
@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from gravelake.llm.common import table
 
 SALTS = 16
-_HOST = r"lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
+#: Host of a URL, a bracketed address as it is, without the dots that may end it.
+_HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\x5B[^\x5D/?#]*\x5D|[^/?#:\x5B]+)"
+_HOST_SQL = "regexp_replace(lower(regexp_extract({u}, '" + _HOST_PATTERN + "', 1)), '[.]+$', '')"
+_HOST = _HOST_SQL.replace("\\", "\\\\")  # a backslash in a string of Spark SQL is written twice
 _PATH = r"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 
@@ -64,10 +67,9 @@ _DAY = "date_add(date '2024-01-01', cast(page_id * 37 % 366 AS int))"
 
 
 def entries_of(pages: DataFrame) -> DataFrame:
-    """Two synthetic lists over the hosts and first path segments of the pages: about a third of values are added, some removed and added again."""
-    host = _HOST.format(u="url")
-    values = pages.select(F.expr(host).alias("h"), F.expr(f"concat({host}, '/', filter(split({_PATH.format(u='url')}, '/'), s -> s <> '')[0])").alias("p"))
-    values = values.select(F.explode(F.array("h", "p")).alias("value")).filter("value <> ''").distinct()
+    """Two synthetic lists over the hosts, first path segments and whole paths of the pages: about a third of values are added, some removed and added again."""
+    p = pages.select(F.expr(_HOST.format(u="url")).alias("h"), F.expr(f"filter(split({_PATH.format(u='url')}, '/'), s -> s <> '')").alias("s"))
+    values = p.select(F.explode(F.expr("if(size(s) > 0, array(h, concat(h, '/', s[0]), concat(h, '/', array_join(s, '/'))), array(h))")).alias("value")).filter("value <> ''").distinct()
     digit = "cast(conv(substring(md5(cast(value AS binary)), {i}, 4), 16, 10) AS int)"
     v = values.select("value", F.expr(digit.format(i=1)).alias("a"), F.expr(digit.format(i=5)).alias("b"))
     v = v.filter("a % 3 = 0").withColumn("list", F.expr("if(b % 2 = 0, 'ads', 'malware')"))
@@ -82,11 +84,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    host = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
+    host = _HOST_SQL.format(u="url")
     path = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
     return f"""
 WITH c AS (SELECT page_id, {host} AS host, list_filter(string_split({path}, '/'), lambda s: s <> '') AS segs, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INT) AS DATE) AS fetched FROM pages),
-values_ AS (SELECT DISTINCT value FROM (SELECT host AS value FROM c UNION ALL SELECT host || '/' || segs[1] FROM c WHERE len(segs) > 0) WHERE value <> ''),
+values_ AS (SELECT DISTINCT value FROM (SELECT host AS value FROM c UNION ALL SELECT host || '/' || segs[1] FROM c WHERE len(segs) > 0 UNION ALL SELECT host || '/' || array_to_string(segs, '/') FROM c WHERE len(segs) > 0) WHERE value <> ''),
 digits AS (SELECT value, CAST('0x' || substr(md5(value), 1, 4) AS INT) AS a, CAST('0x' || substr(md5(value), 5, 4) AS INT) AS b FROM values_),
 listed AS (SELECT *, CASE WHEN b % 2 = 0 THEN 'ads' ELSE 'malware' END AS list FROM digits WHERE a % 3 = 0),
 entries AS (SELECT list, value, 'add' AS action, b % 200 AS d FROM listed UNION ALL SELECT list, value, CASE WHEN a % 2 = 0 THEN 'remove' ELSE 'add' END, b % 200 + 60 FROM listed UNION ALL SELECT list, value, 'add', b % 200 + 120 FROM listed),
@@ -94,7 +96,7 @@ dated AS (SELECT list, value, CAST(DATE '2024-01-01' + d AS DATE) AS since, max(
 spans AS (SELECT * FROM (SELECT *, lead(since) OVER (PARTITION BY list, value ORDER BY since) AS until FROM dated) WHERE action = 'add'),
 keys AS (SELECT page_id, fetched, unnest(list_distinct(list_concat(
     list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
-    list_transform(range(1, least(len(segs), 3) + 1), lambda i: host || '/' || array_to_string(segs[:i], '/'))))) AS k FROM c WHERE host <> ''),
+    list_transform(range(1, len(segs) + 1), lambda i: host || '/' || array_to_string(segs[:i], '/'))))) AS k FROM c WHERE host <> ''),
 hits AS (SELECT page_id, value, list FROM keys JOIN spans ON k = value AND fetched >= since AND (until IS NULL OR fetched < until)),
 best AS (SELECT page_id, count(*) AS n_entries, max({{'n': length(value), 'value': value, 'list': list}}) AS b FROM hits GROUP BY page_id)
 SELECT page_id, nullif(host, '') AS host, CAST(fetched AS VARCHAR) AS fetched, coalesce(n_entries, 0) > 0 AS blocked, coalesce(n_entries, 0) AS n_entries, b.value AS entry, b.list AS list FROM c LEFT JOIN best USING (page_id)"""

@@ -90,6 +90,16 @@ def test_deep_url_prefixes(spark):
     assert {r.page_id: r.entry for r in url_filters.url_filter(caps, entries, "page_id", "u", "t").collect()} == {i: e for i, _, e in rows}
 
 
+def test_odd_hosts(spark):
+    from datetime import date
+
+    day = date(2024, 1, 1)
+    entries = spark.createDataFrame([("l", "xn.com", "add", day), ("l", "[2001:db8::1]", "add", day), ("l", "[::2]/a", "add", day)], "list string, value string, action string, since date")
+    rows = [(1, "http://xn.com./a", "xn.com"), (2, "http://u:p@[2001:DB8::1]:8080/x", "[2001:db8::1]"), (3, "http://[::2]/a/b", "[::2]/a"), (4, "http://[::2]/b", None), (5, "http://[", None), (6, "http://.../", None), (7, "http://www.xn.com../" + "s/" * 20000, "xn.com")]
+    caps = spark.createDataFrame([(i, u, day) for i, u, _ in rows], "page_id long, u string, t date")
+    assert {r.page_id: r.entry for r in url_filters.url_filter(caps, entries, "page_id", "u", "t").collect()} == {i: e for i, _, e in rows}
+
+
 # 6: quality
 
 
