@@ -237,6 +237,17 @@ def test_experiment_commands(spark, tree, tmp_path, capsys, monkeypatch):
     assert store.read_results(spark, at("r/evaluate/x"))[1].count() == 2 and store.read_results(spark, at("r/gold/x"))[1].count() == 1
 
 
+def test_queries_in_blocks(spark, monkeypatch):
+    from gravelake.operators import vector
+
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "child_id long, embedding array<float>")
+    q = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(20)], "query_id long, embedding array<float>")
+    rows = lambda: sorted(tuple(r) for r in vector.cosine_topk(v, q, 3).collect())
+    whole = rows()
+    monkeypatch.setattr(vector, "AT_ONCE", 500)
+    assert rows() == whole and len(whole) == 60
+
+
 def test_stream_takes_new_files_once(spark, tree, tmp_path):
     from gravelake.streaming.incremental import index_new_files
 
