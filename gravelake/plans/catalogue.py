@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gravelake.functions import text as X
 from gravelake.operators import chunk, embed, evaluate, parse, render, reports, rerank, search, store
 from gravelake.operators.lexical import LexicalIndex, bm25_scores, bm25_topk, build_index, path_contains
-from gravelake.operators.vector import cosine_topk, lsh_topk
+from gravelake.operators.vector import cells_topk, cosine_topk
 from gravelake.plans.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -162,8 +162,8 @@ def cosine_topk_path_post(spark, d):
     return _vector(spark, d, path=PATH)
 
 
-def cosine_lsh(spark, d):
-    return lsh_topk(vectors(spark, d), asked(spark, d).filter("embedding IS NOT NULL"), K).select(*_BRIEF)
+def cosine_cells(spark, d):
+    return cells_topk(vectors(spark, d), asked(spark, d).filter("embedding IS NOT NULL"), K).select(*_BRIEF)
 
 
 # Search
@@ -396,7 +396,7 @@ def collection_of_id(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        lexical_build, corpus_stats, term_df, term_idf, bm25_postings, bm25_all, bm25_topk_category, bm25_topk_path, bm25_zero_fill, cosine_topk_category, cosine_topk_path_post, cosine_lsh, hybrid_topk, hybrid_exact,
+        lexical_build, corpus_stats, term_df, term_idf, bm25_postings, bm25_all, bm25_topk_category, bm25_topk_path, bm25_zero_fill, cosine_topk_category, cosine_topk_path_post, cosine_cells, hybrid_topk, hybrid_exact,
         hybrid_filtered, hybrid_no_dedup, lexical_rerank, overfetch_rerank, gold_rerank, pair_rerank, query_terms, eval_hit_at_k, eval_summary, gold_strict_soft, gold_summary, feedback_metrics,
         feedback_summary, grade_compare, compare_lists, metric_deltas, query_id_union, section_split, dup_name_suffix, category_from_path, word_window_chunks, greedy_pack_lines, sentence_chunks,
         script_blocks, script_chunks, embed_hash, instruct_queries, pending_anti_join, parent_last_wins, keyed_upsert, severity_report, severity_lines, json_props, render_answers, render_cli,

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from gravelake.functions import text as X
 from gravelake.operators import embed, evaluate, parse, rerank, reports, search, store
 from gravelake.operators.chunk import chunk_parents
 from gravelake.operators.lexical import build_index, bm25_topk
-from gravelake.operators.vector import cosine_topk, lsh_topk
+from gravelake.operators.vector import cells_topk, cosine_topk, fit_cells
 from gravelake.sources import files, lists
 
 
@@ -154,7 +155,7 @@ def test_search_filters_dedup_and_alpha(spark):
     assert {h.file_category for h in ix.search(q, 5, category="y").collect()} == {"y"}
     assert [h.child_id for h in ix.search(q, 5, path="data\\x\\3").collect()] == [3]
     assert ix.search(q, 3, alpha=1.0).count() == 3 and ix.search(q, 2, rerank=True, fetch=5).count() == 2
-    assert lsh_topk(e.select("child_id", "embedding"), q, 3).filter("rank = 1").first().child_id == 3
+    assert cells_topk(e.select("child_id", "embedding"), q, 3).filter("rank = 1").first().child_id == 3
     zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0, 0.0])], "child_id int, embedding array<float>")
     assert [r.child_id for r in cosine_topk(zero, spark.createDataFrame([("q", [2.0, 0.0])], "query_id string, embedding array<float>"), 5).collect()] == [3]
 
@@ -248,6 +249,29 @@ def test_queries_in_blocks(spark, monkeypatch):
     assert rows() == whole and len(whole) == 60
 
 
+def test_cells_find_what_the_exact_search_finds(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("child_id"), "embedding")
+    q = v.filter("child_id % 50 = 0").select(F.col("child_id").alias("query_id"), "embedding")
+    pairs = lambda d: {(r.query_id, r.child_id) for r in d.collect()}
+    exact = pairs(cosine_topk(v, q, 10))
+    assert len(exact & pairs(cells_topk(v, q, 10))) >= 0.9 * len(exact)
+    ragged = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0, 0.0]), (4, [1.0])], "child_id int, embedding array<float>")
+    assert [r.child_id for r in cells_topk(ragged, spark.createDataFrame([("q", [2.0, 0.0])], "query_id string, embedding array<float>"), 5).collect()] == [3]
+    assert cells_topk(v.limit(0), q, 10).count() == 0 == cells_topk(v, q.limit(0), 10).count()
+
+
+def test_cells_prune_where_vectors_cluster():
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(40, 32)), 50, axis=0) + 0.2 * rng.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres, probes = fit_cells(x, x[::20], 10, 0.95)
+    own, near = (x @ centres.T).argmax(1), np.argsort(-(x[::20] @ centres.T), axis=1)[:, :probes]
+    read = [np.isin(own, row) for row in near]
+    best = np.argsort(-(x[::20] @ x.T), axis=1)[:, :10]
+    assert np.mean([r[b].mean() for r, b in zip(read, best, strict=True)]) >= 0.9
+    assert np.mean(read) <= 0.1
+
+
 def test_stream_takes_new_files_once(spark, tree, tmp_path):
     from gravelake.streaming.incremental import index_new_files
 
