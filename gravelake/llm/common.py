@@ -7,8 +7,9 @@ import json
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +81,17 @@ def words_of(text: str) -> str:
 def let(value: str, name: str, body: str) -> str:
     """SQL that evaluates `value` once and uses it as `name` in `body`."""
     return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def merged_in_tasks(partials: DataFrame, merge: Callable[[Iterator[bytes]], bytes | None], tasks: int = 32) -> bytes | None:
+    """One state from the states of all tasks (column `state`), or None: a bounded number of tasks merge them one
+    by one, in the order of the tasks that they come from, and the driver merges what these leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = merge(x.as_py() for b in batches for x in b.column(0))
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["state"])
+
+    told = partials.withColumn("part", F.spark_partition_id()).repartition(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part")
+    got = told.select("state", F.col("part")).mapInArrow(run, "state binary").collect()  # a row a task
+    return merge(bytes(r.state) for r in got)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gravelake.llm import fingerprints, langid, lm, ngram_join, packing, quality, sharding, spm, toxicity, url_filters
+from gravelake.llm import fingerprints, langid, lm, ngram_join, packing, pu_quality, quality, sharding, spm, toxicity, url_filters, whitening
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_sentencepiece": spm.op9_sentencepiece,
     "op10_packing": packing.op10_packing,
+    "op11_quality_classifier": pu_quality.op11_quality_classifier,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 
