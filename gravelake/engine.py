@@ -94,7 +94,7 @@ class Engine:
         groups = queries.select("collection", "category").distinct().collect()  # a few filters
         for g in groups:
             name = cfg.collection("game" if g.collection == "game" else "wiki")
-            if not store.exists(self.spark, f"{self.path}/{name}/lexical"):
+            if store.version(self.spark, f"{self.path}/{name}") is None:
                 continue
             own = queries.filter((F.col("collection") == g.collection) & F.col("category").eqNullSafe(g.category)).select(F.col("id").alias("query_id"), "query")
             plain = Engine(self.spark, self.path, self.embedder, Settings(), self._open)  # evaluation never instructs

@@ -58,13 +58,13 @@ def script_parents(files: DataFrame, root: str | None = None) -> DataFrame:
     stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
     info = d.filter((F.col("suffix") == ".info") & ~X.is_blank("text")).select(
         F.concat("rel_path", F.lit("::__file__")).alias("parent_id"), stem.alias("block_name"), F.lit(None).cast("string").alias("section_title"),
-        X.stripped("text").alias("content"), F.col("rel_path").alias("file_path"), F.col("category").alias("file_category"), F.lit("game_docs").alias("source_type"),
+        X.stripped("text").alias("content"), F.col("rel_path").alias("file_path"), F.col("category").alias("file_category"), F.lit("game_docs").alias("source_type"), F.lit(0).alias("ord"),
     )
     found = numbered_names(script_blocks(d.filter("suffix <> '.info'").select("rel_path", "category", "text")), "rel_path", "name", "ord")
     again = F.when(F.col("seen") > 0, F.concat(F.lit("#"), F.col("seen").cast("string"))).otherwise("")
     made = found.select(
         F.concat("rel_path", F.lit("::"), "name", again).alias("parent_id"), F.col("name").alias("block_name"), F.lit(None).cast("string").alias("section_title"),
-        X.stripped("block").alias("content"), F.col("rel_path").alias("file_path"), F.col("category").alias("file_category"), F.lit("game_file").alias("source_type"),
+        X.stripped("block").alias("content"), F.col("rel_path").alias("file_path"), F.col("category").alias("file_category"), F.lit("game_file").alias("source_type"), "ord",
     )
     return info.unionByName(made).select(*schemas.PARENT.fieldNames())
 
@@ -84,5 +84,5 @@ def wiki_parents(files: DataFrame) -> DataFrame:
     again = F.when(F.col("seen") > 0, F.concat(F.lit("_"), (F.col("seen") + 1).cast("string"))).otherwise("")
     return s.select(
         F.concat("path", F.lit("::"), "section_title", again).alias("parent_id"), F.lit(None).cast("string").alias("block_name"), "section_title",
-        F.col("section").alias("content"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("file_category"), F.lit("wiki").alias("source_type"),
+        F.col("section").alias("content"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("file_category"), F.lit("wiki").alias("source_type"), "ord",
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gravelake.config import DEFAULT_ALPHA, OVERFETCH
 from gravelake.functions import text as X
 from gravelake.operators.lexical import LexicalIndex, bm25_topk, path_contains
-from gravelake.operators.vector import cosine_topk
+from gravelake.operators.vector import CellIndex, cosine_topk
 
 
 def normalised(scored: DataFrame, out: str) -> DataFrame:
@@ -23,7 +23,7 @@ def normalised(scored: DataFrame, out: str) -> DataFrame:
 def fused(vector: DataFrame, lexical: DataFrame, alpha: float) -> DataFrame:
     """Full outer join of two candidate lists; a missing side counts 0."""
     both = normalised(vector, "v").join(normalised(lexical, "b"), ["query_id", "child_id"], "full")
-    score = F.round(F.lit(alpha) * F.coalesce("v", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("b", F.lit(0.0)), 6)
+    score = F.round(F.lit(alpha) * F.coalesce("v", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("b", F.lit(0.0)), 12)
     return both.select("query_id", "child_id", score.alias("score"))
 
 
@@ -46,13 +46,15 @@ class HybridIndex:
     lexical: LexicalIndex
     embeddings: DataFrame
     parents: DataFrame | None = None
+    cells: CellIndex | None = None
 
     def vector_candidates(self, queries: DataFrame, k: int, category: str | None = None, path: str | None = None) -> DataFrame:
-        """The category is looked at before the k nearest are taken, the path after."""
+        """The category is looked at before the k nearest are taken, the path after. The index of cells, if there is
+        one, serves searches of all chunks; those of a category compare its vectors exactly."""
         vectors = self.embeddings
         if category is not None:
             vectors = vectors.join(self.chunks.filter(F.col("file_category") == category).select("child_id"), "child_id", "left_semi")
-        out = cosine_topk(vectors, queries, k)
+        out = self.cells.topk(queries, k) if self.cells is not None and category is None else cosine_topk(vectors, queries, k)
         if path:
             out = out.join(self.chunks.filter(path_contains(F.col("file_path"), path)).select("child_id"), "child_id", "left_semi")
         return out
@@ -74,11 +76,11 @@ class HybridIndex:
 
         n = max(fetch or top_k, top_k)
         both = fused(self.vector_candidates(queries, OVERFETCH * n, category, path), self.lexical_candidates(queries, OVERFETCH * n, category, path), alpha)
-        hits = both.join(self.chunks.drop("corpus_ord", "content_hash"), "child_id")
+        hits = both.join(self.chunks.drop("corpus_ord", "parent_ord", "chunk_ord", "content_hash"), "child_id")
         hits = ranked(best_per_parent(hits) if dedup else hits, n)
         if rerank:
             hits = lexical_rerank(hits, queries)
-        return hits.filter(F.col("rank") <= top_k)
+        return hits.filter(F.col("rank") <= top_k).withColumn("score", F.round("score", 6))  # ranked by the whole score
 
     def parent(self, ids: DataFrame) -> DataFrame:
         """Parents by id (parent_id); those that are not found stay with null columns."""

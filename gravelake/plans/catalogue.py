@@ -7,16 +7,19 @@ an item's vector is the embedding of the same number, and its leading words are
 
 from __future__ import annotations
 
-import hashlib
+import threading
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gravelake.functions import text as X
 from gravelake.operators import chunk, embed, evaluate, parse, render, reports, rerank, search, store
-from gravelake.operators.lexical import LexicalIndex, bm25_scores, bm25_topk, build_index, path_contains
-from gravelake.operators.vector import cells_topk, cosine_topk
+from gravelake.operators.lexical import CHUNKS, LexicalIndex, bm25_scores, bm25_topk, build_index, path_contains
+from gravelake.operators.vector import CellIndex, cosine_topk
 from gravelake.plans.oracles import ORACLES
+from gravelake.session import shared_dir
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -53,11 +56,22 @@ def fresh_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
 
 def index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
     """The stored index of the tables, built by the first query of an application that asks for it."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{where.rstrip('/')}/{spark.sparkContext.applicationId}/lexical-{hashlib.md5(sf_dir.encode()).hexdigest()}"
-    if not store.exists(spark, f"{path}/stats/_SUCCESS"):  # the last table to be written
-        fresh_index(spark, sf_dir).save(path)
-    return LexicalIndex.load(spark, path)
+    return LexicalIndex.load(spark, _built(spark, sf_dir, "lexical", lambda path: fresh_index(spark, sf_dir).save(path)))
+
+
+_paths: dict[tuple[str, str, str], str] = {}
+_lock = threading.Lock()
+
+
+def _built(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[str], None]) -> str:
+    """Folder of something that this application builds once of the tables; each build has a folder of its own."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    with _lock:
+        if key not in _paths:
+            path = f"{shared_dir(spark)}/{key[0]}/{kind}-{uuid.uuid4().hex}"
+            build(path)
+            _paths[key] = path
+        return _paths[key]
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> search.HybridIndex:
@@ -71,6 +85,11 @@ def hits(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
 _BRIEF = ("query_id", "rank", "child_id", "score")
 
 
+def rounded(d: DataFrame) -> DataFrame:
+    """For output: ranks come from whole scores."""
+    return d.withColumn("score", F.round("score", 6))
+
+
 def _words(n: int, column: str = "query"):
     return F.slice(F.filter(F.split(column, " "), lambda w: w != ""), 1, n)
 
@@ -105,8 +124,9 @@ def corpus_stats(spark, d):
 def lexical_build(spark, d):
     """What the stored index holds; the first query of an application that needs the index builds it."""
     i = index(spark, d)
-    posts = i.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_words"))
-    return posts.join(i.terms.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("sum_df"))).join(i.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("sum_dl")))  # one row each
+    word, chunk = F.col("bucket") > CHUNKS, F.col("bucket") == CHUNKS
+    own = i.entries.agg(F.count_if(word).alias("n_postings"), F.sum(F.when(word, F.col("tf"))).alias("n_words"), F.count_if(chunk).alias("n_docs"), F.sum(F.when(chunk, F.col("dl"))).alias("sum_dl"))
+    return own.join(i.terms.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("sum_df")))  # one row each
 
 
 def term_df(spark, d):
@@ -122,36 +142,36 @@ def bm25_postings(spark, d):
 
 
 def bm25_all(spark, d):
-    return bm25_scores(index(spark, d), asked(spark, d))
+    return rounded(bm25_scores(index(spark, d), asked(spark, d)))
 
 
 def bm25_top(spark, d):
-    return bm25_topk(index(spark, d), asked(spark, d), K)
+    return rounded(bm25_topk(index(spark, d), asked(spark, d), K))
 
 
 def bm25_topk_category(spark, d):
-    return bm25_topk(index(spark, d), asked(spark, d), K, chunks(spark, d).filter(F.col("file_category") == CATEGORY))
+    return rounded(bm25_topk(index(spark, d), asked(spark, d), K, chunks(spark, d).filter(F.col("file_category") == CATEGORY)))
 
 
 def bm25_topk_path(spark, d):
-    return bm25_topk(index(spark, d), asked(spark, d), K, chunks(spark, d).filter(path_contains(F.col("file_path"), PATH)))
+    return rounded(bm25_topk(index(spark, d), asked(spark, d), K, chunks(spark, d).filter(path_contains(F.col("file_path"), PATH))))
 
 
 def bm25_zero_fill(spark, d):
     """Queries of one unusual word each: most have fewer than k matches."""
     q = asked(spark, d).select("query_id", F.element_at(X.tokens("query"), 1).alias("query")).withColumn("query", F.concat("query", F.lit("~")))
-    return bm25_topk(index(spark, d), q, K)
+    return rounded(bm25_topk(index(spark, d), q, K))
 
 
 # Vector
 
 
 def _vector(spark, d, **how):
-    return hybrid(spark, d).vector_candidates(asked(spark, d).filter("embedding IS NOT NULL"), K, **how).select(*_BRIEF)
+    return rounded(hybrid(spark, d).vector_candidates(asked(spark, d).filter("embedding IS NOT NULL"), K, **how)).select(*_BRIEF)
 
 
 def cosine_top(spark, d):
-    return cosine_topk(vectors(spark, d), asked(spark, d), K).select(*_BRIEF)
+    return rounded(cosine_topk(vectors(spark, d), asked(spark, d), K)).select(*_BRIEF)
 
 
 def cosine_topk_category(spark, d):
@@ -162,8 +182,21 @@ def cosine_topk_path_post(spark, d):
     return _vector(spark, d, path=PATH)
 
 
+def cells(spark, d) -> CellIndex:
+    """The stored index of cells, built by the first query of an application that asks for it."""
+    return CellIndex.load(spark, _built(spark, d, "cells", lambda path: CellIndex.fit(vectors(spark, d), K).save(path)))
+
+
 def cosine_cells(spark, d):
-    return cells_topk(vectors(spark, d), asked(spark, d).filter("embedding IS NOT NULL"), K).select(*_BRIEF)
+    return rounded(cells(spark, d).topk(asked(spark, d).filter("embedding IS NOT NULL"), K)).select(*_BRIEF)
+
+
+def cosine_cells_recall(spark, d):
+    """Whether the index of cells finds nine tenths of the nearest vectors of all vectors with an id divisible by 50."""
+    q = vectors(spark, d).filter("child_id % 50 = 0").withColumnRenamed("child_id", "query_id")
+    exact, found = cosine_topk(vectors(spark, d), q, K), cells(spark, d).topk(q, K)
+    both = exact.join(found.select("query_id", "child_id", F.lit(1).alias("hit")), ["query_id", "child_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_nearest"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
 
 
 # Search
@@ -396,7 +429,7 @@ def collection_of_id(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        lexical_build, corpus_stats, term_df, term_idf, bm25_postings, bm25_all, bm25_topk_category, bm25_topk_path, bm25_zero_fill, cosine_topk_category, cosine_topk_path_post, cosine_cells, hybrid_topk, hybrid_exact,
+        lexical_build, corpus_stats, term_df, term_idf, bm25_postings, bm25_all, bm25_topk_category, bm25_topk_path, bm25_zero_fill, cosine_topk_category, cosine_topk_path_post, cosine_cells, cosine_cells_recall, hybrid_topk, hybrid_exact,
         hybrid_filtered, hybrid_no_dedup, lexical_rerank, overfetch_rerank, gold_rerank, pair_rerank, query_terms, eval_hit_at_k, eval_summary, gold_strict_soft, gold_summary, feedback_metrics,
         feedback_summary, grade_compare, compare_lists, metric_deltas, query_id_union, section_split, dup_name_suffix, category_from_path, word_window_chunks, greedy_pack_lines, sentence_chunks,
         script_blocks, script_chunks, embed_hash, instruct_queries, pending_anti_join, parent_last_wins, keyed_upsert, severity_report, severity_lines, json_props, render_answers, render_cli,

@@ -24,13 +24,13 @@ size_ AS (SELECT count(*)::BIGINT AS n_docs, avg(dl) AS avgdl FROM len_),
 dfs AS MATERIALIZED (SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term),
 raw_ AS MATERIALIZED (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS idf0 FROM dfs, size_),
 mean_ AS (SELECT avg(idf0) AS avg_idf FROM raw_),
-terms AS (SELECT term, df, CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25 * avg_idf END AS idf FROM raw_, mean_)"""
+terms AS MATERIALIZED (SELECT term, df, CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25 * avg_idf END AS idf FROM raw_, mean_)"""
 
 
 def _scores(queries: str = "qs") -> str:
     return f"""{INDEX},
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_tokens("query")}) AS term FROM {queries}) GROUP BY ALL),
-sc AS (SELECT query_id, child_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+sc AS (SELECT query_id, child_id, sum(round(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) / 1e-12::DOUBLE)::BIGINT)::DOUBLE * 1e-12::DOUBLE AS score
   FROM qt JOIN terms USING (term) JOIN post USING (term) JOIN len_ USING (child_id), size_ GROUP BY ALL)"""
 
 
@@ -43,7 +43,7 @@ def _cosine(k: int, before: str = "true", after: str = "true", name: str = "ve")
     return f"""vecs AS (SELECT vec_id AS child_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, source, file_path FROM embeddings JOIN d ON d.child_id = vec_id),
 unit AS (SELECT *, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM vecs WHERE list_dot_product(e, e) > 0),
 qv AS (SELECT query_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM (SELECT item_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM benchmark JOIN embeddings ON vec_id = item_id)),
-near AS (SELECT query_id, child_id, file_path, round(list_dot_product(qv.u, unit.u), 6) AS score FROM qv, unit WHERE {before}),
+near AS (SELECT query_id, child_id, file_path, round(list_dot_product(qv.u, unit.u), 12) AS score FROM qv, unit WHERE {before}),
 {name} AS (SELECT query_id, child_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank FROM near) WHERE rank <= {k} AND {after})"""
 
 
@@ -54,11 +54,11 @@ def _hits(alpha: float = 0.5, k: int = 5, category: str | None = None, path: str
     pat = f"contains(file_path, '{path}')" if path else "true"
     start = f"{_scores()}, {_bm25(10 * n, f'{cat} AND {pat}')}, {_cosine(10 * n, cat, pat)}," if base else ""
     return f"""{start}
-{name}_f AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.child_id, b.child_id) AS child_id, round({alpha}::DOUBLE * coalesce(v.s, 0) + {1 - alpha}::DOUBLE * coalesce(b.s, 0), 6) AS score
+{name}_f AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.child_id, b.child_id) AS child_id, round({alpha}::DOUBLE * coalesce(v.s, 0) + {1 - alpha}::DOUBLE * coalesce(b.s, 0), 12) AS score
   FROM (SELECT query_id, child_id, score / CASE WHEN max(score) OVER (PARTITION BY query_id) = 0 THEN 1 ELSE max(score) OVER (PARTITION BY query_id) END AS s FROM ve) v
   FULL JOIN (SELECT query_id, child_id, score / CASE WHEN max(score) OVER (PARTITION BY query_id) = 0 THEN 1 ELSE max(score) OVER (PARTITION BY query_id) END AS s FROM bm) b ON v.query_id = b.query_id AND v.child_id = b.child_id),
 {name}_p AS (SELECT f.*, text, source, file_path, block_name, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, child_id) AS rn FROM {name}_f f JOIN d USING (child_id)),
-{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id)::INT AS rank FROM {name}_p WHERE {"rn = 1" if dedup else "true"}) WHERE rank <= {n})"""
+{name} AS (SELECT * REPLACE (round(score, 6) AS score) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id)::INT AS rank FROM {name}_p WHERE {"rn = 1" if dedup else "true"}) WHERE rank <= {n})"""
 
 
 _HAY = "lower(coalesce(text, '') || ' ' || coalesce(block_name, '') || ' ')"
@@ -129,14 +129,16 @@ ORACLES = {
     "lexical_build": f"WITH {INDEX} SELECT (SELECT count(*) FROM post) AS n_postings, (SELECT sum(tf)::BIGINT FROM post) AS n_words, (SELECT count(*) FROM terms) AS n_terms, (SELECT sum(df)::BIGINT FROM terms) AS sum_df, (SELECT count(*) FROM len_) AS n_docs, (SELECT sum(dl)::BIGINT FROM len_) AS sum_dl",
     "term_idf": f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "bm25_postings": f"WITH {INDEX} SELECT * FROM post",
-    "bm25_all": f"WITH {_scores()} SELECT * FROM sc",
-    "bm25_topk": f"WITH {_scores()}, {_bm25(10)} SELECT query_id, child_id, score, rank::INT AS rank FROM bm",
-    "bm25_topk_category": f"WITH {_scores()}, {_bm25(10, chr(39).join(['source = ', 'src0', '']))} SELECT query_id, child_id, score, rank::INT AS rank FROM bm",
-    "bm25_topk_path": f"WITH {_scores()}, {_bm25(10, chr(39).join(['contains(file_path, ', '/en/', ')']))} SELECT query_id, child_id, score, rank::INT AS rank FROM bm",
-    "bm25_zero_fill": f"WITH {_scores('(SELECT query_id, (' + _tokens('query') + ')[1] || chr(126) AS query FROM qs)')}, {_bm25(10)} SELECT query_id, child_id, score, rank::INT AS rank FROM bm",
-    "cosine_topk": f"WITH {BASE}, {_cosine(10)} SELECT query_id, rank::INT AS rank, child_id, score FROM ve",
-    "cosine_topk_category": f"WITH {BASE}, {_cosine(10, chr(39).join(['source = ', 'src0', '']))} SELECT query_id, rank::INT AS rank, child_id, score FROM ve",
-    "cosine_topk_path_post": f"WITH {BASE}, {_cosine(10, 'true', chr(39).join(['contains(file_path, ', '/en/', ')']))} SELECT query_id, rank::INT AS rank, child_id, score FROM ve",
+    "bm25_all": f"WITH {_scores()} SELECT query_id, child_id, round(score, 6) AS score FROM sc",
+    "bm25_topk": f"WITH {_scores()}, {_bm25(10)} SELECT query_id, child_id, round(score, 6) AS score, rank::INT AS rank FROM bm",
+    "bm25_topk_category": f"WITH {_scores()}, {_bm25(10, chr(39).join(['source = ', 'src0', '']))} SELECT query_id, child_id, round(score, 6) AS score, rank::INT AS rank FROM bm",
+    "bm25_topk_path": f"WITH {_scores()}, {_bm25(10, chr(39).join(['contains(file_path, ', '/en/', ')']))} SELECT query_id, child_id, round(score, 6) AS score, rank::INT AS rank FROM bm",
+    "bm25_zero_fill": f"WITH {_scores('(SELECT query_id, (' + _tokens('query') + ')[1] || chr(126) AS query FROM qs)')}, {_bm25(10)} SELECT query_id, child_id, round(score, 6) AS score, rank::INT AS rank FROM bm",
+    "cosine_topk": f"WITH {BASE}, {_cosine(10)} SELECT query_id, rank::INT AS rank, child_id, round(score, 6) AS score FROM ve",
+    "cosine_topk_category": f"WITH {BASE}, {_cosine(10, chr(39).join(['source = ', 'src0', '']))} SELECT query_id, rank::INT AS rank, child_id, round(score, 6) AS score FROM ve",
+    "cosine_topk_path_post": f"WITH {BASE}, {_cosine(10, 'true', chr(39).join(['contains(file_path, ', '/en/', ')']))} SELECT query_id, rank::INT AS rank, child_id, round(score, 6) AS score FROM ve",
+    "cosine_cells_recall": f"""WITH {BASE}, v AS (SELECT vec_id FROM embeddings JOIN d ON d.child_id = vec_id WHERE list_dot_product(embedding, embedding) > 0)
+SELECT count(*) FILTER (WHERE vec_id % 50 = 0) AS n_queries, count(*) FILTER (WHERE vec_id % 50 = 0) * least(10, count(*)) AS n_nearest, true AS enough FROM v""",
     "hybrid_topk": f"WITH {_hits()} SELECT {_BRIEF}, source AS parent_id, file_path FROM hits",
     "hybrid_exact": f"WITH {_hits(0.1)} SELECT {_BRIEF} FROM hits",
     "hybrid_filtered": f"WITH {_hits(category='src0', path='/en/')} SELECT {_BRIEF} FROM hits",

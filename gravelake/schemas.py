@@ -11,13 +11,11 @@ def _of(**fields: T.DataType | str) -> T.StructType:
 
 
 SOURCE_FILE = _of(path="s", rel_path="s", content=T.BinaryType())
-PARENT = _of(parent_id="s", block_name="s", section_title="s", content="s", file_path="s", file_category="s", source_type="s")
-CHUNK = _of(child_id="s", text="s", parent_id="s", source_type="s", file_path="s", file_category="s", block_name="s", section_title="s", corpus_ord="l", content_hash="s")
+PARENT = _of(parent_id="s", block_name="s", section_title="s", content="s", file_path="s", file_category="s", source_type="s", ord="i")
+CHUNK = _of(child_id="s", text="s", parent_id="s", source_type="s", file_path="s", file_category="s", block_name="s", section_title="s", parent_ord="l", chunk_ord="i", content_hash="s")
 EMBEDDING = _of(child_id="s", embedding="af")
-POSTING = _of(term="s", child_id="s", tf="l")
-DOC_LENGTH = _of(child_id="s", dl="l", corpus_ord="l")
-TERM_STATS = _of(term="s", df="l", idf="d")
-CORPUS_STATS = _of(n_docs="l", avgdl="d", avg_idf="d")
+TERM_CHANGE = _of(term="s", df="l")
+INDEX_STATS = _of(n_docs="l", n_words="l", avg_idf="d", n_removed="l", buckets="i", key_type="s")
 HIT = _of(query_id="s", rank="i", child_id="s", score="d", text="s", parent_id="s", source_type="s", file_path="s", file_category="s", block_name="s", section_title="s")
 EVAL_QUERY = _of(id="s", query="s", collection="s", category="s", expected="as")
 GOLD_RULE = _of(id="s", file_path_contains="as", must_contain_all="as")

@@ -1,31 +1,32 @@
-"""Incremental indexing as a bounded stream: new script files are parsed, chunked and embedded once."""
+"""Incremental indexing as a bounded stream: new script files are parsed, chunked, embedded and indexed once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gravelake.operators import store
 from gravelake.operators.chunk import chunk_parents
-from gravelake.operators.embed import Embedder, embedded
+from gravelake.operators.embed import Embedder
 from gravelake.operators.parse import script_parents
-from gravelake.operators.store import exists, pending
 
 
 def index_new_files(spark: SparkSession, root: str, out: str, checkpoint: str, strategy: str = "ast", size: int = 256, embedder: Embedder | None = None) -> StreamingQuery:
-    """Takes the files that came since the last run and ends. The checkpoint remembers files, and an anti-join on
-    stored ids makes a repeated batch harmless."""
-    from pyspark.sql import functions as F
+    """Takes the files that came since the last run, adds them to the collection in `out` and ends.
 
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,info,gui}").load(root)
+    Each batch is a segment of all its tables, so a new file is found by words and by vectors, and has its parents. What the collection
+    had of a file is replaced, so a batch that is repeated after a failure adds nothing twice. The stream reads a path once:
+    a file that changes later is for `store.add_segment` or the next build.
+    """
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,info,gui}").load(root)
 
     def add(batch: DataFrame, _: int) -> None:
         path = F.regexp_replace("path", "^file:/+", "/")
         rel = F.substring(path, len(root.rstrip("/")) + 2, 1 << 20)
-        chunks = chunk_parents(script_parents(batch.select(path.alias("path"), rel.alias("rel_path"), "content")), strategy, size)
-        stored = spark.read.parquet(f"{out}/chunks") if exists(spark, f"{out}/chunks") else None
-        new = embedded(pending(chunks, stored), "text", embedder).persist()
-        new.select("child_id", "embedding").write.mode("append").parquet(f"{out}/embeddings")
-        new.drop("embedding").write.mode("append").parquet(f"{out}/chunks")  # last: the anti-join reads it
-        new.unpersist()
+        found = batch.select(path.alias("path"), rel.alias("rel_path"), "content")
+        parents = script_parents(found)
+        store.add_segment(parents, chunk_parents(parents, strategy, size), found.select(F.col("rel_path").alias("file_path")), out, embedder)
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -106,15 +106,18 @@ class _Failing:
 
 
 def test_a_broken_build_goes_on(spark, tmp_path):
-    c = spark.createDataFrame([(f"c{i}", "poison" if i == 50 else f"text {i}") for i in range(100)], "child_id string, text string")
-    path = f"{tmp_path}/embeddings"
+    c = spark.createDataFrame([(f"c{i}", f"h{i}", "poison" if i == 50 else f"text {i}") for i in range(100)], "child_id string, content_hash string, text string")
+    path = str(tmp_path)
     with pytest.raises(Exception):  # noqa: B017
         store.embed_pending(c, path, _Failing())
-    done = spark.read.parquet(path)
+    done = store.embeddings(spark, path)
     assert 0 < done.count() < 100
-    rest = store.pending(c, done)
-    assert store.embed_pending(rest, path, embed.HashingEmbedder(4)) == 100 - done.count()
-    assert spark.read.parquet(path).select("child_id").distinct().count() == spark.read.parquet(path).count() == 100
+    rest = store.pending(c, done, by_content=True)
+    n = rest.count()
+    assert 0 < n < 100 and store.embed_pending(rest, path, embed.HashingEmbedder(4)) == n
+    every = store.embeddings(spark, path)
+    assert every.select("child_id").distinct().count() == every.count() == 100
+    assert store.pending(c.withColumn("content_hash", F.lit("new")), every, by_content=True).count() == 100
 
 
 def test_environment():
@@ -275,15 +278,26 @@ def test_cells_prune_where_vectors_cluster():
 def test_stream_takes_new_files_once(spark, tree, tmp_path):
     from gravelake.streaming.incremental import index_new_files
 
-    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    out, ck = str(tmp_path / "out" / "game"), str(tmp_path / "ck")
     index_new_files(spark, str(tree / "game"), out, ck).awaitTermination()
-    n = spark.read.parquet(f"{out}/chunks").count()
-    (tree / "game/events/new.txt").write_text("n.1 = { a = b }\n")
+    n = store.open_store(spark, out).chunks.count()
+    (tree / "game/events/new.txt").write_text("n.1 = { a = zebra }\nn.2 = { c = d }\n")
     index_new_files(spark, str(tree / "game"), out, ck).awaitTermination()
-    assert spark.read.parquet(f"{out}/chunks").count() == n + 1 == spark.read.parquet(f"{out}/embeddings").count()
+    now = store.open_store(spark, out)
+    assert now.chunks.count() == n + 2 == now.embeddings.count() and store.embeddings(spark, out).count() == n + 2
+    engine = Engine(spark, str(tmp_path / "out"), settings=config.Settings())
+    first = lambda alpha: engine.search("game", [("q", "a = zebra }")], 1, alpha=alpha).first()
+    assert first(0.0).parent_id == first(1.0).parent_id == "events/new.txt::n.1"  # by words, and by vectors
+    assert "zebra" in engine.get_section("events/new.txt::n.1", "game")
+    later = parse.script_parents(spark.createDataFrame([("/x/events/new.txt", "events/new.txt", bytearray(b"n.1 = { a = badger }"))], schemas.SOURCE_FILE))
+    store.add_segment(later, chunk_parents(later), spark.createDataFrame([("events/new.txt",)], "file_path string"), out)  # takes the place of what the file was
+    engine = Engine(spark, str(tmp_path / "out"), settings=config.Settings())
+    assert engine.index("game").chunks.count() == n + 1 and "badger" in engine.get_section("events/new.txt::n.1", "game")
+    assert engine.search("game", [("q", "zebra")], 1, alpha=0.0).first().score == 0 and engine.search("game", [("q", "badger")], 1, alpha=0.0).first().parent_id == "events/new.txt::n.1"
+    assert engine.get_section("events/new.txt::n.2", "game").startswith("Not found")
 
 
 def test_chunk_ids_do_not_move(spark):
-    p = spark.createDataFrame([("a", "n", None, "x. " * 10, "f", "c", "wiki"), ("b", "n", None, " ", "f", "c", "wiki")], schemas.PARENT)
-    got = chunk_parents(p, size=6).orderBy("corpus_ord").collect()
+    p = spark.createDataFrame([("a", "n", None, "x. " * 10, "f", "c", "wiki", 0), ("b", "n", None, " ", "f", "c", "wiki", 1)], schemas.PARENT)
+    got = chunk_parents(p, size=6).orderBy("parent_ord", "chunk_ord").collect()
     assert [r.child_id for r in got] == [f"a::chunk{i}" for i in range(len(got))] and len(got) > 2
