@@ -76,11 +76,15 @@ class HybridIndex:
 
         n = max(fetch or top_k, top_k)
         both = fused(self.vector_candidates(queries, OVERFETCH * n, category, path), self.lexical_candidates(queries, OVERFETCH * n, category, path), alpha)
-        hits = both.join(self.chunks.drop("corpus_ord", "parent_ord", "chunk_ord", "content_hash"), "child_id")
-        hits = ranked(best_per_parent(hits) if dedup else hits, n)
+        hits = self.hits(both, n, dedup)
         if rerank:
             hits = lexical_rerank(hits, queries)
-        return hits.filter(F.col("rank") <= top_k).withColumn("score", F.round("score", 6))  # ranked by the whole score
+        return hits.filter(F.col("rank") <= top_k)
+
+    def hits(self, both: DataFrame, n: int, dedup: bool = True) -> DataFrame:
+        """The first n of each query's fused candidates, with their chunks. They are ranked by whole scores, which are then rounded."""
+        found = both.join(self.chunks.drop("corpus_ord", "parent_ord", "chunk_ord", "content_hash"), "child_id")
+        return ranked(best_per_parent(found) if dedup else found, n).withColumn("score", F.round("score", 6))
 
     def parent(self, ids: DataFrame) -> DataFrame:
         """Parents by id (parent_id); those that are not found stay with null columns."""

@@ -18,6 +18,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
 def put(df: DataFrame, path: str, segment: int, *by: str) -> None:
     """Writes the rows as one segment of the table, partitioned further by the given columns."""
     df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/segment={segment}")

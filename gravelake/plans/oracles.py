@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from gravelake.functions.text import LINE_END, SPACE, WORD
 
 
@@ -114,6 +116,23 @@ _OVERLAP = f"len(list_filter(terms_, lambda t: contains({_HAY}, t)))"
 _TERMS = f"list_distinct(list_transform(regexp_extract_all(query, '{WORD}'), lambda x: lower(x)))"
 
 
+def windows(size: int, step: int) -> str:
+    """Windows of words of every document."""
+    return f"""WITH {BASE}, w AS (SELECT child_id, source, t, unnest(range(0, greatest(len(t) - {size - step}, 1), {step})) AS pos FROM d WHERE len(t) > 0)
+SELECT child_id AS doc_id, source, (pos // {step})::INT AS chunk_ord, len(t[pos + 1 : pos + {size}])::INT AS n_words, md5(array_to_string(t[pos + 1 : pos + {size}], ' ')) AS digest FROM w"""
+
+
+def sweep(alphas: Sequence[float], k: int) -> str:
+    """Hits of every question under every weight, in order and reranked."""
+    out, parts = f"WITH {_scores()}, {_bm25(10 * k)}, {_cosine(10 * k)}", []
+    for i, alpha in enumerate(alphas):
+        h = f"h{i}"
+        out += f""", {_hits(alpha, k, name=h, base=False).lstrip()}, {h}_r AS (SELECT h.* REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN len(terms_) = 0 THEN 0 ELSE -{_OVERLAP} END, score DESC, rank)::INT AS rank)
+  FROM {h} h JOIN (SELECT query_id, {_TERMS} AS terms_ FROM qs) USING (query_id)), {_hit_rows(h, f'{h}_a')}, {_hit_rows(f'{h}_r', f'{h}_b')}"""
+        parts += [f"SELECT {alpha}::DOUBLE AS alpha, '{mode}' AS mode, id, hit1, hit3, hit5, top_score FROM {h}_{x}" for mode, x in (("plain", "a"), ("rerank", "b"))]
+    return f"{out} {' UNION ALL '.join(parts)}"
+
+
 def _reranked(k: int, n: int) -> str:
     return f"""{_hits(k=k, n=n)}, ov AS (SELECT h.query_id, child_id, score, rank, len(terms_) = 0 AS plain, {_OVERLAP} AS overlap FROM hits h JOIN (SELECT query_id, {_TERMS} AS terms_ FROM qs) USING (query_id)),
 rr AS (SELECT query_id, child_id, score, overlap, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN plain THEN 0 ELSE -overlap END, score DESC, rank)::INT AS rank FROM ov)"""

@@ -1,0 +1,168 @@
+"""The jobs: runs over growing input, repeated and broken runs, command lines; and their SQL."""
+
+import glob
+import json
+import logging
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from gravelake.operators import store
+from gravelake.operators.embed import embedded
+from jobs import common, index_documents, queries, sweep
+from tests.test_queries import rows
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(None, "no id", "en", "a", 5), (900, None, "en", "a", 0), (901, "", "en", "a", 0), (902, "twice one", "en", "a", 9), (902, "twice two", "en", "a", 9), (903, "no source", None, None, 9)]
+
+
+def documents(spark, first, last):
+    return spark.createDataFrame([(i, " ".join(f"w{(i * 70 + k) % 2000}" for k in range(i % 30 * 5)), "en", f"s{i % 3}", 0) for i in range(first, last)], SCHEMA)
+
+
+def add(df, folder):
+    df.coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def told(job, spark, config):
+    return sorted(tuple(r) for r in job.output(spark, config).collect())
+
+
+def found(spark, config, text):
+    q = embedded(spark.createDataFrame([("q", text)], "query_id string, query string"), "query")
+    return [(r.file_path, r.score) for r in store.open_store(spark, config.out).search(q, 5, alpha=0.3).orderBy("rank").collect()]
+
+
+@pytest.fixture()
+def index_config(tmp_path):
+    return index_documents.Config(str(tmp_path / "docs"), str(tmp_path / "out"), str(tmp_path / "ck"), 16, 12, segments=2)
+
+
+def test_index_takes_what_is_new(spark, index_config, tmp_path, caplog):
+    c = index_config
+    add(documents(spark, 0, 30).unionByName(spark.createDataFrame(ODD, SCHEMA)), c.documents)
+    with caplog.at_level(logging.INFO):
+        one = index_documents.run(spark, c)
+    assert one["batches"] == 1 and one["documents"] == 34 and one["embedded"] == one["chunks"] > 30 and "read 36 rows" in caplog.text
+    first = told(index_documents, spark, c)
+    assert len([r for r in first if r[0] == 902]) == 1 and not [r for r in first if r[0] in (None, 900, 901)] and [r[1] for r in first if r[0] == 903] == [None]
+    assert index_documents.run(spark, c) == {"batches": 0, "documents": 0, "chunks": 0, "embedded": 0} and told(index_documents, spark, c) == first
+    add(documents(spark, 30, 45).withColumn("text", F.concat("text", F.lit(" zebra"))), c.documents)
+    two = index_documents.run(spark, c)
+    assert two["batches"] == 1 and two["documents"] == 15 and store.segments(spark, c.out) == [0, 1]
+    grown = told(index_documents, spark, c)
+    assert set(first) < set(grown) and found(spark, c, "zebra")[0][0] in {f"documents/{i}" for i in range(30, 45)}
+    add(documents(spark, 7, 9).withColumn("text", F.lit("walrus here")), c.documents)  # come again with another text
+    index_documents.run(spark, c)
+    assert store.segments(spark, c.out) == [0] and store.version(spark, c.out) == 2  # three segments were one too many
+    now = told(index_documents, spark, c)
+    assert [r[3] for r in now if r[0] in (7, 8)] == [2, 2] and [r for r in now if r[0] not in (7, 8)] == [r for r in grown if r[0] not in (7, 8)]
+    assert {f for f, _ in found(spark, c, "walrus")[:2]} == {"documents/7", "documents/8"}
+    whole = index_documents.Config(c.documents, str(tmp_path / "whole"), str(tmp_path / "ck2"), 16, 12)
+    for _ in range(2):
+        index_documents.run(spark, whole)  # all files in one batch: of two rows of an id one is taken
+    assert {r[0] for r in told(index_documents, spark, whole)} == {r[0] for r in now}
+
+
+def test_index_goes_on_after_a_failure(spark, index_config, tmp_path, monkeypatch):
+    c = index_config
+    add(documents(spark, 0, 20), c.documents)
+    index_documents.run(spark, c)
+    before = told(index_documents, spark, c)
+    add(documents(spark, 20, 40), c.documents)
+    real = store.write_entries
+    monkeypatch.setattr(store, "write_entries", lambda *a: 1 / 0)  # after parents, chunks and embeddings are written
+    with pytest.raises(Exception):  # noqa: B017
+        index_documents.run(spark, c)
+    assert told(index_documents, spark, c) == before
+    monkeypatch.setattr(store, "write_entries", real)
+    again = index_documents.run(spark, c)
+    assert again["documents"] == 20 and again["embedded"] == 0
+    after = told(index_documents, spark, c)
+    assert {r[0] for r in after} == {i for i in range(40) if i % 30} and len(after) == len(set(after))
+    lost = index_documents.Config(c.documents, c.out, str(tmp_path / "lost"), 16, 12)  # a new checkpoint takes everything again
+    assert index_documents.run(spark, lost)["embedded"] == 0 and told(index_documents, spark, c) == after
+
+
+def _sweep(tmp_path, **how):
+    at = lambda n: str(tmp_path / n)
+    return sweep.Config(at("docs"), at("benchmark"), at("embeddings"), at("out"), **how)
+
+
+def _sweep_tables(spark, c, docs):
+    docs.write.mode("overwrite").parquet(c.documents)
+    spark.createDataFrame([(0, "w70 w71 w72 w73 w74"), (1, ""), (2, "nothing of it"), (3, None)], "item_id long, text string").write.mode("overwrite").parquet(c.benchmark)
+    spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)], 0) for i in range(2, 20)], "vec_id long, embedding array<float>, label int").write.mode("overwrite").parquet(c.embeddings)
+
+
+def test_sweep_runs_again_and_grows(spark, tmp_path):
+    c = _sweep(tmp_path, alphas=(0.2,))
+    _sweep_tables(spark, c, documents(spark, 0, 30).unionByName(spark.createDataFrame(ODD, SCHEMA)))
+    assert sweep.run(spark, c) == {"documents": 34, "questions": 4}  # an id counts once
+    first = told(sweep, spark, c)
+    assert len(first) == 8 and {r[:2] for r in first} == {(0.2, "plain"), (0.2, "rerank")} and any(r[2] == 0 and r[5] for r in first)
+    sweep.run(spark, c)
+    assert told(sweep, spark, c) == first
+    wider = _sweep(tmp_path, alphas=(0.8,), modes=("plain",))
+    sweep.run(spark, wider)
+    assert [r for r in told(sweep, spark, c) if r[0] == 0.2] == first and len(told(sweep, spark, c)) == 12
+    assert {(r.alpha, r["mode"]) for r in spark.read.parquet(f"{c.out}/summaries").collect()} == {(0.2, "plain"), (0.2, "rerank"), (0.8, "plain")}
+    _sweep_tables(spark, c, documents(spark, 0, 0))  # no documents any more: nothing of the old hits stays
+    assert sweep.run(spark, c)["documents"] == 0
+    assert not any(r[3] or r[4] or r[5] for r in told(sweep, spark, c) if r[0] == 0.2) and spark.read.parquet(f"{c.out}/rows").filter("alpha = 0.2").count() == 8
+
+
+def test_sweep_of_one_weight_is_the_search(spark, tmp_path):
+    """Hits of a setting are those that the engine's search gives."""
+    from gravelake.operators.lexical import build_index
+    from gravelake.operators.search import HybridIndex
+
+    c = _sweep(tmp_path, alphas=(0.4,))
+    _sweep_tables(spark, c, documents(spark, 0, 30))
+    sweep.run(spark, c)
+    chunks, vectors, q = sweep._tables(spark, c)
+    index = HybridIndex(chunks, build_index(chunks), vectors)
+    key = lambda d: sorted((r.query_id, r["rank"], r.child_id, r.score) for r in d.collect())
+    for mode, rerank in (("plain", False), ("rerank", True)):
+        assert key(spark.read.parquet(f"{c.out}/hits/alpha=0.4/mode={mode}")) == key(index.search(q, 5, 0.4, rerank=rerank))
+
+
+class _Borrowed:
+    """A session that a command line may stop."""
+
+    def __init__(self, spark):
+        self._real = spark
+
+    def __getattr__(self, name):
+        return getattr(self._real, name)
+
+    def stop(self):
+        self.stopped = True
+
+
+def test_command_lines(spark, tmp_path, monkeypatch):
+    own = _Borrowed(spark)
+    monkeypatch.setattr(common, "session", lambda name: own)
+    add(documents(spark, 0, 12), tmp_path / "docs")
+    (tmp_path / "c.json").write_text(json.dumps({"documents": "elsewhere", "out": str(tmp_path / "out"), "checkpoint": str(tmp_path / "ck"), "window": 8, "step": 8}))
+    common.main("index_documents", index_documents.Config, index_documents.run, None, [str(tmp_path / "c.json"), "--documents", str(tmp_path / "docs")])
+    assert own.stopped and store.version(spark, str(tmp_path / "out")) == 1
+    (tmp_path / "bad.json").write_text('{"out": "x", "wrong": 1}')
+    with pytest.raises(ValueError, match="wrong"):
+        common.read_config(spark, str(tmp_path / "bad.json"), sweep.Config)
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert common.read_config(spark, f"{here}/jobs/sweep.json", sweep.Config).alphas == (0.1, 0.5, 0.9)
+    assert common.read_config(spark, f"{here}/jobs/index_documents.json", index_documents.Config, out="y").out == "y"
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_job_queries(spark, sf, name):
+    con = duckdb.connect()
+    for p in glob.glob(f"{sf}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    before = dict(spark.sparkContext.getConf().getAll())
+    d, want = queries.QUERIES[name](spark, sf), con.sql(queries.ORACLES[name])
+    assert sorted(d.columns) == sorted(want.columns) and rows(d.columns, d.collect()) == rows(want.columns, want.fetchall())
+    assert dict(spark.sparkContext.getConf().getAll()) == before
