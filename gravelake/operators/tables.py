@@ -8,20 +8,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Whether there is a file or folder, on whatever file system."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def is_file(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p) and fs.getFileStatus(p).isFile()
+    """Whether a Parquet table with rows is a single file."""
+    row = spark.read.parquet(path).select("_metadata.file_path").first()
+    return row is not None and row.file_path.rstrip("/").endswith(path.rstrip("/").rsplit("/", 1)[-1])
 
 
 def put(df: DataFrame, path: str, segment: int, *by: str) -> None:
