@@ -15,6 +15,7 @@ from gravelake.operators.embed import Embedder, embedded, instructed
 from gravelake.operators.parse import script_parents, wiki_parents
 from gravelake.operators.rerank import PairScorer, pair_rerank
 from gravelake.operators.search import HybridIndex
+from gravelake.operators.tables import exists
 from gravelake.sources.files import scan_experiment, scan_scripts, scan_wiki
 
 
@@ -78,10 +79,12 @@ class Engine:
 
             p = parent_id.replace("\\", "/")
             collection = "wiki" if "data/wiki" in p or "wiki" in str(PurePosixPath(parent_id.split("::")[0])) else "game"
-        row = self.index(collection).parents.filter(F.col("parent_id") == parent_id).select("content").first()
-        return f"Not found: {parent_id}" if row is None else row.content
+        row = self.index(collection).parents.filter(F.col("parent_id") == parent_id).first()
+        return f"Not found: {parent_id!r}" if row is None else render.section(row)
 
     def validate(self, mod: str, game: str | None = None, min_severity: str = "warning") -> str:
+        if not exists(self.spark, mod):
+            return f"Error: .mod file not found: {mod}"
         exe, game = self.settings.validator, game or self.settings.game_path
         if not exe or not game:
             return "Error: no validator or game directory is configured."
@@ -105,6 +108,12 @@ class Engine:
             raise FileNotFoundError(f"no index of {cfg.name} in {self.path}")
         return out
 
+    def review(self, cfg: ExperimentConfig, queries: DataFrame, subset: str = "all", top_k: int = 5, rerank: bool = False, scorer: PairScorer | None = None) -> str:
+        """The hits of every query on a Markdown sheet, for people to judge."""
+        there = [c for c in ("game", "wiki") if store.version(self.spark, f"{self.path}/{cfg.collection(c)}") is not None]
+        hits = self._hits(queries, cfg, top_k, rerank, scorer, None) if there else None
+        return render.review_sheet(hits, queries, cfg.name, subset, top_k, there)
+
     def latency(self, collection: str, queries: DataFrame, **how) -> DataFrame:
         """id and latency_ms of each query searched by itself; queries (id, query) are a list to be timed one by one."""
         import time

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gravelake.functions import text as X
 
+#: What readers are told.
 NOTHING = "No results found."
+TRUNCATED = "\n... [truncated; use --content-limit 0 for full parent text]"
+MATRIX_HEAD = ("# Feedback Suite Matrix (A/B)", "", "| Config | Mode | Top1 | Top3 | Noise@5 | Actionability |", "|---|---:|---:|---:|---:|---:|")
 
 
 def hit_text() -> Column:
@@ -19,6 +24,13 @@ def hit_text() -> Column:
     return F.concat(head, body, F.lit("\nparent_id: "), e(F.col("parent_id").cast("string")), F.lit("\n"), e("text"), F.lit("\n"))
 
 
+def section(row) -> str:
+    """A parent under the line that says where it is from; absent parts are empty."""
+    told = {k: row[k] or "" for k in ("file_path", "section_title", "file_category", "block_name", "content")}
+    head = "Wiki · {file_path} · {section_title}" if row["source_type"] == "wiki" else "Game · {file_category} · {block_name}  ({file_path})"
+    return f"{head.format(**told)}\n\n{told['content']}"
+
+
 def cli_line() -> Column:
     e = X.text_or_empty
     head = F.format_string("  [%d] score=%.4f  ", F.col("rank"), F.col("score"))
@@ -31,7 +43,7 @@ def preview(x: Column | str, limit: int) -> Column:
     """A parent's text, cut with a notice if limit is not 0, every line indented."""
     body = X.text_or_empty(x)
     if limit > 0:
-        body = F.when(F.length(body) > limit, F.concat(F.substring(body, 1, limit), F.lit("\n... [truncated; use --content-limit 0 for full parent text]"))).otherwise(body)
+        body = F.when(F.length(body) > limit, F.concat(F.substring(body, 1, limit), F.lit(TRUNCATED))).otherwise(body)
     return F.regexp_replace(body, "(?m)^", "      ")
 
 
@@ -52,15 +64,15 @@ def review_blocks(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "rank", block.alias("block"))
 
 
-def review_sheet(hits: DataFrame, queries: DataFrame, name: str, subset: str, top_k: int) -> str:
-    """The whole sheet, for people to read; queries (id, query, collection, category, expected)."""
+def review_sheet(hits: DataFrame | None, queries: DataFrame, name: str, subset: str, top_k: int, there: Collection[str] = ("game", "wiki")) -> str:
+    """The whole sheet, for people to read; queries (id, query, collection, category, expected). there: collections that have an index."""
     own: dict = {}
-    for r in review_blocks(hits).orderBy("query_id", "rank").collect():
+    for r in review_blocks(hits).orderBy("query_id", "rank").collect() if hits is not None else ():
         own.setdefault(r.query_id, []).append(r.block)
     out = [f"# Manual Review - {name}", "", f"- query_subset: `{subset}`", f"- top_k: `{top_k}`", ""]
     for q in queries.orderBy("id").collect():
         out += [f"## {q.id} - {q.query}", "", f"- collection: `{q.collection}`", f"- category: `{q.category or '-'}`", f"- expected: `{', '.join(q.expected or [])}`", ""]
-        out += own.get(q.id, ["_No results._", ""])
+        out += own.get(q.id, ["_No results._", ""]) if q.collection in there else ["_Index not found for this collection._", ""]
     return "\n".join(out)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gravelake import config, schemas
 from gravelake.engine import Engine
 from gravelake.functions import text as X
-from gravelake.operators import embed, evaluate, parse, rerank, reports, search, store
+from gravelake.operators import chunk, embed, evaluate, parse, render, rerank, reports, search, store
 from gravelake.operators.chunk import chunk_parents
 from gravelake.operators.lexical import build_index, bm25_topk
 from gravelake.operators.vector import cells_topk, cosine_topk, fit_cells
@@ -204,8 +204,11 @@ def test_build_resume_and_serve(spark, tree, tmp_path):
     assert n["game"]["pending"] == n["game"]["chunks"] == 5
     assert e.build_all(str(tree / "game"), str(tree / "wiki"))["game"]["pending"] == 0
     assert "e.1" in e.search_game_files("hunt the fox", top_k=1) and e.search_wiki("body one", 1).startswith("[1] score=")
-    assert e.get_section("events/e.txt::e.1").startswith("e.1 = {") and e.get_section("x::y").startswith("Not found")
-    assert e.validate("mod").startswith("Error")
+    assert e.get_section("events/e.txt::e.1") == 'Game · events · e.1  (events/e.txt)\n\ne.1 = { title = "hunt the fox" }' and e.get_section("x::y") == "Not found: 'x::y'"
+    assert e.get_section("War_guide.md::Title", "wiki") == "Wiki · War_guide.md · Title\n\n## Title\nbody one"
+    assert e.validate(str(tmp_path / "no.mod")) == f"Error: .mod file not found: {tmp_path / 'no.mod'}"
+    (tmp_path / "a.mod").write_text("name = a")
+    assert e.validate(str(tmp_path / "a.mod")).startswith("Error: no validator")
     cfg = config.ExperimentConfig("t", common_categories=("traits",), chunking_strategy="ast")
     e.build_experiment(cfg, str(tree / "game"), str(tree / "mod"), str(tree / "wiki"))
     q = spark.createDataFrame([("1", "fox", "game", None, ["hunt"]), ("2", "title", "wiki", None, ["body"])], schemas.EVAL_QUERY)
@@ -235,9 +238,25 @@ def test_experiment_commands(spark, tree, tmp_path, capsys, monkeypatch):
     run("gold", at("x.yaml"), at("q.yaml"), at("g.yaml"), "--results", at("r"), "--ids", at("ids.txt"))
     run("feedback", at("x.yaml"), at("q.yaml"), at("f.yaml"), "--results", at("r"))
     run("compare", at("r/evaluate/x"), at("r/evaluate/x"))
-    run("review", at("r/gold/x"))
+    run("rows", at("r/gold/x"))
     said = capsys.readouterr().out
-    assert "results in" in said and "delta" in said
+    assert "results in" in said and "delta: 0.0" in said and "id: a" in said
+    for suffix, more in (("none", []), ("heuristic", ["--rerank"])):
+        run("feedback", at("x.yaml"), at("q.yaml"), at("f.yaml"), "--results", at("r"), "--suffix", suffix, *more)
+    run("matrix", "x", "--mode", "none=No rerank", "--mode", "heuristic=Heuristic rerank", "--results", at("r"))
+    sheet = "\n".join(r.value for r in spark.read.text(at("r/feedback_suite_matrix"), wholetext=True).collect()).splitlines()
+    assert sheet[:4] == list(render.MATRIX_HEAD) and sheet[4:] == ["| x | No rerank | 0% | 100% | 67% | 100% |", "| x | Heuristic rerank | 100% | 100% | 67% | 100% |"]  # the fox stands in quotes: no word of BM25, found by the rerank
+    run("--subsets", at("subsets"), "review", at("x.yaml"), at("q.yaml"), "--results", at("r"), "--ids", at("ids.txt"), "--top-k", "1")
+    got = spark.read.text(at("r/review/x/manual_review_ids"), wholetext=True).first().value
+    assert got.startswith(f"# Manual Review - x\n\n- query_subset: `{at('ids.txt')}`\n- top_k: `1`\n\n## a - fox\n\n- collection: `game`\n- category: `-`\n- expected: `hunt`\n\n### Rank 1\n\n- score: `")
+    assert "- file: `events/e.txt`\n- title: `e.1`\n- parent_id: `events/e.txt::e.1`\n\n```text\ne.1 = { title" in got and "title -" not in got
+    for name, text in (("game/one", "common/traits/a.txt"), ("queries/only", "b"), ("wiki/one", "bom.md")):
+        (tmp_path / "subsets" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "subsets" / f"{name}.txt").write_text(text + "\n")
+    run("--subsets", at("subsets"), "run", at("x.yaml"), str(tree / "game"), str(tree / "mod"), str(tree / "wiki"), "--subset", "one")
+    assert {r.file_path for r in store.open_store(spark, at("store/exp_x_game")).chunks.collect()} == {"common/traits/a.txt"} and {r.file_path for r in store.open_store(spark, at("store/exp_x_wiki")).chunks.collect()} == {"bom.md"}
+    run("--subsets", at("subsets"), "evaluate", at("x.yaml"), at("q.yaml"), "--results", at("r"), "--ids", "only", "--suffix", "sub")
+    assert [r.id for r in store.read_results(spark, at("r/evaluate/x_sub"))[1].collect()] == ["b"]
     assert store.read_results(spark, at("r/evaluate/x"))[1].count() == 2 and store.read_results(spark, at("r/gold/x"))[1].count() == 1
 
 
@@ -301,3 +320,108 @@ def test_chunk_ids_do_not_move(spark):
     p = spark.createDataFrame([("a", "n", None, "x. " * 10, "f", "c", "wiki", 0), ("b", "n", None, " ", "f", "c", "wiki", 1)], schemas.PARENT)
     got = chunk_parents(p, size=6).orderBy("parent_ord", "chunk_ord").collect()
     assert [r.child_id for r in got] == [f"a::chunk{i}" for i in range(len(got))] and len(got) > 2
+
+
+def test_chunks_in_sql(spark):
+    """The table functions give what the operator gives."""
+    chunk.register(spark)
+    text = "a = {\n" + "\n".join(f"k{i} = {{ x = {i} y = word }}" for i in range(12)) + "\n}"
+    p = spark.createDataFrame([("s", "a", None, text, "f", "c", "game_file", 0), ("w", None, "t", "One here. Two there. " * 9, "g", None, "wiki", 0), ("e", None, None, None, "h", None, "wiki", 0)], schemas.PARENT)
+    p.createOrReplaceTempView("parents_of_test")
+    for name, strategy, args in (("script_chunks", "ast", (20,)), ("sentence_chunks", "sentence_splitter", (8, 3))):
+        got = spark.sql(f"SELECT parent_id, chunk_ord, text FROM {name}(TABLE(parents_of_test), {', '.join(map(str, args))})")
+        want = chunk_parents(p, strategy, *args).select("parent_id", "chunk_ord", "text")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
+    made = spark.sql("SELECT * FROM script_chunks(TABLE(SELECT 1 AS n, 'x y' AS content, 'wiki' AS source_type), 5)")
+    assert made.columns == ["n", "content", "source_type", "chunk_ord", "text"] and made.first().n == 1
+    for bad in ("TABLE(SELECT 1 AS n), 5", "TABLE(SELECT 'x' AS content, 'wiki' AS source_type), n", "TABLE(SELECT 'x' AS content, 'wiki' AS source_type, 'y' AS text), 5"):
+        with pytest.raises(Exception):  # noqa: B017
+            spark.sql(f"SELECT * FROM script_chunks({bad})").collect()
+    spark.catalog.dropTempView("parents_of_test")
+
+
+class _Slow:
+    concurrent = 20
+
+    def __init__(self, wait=0.0, failing=0, error=None):
+        self.wait, self.failing, self.error, self.calls, self.flying, self.most = wait, failing, error, 0, 0, 0
+
+    def __call__(self, texts):
+        import threading
+        import time
+
+        with _Slow.lock:
+            self.calls += 1
+            self.flying += 1
+            self.most = max(self.most, self.flying)
+            fail = self.calls <= self.failing
+        time.sleep(self.wait * (1 + (int(texts[0]) * 7919 % 5) / 10))  # answers come out of order
+        with _Slow.lock:
+            self.flying -= 1
+        if fail:
+            raise self.error
+        return [[float(t)] for t in texts]
+
+
+def test_calls_in_flight_keep_their_order():
+    import threading
+    import time
+    import urllib.error
+
+    _Slow.lock = threading.Lock()
+    slow, began = _Slow(0.2), time.perf_counter()
+    got = list(embed.in_order(slow, ([str(i)] for i in range(20)), 20))
+    assert got == [[[float(i)]] for i in range(20)] and time.perf_counter() - began < 1.0 and slow.most == 20
+    taken = []
+    lazy = embed.in_order(slow, (taken.append(i) or [str(i)] for i in range(100)), 5)
+    assert next(lazy) == [[0.0]] and len(taken) <= 6  # no more items are taken than are in flight
+    lazy.close()
+    flaky = _Slow(failing=2, error=urllib.error.HTTPError("u", 429, "busy", None, None))
+    assert embed.retried(flaky, ["3"], wait=0.01) == [[3.0]] and flaky.calls == 3
+    for error in (urllib.error.HTTPError("u", 400, "bad", None, None), ValueError("x")):
+        wrong = _Slow(failing=9, error=error)
+        with pytest.raises(type(error)):
+            embed.retried(wrong, ["1"], wait=0.01)
+        assert wrong.calls == 1
+    down = _Slow(failing=9, error=ConnectionError())
+    with pytest.raises(ConnectionError):
+        embed.retried(down, ["1"], tries=3, wait=0.01)
+    assert down.calls == 3
+
+
+class _Service:
+    """An embeddings service on this machine: answers out of order, the first call of each text is turned away."""
+
+    def __enter__(self):
+        import http.server
+        import threading
+
+        seen, lock = {}, threading.Lock()
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_POST(self):
+                texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+                with lock:
+                    seen[texts[0]] = seen.get(texts[0], 0) + 1
+                    busy = seen[texts[0]] == 1
+                body = json.dumps({"data": [{"index": i, "embedding": [float(len(t))]} for i, t in reversed(list(enumerate(texts)))]}).encode()
+                self.send_response(503 if busy else 200)
+                self.end_headers()
+                self.wfile.write(b"" if busy else body)
+
+            def log_message(self, *a):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        return f"http://127.0.0.1:{self.server.server_port}/v1/embeddings"
+
+    def __exit__(self, *a):
+        self.server.shutdown()
+
+
+def test_embeddings_from_a_service(spark):
+    with _Service() as url:
+        d = spark.createDataFrame([(i, "x" * i) for i in range(150)], "i int, text string").repartition(2)
+        got = embed.embedded(d, "text", embed.HttpEmbedder(url, "m", "key")).collect()
+    assert {r.i: r.embedding for r in got} == {i: [float(i)] for i in range(150)}
