@@ -246,9 +246,9 @@ def test_experiment_commands(spark, tree, tmp_path, capsys, monkeypatch):
     run("matrix", "x", "--mode", "none=No rerank", "--mode", "heuristic=Heuristic rerank", "--results", at("r"))
     sheet = "\n".join(r.value for r in spark.read.text(at("r/feedback_suite_matrix"), wholetext=True).collect()).splitlines()
     assert sheet[:4] == list(render.MATRIX_HEAD) and sheet[4:] == ["| x | No rerank | 0% | 100% | 67% | 100% |", "| x | Heuristic rerank | 100% | 100% | 67% | 100% |"]  # the fox stands in quotes: no word of BM25, found by the rerank
-    run("--subsets", at("subsets"), "review", at("x.yaml"), at("q.yaml"), "--results", at("r"), "--ids", at("ids.txt"), "--top-k", "1")
+    run("--subsets", at("subsets"), "review", at("x.yaml"), at("q.yaml"), "--results", at("r"), "--ids", at("ids.txt"), "--top-k", "3", "--rerank")
     got = spark.read.text(at("r/review/x/manual_review_ids"), wholetext=True).first().value
-    assert got.startswith(f"# Manual Review - x\n\n- query_subset: `{at('ids.txt')}`\n- top_k: `1`\n\n## a - fox\n\n- collection: `game`\n- category: `-`\n- expected: `hunt`\n\n### Rank 1\n\n- score: `")
+    assert got.startswith(f"# Manual Review - x\n\n- query_subset: `{at('ids.txt')}`\n- top_k: `3`\n\n## a - fox\n\n- collection: `game`\n- category: `-`\n- expected: `hunt`\n\n### Rank 1\n\n- score: `")
     assert "- file: `events/e.txt`\n- title: `e.1`\n- parent_id: `events/e.txt::e.1`\n\n```text\ne.1 = { title" in got and "title -" not in got
     for name, text in (("game/one", "common/traits/a.txt"), ("queries/only", "b"), ("wiki/one", "bom.md")):
         (tmp_path / "subsets" / name).parent.mkdir(parents=True, exist_ok=True)
