@@ -50,6 +50,7 @@ class Settings:
     query_instruction_enabled: bool = False
     query_instruction_game: str = INSTRUCTIONS["game"]
     query_instruction_wiki: str = INSTRUCTIONS["wiki"]
+    vocabulary: str | None = None  # of byte pairs, for token counts; else words and marks are counted
     validator: str | None = None
     game_path: str | None = None
 
@@ -62,6 +63,7 @@ class Settings:
             query_instruction_enabled=env_bool("EMBEDDING_QUERY_INSTRUCTION_ENABLED", False, env),
             query_instruction_game=instruction("game", env),
             query_instruction_wiki=instruction("wiki", env),
+            vocabulary=env_str("TOKEN_VOCABULARY", "", env) or None,
             validator=env_str("VALIDATOR_EXE", "", env) or shutil.which("script-validator"),
             game_path=env_str("GAME_PATH", "", env) or None,
         )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gravelake.config import DEFAULT_ALPHA, EXACT_ALPHA, ExperimentConfig, Settings
+from gravelake.functions.script import SubwordCount, token_count
 from gravelake.operators import evaluate as E
 from gravelake.operators import render, reports, store
 from gravelake.operators.chunk import chunk_parents
@@ -29,7 +30,8 @@ class Engine:
 
     def build(self, collection: str, parents: DataFrame, strategy: str | None = None, size: int | None = None, overlap: int | None = None) -> dict[str, int]:
         s = self.settings
-        chunks = chunk_parents(parents, strategy or s.strategy, size or s.chunk_size, s.chunk_overlap if overlap is None else overlap)
+        count = SubwordCount.load(self.spark, s.vocabulary) if s.vocabulary else token_count
+        chunks = chunk_parents(parents, strategy or s.strategy, size or s.chunk_size, s.chunk_overlap if overlap is None else overlap, count)
         self._open.pop(collection, None)
         return store.build_store(parents, chunks, f"{self.path}/{collection}", self.embedder)
 

@@ -167,6 +167,12 @@ SELECT count(*) FILTER (WHERE vec_id % 50 = 0) AS n_queries, count(*) FILTER (WH
     "gold_rerank": f"""WITH {_hits()}, {_RULES}, g AS (SELECT h.query_id, child_id, score, rank, (paths IS NULL OR len(paths) = 0 OR {_ANY.format(n="paths", h=_PATH)})::INT AS path_ok,
   coalesce(len(list_filter(words, lambda x: contains({_HAY}, lower(x)))), 0)::INT AS token_hits FROM hits h LEFT JOIN rules r ON r.id = h.query_id)
 SELECT query_id, child_id, score, path_ok, token_hits, row_number() OVER (PARTITION BY query_id ORDER BY path_ok DESC, token_hits DESC, score DESC, rank)::INT AS rank FROM g""",
+    "pair_rerank": f"""WITH {_hits()}, pr AS (SELECT h.query_id, child_id, score, rank AS before, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_intersect(w, {_tokens("text")}))::DOUBLE / len(w) END, 6) AS rerank_score,
+  CASE WHEN len(w) = 0 THEN 0 ELSE len(list_intersect(w, {_tokens("text")}))::DOUBLE / len(w) END AS whole FROM hits h JOIN (SELECT query_id, list_distinct({_tokens("query")}) AS w FROM qs) USING (query_id))
+SELECT query_id, child_id, score, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY whole DESC, before)::INT AS rank FROM pr""",
+    "script_blocks": """WITH c AS (SELECT c_nationkey AS k, string_agg(chr(9) || 'customer = { key = ' || c_custkey || ' name = "' || c_name || '" }', chr(10) ORDER BY chr(9) || 'customer = { key = ' || c_custkey || ' name = "' || c_name || '" }') AS body FROM customer GROUP BY 1),
+n AS (SELECT 'common/nations/' || n_name || '.txt' AS path, 'nation ' || n_name AS name, coalesce(body, '') AS body FROM nation LEFT JOIN c ON k = n_nationkey)
+SELECT path, 0 AS ord, name, md5(name || ' = {' || chr(10) || body || chr(10) || '}') AS digest FROM n UNION ALL SELECT path, 1, '', md5('{ }') FROM n""",
     "query_terms": f"WITH {BASE} SELECT query_id, unnest({_TERMS}) AS term FROM qs",
     "eval_hit_at_k": f"WITH {_hits()}, {_hit_rows('hits', 'r')} SELECT * FROM r",
     "eval_summary": f"WITH {_hits()}, {_hit_rows('hits', 'r')} {_HIT_SUMMARY.format(e='base', r='r')}",
