@@ -64,17 +64,32 @@ def test_block_table_function(spark):
     assert [(r.ord, r.name) for r in got] == [(0, "a"), (1, "b")]
 
 
-def test_experiment_paths_and_yaml(tree):
+def test_experiment_paths_and_yaml(spark, tree):
     (tree / "list.txt").write_text("common/b.info # keep\n\n# no\nmissing.txt\n")
     (tree / "x.yaml").write_text("name: x\ndata:\n  game_files_txt: list.txt\n  roots: {vanilla: [events]}\nchunking: {strategy: ast, chunk_size: 99}\nretrieval: {alpha: 0.2}\n")
     cfg = config.ExperimentConfig.from_yaml(tree / "x.yaml")
     assert cfg.game_files == ("common/b.info", "missing.txt") and cfg.chunk_size == 99 and cfg.chunk_overlap == 50 and cfg.alpha == 0.2 and cfg.collection("game") == "exp_x_game" and cfg.common_categories == config.DEFAULT_CATEGORIES
-    ends = lambda c: [p.rsplit("/", 1)[1] for p in files.experiment_paths(c, tree / "game", tree / "mod")]
+    ends = lambda c: sorted(r.path.rsplit("/", 1)[1] for r in files.scan_experiment(spark, c, tree / "game", tree / "mod").collect())
     assert ends(cfg) == ["b.info"]
     assert ends(config.ExperimentConfig("y", vanilla_roots=("events", "events/skip.yml", "gone"))) == ["e.txt", "skip.yml"]
+    (tree / "mod/events").mkdir(parents=True)
+    (tree / "mod/events/m.txt").write_text("m.1 = { }")
+    both = files.scan_experiment(spark, config.ExperimentConfig("m", vanilla_roots=("events", "events\\e.txt"), mod_roots=("/events/",)), tree / "game", tree / "mod").collect()
+    assert sorted(r.rel_path for r in both) == [f"{tree}/mod/events/m.txt", "events/e.txt"]  # every file once
     assert sorted(ends(config.ExperimentConfig("z", common_categories=("traits",), include_gui=True))) == ["a.txt", "e.txt", "f.gui"]
 
 
+def test_trees_on_any_file_system(spark, tree):
+    """The same scans through file: and through a store that only Spark reads."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tree.link./in", f"file://{tree}")
+    plain = lambda d: sorted((r.rel_path, bytes(r.content)) for r in d.collect())
+    cfg = config.ExperimentConfig("y", vanilla_roots=("events", "events/skip.yml", "gone"))
+    for base in (f"file://{tree}", "viewfs://tree/in"):
+        assert plain(files.scan_scripts(spark, f"{base}/game/")) == plain(files.scan_scripts(spark, tree / "game"))
+        assert plain(files.scan_wiki(spark, f"{base}/wiki", ["bom.md", "gone.md"])) == plain(files.scan_wiki(spark, tree / "wiki", ["bom.md"]))
+        assert plain(files.scan_experiment(spark, cfg, f"{base}/game", f"{base}/mod")) == plain(files.scan_experiment(spark, cfg, tree / "game", tree / "mod"))
+
+
 def test_lists(tmp_path, spark):
     p = tmp_path / "q.txt"
     p.write_text("# c\none # kept\n\n two\n")
