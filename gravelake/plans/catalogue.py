@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gravelake.functions import text as X
-from gravelake.operators import chunk, embed, evaluate, parse, render, reports, rerank, search, store
-from gravelake.operators.lexical import CHUNKS, LexicalIndex, bm25_scores, bm25_topk, build_index, path_contains
+from gravelake.operators import chunk, embed, evaluate, order, parse, render, reports, rerank, search, store
+from gravelake.operators.lexical import CHUNKS, LexicalIndex, bm25_scores, bm25_topk, build_index, entries, path_contains, write_entries
 from gravelake.operators.vector import CellIndex, cosine_topk
 from gravelake.plans.oracles import ORACLES
 from gravelake.session import shared_dir
+from gravelake.sources import files
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -163,6 +164,19 @@ def bm25_zero_fill(spark, d):
     return rounded(bm25_topk(index(spark, d), q, K))
 
 
+def bm25_segments(spark, d):
+    """The index written in three segments; the last one brings every fourth document of the first two again."""
+
+    def build(path: str) -> None:
+        c = chunks(spark, d).select("child_id", "text", "corpus_ord")
+        again = F.col("child_id") % 4 == 0
+        write_entries(entries(c.filter("child_id % 2 = 0").withColumn("text", F.when(again, F.concat("text", F.lit(" old"))).otherwise(F.col("text")))), path, 0)
+        write_entries(entries(c.filter("child_id % 2 = 1")), path, 1)
+        write_entries(entries(c.filter(again)), path, 2, c.filter(again))
+
+    return rounded(bm25_topk(LexicalIndex.load(spark, _built(spark, d, "segments", build)), asked(spark, d), K))
+
+
 # Vector
 
 
@@ -297,6 +311,37 @@ def _markdown(spark, d):
     return read(spark, d, "pages").select("page_id", F.concat(F.lit("data/wiki/page_"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), h.alias("text"))
 
 
+def wiki_parents(spark, d):
+    files = _markdown(spark, d).select("path", F.col("path").alias("rel_path"), F.encode("text", "UTF-8").alias("content"))
+    return parse.wiki_parents(files).select("parent_id", "section_title", "file_path", "ord", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+def script_parents(spark, d):
+    files = _scripts(spark, d).select("path", F.col("path").alias("rel_path"), F.encode("text", "UTF-8").alias("content"))
+    return parse.script_parents(files).select("parent_id", "block_name", "file_category", "source_type", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+def scan_scripts(spark, d):
+    """Documents written as script files in a folder a source, found and decoded again."""
+
+    def write(path: str) -> None:
+        read(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source").text(f"{path}/common")
+
+    found = files.scan_scripts(spark, _built(spark, d, "scripts", write), ("common", "events"))
+    text = files.decode_script("content")
+    told = found.select(X.category_of("rel_path").alias("category"), F.length(text).cast("long").alias("n"), F.regexp_count(text, F.lit("\n")).cast("long").alias("lines"))
+    return told.groupBy("category").agg(F.sum("n").alias("n_chars"), F.sum("lines").alias("n_lines"))
+
+
+def corpus_order(spark, d):
+    """A running index over all documents by source, language and id."""
+
+    def write(path: str) -> None:
+        order.placed(read(spark, d, "documents").select("source", "lang", "doc_id"), "source", "lang", "doc_id").write.parquet(f"{path}/documents")
+
+    return order.indexed(spark.read.parquet(f"{_built(spark, d, 'order', write)}/documents"), "corpus_ord").select("doc_id", "corpus_ord")
+
+
 def section_split(spark, d):
     return parse.split_sections(_markdown(spark, d)).select("page_id", "section_title", F.length("section").alias("n_chars"), F.md5(F.col("section").cast("binary")).alias("digest"))
 
@@ -429,9 +474,9 @@ def collection_of_id(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        lexical_build, corpus_stats, term_df, term_idf, bm25_postings, bm25_all, bm25_topk_category, bm25_topk_path, bm25_zero_fill, cosine_topk_category, cosine_topk_path_post, cosine_cells, cosine_cells_recall, hybrid_topk, hybrid_exact,
+        lexical_build, corpus_stats, term_df, term_idf, bm25_postings, bm25_all, bm25_topk_category, bm25_topk_path, bm25_zero_fill, bm25_segments, cosine_topk_category, cosine_topk_path_post, cosine_cells, cosine_cells_recall, hybrid_topk, hybrid_exact,
         hybrid_filtered, hybrid_no_dedup, lexical_rerank, overfetch_rerank, gold_rerank, pair_rerank, query_terms, eval_hit_at_k, eval_summary, gold_strict_soft, gold_summary, feedback_metrics,
-        feedback_summary, grade_compare, compare_lists, metric_deltas, query_id_union, section_split, dup_name_suffix, category_from_path, word_window_chunks, greedy_pack_lines, sentence_chunks,
+        feedback_summary, grade_compare, compare_lists, metric_deltas, query_id_union, section_split, wiki_parents, script_parents, scan_scripts, corpus_order, dup_name_suffix, category_from_path, word_window_chunks, greedy_pack_lines, sentence_chunks,
         script_blocks, script_chunks, embed_hash, instruct_queries, pending_anti_join, parent_last_wins, keyed_upsert, severity_report, severity_lines, json_props, render_answers, render_cli,
         review_blocks, snippets, feedback_matrix, actionable_hits, collection_of_id,
     )

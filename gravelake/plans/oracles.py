@@ -142,6 +142,9 @@ _EVENTS = """ev AS (SELECT event_id, user_id, event_type, CASE event_type WHEN '
 rep AS (SELECT *, list_position(['tips', 'untidy', 'warning', 'error', 'fatal'], severity) - 1 AS severity_idx FROM ev)"""
 _MARKDOWN = r"""md AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<h([1-6])[^>]*>', chr(10) || '## ', 'g'), '</h[1-6]>', chr(10), 'g'), '</?(p|div|li|article|nav|ul)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS text FROM pages)"""
 
+_NATIONS = """c AS (SELECT c_nationkey AS k, string_agg(line, chr(10) ORDER BY line) AS body FROM (SELECT c_nationkey, chr(9) || 'customer = { key = ' || c_custkey || ' name = "' || c_name || '" }' AS line FROM customer) GROUP BY 1),
+n AS (SELECT 'common/nations/' || n_name || '.txt' AS path, 'nation ' || n_name AS name, coalesce(body, '') AS body FROM nation LEFT JOIN c ON k = n_nationkey)"""
+
 ORACLES = {
     "corpus_stats": f"WITH {INDEX} SELECT n_docs, round(avgdl, 6) AS avgdl, round(avg_idf, 6) AS avg_idf FROM size_, mean_",
     "term_df": f"WITH {INDEX} SELECT * FROM dfs",
@@ -153,6 +156,17 @@ ORACLES = {
     "bm25_topk_category": f"WITH {_scores()}, {_bm25(10, chr(39).join(['source = ', 'src0', '']))} SELECT query_id, child_id, round(score, 6) AS score, rank::INT AS rank FROM bm",
     "bm25_topk_path": f"WITH {_scores()}, {_bm25(10, chr(39).join(['contains(file_path, ', '/en/', ')']))} SELECT query_id, child_id, round(score, 6) AS score, rank::INT AS rank FROM bm",
     "bm25_zero_fill": f"WITH {_scores('(SELECT query_id, (' + _tokens('query') + ')[1] || chr(126) AS query FROM qs)')}, {_bm25(10)} SELECT query_id, child_id, round(score, 6) AS score, rank::INT AS rank FROM bm",
+    "bm25_segments": f"WITH {_scores()}, {_bm25(10)} SELECT query_id, child_id, round(score, 6) AS score, rank::INT AS rank FROM bm",
+    "wiki_parents": rf"""WITH {_MARKDOWN}, p AS (SELECT page_id, string_split(regexp_replace(text, '(?m)^(#{{2,}}\s)', chr(1) || '\1', 'g'), chr(1)) AS parts FROM md),
+s AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts)))::INT AS ord FROM p), t AS (SELECT page_id, ord, {_strip("part")} AS section FROM s),
+u AS (SELECT *, CASE WHEN regexp_matches(section, '^#{{2,}}\s') THEN {_strip(f"regexp_extract(section, '^#{{2,}}{chr(92)}s+([^{chr(92)}n]*)', 1)")} ELSE 'page ' || page_id || ' (intro)' END AS section_title FROM t WHERE section <> ''),
+v AS (SELECT *, row_number() OVER (PARTITION BY page_id, section_title ORDER BY ord) AS n, 'data/wiki/page_' || page_id || '.md' AS file_path FROM u)
+SELECT file_path || '::' || section_title || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS parent_id, section_title, file_path, ord, md5(section) AS digest FROM v""",
+    "script_parents": f"""WITH {_NATIONS}, b AS (SELECT path, name AS block_name, name || ' = {{' || chr(10) || body || chr(10) || '}}' AS content FROM n UNION ALL SELECT path, '', '{{ }}' FROM n)
+SELECT path || '::' || block_name AS parent_id, block_name, 'nations' AS file_category, 'game_file' AS source_type, md5({_strip("content")}) AS digest FROM b""",
+    "scan_scripts": r"""WITH t AS (SELECT source, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10) AS x FROM documents)
+SELECT 'source=' || source AS category, sum(length(x))::BIGINT AS n_chars, sum(length(x) - length(replace(x, chr(10), '')))::BIGINT AS n_lines FROM t GROUP BY 1""",
+    "corpus_order": "SELECT doc_id, row_number() OVER (ORDER BY source, lang, doc_id) - 1 AS corpus_ord FROM documents",
     "cosine_topk": f"WITH {BASE}, {_cosine(10)} SELECT query_id, rank::INT AS rank, child_id, round(score, 6) AS score FROM ve",
     "cosine_topk_category": f"WITH {BASE}, {_cosine(10, chr(39).join(['source = ', 'src0', '']))} SELECT query_id, rank::INT AS rank, child_id, round(score, 6) AS score FROM ve",
     "cosine_topk_path_post": f"WITH {BASE}, {_cosine(10, 'true', chr(39).join(['contains(file_path, ', '/en/', ')']))} SELECT query_id, rank::INT AS rank, child_id, round(score, 6) AS score FROM ve",
@@ -170,9 +184,8 @@ SELECT query_id, child_id, score, path_ok, token_hits, row_number() OVER (PARTIT
     "pair_rerank": f"""WITH {_hits()}, pr AS (SELECT h.query_id, child_id, score, rank AS before, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_intersect(w, {_tokens("text")}))::DOUBLE / len(w) END, 6) AS rerank_score,
   CASE WHEN len(w) = 0 THEN 0 ELSE len(list_intersect(w, {_tokens("text")}))::DOUBLE / len(w) END AS whole FROM hits h JOIN (SELECT query_id, list_distinct({_tokens("query")}) AS w FROM qs) USING (query_id))
 SELECT query_id, child_id, score, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY whole DESC, before)::INT AS rank FROM pr""",
-    "script_blocks": """WITH c AS (SELECT c_nationkey AS k, string_agg(chr(9) || 'customer = { key = ' || c_custkey || ' name = "' || c_name || '" }', chr(10) ORDER BY chr(9) || 'customer = { key = ' || c_custkey || ' name = "' || c_name || '" }') AS body FROM customer GROUP BY 1),
-n AS (SELECT 'common/nations/' || n_name || '.txt' AS path, 'nation ' || n_name AS name, coalesce(body, '') AS body FROM nation LEFT JOIN c ON k = n_nationkey)
-SELECT path, 0 AS ord, name, md5(name || ' = {' || chr(10) || body || chr(10) || '}') AS digest FROM n UNION ALL SELECT path, 1, '', md5('{ }') FROM n""",
+    "script_blocks": f"""WITH {_NATIONS}
+SELECT path, 0 AS ord, name, md5(name || ' = {{' || chr(10) || body || chr(10) || '}}') AS digest FROM n UNION ALL SELECT path, 1, '', md5('{{ }}') FROM n""",
     "query_terms": f"WITH {BASE} SELECT query_id, unnest({_TERMS}) AS term FROM qs",
     "eval_hit_at_k": f"WITH {_hits()}, {_hit_rows('hits', 'r')} SELECT * FROM r",
     "eval_summary": f"WITH {_hits()}, {_hit_rows('hits', 'r')} {_HIT_SUMMARY.format(e='base', r='r')}",

@@ -10,6 +10,7 @@ from gravelake.operators import store
 from gravelake.operators.chunk import chunk_parents
 from gravelake.operators.embed import Embedder
 from gravelake.operators.parse import script_parents
+from gravelake.sources.files import named
 
 
 def index_new_files(spark: SparkSession, root: str, out: str, checkpoint: str, strategy: str = "ast", size: int = 256, embedder: Embedder | None = None) -> StreamingQuery:
@@ -23,9 +24,7 @@ def index_new_files(spark: SparkSession, root: str, out: str, checkpoint: str, s
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,info,gui}").load(root)
 
     def add(batch: DataFrame, _: int) -> None:
-        path = F.regexp_replace("path", "^file:/+", "/")
-        rel = F.substring(path, len(root.rstrip("/")) + 2, 1 << 20)
-        found = batch.select(path.alias("path"), rel.alias("rel_path"), "content")
+        found = named(batch, root)
         parents = script_parents(found)
         store.add_segment(parents, chunk_parents(parents, strategy, size), found.select(F.col("rel_path").alias("file_path")), out, embedder)
 
