@@ -76,6 +76,7 @@ def matrix(spark: SparkSession, a: argparse.Namespace) -> str:
     return "\n".join([*render.MATRIX_HEAD, *lines])
 
 
+# Names, places and defaults of the options.
 def main(argv: list[str] | None = None) -> None:
     top = argparse.ArgumentParser(prog="gravelake")
     top.add_argument("--store", default="store")

@@ -65,12 +65,6 @@ def overlap(terms: Column, hay: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.contains(hay, t)))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in double precision; null if a vector has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def snippet(x: Column | str, lines: int = 3, chars: int = 280) -> Column:
     """The first non-blank lines, cut with an ellipsis."""
     kept = F.filter(F.transform(F.split(text_or_empty(x), LINE_END), stripped), lambda t: t != "")
