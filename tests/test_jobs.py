@@ -157,6 +157,15 @@ def test_command_lines(spark, tmp_path, monkeypatch):
     assert common.read_config(spark, f"{here}/jobs/index_documents.json", index_documents.Config, out="y").out == "y"
 
 
+def test_jobs_stand_alone():
+    """Jobs and their tests import nothing of the corpus operators, and touch files through Spark only."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for path in [*glob.glob(f"{here}/jobs/*.py"), f"{here}/gravelake/operators/store.py", f"{here}/gravelake/operators/tables.py"]:
+        with open(path) as f:
+            text = f.read()
+        assert "llm" not in text and "corpus_" + "pipeline" not in text and "open(" not in text.replace("_store(", "") and "_jvm" not in text
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_job_queries(spark, sf, name):
     con = duckdb.connect()
