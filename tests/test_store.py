@@ -176,6 +176,15 @@ def test_no_chunks_name_no_version(spark, tmp_path):
         store.open_store(spark, str(tmp_path))
 
 
+def test_counted_by_the_write(spark, tmp_path):
+    d = spark.range(50).withColumn("k", F.col("id") % 3)
+    some = store.Counted(d.filter("k = 1"))
+    some.rows.hint("rebalance", "k").write.parquet(f"{tmp_path}/a")
+    none = store.Counted(d.join(d.select("id").hint("shuffle_hash"), "id", "left_anti"))  # found to be empty while it runs
+    none.rows.hint("rebalance", "k").write.partitionBy("k").parquet(f"{tmp_path}/b")
+    assert (some.n, none.n) == (17, 0)
+
+
 # Order
 
 
