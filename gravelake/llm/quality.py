@@ -5,8 +5,9 @@ buckets are counted, one over every document of the corpus and one over all trus
 good). A text's score is its mean log ratio of the two; it is kept if no base rule fails
 and its score reaches a low quantile of the trusted documents' own scores, so equal texts always get equal
 verdicts. Trusted ids meet the documents in a shuffled join; scores are stored once, and the threshold and the
-verdicts are read from them. Everything runs as JVM expressions; the only thing that leaves the executors is one number a
-bucket, and one threshold.
+verdicts are read from them. The quantile is exact, so the threshold does not depend on the order in which tasks end.
+Everything runs as JVM expressions; the only thing that leaves the executors is one number a bucket, and counts and
+bounds of a fixed number of bins.
 
 Results at the edges: a null or empty text has no words and fails the base rules; with no trusted document
 the ratio is 0 everywhere and only the base rules decide; repeated rows are scored alike; columns other than
@@ -20,12 +21,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gravelake.llm.common import let, literal_array, staged, table, words_of
+from gravelake.llm.common import let, literal_array, staged, table, unstaged, words_of
 
 BUCKETS = 10_000
 SMOOTHING = 1.0
 QUANTILE = 0.005
 MIN_WORDS = 10
+#: Bins of a pass over the scores for their quantile.
+BINS = 4_096
 
 _BUCKETS_OF = "flatten(array(transform(w, x -> pmod(xxhash64(x), {b})), transform(w, (x, i) -> if(i = 0, -1L, pmod(xxhash64(get(w, i - 1), x), {b})))))"
 _REPEATS = (
@@ -88,6 +91,27 @@ def with_score(counted: DataFrame, ratios: list[float]) -> DataFrame:
     return counted.withColumn("__r", literal_array(ratios, "double")).withColumn("score", F.expr(score)).drop("__r")
 
 
+def exact_quantile(values: DataFrame, quantile: float, bins: int = BINS) -> float | None:
+    """The smallest number of the column `v` that at least this share of all numbers doesn't exceed; None without numbers.
+
+    A pass counts the numbers between two bounds in bins of one width, and goes on with the bin in which the rank
+    lies, between the least and the largest number in it. These are in bins apart in the next pass, so it ends, with both equal.
+    """
+    whole = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not whole.n:
+        return None
+    rank, lo, hi = max(1, math.ceil(quantile * whole.n)), whole.lo, whole.hi
+    while lo < hi:
+        at = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1))
+        counts = values.filter(F.col("v").between(lo, hi)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for r in sorted(counts.collect(), key=lambda r: r.bin):  # at most `bins` rows
+            if rank <= r.n:
+                lo, hi = r.lo, r.hi
+                break
+            rank -= r.n
+    return lo
+
+
 def quality_filter(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, quantile: float = QUANTILE) -> DataFrame:
     """Id, base counts, `base_failed`, `score` and `kept` for every row."""
     trusted = trusted_ids(labels, key)
@@ -95,7 +119,9 @@ def quality_filter(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     scored = with_score(base_counts(df, key, text), ratios)
     scored = staged(scored.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score"))
     own = scored.filter("n_words > 0").select(key, "score").join(trusted.hint("shuffle_hash"), F.col(key) == F.col("__good"), "left_semi")
-    low = own.agg(F.percentile_approx("score", quantile, 100_000).alias("q")).first().q
+    own = staged(own.select(F.col("score").alias("v")))
+    low = exact_quantile(own, quantile)
+    unstaged(own)
     low = -math.inf if low is None else low
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(low)))
 

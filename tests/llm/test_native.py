@@ -1,10 +1,12 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gravelake.llm import fingerprints, quality, sharding, url_filters
@@ -131,6 +133,54 @@ def test_quality_base_and_verdicts(spark):
     assert quality.quality_filter(frame(spark, []), labels).count() == 0
 
 
+def plain_quality(rows, trusted, buckets, quantile):
+    """Score and verdict of every text, by plain counts."""
+
+    def grams(w):
+        one = [xx(x) % buckets for x in w]
+        return one + [xx(x, y) % buckets for x, y in zip(w, w[1:], strict=False)]
+
+    raw, good = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(split(t)))
+        if i in trusted:
+            good.update(grams(split(t)))
+    n, m = sum(raw.values()) + buckets, sum(good.values()) + buckets
+    score = {t: sum(math.log((good[g] + 1) / m) - math.log((raw[g] + 1) / n) for g in grams(split(t))) / max(1, 2 * len(split(t)) - 1) for _, t in rows}
+    own = sorted(score[t] for i, t in rows if i in trusted and split(t))
+    low = own[max(1, math.ceil(quantile * len(own))) - 1]
+    return {t: (s, not base(t)[-1] and s > low - 1e-12) for t, s in score.items()}
+
+
+def xx(*words):
+    h = 42
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize(("buckets", "quantile"), [(97, 0.005), (1000, 0.3), (1000, 0.9)])
+def test_quality_against_plain_counts(spark, buckets, quantile):
+    rows = [(r[0], r[1]) for r in corpus(150, seed=5)]
+    trusted = {i for i, _ in rows if i % 2}
+    labels = spark.createDataFrame([(i, 1) for i in trusted] + [(i, 1) for i in trusted if i % 5 == 0] + [(2, 0)], "doc_id long, quality int")
+    got = quality.quality_filter(spark.createDataFrame(rows, "doc_id long, text string"), labels, buckets=buckets, quantile=quantile).collect()
+    text, want = dict(rows), plain_quality(rows, trusted, buckets, quantile)
+    assert len(got) == len(rows)
+    assert all(r.score == pytest.approx(want[text[r.doc_id]][0], abs=1e-12) and r.kept == want[text[r.doc_id]][1] for r in got)
+    assert quantile != 0.3 or {r.kept for r in got if not r.base_failed} == {True, False}
+
+
+@pytest.mark.parametrize("bins", [2, 3, 64])
+def test_exact_quantile(spark, bins):
+    rng = random.Random(bins)
+    for values in ([], [None], [2.5], [-1.0] * 5, [1.0, math.nextafter(1.0, 2)], [5e-324, 0.0, -5e-324, 1e308], [rng.choice([rng.gauss(0, 1), 0.25, 1e-9 * rng.random()]) for _ in range(300)]):
+        own = sorted(v for v in values if v is not None)
+        for q in (0.0, 0.005, 0.5, 0.77, 1.0):
+            want = own[max(1, math.ceil(q * len(own))) - 1] if own else None
+            assert quality.exact_quantile(spark.createDataFrame([(v,) for v in values], "v double"), q, bins) == want
+
+
 def test_log_ratio(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a c c")], "doc_id long, text string")
     trusted = spark.createDataFrame([(1,)], "__good long")
