@@ -68,6 +68,24 @@ def unstaged(*dfs: DataFrame | None) -> None:
             at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever dots or quotes it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The columns in this order under plain names, for functions that take batches: PySpark doesn't quote names for them."""
+    return df.select(*[column(c).alias(f"_{i}") for i, c in enumerate(names)])
+
+
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """The name behind as many underscores as it takes to differ from all others, in any case of letters."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 def literal_array(values: Sequence, kind: str) -> Column:
     """A constant array as one foldable literal."""
     return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")

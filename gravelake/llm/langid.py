@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gravelake.llm.common import bounded_batches, table
+from gravelake.llm.common import bounded_batches, column, free_name, numbered, table
 
 UNKNOWN = "und"
 DOCS = 250
@@ -246,8 +247,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return fit_spans(empty + [(r.y, r.w) for r in sorted(drawn, key=lambda r: (r.y, r.h, r.i))])
 
 
-def predict(df: DataFrame, model: Field, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns, `lang_pred` and `score`."""
+def predict(df: DataFrame, model: Field, keep: Sequence[str] = ("doc_id",), text: str = "text", names: Sequence[str] = ("lang_pred", "score")) -> DataFrame:
+    """The kept columns, the language and its score, named as told."""
     at = len(keep)
     read = list(keep).index(text) if text in keep else at
 
@@ -278,14 +279,14 @@ def predict(df: DataFrame, model: Field, keep: Sequence[str] = ("doc_id",), text
                 mean = np.add.reduceat(p.astype(np.float64), np.concatenate([[0], np.cumsum(lengths)[:-1]])) / lengths[:, None]
                 langs[order[i:j]], certain[order[i:j]] = mean.argmax(1), np.clip(mean.max(1), 0, 1)
                 i = j
-            names = [model.languages[x] if x >= 0 else UNKNOWN for x in langs]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(names, pa.string()), pa.array(certain)], [*keep, "lang_pred", "score"])
+            told = [model.languages[x] if x >= 0 else UNKNOWN for x in langs]
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(told, pa.string()), pa.array(certain)], [*keep, *names])
             if len(number) > _CACHED:
                 number, scores = {}, scores[:0]
 
     bounded_batches(df.sparkSession)
-    schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], "lang_pred string, score double"])
-    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
+    schema = StructType([*[StructField(c, df.schema[c].dataType) for c in keep], StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return numbered(df, [*keep, *([] if text in keep else [text])]).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id"):
@@ -305,6 +306,6 @@ LEAST_SCORE = 0.35
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows and is sure of."""
     model = train(docs.filter(~F.coalesce(held_out(), F.lit(False))))
-    scored = predict(docs.withColumnsRenamed({"score": "__score_in", "lang_pred": "__lang_in"}), model, keep=[{"score": "__score_in", "lang_pred": "__lang_in"}.get(c, c) for c in docs.columns])
-    kept = scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"__score_in": "score", "__lang_in": "lang_pred"}).select(*docs.columns)
+    lang, score = (free_name(c, docs.columns) for c in ("lang_pred", "score"))
+    scored = predict(docs, model, keep=docs.columns, names=(lang, score))
+    return scored.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*map(column, docs.columns))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from gravelake.llm.common import staged, table, unstaged
+from gravelake.llm.common import column, free_name, staged, table, unstaged
 
 SHINGLE = 5
 _FREQUENT = 1 << 18
@@ -625,8 +625,9 @@ LEFT JOIN (SELECT x, count(*) AS n_links FROM both_ GROUP BY x) k ON k.x = n.doc
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each component, once; every text without a word stays."""
-    heads = similar_sets(docs)[1].select(F.col("head.id").alias("__id"), F.col("head.th").alias("__th")).distinct()
+    own, head, text_hash = (free_name(c, docs.columns) for c in ("__of", "__id", "__th"))
+    heads = similar_sets(docs)[1].select(F.col("head.id").alias(head), F.col("head.th").alias(text_hash)).distinct()
     wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    named = docs.filter(~wordless).withColumn("__of", F.xxhash64("text"))
-    kept = named.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__th")), "left_semi").dropDuplicates(["doc_id", "__of"])
-    return kept.select(*docs.columns).unionByName(docs.filter(wordless))
+    named = docs.filter(~wordless).withColumn(own, F.xxhash64("text"))
+    kept = named.join(heads, F.col("doc_id").eqNullSafe(F.col(head)) & (F.col(own) == F.col(text_hash)), "left_semi").dropDuplicates(["doc_id", own])
+    return kept.select(*map(column, docs.columns)).unionByName(docs.filter(wordless))

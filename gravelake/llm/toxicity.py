@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gravelake.llm.common import bounded_batches, staged, table
+from gravelake.llm.common import bounded_batches, column, numbered, staged, table
 
 ROWS = 5_000
 FOLDS = 4
@@ -216,9 +217,9 @@ def predict(df: DataFrame, chain: Chain, keep: Sequence[str] = ("doc_id",), text
             p = chain.probabilities([chain.hits(t.as_py()) for t in b.column(read)])
             yield pa.RecordBatch.from_arrays([*b.columns[:at], *[pa.array(p[:, i]) for i in range(len(names))]], [*keep, *names])
 
-    schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], *[f"`{c}` double" for c in names]])
+    schema = StructType([*[StructField(c, df.schema[c].dataType) for c in keep], *[StructField(c, DoubleType()) for c in names]])
     bounded_batches(df.sparkSession)
-    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
+    return numbered(df, [*keep, *([] if text in keep else [text])]).mapInArrow(run, schema)
 
 
 def chain_of(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Chain:
@@ -235,7 +236,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic."""
     prefix = "__p_"
-    while any(c.startswith(prefix) for c in docs.columns):
+    while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix
     scored = predict(docs, chain_of(spark, sf_dir, docs), keep=[*docs.columns], prefix=prefix)
-    return scored.filter(F.col(f"{prefix}toxic") < THRESHOLD).select(*docs.columns)
+    return scored.filter(F.col(f"{prefix}toxic") < THRESHOLD).select(*map(column, docs.columns))

@@ -193,14 +193,63 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
-@pytest.mark.parametrize("extra", ["slot", "score", "component_id", "length"])
-def test_clashing_columns(spark, extra):
-    from gravelake.llm import langid, ngram_join
+CLASHING = ["slot", "score", "Lang_Pred", "_score", "component_id", "length", "__of", "_" * 3 + "of", "__id", "__TH", "__score_in", "__P_toxic", "p_toxic", "a.b", "a`b"]
+
 
-    d = frame(spark, corpus(20)).withColumn(extra, F.lit("own"))
-    assert ngram_join.stage(spark, d, "").columns == d.columns
+@pytest.mark.parametrize("number", [False, True])
+def test_clashing_columns(spark, number):
+    """Columns of any name keep their values through the stages."""
+    from gravelake.llm import langid, ngram_join
+    from gravelake.llm.common import column
+
+    d = frame(spark, corpus(20))
+    for i, name in enumerate(CLASHING):
+        d = d.withColumn(name, F.col("doc_id") * 100 + i if number else F.concat(F.lit(f"{i} of "), "doc_id"))
+    for stage in (langid.stage, ngram_join.stage):
+        out = stage(spark, d, "")
+        assert out.columns == d.columns and out.dtypes == d.dtypes
+        rows = out.select("doc_id", "text", *[column(c).alias(f"c{i}") for i, c in enumerate(CLASHING)]).collect()
+        texts = {r[0]: r[1] for r in corpus(20)}
+        assert rows and all(texts[r.doc_id] == r.text for r in rows)
+        assert all(r[f"c{i}"] == (r.doc_id * 100 + i if number else f"{i} of {r.doc_id}") for r in rows for i in range(len(CLASHING)))
     assert packing.pack(d).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    assert langid.stage(spark, d, "").columns == d.columns
+
+
+def test_pipeline_edges(spark, sf):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing names through all stages."""
+    import corpus_pipeline
+    from gravelake.llm.common import staged
+
+    docs = table(spark, sf, "documents")
+    plain = docs.filter("lang = 'en' AND length(text) > 200").orderBy("doc_id").limit(1).first().text
+    rng, w = random.Random(2), plain.split()
+    copied, long = (" ".join(rng.choice(w) for _ in range(n)) for n in (60, 60_000))
+    none = dict.fromkeys(docs.columns)
+    odd = [none, none | {"doc_id": 1_000_001}, none | {"doc_id": 1_000_002, "text": ""}, none | {"doc_id": 1_000_003, "text": " 12 !"}]
+    odd += [none | {"doc_id": 1_000_004, "text": copied, "lang": "en"}] * 3  # repeated rows
+    odd += [none | {"doc_id": 1_000_005, "text": copied, "lang": "en"}, none | {"text": copied}]  # an equal text, and one without id
+    odd += [none | {"doc_id": 1_000_006, "text": long, "lang": "en"}]
+    d = docs.unionByName(spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in odd], docs.schema))
+    for name in CLASHING:
+        d = d.withColumn(name, F.xxhash64("doc_id", "text"))
+    for name, stage in corpus_pipeline.STAGES:
+        before, d = d, staged(stage(spark, d, sf))
+        if name != "packing":
+            assert d.columns == before.columns and d.dtypes == before.dtypes
+            assert d.exceptAll(before).isEmpty()
+            assert d.filter(" OR ".join(f"NOT `{c.replace('`', '``')}` <=> xxhash64(doc_id, text)" for c in CLASHING)).isEmpty()
+            ids = [r.doc_id for r in d.select("doc_id").collect()]
+            assert not {1_000_001, 1_000_002, 1_000_003} & set(ids)
+        if name == "language":
+            assert ids.count(1_000_004) == 3 and ids.count(None) == 1 and {1_000_005, 1_000_006} <= set(ids)
+        if name == "near_duplicates":  # the first row of the group, once
+            assert ids.count(1_000_004) == 1 and {1_000_005, None}.isdisjoint(ids) and 1_000_006 in ids
+            kept = set(ids)
+    assert {r.doc_id for r in d.select("doc_id").collect()} == kept
+    d = table(spark, sf, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        before, d = d, staged(stage(spark, d, sf))
+        assert d.isEmpty() and (name == "packing" or d.columns == before.columns)
 
 
 def test_staged_tables_go(spark, tmp_path):
