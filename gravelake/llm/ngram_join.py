@@ -530,10 +530,11 @@ def linked_in_blocks(cluster: DataFrame, reps: DataFrame, sets: DataFrame) -> Da
     A cluster's sets are dealt to blocks of a bounded number of sets and shingles, and every two blocks, or one that
     is alone, meet in a task of their own.
     """
-    sized = cluster.join(reps.select("did", "copies", "n"), "did")
+    sized = cluster.join(reps.select("did", "copies", "n"), "did").withColumn("salt", F.pmod(F.xxhash64("did"), F.lit(_SALTS)).cast("int"))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(_BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(_BLOCK_SHINGLES))).cast("int")
     several = sized.groupBy("cluster").agg(blocks.alias("blocks")).filter("blocks > 1")  # of at least so many sets or shingles each
-    d = sized.join(F.broadcast(several), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(sets, "did")
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))  # a large cluster is not one task's
+    d = sized.join(several, ["cluster", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(sets, "did")
     d = d.withColumn("k", F.pmod(F.xxhash64("did"), "blocks").cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     d = d.select("cluster", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), "k", "did", "copies", "h")
 
