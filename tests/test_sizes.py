@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gravelake import schemas
 from gravelake.operators.chunk import chunk_parents
+from gravelake.operators.vector import cosine_topk
 
 
 def test_a_large_block_is_cut_without_a_copy_of_it_in_every_chunk(spark):
@@ -15,3 +18,21 @@ def test_a_large_block_is_cut_without_a_copy_of_it_in_every_chunk(spark):
     assert d.columns == schemas.CHUNK.names
     found = d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.regexp_count("text", F.lit("k = 1"))).alias("k"), F.max("chunk_ord").alias("last"), F.countDistinct("child_id").alias("ids")).first()
     assert found.k == 30_000 and found.n == found.ids == found.last + 1 and found.n > 7_000
+
+
+def test_pairs_of_queries_and_vectors_are_no_rows(spark):
+    nan, rows = float("nan"), [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)]
+    rows += [(50, [nan, 1.0, 1.0]), (51, [1.0, 2.0]), (52, None), (53, [0.0, 0.0, 0.0]), (54, [1.0, None, 1.0])]
+    v = spark.createDataFrame(rows, "child_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [0.0, 0.0, 0.0]), (3, None), (4, [2.0, 1.0])], "query_id long, embedding array<double>")
+    d = cosine_topk(v, q, 41)
+    assert "Join" not in d._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in d._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r.rank): (r.child_id, r.score) for r in d.collect()}
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 9)
+
+    want = sorted((-cosine([1, 2, 3], e), i) for i, e in rows[:40])
+    assert got[1, 1][0] == 50 and math.isnan(got[1, 1][1])  # as Spark orders it, before all numbers
+    assert [(got[1, r][0], round(got[1, r][1], 9)) for r in range(2, 42)] == [(i, -s) for s, i in want] and (2, 1) not in got and (3, 1) not in got
+    assert got[4, 1] == (51, 0.8) and [got[4, r] for r in range(2, 41)] == [(i, None) for i in range(39)]
