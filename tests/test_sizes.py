@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
 from gravelake import schemas
+from gravelake.operators import lexical
 from gravelake.operators.chunk import chunk_parents
 from gravelake.operators.vector import cosine_topk
 
@@ -36,3 +38,15 @@ def test_pairs_of_queries_and_vectors_are_no_rows(spark):
     assert got[1, 1][0] == 50 and math.isnan(got[1, 1][1])  # as Spark orders it, before all numbers
     assert [(got[1, r][0], round(got[1, r][1], 9)) for r in range(2, 42)] == [(i, -s) for s, i in want] and (2, 1) not in got and (3, 1) not in got
     assert got[4, 1] == (51, 0.8) and [got[4, r] for r in range(2, 41)] == [(i, None) for i in range(39)]
+
+
+def test_no_row_of_a_pair_is_shuffled_to_be_summed(spark, monkeypatch):
+    c = spark.createDataFrame([(i, " ".join(f"w{j % 7}" for j in range(i, i + i % 9)), i) for i in range(60)], "child_id long, text string, corpus_ord long")
+    q = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 5} W{i % 3}") for i in range(12)], "query_id long, query string")
+    index = lexical.build_index(c)
+    scores, best = lexical.bm25_scores(index, q), lexical.bm25_topk(index, q, 50)
+    assert "hashpartitioning(query_id#" not in re.sub(r"hashpartitioning\(query_id#\w+, \d+\)|hashpartitioning\(query_id#\w+, term#\w+, \d+\)", "", scores._jdf.queryExecution().executedPlan().toString())
+    whole = [sorted(map(tuple, d.collect())) for d in (scores, best)]
+    assert len(whole[1]) == 12 * 50 and {r[3] for r in whole[1]} == set(range(1, 51))
+    monkeypatch.setattr(lexical, "WORDS", 5)  # in shares
+    assert [sorted(map(tuple, d.collect())) for d in (lexical.bm25_scores(index, q), lexical.bm25_topk(index, q, 50))] == whole
