@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from gravelake import schemas
-from gravelake.operators import lexical
+from gravelake.operators import lexical, store
 from gravelake.operators.chunk import chunk_parents
 from gravelake.operators.vector import cosine_topk
 
@@ -50,3 +50,12 @@ def test_no_row_of_a_pair_is_shuffled_to_be_summed(spark, monkeypatch):
     assert len(whole[1]) == 12 * 50 and {r[3] for r in whole[1]} == set(range(1, 51))
     monkeypatch.setattr(lexical, "WORDS", 5)  # in shares
     assert [sorted(map(tuple, d.collect())) for d in (lexical.bm25_scores(index, q), lexical.bm25_topk(index, q, 50))] == whole
+
+
+def test_a_step_of_embedding_is_spread_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "EMBED_BATCH", 10)
+    monkeypatch.setattr(store, "_COMMITS", 1)
+    d = spark.range(100).select(F.col("id").cast("string").alias("child_id"), F.col("id").cast("string").alias("content_hash"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    assert store.embed_pending(d, str(tmp_path)) == 100
+    assert len(list(tmp_path.glob("embeddings/run=*/step=0/*.parquet"))) == 4
+    assert sorted(int(r.child_id) for r in store.embeddings(spark, str(tmp_path)).collect()) == list(range(100))
