@@ -26,7 +26,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -53,9 +53,11 @@ _STEP_WORDS = 100_000
 _SLICES = 16
 _BITS = 20
 _BLOCK = 11
+_PLAIN_BYTES = 4096
 _LOW = np.uint64((1 << _BITS) - 1)
 _END = np.uint64(xxh3_64_intdigest(b""))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_codec = pa.Codec("zstd", 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -71,12 +73,18 @@ def token_hashes(text: str | None) -> np.ndarray:
 
 
 def planes(a: np.ndarray) -> bytes:
-    """The numbers' first bytes, then their second bytes, and so on: sorted or small numbers compress well like this."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    """The numbers' first bytes, then their second bytes, and so on, compressed: what the JVM holds of a part is a fraction of its numbers.
+    The first eight bytes tell how many there are, or 0 if they were too few to compress."""
+    raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    if len(raw) < _PLAIN_BYTES:
+        return bytes(8) + raw
+    return len(raw).to_bytes(8, "little") + _codec.compress(raw, asbytes=True)
 
 
 def unplaned(b, kind: str) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8)
+    b = memoryview(b)
+    n, rest = int.from_bytes(b[:8], "little"), b[8:]
+    raw = np.frombuffer(_codec.decompress(rest, n) if n else rest, np.uint8)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
 
@@ -206,6 +214,10 @@ class Model:
         own = np.maximum(counts - self.rare_discount * mean, 0)
         return np.log10((own + (STRENGTH + self.rare_discount * self.rare_tables[-1]) / (self.rare_words + 1)) / (STRENGTH + customers))
 
+    def parts(self) -> tuple[int, int]:
+        """Into how many parts pairs and rare words are dealt: rare words by their tokens too, as each part is asked for all of them."""
+        return max(8, -(-self.tokens // _PART_TOKENS)), max(8, -(-self.rare_words // _PART_WORDS), -(-int(self.counts[-1]) // _PART_TOKENS))
+
     def add_one(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.words + 1))
 
@@ -288,6 +300,29 @@ def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[order[a]]), order[a:z]
 
 
+def added(pieces: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts. Pieces are added up whenever there is as much again as is distinct, and a window at least;
+    so what is held follows the distinct keys, not the number of windows that a frequent pair comes from."""
+
+    def told() -> tuple[np.ndarray, np.ndarray]:
+        keys, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[heads], np.add.reduceat(n, heads)
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, most = 0, _COUNT_WINDOW
+    for keys, n in pieces:
+        held.append((keys, n.astype(np.int64)))
+        size += len(keys)
+        if size > most:
+            held = [told()]
+            size = len(held[0][0])
+            most = max(_COUNT_WINDOW, 2 * size)
+    return told()
+
+
 def pair_counts(texts: DataFrame, symbols: np.ndarray, parts: int) -> DataFrame:
     """A stored table with a row for each part: keys (sorted) and counts of its pairs, packed."""
     shared = texts.sparkSession.sparkContext.broadcast(symbols)
@@ -313,12 +348,8 @@ def pair_counts(texts: DataFrame, symbols: np.ndarray, parts: int) -> DataFrame:
             yield told()
 
     def summed(key: tuple, t: pa.Table) -> pa.Table:
-        keys = np.concatenate([unplaned(k.as_buffer(), "<u8") for k in t["keys"]])
-        n = np.concatenate([unplaned(c.as_buffer(), "<u4") for c in t["counts"]]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return pa.table({"part": pa.array([key[0].as_py()]), "keys": pa.array([planes(keys[heads])]), "counts": pa.array([planes(np.add.reduceat(n, heads))])})
+        keys, n = added((unplaned(k.as_buffer(), "<u8"), unplaned(c.as_buffer(), "<u4")) for k, c in zip(t["keys"], t["counts"], strict=True))
+        return pa.table({"part": pa.array([key[0].as_py()]), "keys": pa.array([planes(keys)]), "counts": pa.array([planes(n)])})
 
     schema = "part bigint, keys binary, counts binary"
     return staged(texts.mapInArrow(run, schema).groupBy("part").applyInArrow(summed, schema))
@@ -370,7 +401,7 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     model = Model(got.n, got.v, symbols, np.append(counts, got.n - counts.sum()).astype(float), got.v - len(symbols))
     model.rare_discount = discount_of(got.once - (counts == 1).sum(), got.twice - (counts == 2).sum())
     k = len(symbols) + 1
-    pairs = pair_counts(texts, symbols, max(8, -(-got.n // _PART_TOKENS)))
+    pairs = pair_counts(texts, symbols, model.parts()[0])
     many = 1 << 16
 
     def types(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
@@ -447,7 +478,7 @@ def score(docs: DataFrame, model: Model, pairs: DataFrame, words: DataFrame, key
     """docs (key, held_out, text) -> key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)
-    parts, word_parts = max(8, -(-model.tokens // _PART_TOKENS)), max(8, -(-model.rare_words // _PART_WORDS))  # the first as in training
+    parts, word_parts = model.parts()
     kind = docs.schema[key].dataType
     told_kind = pa.struct([("key", to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
     told_sql = f"array<struct<key:{kind.simpleString()},held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double>>"
@@ -473,7 +504,7 @@ def score(docs: DataFrame, model: Model, pairs: DataFrame, words: DataFrame, key
                 out.append((p, window, planes(own[at]), planes(keys[at]), None))
             for p, at in _dealt((mixed(hashes) % np.uint64(word_parts)).astype(np.int64)):
                 out.append((parts + p, window, planes(hash_own[at]), planes(hashes[at]), None))
-            out.append((window % parts, window, None, None, [dict(zip(("key", "held_out", "n_tokens", "n_known", "base", "score"), r, strict=True)) for r in rows]))
+            out.append((int(mixed(np.array([window], np.uint64))[0] % np.uint64(parts)), window, None, None, [dict(zip(("key", "held_out", "n_tokens", "n_known", "base", "score"), r, strict=True)) for r in rows]))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
         for b in batches:

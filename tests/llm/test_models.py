@@ -209,6 +209,25 @@ def test_planes():
         assert (lm.unplaned(lm.planes(a), a.dtype.str) == a).all()
 
 
+def test_what_a_task_holds_of_a_part(monkeypatch):
+    """The JVM holds parts compressed; parts of rare words follow their tokens; sums are made before all pieces are at hand."""
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 38, 100_000).astype(np.uint64))
+    assert len(lm.planes(keys)) < keys.nbytes / 2 and len(lm.planes(np.ones(100_000, np.int64))) < 10_000
+    often = lm.Model(900 * lm._PART_TOKENS, 10, keys[:0], np.array([90.0 * lm._PART_TOKENS]), 10)  # few words, seen again and again
+    assert often.parts() == (900, 90) and lm.Model(0, 0, keys[:0], np.zeros(1)).parts() == (8, 8)
+    monkeypatch.setattr(lm, "_COUNT_WINDOW", 1000)
+    most, plain = 0, np.concatenate
+
+    def told(x, *a, **b):
+        nonlocal most
+        most = max(most, sum(map(len, x)))
+        return plain(x, *a, **b)
+
+    monkeypatch.setattr(np, "concatenate", told)
+    k, n = lm.added((np.arange(i % 3, 300, 3).astype(np.uint64), np.full(100, i + 1, np.uint32)) for i in range(600))
+    assert most < 2000 and (k == np.arange(300)).all() and (n == [sum(i + 1 for i in range(r, 600, 3)) for r in (0, 1, 2)] * 100).all() and n.dtype == np.int64
+
+
 @pytest.mark.parametrize(("weight", "discount"), [(2.0, 0.0), (0.3, 0.6), (30.0, 0.5)])
 def test_seating(monkeypatch, weight, discount):
     monkeypatch.setattr(lm, "_AT_ONCE", 3000)
