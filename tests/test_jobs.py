@@ -66,6 +66,36 @@ def test_index_takes_what_is_new(spark, index_config, tmp_path, caplog):
     assert {r[0] for r in told(index_documents, spark, whole)} == {r[0] for r in now}
 
 
+def test_index_keeps_disk_small(spark, index_config, tmp_path, monkeypatch):
+    """What only a build reads is gone after it, shuffles go with their action, tables are packed; words that are dealt in shares make the index that is built at once."""
+    from gravelake.operators.tables import tidy
+
+    c = index_config
+    add(documents(spark, 0, 120), c.documents)
+    index_documents.run(spark, c)
+    v = f"{c.out}/v=1"
+    assert all(spark.read.parquet(f"{v}/{t}").columns == ["gone"] and spark.read.parquet(f"{v}/{t}").isEmpty() for t in ("parsed/segment=0", "pending")) and all(glob.glob(f"{v}/{t}/**/*.zstd.parquet", recursive=True) for t in ("parents", "chunks", "lexical", "vectors"))
+    monkeypatch.setattr(store, "SHARE", 100)
+    shared = index_documents.Config(c.documents, str(tmp_path / "shared"), str(tmp_path / "ck2"), 16, 12)
+    own = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # parts stay as many as they are
+    try:
+        index_documents.run(spark, shared)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", own)
+    assert len(store._part_ranges(spark.read.parquet(f"{shared.out}/v=1/chunks/segment=0"), 500)) > 1
+    entries = lambda at: sorted(tuple(r) for r in spark.read.parquet(f"{at}/v=1/lexical/entries/segment=0").select("bucket", "term", "child_id", "tf", "dl", "corpus_ord").collect())
+    assert entries(shared.out) == entries(c.out) and len(entries(c.out)) > 1000 and told(index_documents, spark, shared) == told(index_documents, spark, c)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses
+    with tidy(spark):
+        n = tracker().size()
+        spark.range(1000).groupBy(F.col("id") % 7).count().write.mode("overwrite").parquet(str(tmp_path / "grouped"))
+        assert tracker().size() <= n and spark.conf.get(key) == "true"
+    assert spark.conf.get(key, None) == before
+
+
 def test_index_goes_on_after_a_failure(spark, index_config, tmp_path, monkeypatch):
     c = index_config
     add(documents(spark, 0, 20), c.documents)
