@@ -2,7 +2,7 @@
 a rerank, and its hits are held against what they should contain.
 
 Documents stand for chunks, their sources for parents. The candidates of both sides do not depend on the weight, so they
-are found once and written. Hits, rows by question and summaries are partitioned by setting; a run replaces the
+are found once and written, with their chunks. Hits, rows by question and summaries are partitioned by setting; a run replaces the
 partitions of the settings that it has and leaves others alone, so it may be repeated, and one weight may be added to an earlier sweep.
 
 Documents without an id are left out; of several rows of one id one is taken, always the same. A question without words or without a vector is searched by the side that it has; one without any hit counts as missed.
@@ -38,18 +38,30 @@ class Config:
     expected_words: int = 4
 
 
-def _tables(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chunks, vectors of chunks, and questions with their vectors and what a hit must contain."""
-    d = last_wins(spark.read.parquet(config.documents).filter("doc_id IS NOT NULL").withColumn("h", F.xxhash64("text", "source", "lang")), "doc_id", "h")
-    chunks = d.select(
+#: Chunks of candidates that are looked for by a broadcast of their ids.
+_BROADCAST = 1_000_000
+
+
+def _documents(spark: SparkSession, config: Config) -> DataFrame:
+    return spark.read.parquet(config.documents).filter("doc_id IS NOT NULL")
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    d = last_wins(docs.withColumn("h", F.xxhash64("text", "source", "lang")), "doc_id", "h")
+    return d.select(
         F.col("doc_id").alias("child_id"), "text", F.col("source").alias("parent_id"), F.lit("document").alias("source_type"), F.concat_ws("/", F.lit("data"), "source", "lang", F.col("doc_id").cast("string")).alias("file_path"),
         F.col("source").alias("file_category"), F.col("lang").alias("block_name"), F.lit(None).cast("string").alias("section_title"), F.col("doc_id").alias("corpus_ord"),
     )
+
+
+def _tables(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, vectors of chunks, and questions with their vectors and what a hit must contain."""
+    docs = _documents(spark, config)
     e = spark.read.parquet(config.embeddings)
-    vectors = e.select(F.col("vec_id").alias("child_id"), "embedding").join(chunks.select("child_id"), "child_id", "left_semi")
+    vectors = e.select(F.col("vec_id").alias("child_id"), "embedding").join(docs.select(F.col("doc_id").alias("child_id")), "child_id", "left_semi")
     words = F.slice(F.filter(F.split("text", " "), lambda w: w != ""), 1, config.expected_words)
     q = spark.read.parquet(config.benchmark).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array(F.array_join(words, " ")).alias("expected"))
-    return chunks, vectors, q.join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+    return _chunks(docs), vectors, q.join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -61,7 +73,7 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 
 def run(spark: SparkSession, config: Config) -> dict[str, int]:
-    """Writes lexical, candidates, and hits, rows and summaries by setting under `out`; returns how many documents and questions it read."""
+    """Writes lexical, candidates, their chunks (hit_chunks), and hits, rows and summaries by setting under `out`; returns how many documents and questions it read."""
     log.info("read %s, %s and %s", config.documents, config.benchmark, config.embeddings)
     chunks, vectors, questions = _tables(spark, config)
     build_index(chunks).save(f"{config.out}/lexical")
@@ -72,6 +84,9 @@ def run(spark: SparkSession, config: Config) -> dict[str, int]:
     wide = OVERFETCH * config.top_k
     v = _written(index.vector_candidates(questions.filter("embedding IS NOT NULL"), wide), f"{config.out}/candidates/side=vector")
     b = _written(index.lexical_candidates(questions, wide), f"{config.out}/candidates/side=lexical")
+    ids = v.select("child_id").unionByName(b.select("child_id")).distinct()
+    near = F.broadcast(ids) if ids.count() <= _BROADCAST else ids
+    index.chunks = _written(_chunks(_documents(spark, config).join(near, F.col("doc_id") == F.col("child_id"), "left_semi")), f"{config.out}/hit_chunks")  # all that any setting can hit
     asked = questions.select(F.col("query_id").alias("id"), "query", "expected")
     for alpha in map(float, config.alphas):
         for mode in config.modes:

@@ -144,6 +144,21 @@ def test_sweep_runs_again_and_grows(spark, tmp_path):
     assert not any(r[3] or r[4] or r[5] for r in told(sweep, spark, c) if r[0] == 0.2) and spark.read.parquet(f"{c.out}/rows").filter("alpha = 0.2").count() == 8
 
 
+def test_sweep_reads_documents_a_fixed_number_of_times(spark, tmp_path, monkeypatch):
+    """A setting reads the chunks of the candidates, and not all documents."""
+    seen = []
+    real = sweep.last_wins
+    monkeypatch.setattr(sweep, "last_wins", lambda d, *a: seen.append(d) or real(d, *a))
+    c = _sweep(tmp_path, alphas=(0.2, 0.8))
+    _sweep_tables(spark, c, documents(spark, 0, 600).unionByName(spark.createDataFrame(ODD, SCHEMA)))
+    assert sweep.run(spark, c)["documents"] == 604 and len(seen) == 2
+    candidates = {r.child_id for r in spark.read.parquet(f"{c.out}/candidates").select("child_id").distinct().collect()}
+    kept = [r.child_id for r in spark.read.parquet(f"{c.out}/hit_chunks").collect()]
+    assert sorted(kept) == sorted(candidates) and 0 < len(kept) < 300
+    hits = spark.read.parquet(f"{c.out}/hits")
+    assert "documents.parquet" not in str(hits.inputFiles()) and {r.child_id for r in hits.collect()} <= candidates
+
+
 def test_sweep_of_one_weight_is_the_search(spark, tmp_path):
     """Hits of a setting are those that the engine's search gives."""
     from gravelake.operators.lexical import build_index

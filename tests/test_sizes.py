@@ -59,3 +59,13 @@ def test_a_step_of_embedding_is_spread_over_tasks(spark, tmp_path, monkeypatch):
     assert store.embed_pending(d, str(tmp_path)) == 100
     assert len(list(tmp_path.glob("embeddings/run=*/step=0/*.parquet"))) == 4
     assert sorted(int(r.child_id) for r in store.embeddings(spark, str(tmp_path)).collect()) == list(range(100))
+
+
+def test_whole_is_round(spark):
+    """Whole units of scores are those of `round`, halves and signs included, without a decimal of each."""
+    from gravelake.operators.lexical import whole
+
+    odd = [0.0, -0.0, 0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 3.7e13 + 0.5, -3.7e13 - 0.5, 1e15 + 0.25]
+    d = spark.createDataFrame([(x,) for x in odd], "x double").unionByName(spark.range(20_000).select(((F.rand(1) - 0.3) * F.pow(F.lit(10.0), F.rand(2) * 14)).alias("x")))
+    assert d.filter(whole(F.col("x")) != F.round("x").cast("long")).count() == 0
+    assert "round" not in str(whole(F.col("x")))
